@@ -73,3 +73,106 @@ def rank_all(df: DataFrame, order: OrderSpec, out: str, *, dense: bool = False,
                       (F.lit(1) + F.col("_offset") + F.col("_before")).cast("long").alias(out)))
     cond = [df[k].eqNullSafe(ranked[f"_k{i}"]) for i, k in enumerate(keys)]
     return df.join(ranked, cond, "inner").drop(*[f"_k{i}" for i in range(len(keys))])
+
+
+# ---------------------------------------------------------------------------- scans
+def _null_safe_changed(s: pd.Series, prev: pd.Series) -> pd.Series:
+    same = (s == prev) | (s.isna() & prev.isna())
+    return ~same.fillna(False).astype(bool)
+
+
+def _local_scan(by: Sequence[str], value: str):
+    """Per partition, rows sorted by (by, order): position, running sum and the running
+    minimum of the running sum before each row, all within the group's run."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        carry_key: tuple | None = None
+        carry_n = 0
+        carry_sum = 0
+        carry_min: float | None = None  # min of running sums before the next row
+        for pdf in batches:
+            if pdf.empty:
+                yield pdf.assign(_pos=pd.Series(dtype="int64"), _run=pd.Series(dtype="int64"),
+                                 _min_prev=pd.Series(dtype="float64"))
+                continue
+            changed = pd.Series(False, index=pdf.index)
+            for b in by:
+                changed |= _null_safe_changed(pdf[b], pdf[b].shift())
+            changed.iloc[0] = True
+            runs = changed.cumsum()
+            vals = pdf[value].fillna(0).astype("int64")
+            grp = vals.groupby(runs)
+            pos = grp.cumcount().astype("int64") + 1
+            csum = grp.cumsum().astype("int64")
+            prev_min = csum.groupby(runs).cummin().groupby(runs).shift(1)
+            first_key = tuple(None if pd.isna(pdf[b].iloc[0]) else pdf[b].iloc[0] for b in by)
+            if carry_key is not None and first_key == carry_key:
+                head = runs == 1
+                pos = pos.where(~head, pos + carry_n)
+                csum = csum.where(~head, csum + carry_sum)
+                shifted = prev_min.where(~head, prev_min + carry_sum)
+                if carry_min is not None:
+                    shifted = shifted.where(~head, shifted.fillna(np.inf).clip(upper=carry_min))
+                prev_min = shifted
+            last = runs == runs.iloc[-1]
+            carry_key = tuple(None if pd.isna(pdf[b].iloc[-1]) else pdf[b].iloc[-1] for b in by)
+            carry_n = int(pos.iloc[-1])
+            carry_sum = int(csum.iloc[-1])
+            tail_min = float(min(csum[last].min(), prev_min[last].min() if prev_min[last].notna().any() else np.inf))
+            carry_min = tail_min
+            yield pdf.assign(_pos=pos, _run=csum, _min_prev=prev_min.astype("float64"))
+
+    return run
+
+
+def scan_within(df: DataFrame, by: Sequence[str], order: OrderSpec, value: Column | str | None = None,
+                *, num_partitions: int | None = None) -> DataFrame:
+    """Ordered prefix scan per ``by`` group, skew-safe.
+
+    Adds ``_pos`` (1-based position), ``_run`` (inclusive running sum of ``value``,
+    whole numbers) and ``_min_prev`` (minimum of ``_run`` over the earlier rows of the
+    group, NULL for the first row). ``order`` must be total within a group.
+
+    Rows are range-partitioned on (group, order), so a hot group spreads over many
+    partitions; each partition scans its rows once; a group that crosses partition
+    boundaries gets a carry (count, sum, minimum) from the partitions before it. Only
+    boundary-crossing groups need a carry, at most one per partition boundary, so the
+    carry table is bounded by the partition count and is broadcast.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    parts = num_partitions or partitions(spark)
+    val = F.lit(1) if value is None else (F.col(value) if isinstance(value, str) else value)
+    staged = df.withColumn("_val", val.cast("long"))
+    sort_cols = [F.col(b).asc_nulls_last() for b in by] + sort_columns(order)
+    schema = T.StructType(list(staged.schema.fields) + [
+        T.StructField("_part", T.IntegerType(), False), T.StructField("_pos", T.LongType(), False),
+        T.StructField("_run", T.LongType(), False), T.StructField("_min_prev", T.DoubleType(), True)])
+    spread = (staged.repartitionByRange(parts, *sort_cols).sortWithinPartitions(*sort_cols)
+              .withColumn("_part", F.spark_partition_id())
+              .mapInPandas(_local_scan(by, "_val"), schema)
+              .checkpoint(eager=True))
+    seg = (spread.groupBy("_part", *by)
+           .agg(F.max("_pos").alias("_n"), F.max_by("_run", "_pos").alias("_total"),
+                F.min("_run").alias("_low")))
+    grp = Window.partitionBy(*by)
+    prior = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (seg.withColumn("_spans", F.count(F.lit(1)).over(grp)).filter(F.col("_spans") > 1)
+             .withColumn("_c_n", F.sum("_n").over(prior))
+             .withColumn("_c_sum", F.sum("_total").over(prior))
+             .withColumn("_abs_low", F.col("_low") + F.coalesce(F.col("_c_sum"), F.lit(0)))
+             .withColumn("_c_low", F.min("_abs_low").over(prior))
+             .filter(F.col("_c_n").isNotNull())
+             .select("_part", *[F.col(b).alias(f"_b{i}") for i, b in enumerate(by)], "_c_n", "_c_sum", "_c_low"))
+    cond = [spread["_part"] == carry["_part"]] + [spread[b].eqNullSafe(carry[f"_b{i}"]) for i, b in enumerate(by)]
+    joined = spread.join(F.broadcast(carry), cond, "left")  # carry: at most one row per partition boundary
+    c_n = F.coalesce(F.col("_c_n"), F.lit(0))
+    c_sum = F.coalesce(F.col("_c_sum"), F.lit(0))
+    local_prev = F.col("_min_prev") + c_sum
+    min_prev = F.when(F.col("_c_low").isNull(), local_prev).otherwise(
+        F.least(F.col("_c_low").cast("double"), F.coalesce(local_prev, F.col("_c_low").cast("double"))))
+    keep = [c for c in df.columns]
+    return joined.select(*[spread[c] for c in keep],
+                         (F.col("_pos") + c_n).alias("_pos"),
+                         (F.col("_run") + c_sum).alias("_run"),
+                         min_prev.cast("long").alias("_min_prev"))

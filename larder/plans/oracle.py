@@ -96,7 +96,7 @@ FIXTURE_SQL: dict[str, str] = {
 _NEEDS = {name: (["nsup"] if re.search(r"\bnsup\b", sql) else []) for name, sql in FIXTURE_SQL.items()}
 
 
-def with_fixtures(body: str, *extra_ctes: tuple[str, str]) -> str:
+def with_fixtures(body: str, *extra_ctes: tuple[str, str], recursive: bool = False) -> str:
     """Prefix ``body`` with the fixture CTEs it names (and ``extra_ctes`` verbatim)."""
     text = body + " ".join(sql for _, sql in extra_ctes)
     used: list[str] = []
@@ -106,7 +106,8 @@ def with_fixtures(body: str, *extra_ctes: tuple[str, str]) -> str:
     if any(_NEEDS[n] for n in used) or re.search(r"\bnsup\b", text):
         used.insert(0, "nsup")
     ctes = [f"{n} AS ({FIXTURE_SQL[n]})" for n in used] + [f"{n} AS ({sql})" for n, sql in extra_ctes]
-    return ("WITH " + ",\n".join(ctes) + "\n" + body) if ctes else body
+    head = "WITH RECURSIVE " if recursive else "WITH "
+    return (head + ",\n".join(ctes) + "\n" + body) if ctes else body
 
 
 # ---------------------------------------------------------------- exact arithmetic
@@ -260,3 +261,118 @@ ORDER BY purchases_per_seat DESC NULLS FIRST""", ("fp", """
 
 
 REPORT_SQL = _report_sql()
+
+
+# ---------------------------------------------------------------- row-event jobs
+E01_STATUS_OK = "('no_coupon', 'applied', 'not_applied')"
+E03_LINES = ("e03_l", """
+  SELECT sd.Material_Id, sd.trackingID, sd.arrival_seq, rm.material_Id AS mid, rm.quantity AS stock,
+         ROW_NUMBER() OVER (PARTITION BY sd.Material_Id, sd.trackingID ORDER BY sd.arrival_seq, sd.trackingID) AS dup
+  FROM shipment_details sd LEFT JOIN raw_materials rm ON sd.Material_Id = rm.material_Id""")
+E03_NUMBERED = ("e03_n", """
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY Material_Id ORDER BY arrival_seq, trackingID) AS n
+  FROM e03_l WHERE mid IS NOT NULL AND dup = 1""")
+E03_RESULT = ("e03_r", f"""
+  SELECT Material_Id, trackingID, arrival_seq,
+         CASE WHEN stock - (n - 1) > 0 THEN 'accepted' ELSE 'rejected' END AS status,
+         CAST(CASE WHEN stock - (n - 1) > 0 THEN NULL ELSE -20005 END AS INTEGER) AS error_code,
+         CASE WHEN stock - (n - 1) > 0 THEN NULL ELSE 'insufficient_stock' END AS reason
+  FROM e03_n
+  UNION ALL
+  SELECT Material_Id, trackingID, arrival_seq, 'rejected', CAST(NULL AS INTEGER),
+         CASE WHEN mid IS NULL THEN 'unknown_material' ELSE 'duplicate_line' END
+  FROM e03_l WHERE mid IS NULL OR dup > 1""")
+E04_ORDER = "arrival_seq, p_material_id, p_purchase_qty, p_po_date"
+E04_REQ = ("e04_f", """
+  SELECT r.*, rm.quantity AS stock,
+         CASE WHEN rm.material_Id IS NULL THEN 'material'
+              WHEN r.p_po_no IS NULL OR r.p_po_date IS NULL OR r.p_purchase_qty IS NULL
+                THEN 'cannot insert NULL into PURCHASE_ORDER'
+              WHEN NOT starts_with(r.p_po_no, 'PO') OR strlen(r.p_po_no) > 16
+                THEN 'check constraint on PURCHASE_ORDER.PONo violated' END AS fail
+  FROM po_requests r LEFT JOIN raw_materials rm ON r.p_material_id = rm.material_Id""")
+E04_CAND = ("e04_c", f"""
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY p_po_no ORDER BY {E04_ORDER}) AS k,
+         p_po_no IN (SELECT PONo FROM purchase_order) AS taken
+  FROM e04_f WHERE fail IS NULL""")
+E04_OK = ("e04_ok", "SELECT * FROM e04_c WHERE k = 1 AND NOT taken")
+E04_REQ_COLS = "p_po_no, p_material_id, p_purchase_qty, p_po_date, arrival_seq"
+
+
+def _event_sql() -> dict[str, str]:
+    out: dict[str, str] = {}
+    out["e01_coupon_totals"] = with_fixtures(f"""
+SELECT order_id, subtotal, coupon_code,
+       CASE WHEN coupon_status IN {E01_STATUS_OK} THEN total END AS totalamount,
+       coupon_status, coupon_status IN {E01_STATUS_OK} AS accepted
+FROM e01_s""", ("e01_t", """
+  SELECT r.order_id, r.subtotal, r.coupon_code, c.coupon_code AS code,
+         (r.subtotal >= c.minPurchase_amt AND TIMESTAMP '1999-01-01 00:00:00' <= c.coupExpiry) AS valid,
+         CAST(CASE WHEN r.coupon_code IS NULL THEN r.subtotal
+                   WHEN c.coupon_code IS NULL THEN NULL
+                   WHEN r.subtotal >= c.minPurchase_amt AND TIMESTAMP '1999-01-01 00:00:00' <= c.coupExpiry
+                     THEN r.subtotal - c.coupDiscount
+                   ELSE r.subtotal END AS DECIMAL(18,2)) AS total
+  FROM order_requests r LEFT JOIN coupons c ON r.coupon_code = c.coupon_code"""), ("e01_s", """
+  SELECT *, CASE WHEN coupon_code IS NOT NULL AND code IS NULL THEN 'unknown_coupon'
+                 WHEN total IS NULL THEN 'missing_total'
+                 WHEN total < 0 THEN 'negative_total'
+                 WHEN coupon_code IS NULL THEN 'no_coupon'
+                 WHEN valid THEN 'applied' ELSE 'not_applied' END AS coupon_status
+  FROM e01_t"""))
+    out["e02_stock_status"] = with_fixtures("""
+SELECT Material_Id, inv_qoh, inv_reorder_level,
+       CASE WHEN inv_qoh <= inv_reorder_level THEN 'Low'
+            WHEN inv_qoh <= 2 * inv_reorder_level THEN 'Decent' ELSE 'High' END AS inv_stock_status
+FROM inventory_details""")
+    out["e03_reserve_stock"] = with_fixtures("SELECT * FROM e03_r", E03_LINES, E03_NUMBERED, E03_RESULT)
+    out["e03_materials_after"] = with_fixtures("""
+SELECT rm.material_Id, CAST(rm.quantity - COALESCE(u.used, 0) AS BIGINT) AS quantity
+FROM raw_materials rm LEFT JOIN (SELECT Material_Id, COUNT(*) AS used FROM e03_r WHERE status = 'accepted'
+                                  GROUP BY Material_Id) u ON rm.material_Id = u.Material_Id""",
+                                               E03_LINES, E03_NUMBERED, E03_RESULT)
+    e04 = (E04_REQ, E04_CAND, E04_OK)
+    out["e04_po_accepted"] = with_fixtures("""
+SELECT p_po_no AS PONo, p_po_date AS PODate, CAST(p_purchase_qty AS BIGINT) AS PurcQty, p_material_id AS Material_Id
+FROM e04_ok""", *e04)
+    out["e04_po_rejected"] = with_fixtures(f"""
+SELECT {E04_REQ_COLS},
+       CAST(CASE WHEN fail = 'material' THEN -20002 ELSE -20003 END AS INTEGER) AS error_code,
+       CASE WHEN fail = 'material' THEN 'Material ID not found in RAW_MATERIALS table.'
+            ELSE 'An unexpected error occurred: ' || fail END AS error_message
+FROM (SELECT {E04_REQ_COLS}, fail FROM e04_f WHERE fail IS NOT NULL
+      UNION ALL
+      SELECT {E04_REQ_COLS}, 'unique constraint on PURCHASE_ORDER.PONo violated' FROM e04_c
+      WHERE k > 1 OR taken) x""", *e04)
+    out["e04_materials_after"] = with_fixtures("""
+SELECT rm.material_Id, CAST(rm.quantity + COALESCE(a.added, 0) AS BIGINT) AS quantity
+FROM raw_materials rm LEFT JOIN (SELECT p_material_id, SUM(p_purchase_qty) AS added FROM e04_ok
+                                  GROUP BY p_material_id) a ON rm.material_Id = a.p_material_id""", *e04)
+    out["e04_audit"] = with_fixtures(f"""
+SELECT p_po_no AS PONo, p_material_id AS Material_Id,
+       CAST(stock + SUM(p_purchase_qty) OVER (PARTITION BY p_material_id ORDER BY {E04_ORDER}
+                                              ROWS UNBOUNDED PRECEDING) AS BIGINT) AS updated_quantity
+FROM e04_ok""", *e04)
+    out["e05_stock_ledger"] = with_fixtures("""
+SELECT e.Material_Id, e.kind, e.quantity, e.arrival_key, e.kind_rank, e.seq, e.ref, w.acc AS accepted,
+       CAST(w.bal AS BIGINT) AS balance
+FROM walk w JOIN e05_n e ON e.Material_Id = w.Material_Id AND e.rn = w.rn""",
+        E03_LINES, E03_NUMBERED, *e04, ("e05_ev", """
+  SELECT Material_Id, 'reservation' AS kind, CAST(1 AS BIGINT) AS quantity, CAST(arrival_seq AS BIGINT) AS arrival_key,
+         1 AS kind_rank, CAST(arrival_seq AS BIGINT) AS seq, trackingID AS ref FROM e03_n
+  UNION ALL
+  SELECT p_material_id, 'receipt', CAST(p_purchase_qty AS BIGINT), CAST(arrival_seq // 1000000 AS BIGINT), 0,
+         CAST(arrival_seq AS BIGINT), p_po_no FROM e04_ok"""), ("e05_n", """
+  SELECT ev.*, ROW_NUMBER() OVER (PARTITION BY ev.Material_Id ORDER BY arrival_key, kind_rank, seq, ref) AS rn
+  FROM e05_ev ev JOIN raw_materials rm ON ev.Material_Id = rm.material_Id"""), ("walk", """
+  SELECT material_Id AS Material_Id, CAST(0 AS BIGINT) AS rn, CAST(quantity AS BIGINT) AS bal, TRUE AS acc
+  FROM raw_materials
+  UNION ALL
+  SELECT w.Material_Id, e.rn,
+         CASE WHEN e.kind = 'receipt' THEN w.bal + e.quantity WHEN w.bal > 0 THEN w.bal - 1 ELSE w.bal END,
+         e.kind = 'receipt' OR w.bal > 0
+  FROM walk w JOIN e05_n e ON e.Material_Id = w.Material_Id AND e.rn = w.rn + 1"""), recursive=True)
+    return out
+
+
+EVENT_SQL = _event_sql()

@@ -10,9 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.operators import reports
+from larder.operators import events, reports
 from larder.plans import oracle
-from larder.sources.fixtures import PURCHASES_AS_OF, Fixtures
+from larder.sources.fixtures import COUPONS_AS_OF, PURCHASES_AS_OF, Fixtures
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -74,13 +74,52 @@ def _reports() -> dict[str, Builder]:
     }
 
 
+def _reservation(spark, root):
+    t = Fixtures(spark, root)
+    return events.reserve_stock(t.shipment_details, t.raw_materials)
+
+
+def _intake(spark, root):
+    t = Fixtures(spark, root)
+    return events.process_purchase_orders(t.po_requests, t.raw_materials, t.purchase_order)
+
+
+def _events() -> dict[str, Builder]:
+    def e01(spark, root):
+        t = Fixtures(spark, root)
+        return events.apply_coupon_totals(t.order_requests, t.coupons, COUPONS_AS_OF)
+
+    def e02(spark, root):
+        return events.stock_status(Fixtures(spark, root).inventory_details)
+
+    def e05(spark, root):
+        t = Fixtures(spark, root)
+        lines = _reservation(spark, root).eligible
+        receipts = _intake(spark, root).accepted_requests
+        return events.stock_ledger(events.ledger_events(lines, receipts), t.raw_materials)
+
+    return {
+        "e01_coupon_totals": e01,
+        "e02_stock_status": e02,
+        "e03_reserve_stock": lambda s, r: _reservation(s, r).lines,
+        "e03_materials_after": lambda s, r: _reservation(s, r).materials_after,
+        "e04_po_accepted": lambda s, r: _intake(s, r).accepted,
+        "e04_po_rejected": lambda s, r: _intake(s, r).rejected,
+        "e04_materials_after": lambda s, r: _intake(s, r).materials_after,
+        "e04_audit": lambda s, r: _intake(s, r).audit,
+        "e05_stock_ledger": e05,
+    }
+
+
 def queries() -> dict[str, Builder]:
     out: dict[str, Builder] = {}
     out.update(_reports())
+    out.update(_events())
     return out
 
 
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(oracle.REPORT_SQL)
+    out.update(oracle.EVENT_SQL)
     return {k: v for k, v in out.items() if k in queries()}
