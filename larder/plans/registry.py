@@ -10,9 +10,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.operators import events, reports
+from larder.catalogue import CATALOGUE
+from larder.operators import events, reports, rules
 from larder.plans import oracle
-from larder.sources.fixtures import COUPONS_AS_OF, PURCHASES_AS_OF, Fixtures
+from larder.plans import rule_sql
+from larder.sources.fixtures import COUPONS_AS_OF, PURCHASES_AS_OF, REFERENCE_SHAPED, Fixtures
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -111,10 +113,62 @@ def _events() -> dict[str, Builder]:
     }
 
 
+def _po_batch(t: Fixtures) -> DataFrame:
+    r = t.po_requests
+    return r.select(r.p_po_no.alias("PONo"), r.p_po_date.alias("PODate"), r.p_purchase_qty.alias("PurcQty"),
+                    r.p_material_id.alias("Material_Id"))
+
+
+def _rules() -> dict[str, Builder]:
+    def base(name):
+        return lambda spark, root: Fixtures(spark, root).base(name)
+
+    def c01(spark, root):
+        return rules.check_not_null(Fixtures(spark, root).delivery_details, "delivery_details", ["DeliveryDate"],
+                                    ["Franchise_ID", "trackingID", "confirmationCode"])
+
+    def c05(spark, root):
+        t = Fixtures(spark, root)
+        return rules.check_foreign_key(t.po_requests, "po_requests", "p_material_id", t.raw_materials,
+                                       "material_Id", ["arrival_seq"])
+
+    def c12(spark, root):
+        t = Fixtures(spark, root)
+        tables = {name: getattr(t, name) for name in REFERENCE_SHAPED}
+        tables["purchase_order"] = t.purchase_order.unionByName(_po_batch(t))  # stored + incoming batch
+        return rules.constraint_report(tables)
+
+    def c13(spark, root):
+        t = Fixtures(spark, root)
+        return rules.quarantine(_po_batch(t), CATALOGUE["purchase_order"], {"raw_materials": t.raw_materials},
+                                existing=t.purchase_order)
+
+    return {
+        "c01_not_null": c01,
+        "c02_primary_key": lambda s, r: rules.check_primary_key(base("lineitem")(s, r), "lineitem", ["l_orderkey"]),
+        "c03_primary_key_composite": lambda s, r: rules.check_primary_key(
+            base("lineitem")(s, r), "lineitem", ["l_orderkey", "l_linenumber"]),
+        "c04_unique": lambda s, r: rules.check_unique(base("part")(s, r), "part", "p_name"),
+        "c05_foreign_key": c05,
+        "c06_prefix": lambda s, r: rules.check_prefix(base("part")(s, r), "part", "p_type", "S", ["p_partkey"]),
+        "c07_min": lambda s, r: rules.check_min(base("customer")(s, r), "customer", "c_acctbal", 0, ["c_custkey"]),
+        "c08_between": lambda s, r: rules.check_between(base("events")(s, r), "events", "value", 1, 5, ["event_id"]),
+        "c09_in": lambda s, r: rules.check_in(base("orders")(s, r), "orders", "o_orderstatus", ["F", "O"],
+                                              ["o_orderkey"]),
+        "c10_max_length": lambda s, r: rules.check_max_length(base("part")(s, r), "part", "p_name", 10, ["p_partkey"]),
+        "c11_precision": lambda s, r: rules.check_precision(base("orders")(s, r), "orders", "o_totalprice", 5,
+                                                            ["o_orderkey"]),
+        "c12_constraint_report": c12,
+        "c13_quarantine_rejected": lambda s, r: c13(s, r).rejected,
+        "c13_quarantine_accepted": lambda s, r: c13(s, r).accepted,
+    }
+
+
 def queries() -> dict[str, Builder]:
     out: dict[str, Builder] = {}
     out.update(_reports())
     out.update(_events())
+    out.update(_rules())
     return out
 
 
@@ -122,4 +176,5 @@ def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(oracle.REPORT_SQL)
     out.update(oracle.EVENT_SQL)
+    out.update(rule_sql.RULE_SQL)
     return {k: v for k, v in out.items() if k in queries()}

@@ -246,3 +246,27 @@ class Fixtures:
             F.col("l_shipdate").cast("date").alias("p_po_date"),
             (F.col("l_orderkey") * 1000000 + F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("arrival_seq"),
         )
+
+
+# Derived tables that stand for reference tables, with their columns (for the rule jobs).
+REFERENCE_SHAPED: dict[str, tuple[str, ...]] = {
+    "franchiseowners": ("owner_id", "lname", "fname", "owner_mail"),
+    "franchise": ("franchise_id", "city", "seating_capacity", "owner_id", "franchise_since"),
+    "franchise_agreement": ("agreement_id", "franchise_id", "owner_id", "agreementdate", "term_start_date",
+                            "term_end_date"),
+    "franchise_inventory": ("inv_Id", "franchise_id"),
+    "employees": ("employee_ID", "franchise_ID"),
+    "salary_details": ("employee_ID", "franchise_ID", "bonus", "base_Salary"),
+    "eshifts_details": ("Employee_ID", "shiftDate", "startTime", "endTime", "shiftDuration"),
+    "menu_items": ("mItemID", "mItemName", "mitemCalories", "mItemPrice", "mItemCategory"),
+    "customer_orders": ("order_id", "orderdate", "totalamount", "franchise_id", "cus_id"),
+    "lists": ("order_id", "mitemID"),
+    "customer_feedbacks": ("feedbackID", "feedback_date", "rating", "service_used"),
+    "feedback_info": ("cus_id", "order_id", "feedbackID"),
+    "raw_materials": ("material_Id", "materialName", "typeofMaterial", "cold_storage", "quantity"),
+    "shipment_details": ("Material_Id", "trackingID", "arrival_seq"),
+    "purchase_order": ("PONo", "PODate", "PurcQty", "Material_Id"),
+    "delivery_details": ("Franchise_ID", "trackingID", "confirmationCode", "DeliveryDate"),
+    "coupons": ("coupon_code", "minPurchase_amt", "coupExpiry", "coupDiscount"),
+    "inventory_details": ("Material_Id", "inv_qoh", "inv_reorder_level"),
+}
