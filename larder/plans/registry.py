@@ -9,11 +9,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from larder.catalogue import CATALOGUE
 from larder.operators import events, reports, rules
 from larder.plans import oracle
-from larder.plans import rule_sql
+from larder.plans import rule_sql, stream_sql
+from larder.session import scratch_path
+from larder.sources import io
+from larder.streaming import jobs
 from larder.sources.fixtures import COUPONS_AS_OF, PURCHASES_AS_OF, REFERENCE_SHAPED, Fixtures
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -164,11 +168,90 @@ def _rules() -> dict[str, Builder]:
     }
 
 
+def _sources() -> dict[str, Builder]:
+    def s01(spark, root):
+        t = Fixtures(spark, root)
+        path = scratch_path(spark, "s01-raw-materials")
+        t.raw_materials.write.option("header", "true").csv(path)
+        return io.read_table(spark, "raw_materials", path, fmt="csv")
+
+    def s02(spark, root):
+        t = Fixtures(spark, root)
+        path = scratch_path(spark, "s02-purchase-order")
+        t.purchase_order.write.parquet(path)
+        io.append_rows(_intake(spark, root).accepted, path)
+        return spark.read.parquet(path)
+
+    def s03(spark, root):
+        t = Fixtures(spark, root)
+        table_root = scratch_path(spark, "s03-raw-materials")
+        io.publish_version(t.raw_materials, table_root, 0)
+        current = io.read_current(spark, table_root)
+        changed = io.apply_delta(current, _reservation(spark, root).materials_after, ["material_Id"], "quantity")
+        io.publish_version(changed, table_root, io.next_version(spark, table_root))
+        return io.read_current(spark, table_root)
+
+    def s04(spark, root):
+        t = Fixtures(spark, root)
+        return io.enrich(t.order_requests, t.coupons, "coupon_code")
+
+    def s05(spark, root):
+        return io.audit_messages(_intake(spark, root).audit)
+
+    return {"s01_typed_scan": s01, "s02_append": s02, "s03_apply_delta": s03, "s04_enrich": s04,
+            "s05_audit": s05}
+
+
+def _slices(df: DataFrame, path: str, order: str | None, parts: int = 4) -> None:
+    """Write ``df`` as ``parts`` files, one write each, so a file stream sees them in order."""
+    if order is None:
+        df.repartition(parts).write.parquet(path)
+        return
+    cuts = df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.0)  # parts - 1 numbers
+    bounds = [None, *cuts, None]
+    for i in range(parts):
+        part = df
+        if bounds[i] is not None:
+            part = part.filter(F.col(order) > bounds[i])
+        if bounds[i + 1] is not None:
+            part = part.filter(F.col(order) <= bounds[i + 1])
+        part.coalesce(1).write.mode("append").parquet(path)
+
+
+def _streams() -> dict[str, Builder]:
+    def e06(spark, root):
+        t = Fixtures(spark, root)
+        src, sink, ckpt = (scratch_path(spark, f"e06-{k}") for k in ("in", "out", "ckpt"))
+        _slices(t.order_requests, src, None)
+        stream = jobs.stream_files(spark, src, t.order_requests)
+        jobs.run_to_sink(jobs.coupon_totals_stream(stream, t.coupons, COUPONS_AS_OF), sink, ckpt)
+        return spark.read.parquet(sink)
+
+    def e07(spark, root):
+        t = Fixtures(spark, root)
+        src, snap, ckpt = (scratch_path(spark, f"e07-{k}") for k in ("in", "snapshot", "ckpt"))
+        _slices(t.inventory_details, src, None)
+        jobs.run_stock_status_stream(jobs.stream_files(spark, src, t.inventory_details), snap, ckpt)
+        return io.read_current(spark, snap)
+
+    def e08(spark, root):
+        t = Fixtures(spark, root)
+        src, sink, ckpt = (scratch_path(spark, f"e08-{k}") for k in ("in", "out", "ckpt"))
+        _slices(t.shipment_details, src, "arrival_seq")
+        stream = jobs.stream_files(spark, src, t.shipment_details)
+        jobs.run_to_sink(jobs.reserve_stock_stream(stream, t.raw_materials), sink, ckpt)
+        return spark.read.parquet(sink)
+
+    return {"e06_coupon_totals_stream": e06, "e07_stock_status_stream": e07, "e08_reserve_stock_stream": e08}
+
+
 def queries() -> dict[str, Builder]:
     out: dict[str, Builder] = {}
     out.update(_reports())
     out.update(_events())
     out.update(_rules())
+    out.update(_sources())
+    out.update(_streams())
     return out
 
 
@@ -177,4 +260,5 @@ def oracle_sql() -> dict[str, str]:
     out.update(oracle.REPORT_SQL)
     out.update(oracle.EVENT_SQL)
     out.update(rule_sql.RULE_SQL)
+    out.update(stream_sql.SOURCE_AND_STREAM_SQL)
     return {k: v for k, v in out.items() if k in queries()}
