@@ -59,11 +59,13 @@ def rank_all(df: DataFrame, order: OrderSpec, out: str, *, dense: bool = False,
     parts = num_partitions or partitions(spark)
     spread_schema = T.StructType(list(tally.schema.fields) + [
         T.StructField("_part", T.IntegerType(), False), T.StructField("_before", T.LongType(), False)])
+    tally = tally.persist()  # read by the range sampler and by the checkpoint job
     spread = (tally.repartitionByRange(parts, *sort_columns(order))
               .sortWithinPartitions(*sort_columns(order))
               .withColumn("_part", F.spark_partition_id())
               .mapInPandas(_before_in_partition, spread_schema)
               .checkpoint(eager=True))
+    tally.unpersist()
     sizes = spread.groupBy("_part").agg(F.sum("_n").alias("_size"))
     offsets = sizes.select("_part", F.coalesce(
         F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)),
@@ -148,10 +150,12 @@ def scan_within(df: DataFrame, by: Sequence[str], order: OrderSpec, value: Colum
     schema = T.StructType(list(staged.schema.fields) + [
         T.StructField("_part", T.IntegerType(), False), T.StructField("_pos", T.LongType(), False),
         T.StructField("_run", T.LongType(), False), T.StructField("_min_prev", T.DoubleType(), True)])
+    staged = staged.persist()  # read by the range sampler and by the checkpoint job
     spread = (staged.repartitionByRange(parts, *sort_cols).sortWithinPartitions(*sort_cols)
               .withColumn("_part", F.spark_partition_id())
               .mapInPandas(_local_scan(by, "_val"), schema)
               .checkpoint(eager=True))
+    staged.unpersist()
     seg = (spread.groupBy("_part", *by)
            .agg(F.max("_pos").alias("_n"), F.max_by("_run", "_pos").alias("_total"),
                 F.min("_run").alias("_low")))

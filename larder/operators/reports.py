@@ -91,7 +91,8 @@ def agreement_inventory_ranking(agreements: DataFrame, franchises: DataFrame, ow
                      ratio(F.datediff("term_end_date", "term_start_date"), F.lit(365), 2,
                            precision=18).alias("agreement_years")))
     counts = inventories.groupBy("franchise_id").agg(F.count("inv_Id").alias("total_inventory"))
-    joined = spans.join(counts, "franchise_id", "left")
+    # both ranks and the output read one materialised copy (agreement grain, small)
+    joined = spans.join(counts, "franchise_id", "left").checkpoint(eager=True)
     joined = rank_all(joined, [("agreement_years", True), ("franchise_id", False)], "agreement_rank")
     joined = rank_all(joined, [("total_inventory", True), ("franchise_id", False)], "inventory_rank")
     return (joined.select("franchise_id", "franchise_owner", "agreement_years", "total_inventory",
