@@ -12,7 +12,8 @@ into one task.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import cached_property
 from typing import NamedTuple
 
 import numpy as np
@@ -90,10 +91,27 @@ def stock_status(inventory_details: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------------- E03
-class Reservation(NamedTuple):
-    lines: DataFrame            # every input line with status / error
-    materials_after: DataFrame  # material_Id, quantity after the accepted reservations
-    eligible: DataFrame         # lines that reached the stock test (input shape)
+class Reservation:
+    """E03 outputs. ``lines`` / ``materials_after`` run the ordered scan on first use;
+    ``eligible`` (lines that reach the stock test) does not need it."""
+
+    def __init__(self, build_lines, materials: DataFrame, eligible: DataFrame):
+        self._build_lines = build_lines
+        self._materials = materials
+        self.eligible = eligible
+
+    @cached_property
+    def lines(self) -> DataFrame:  # every input line with status / error
+        return self._build_lines()
+
+    @cached_property
+    def materials_after(self) -> DataFrame:  # material_Id, quantity after the accepted reservations
+        used = (self.lines.filter(F.col("status") == "accepted").groupBy("Material_Id")
+                .agg(F.count(F.lit(1)).alias("_used")))
+        m = self._materials
+        return (m.join(used, m["material_Id"] == used["Material_Id"], "left")
+                .select(m["material_Id"], (F.col("quantity") - F.coalesce(F.col("_used"), F.lit(0)))
+                        .cast("long").alias("quantity")))
 
 
 LINE_ORDER: OrderSpec = (("arrival_seq", False), ("trackingID", False))
@@ -127,31 +145,33 @@ def reserve_stock(shipment_lines: DataFrame, materials: DataFrame, order: OrderS
     lines = lines.withColumn("_reason", reason)
     cols = shipment_lines.columns
     eligible = lines.filter(F.col("_reason").isNull()).select(*cols, "_stock")
-    scanned = scan_within(eligible, ["Material_Id"], order)
-    taken = F.col("_stock") - (F.col("_pos") - 1) > 0
-    decided = scanned.select(
-        *cols, F.when(taken, F.lit("accepted")).otherwise(F.lit("rejected")).alias("status"),
-        F.when(taken, F.lit(None)).otherwise(F.lit(INSUFFICIENT_STOCK)).cast("int").alias("error_code"),
-        F.when(taken, F.lit(None)).otherwise(F.lit("insufficient_stock")).alias("reason"))
     failed = lines.filter(F.col("_reason").isNotNull()).select(
         *cols, F.lit("rejected").alias("status"), F.lit(None).cast("int").alias("error_code"),
         F.col("_reason").alias("reason"))
-    result = decided.unionByName(failed)
-    used = (result.filter(F.col("status") == "accepted").groupBy("Material_Id")
-            .agg(F.count(F.lit(1)).alias("_used")))
-    after = (materials.join(used, materials["material_Id"] == used["Material_Id"], "left")
-             .select(materials["material_Id"], (F.col("quantity") - F.coalesce(F.col("_used"), F.lit(0)))
-                     .cast("long").alias("quantity")))
-    return Reservation(result, after, eligible.drop("_stock"))
+
+    def build_lines() -> DataFrame:
+        scanned = scan_within(eligible, ["Material_Id"], order)
+        taken = F.col("_stock") - (F.col("_pos") - 1) > 0
+        decided = scanned.select(
+            *cols, F.when(taken, F.lit("accepted")).otherwise(F.lit("rejected")).alias("status"),
+            F.when(taken, F.lit(None)).otherwise(F.lit(INSUFFICIENT_STOCK)).cast("int").alias("error_code"),
+            F.when(taken, F.lit(None)).otherwise(F.lit("insufficient_stock")).alias("reason"))
+        return decided.unionByName(failed)
+
+    return Reservation(build_lines, materials, eligible.drop("_stock"))
 
 
 # ------------------------------------------------------------------------- E04
 class Intake(NamedTuple):
-    accepted: DataFrame         # inserted purchase orders (PONo, PODate, PurcQty, Material_Id)
+    accepted: DataFrame           # inserted purchase orders (PONo, PODate, PurcQty, Material_Id)
     accepted_requests: DataFrame  # the accepted requests in their input shape
-    rejected: DataFrame         # request columns + error_code + error_message
-    materials_after: DataFrame  # material_Id, quantity
-    audit: DataFrame            # PONo, Material_Id, updated_quantity (after that order)
+    rejected: DataFrame           # request columns + error_code + error_message
+    materials_after: DataFrame    # material_Id, quantity
+    audit_of: Callable[[], DataFrame]  # PONo, Material_Id, updated_quantity (runs the ordered scan)
+
+    @property
+    def audit(self) -> DataFrame:
+        return self.audit_of()
 
 
 REQUEST_ORDER: OrderSpec = (("arrival_seq", False), ("p_material_id", False), ("p_purchase_qty", False),
@@ -196,9 +216,11 @@ def process_purchase_orders(requests: DataFrame, materials: DataFrame, existing_
     accepted = ok.select(F.col("p_po_no").alias("PONo"), F.col("p_po_date").alias("PODate"),
                          F.col("p_purchase_qty").cast("long").alias("PurcQty"),
                          F.col("p_material_id").alias("Material_Id"))
-    running = scan_within(ok, ["p_material_id"], order, "p_purchase_qty")
-    audit = running.select(F.col("p_po_no").alias("PONo"), F.col("p_material_id").alias("Material_Id"),
-                           (F.col("_stock") + F.col("_run")).cast("long").alias("updated_quantity"))
+    def audit() -> DataFrame:
+        running = scan_within(ok, ["p_material_id"], order, "p_purchase_qty")
+        return running.select(F.col("p_po_no").alias("PONo"), F.col("p_material_id").alias("Material_Id"),
+                              (F.col("_stock") + F.col("_run")).cast("long").alias("updated_quantity"))
+
     added = accepted.groupBy("Material_Id").agg(F.sum("PurcQty").alias("_added"))
     after = (materials.join(added, materials["material_Id"] == added["Material_Id"], "left")
              .select(materials["material_Id"], (F.col("quantity") + F.coalesce(F.col("_added"), F.lit(0)))

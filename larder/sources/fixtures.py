@@ -86,10 +86,11 @@ class Fixtures:
     @cached_property
     def franchise_inventory(self) -> DataFrame:
         li = self.base("lineitem").filter(F.col("l_suppkey") % 7 != 0)
-        return li.select(
+        # de-duplicate on the numeric keys, then build the text ids (same rows, cheaper hashing)
+        return li.select("l_suppkey", "l_partkey").distinct().select(
             _tag("FINV", F.col("l_suppkey"), F.col("l_partkey")).alias("inv_Id"),
             _tag("FA", F.col("l_suppkey")).alias("franchise_id"),
-        ).distinct()
+        )
 
     def _staff(self) -> DataFrame:
         c = self.base("customer")
@@ -145,8 +146,8 @@ class Fixtures:
     @cached_property
     def lists(self) -> DataFrame:
         li = self.base("lineitem")
-        return li.select(_tag("CO", F.col("l_orderkey")).alias("order_id"),
-                         _tag("MI", F.col("l_partkey")).alias("mitemID")).distinct()
+        return li.select("l_orderkey", "l_partkey").distinct().select(
+            _tag("CO", F.col("l_orderkey")).alias("order_id"), _tag("MI", F.col("l_partkey")).alias("mitemID"))
 
     def _finished_orders(self) -> DataFrame:
         return self.base("orders").filter(F.col("o_orderstatus") == "F")
@@ -182,9 +183,9 @@ class Fixtures:
     @cached_property
     def shipment_details(self) -> DataFrame:
         li = self.base("lineitem")
-        return li.select(_tag("RM", F.col("l_partkey")).alias("Material_Id"),
-                         _tag("SPM", F.col("l_orderkey")).alias("trackingID"),
-                         F.col("l_orderkey").alias("arrival_seq")).distinct()
+        return li.select("l_partkey", "l_orderkey").distinct().select(
+            _tag("RM", F.col("l_partkey")).alias("Material_Id"), _tag("SPM", F.col("l_orderkey")).alias("trackingID"),
+            F.col("l_orderkey").alias("arrival_seq"))
 
     @cached_property
     def purchase_order(self) -> DataFrame:
