@@ -202,15 +202,21 @@ def _counts(df: DataFrame, table: Table, parents: Mapping[str, DataFrame]) -> li
         conds.append(("primary_key", F.greatest(*blank) if len(blank) > 1 else blank[0]))
     name = F.lit(table.name).alias("table_name")
     out: list[DataFrame] = []
+    flags = [F.sum(F.when(c, 1).otherwise(0)).alias(f"_c{i}") for i, (_, c) in enumerate(conds)]
+    if key:
+        # one pass: per key the row count and the row-rule hits, then totals and repeated keys
+        per_key = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"), *flags)
+        whole = F.col("_rows") > 1
+        for k in key:
+            whole = whole & F.col(k).isNotNull()
+        sums = per_key.agg(*[F.sum(f"_c{i}").alias(f"_c{i}") for i in range(len(conds))],
+                           F.sum(F.when(whole, 1).otherwise(0)).alias(f"_c{len(conds)}"))
+        conds = conds + [("primary_key", None)]
+    elif conds:
+        sums = df.agg(*flags)
     if conds:
-        sums = df.agg(*[F.sum(F.when(c, 1).otherwise(0)).alias(f"_c{i}") for i, (_, c) in enumerate(conds)])
         pairs = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"_c{i}").alias("n")) for i, (r, _) in enumerate(conds)])
         out.append(sums.select(name, F.explode(pairs).alias("_p")).select("table_name", "_p.rule", "_p.n"))
-    if key:
-        dup = df.groupBy(*key).count().filter(F.col("count") > 1)
-        for k in key:
-            dup = dup.filter(F.col(k).isNotNull())
-        out.append(dup.agg(F.count(F.lit(1)).alias("n")).select(name, F.lit("primary_key").alias("rule"), "n"))
     for column in table.uniques:
         if column.lower() in present:
             c = present[column.lower()]
