@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from larder.llm import quality
+from larder.llm import quality, secrets
 
 
 def queries() -> dict:
     return {
+        "op1_secret_scan": secrets.query,
         "op8_quality_rules": quality.query,
     }
 
