@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from larder.llm import quality, secrets
+from larder.llm import bpe, packing, quality, secrets
 
 
 def queries() -> dict:
     return {
         "op1_secret_scan": secrets.query,
         "op8_quality_rules": quality.query,
+        "op9_bpe_codec": bpe.query,
+        "op10_cost_packing": packing.query,
     }
 
 
