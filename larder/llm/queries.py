@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from larder.llm import bpe, packing, quality, secrets
+from larder.llm import bpe, packing, quality, secrets, simhash_dedup
 
 
 def queries() -> dict:
     return {
         "op1_secret_scan": secrets.query,
+        "op4_simhash_dedup": simhash_dedup.query,
         "op8_quality_rules": quality.query,
         "op9_bpe_codec": bpe.query,
         "op10_cost_packing": packing.query,
