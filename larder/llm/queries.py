@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from larder.llm import bpe, packing, quality, secrets, simhash_dedup
+from larder.llm import bpe, fingerprints, langid, packing, quality, secrets, simhash_dedup
 
 
 def queries() -> dict:
     return {
         "op1_secret_scan": secrets.query,
+        "op2_language_id": langid.query,
         "op4_simhash_dedup": simhash_dedup.query,
+        "op5_document_fingerprints": fingerprints.query,
         "op8_quality_rules": quality.query,
         "op9_bpe_codec": bpe.query,
         "op10_cost_packing": packing.query,
