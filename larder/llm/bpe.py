@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larder.llm.batches import coded, list_array, ragged, steps, take, text_column
 from larder.llm.common import table
@@ -207,7 +208,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """The input rows with ``decoded``: the text of the ids (null ids: null)."""
-    schema = df.schema.add("decoded", "string")
+    schema = T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)

@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larder.llm.batches import coded, list_array, steps, text_column, words_of
 from larder.llm.common import table
@@ -57,8 +58,7 @@ class Words:
         lower = pc.utf8_lower(distinct)
         # beyond ASCII, other signs than letters, marks and digits part words too
         plain = pc.replace_substring_regex(lower, r"[^\p{L}\p{M}]", " ")
-        data = pc.binary_join_element_wise(plain, "", "\n")
-        joined = "".join(data.to_pylist())
+        joined = "".join(w + "\n" for w in plain.to_pylist())
         points = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
         ends = np.flatnonzero(points == 10)
         self.n = len(distinct)
@@ -73,7 +73,7 @@ class Words:
         for name, low, high in SCRIPTS:
             which[(self.points >= low) & (self.points <= high)] = SCRIPT_NAMES.index(name)
         flat = self.word[self.letter] * len(SCRIPT_NAMES) + which[self.letter]
-        return np.bincount(flat, minlength=self.n * len(SCRIPT_NAMES)).reshape(self.n, -1)
+        return np.bincount(flat, minlength=self.n * len(SCRIPT_NAMES)).reshape(self.n, len(SCRIPT_NAMES))
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
         """Place of each n-gram and its word; word ends are part of the longer ones."""
@@ -183,7 +183,7 @@ class Model:
             return row, np.zeros(len(row), int), letters, np.zeros((len(texts), 0))
         scores = self.word_scores(words)[code]
         path = viterbi(scores, np.append(True, row[1:] != row[:-1])[:len(row)], SWITCH)
-        held = np.bincount(row * n + path, weights=letters, minlength=len(texts) * n).reshape(-1, n)
+        held = np.bincount(row * n + path, weights=letters, minlength=len(texts) * n).reshape(len(texts), n)
         return row, path, letters, held
 
 
@@ -253,14 +253,16 @@ def identify(df: DataFrame, model: Model, id_cols: list[str], text_col: str = "t
                             list_array(size.astype(np.int64), each, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=out.names)
 
-    out = keys.add("lang_pred", "string").add("score", "double")
+    more = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     if with_spans:
-        out = out.add("span_langs", "array<string>").add("span_words", "array<bigint>")
+        more += [T.StructField("span_langs", T.ArrayType(T.StringType())),
+                 T.StructField("span_words", T.ArrayType(T.LongType()))]
+    out = T.StructType([*keys.fields, *more])
     return df.select(*[F.col(c) for c in id_cols], F.col(text_col).cast("string").alias("__text")).mapInArrow(run, out)
 
 
 def keep(df: DataFrame, model: Model, text_col: str = "text", lang_col: str | None = "lang",
-         least: float = 0.5) -> DataFrame:
+         least: float = 0.3) -> DataFrame:
     """The input rows whose text has a language with at least the share ``least`` of its letters;
     a null ``lang_col`` becomes the predicted language."""
     rows = df.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
