@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from larder.llm import bpe, fingerprints, langid, packing, quality, secrets, simhash_dedup
+from larder.llm import bpe, fingerprints, langid, ngram_lm, packing, quality, secrets, simhash_dedup
 
 
 def queries() -> dict:
     return {
         "op1_secret_scan": secrets.query,
         "op2_language_id": langid.query,
+        "op3_lm_scoring": ngram_lm.query,
         "op4_simhash_dedup": simhash_dedup.query,
         "op5_document_fingerprints": fingerprints.query,
         "op8_quality_rules": quality.query,
