@@ -121,7 +121,8 @@ def _judged(df: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 def keep(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows whose text passes the base rule and the table, with their columns as they were."""
     judged = _judged(df.select(F.struct("*").alias("row"), whole(F.col(text_col)).alias("text")), rules)
-    return judged.where("kept").select("row.*")
+    # a filter would be pushed below the counts, and all of them be written out in it
+    return judged.select(F.inline(F.when(F.col("kept"), F.array("row"))))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """One row per input row: id, fingerprint (long). Votes are summed before they are shuffled."""
+    """One row per input row: id, fingerprint (long) and the text's hash. Votes are summed before they are shuffled."""
     docs = df.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text")).select(
         "id", F.xxhash64("text").alias("text_hash"), words_of(ascii_lower(F.col("text"))).alias("words"))
     n = F.greatest(F.size("words") - (shingle - 1), F.least(F.size("words"), F.lit(1)))
@@ -55,9 +55,9 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        F.col("s").isNotNull().cast("long").alias("real"))
     votes = each.groupBy("id", "text_hash").agg(
         F.sum("first").alias("rows"), F.sum("real").alias("total"), *vote_sums(F.col("h")))
-    out = votes.select("id", "rows", signed_bits(F.col("total")).alias("fingerprint"))
+    out = votes.select("id", "rows", "text_hash", signed_bits(F.col("total")).alias("fingerprint"))
     # rows that are equal in id and text were summed up together: their bits are the same
-    return out.select(F.col("id").alias(id_col), "fingerprint", F.explode(F.when(
+    return out.select(F.col("id").alias(id_col), "fingerprint", "text_hash", F.explode(F.when(
         F.col("rows") > 1, F.array_repeat(F.lit(0), F.col("rows").cast("int"))).otherwise(F.array(F.lit(0)))).alias("_")
     ).drop("_")
 
@@ -193,8 +193,9 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
-                    distance: int = DISTANCE) -> DataFrame:
-    """One row per input row: id, fingerprint (long), component_id (the smallest id reachable)."""
+                    distance: int = DISTANCE, with_text_hash: bool = False) -> DataFrame:
+    """One row per input row: id, fingerprint (long), component_id (the smallest id reachable);
+    ``with_text_hash`` also the text's hash and root, the component's smallest fingerprint."""
     spark = df.sparkSession
     docs = stored(spark, fingerprints(df, id_col, text_col, shingle), "fingerprints")
     nodes = docs.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(id_col).alias("least"))
@@ -203,10 +204,29 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = nodes.join(joined.withColumnRenamed("node", "fp"), "fp", "left")
     named = stored(spark, named.withColumn("root", F.coalesce("root", "fp")), "roots")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.select("fp", "root").join(ids, "root").select(F.col("fp").alias("fingerprint"), "component_id")
-    return docs.join(of, "fingerprint").select(id_col, "fingerprint", "component_id")
+    of = named.select("fp", "root").join(ids, "root").withColumnRenamed("fp", "fingerprint")
+    return docs.join(of, "fingerprint").select(
+        id_col, "fingerprint", "component_id", *(["text_hash", "root"] if with_text_hash else []))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", hex16(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input rows with one left of each component: the smallest id's (null ids last), of
+    several rows with that id the one whose text comes first.
+
+    The rows that go are few columns; the texts meet only the rows to keep.
+    """
+    found = near_duplicates(df, id_col, text_col, with_text_hash=True)
+    # a component is known by its smallest fingerprint as well, since its ids may be null
+    rank = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("text_hash"))
+    best = found.groupBy("root").agg(F.min(rank).alias("best")).select("best.*")
+    keys = ["no_id", "id_text", "text_hash"]
+    as_text = F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id_text")
+    rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(id_col).isNull().alias("no_id"),
+                     F.xxhash64(whole(F.col(text_col))).alias("text_hash"))
+    rows = rows.select("row", "no_id", as_text, "text_hash").dropDuplicates(keys)  # equal rows meet map-side
+    return rows.join(best.select("no_id", as_text, "text_hash"), keys, "left_semi").select("row.*")
