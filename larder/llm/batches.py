@@ -67,3 +67,33 @@ def list_array(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa
     offsets = np.zeros(len(lengths) + 1, dtype=np.int32)
     np.cumsum(lengths, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
+
+
+class Remembered:
+    """Encoded strings that one Python worker keeps between batches, at most ``limit`` of them."""
+
+    def __init__(self, encode, limit: int):
+        self.encode, self.limit = encode, limit
+        self._clear()
+
+    def _clear(self) -> None:
+        self.places: dict[str, int] = {}
+        self.values, self.offsets = np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64)
+
+    def __call__(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Values and offsets of all kept strings, and the place of each of these distinct ones."""
+        where = lambda: np.fromiter((self.places.get(s, -1) for s in strings), np.int64, len(strings))
+        which = where()
+        new = np.flatnonzero(which < 0)
+        if len(new) and len(self.places) + len(new) > self.limit:
+            self._clear()
+            new = np.arange(len(strings))
+        if len(new):
+            fresh = [strings[i] for i in new.tolist()]
+            values, offsets = self.encode(fresh)
+            first = len(self.places)
+            self.places.update(zip(fresh, range(first, first + len(fresh))))
+            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + offsets[1:]])
+            self.values = np.concatenate([self.values, values])
+            which = where()
+        return self.values, self.offsets, which

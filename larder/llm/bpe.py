@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.batches import coded, list_array, ragged, steps, take, text_column
+from larder.llm.batches import Remembered, coded, list_array, ragged, steps, take, text_column
 from larder.llm.common import table
 
 #: White space, and the rule that cuts a text into words.
@@ -35,8 +35,8 @@ WORDS = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + BLANK + r"\p{L}\p{N
 FILE = "byte_bpe_50k.json"
 #: Ids decoded at once.
 STEP_IDS = 1 << 20
-#: Words kept between batches by one Python worker.
-KEPT_WORDS = 200_000
+#: Distinct pieces of text kept by one Python worker.
+KEPT_PIECES = 600_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -70,7 +70,7 @@ class Codec:
         self.bytes = self.bytes.astype(np.uint8)
         self.words = regex.compile(WORDS)
         self.cut_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.kept: dict[str, list[int]] = {}
+        self.kept = Remembered(self.pieces, KEPT_PIECES)
 
     def merge(self, words: list[str]) -> list[list[int]]:
         """Ids of each word, by merge rounds over all words at once."""
@@ -110,17 +110,15 @@ class Codec:
         flat = out_sym[order].tolist()
         return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
-    def pieces(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of strings that no word crosses the ends of."""
+    def pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of strings that no word crosses the ends of, as one array and offsets."""
         cut = [self.words.findall(p) for p in pieces]
-        new = list({w for ws in cut for w in ws if w not in self.kept})
-        if new:
-            if len(self.kept) + len(new) > KEPT_WORDS:
-                self.kept.clear()
-                new = list({w for ws in cut for w in ws})
-            self.kept.update(zip(new, self.merge(new)))
-        kept = self.kept
-        return [kept[ws[0]] if len(ws) == 1 else [i for w in ws for i in kept[w]] for ws in cut]
+        sizes = [len(ws) for ws in cut]
+        each = [w for ws in cut for w in ws]
+        places = {w: k for k, w in enumerate(dict.fromkeys(each))}
+        ids, offsets = ragged(self.merge(list(places)))
+        out, lengths = take(ids, offsets, np.fromiter((places[w] for w in each), np.int64, len(each)))
+        return out, np.append(0, np.cumsum(lengths))[np.append(0, np.cumsum(sizes)).astype(np.int64)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the number of each text's."""
@@ -173,8 +171,8 @@ class Codec:
         more = list(extra)
         known = [more[k - 2 * len(strings)] if k >= 2 * len(strings) else (" " if k % 2 else "") + strings[k // 2]
                  for k in kinds.tolist()]
-        ids, offsets = ragged(self.pieces(known))
-        out, n = take(ids, offsets, which)
+        ids, offsets, place = self.kept(known)
+        out, n = take(ids, offsets, place[which])
         return out, np.bincount(row[heads], weights=n, minlength=len(texts)).astype(np.int64)
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
