@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larder.llm import bpe, fingerprints, langid, ngram_lm, packing, quality, secrets, simhash_dedup
+from larder.llm import bpe, fingerprints, langid, ngram_lm, packing, quality, quotes, secrets, simhash_dedup
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_lm_scoring": ngram_lm.query,
         "op4_simhash_dedup": simhash_dedup.query,
         "op5_document_fingerprints": fingerprints.query,
+        "op6_quotation_chat": quotes.query,
         "op8_quality_rules": quality.query,
         "op9_bpe_codec": bpe.query,
         "op10_cost_packing": packing.query,
@@ -20,5 +21,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_quotation_chat": quotes.SQL,
         "op8_quality_rules": quality.sql(),
     }
