@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larder.llm import bpe, fingerprints, langid, ngram_lm, packing, quality, quotes, secrets, simhash_dedup
+from larder.llm import bpe, fingerprints, langid, ngram_lm, packing, quality, quotes, secrets, simhash_dedup, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_simhash_dedup": simhash_dedup.query,
         "op5_document_fingerprints": fingerprints.query,
         "op6_quotation_chat": quotes.query,
+        "op7_warc_derivatives": warc.query,
         "op8_quality_rules": quality.query,
         "op9_bpe_codec": bpe.query,
         "op10_cost_packing": packing.query,
