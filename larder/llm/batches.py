@@ -14,9 +14,9 @@ STEP_BYTES = 4 << 20
 
 def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     """The texts, null as empty, with 64-bit offsets. A slice is copied: pc.ascii_lower gives
-    wrong offsets for one that does not begin at 0."""
+    wrong offsets for one whose data do not begin at 0."""
     texts = pc.fill_null(batch.column(batch.schema.get_field_index(name)).cast(pa.large_string()), "")
-    return texts if texts.offset == 0 else texts.take(pa.array(np.arange(len(texts))))
+    return texts.take(pa.array(np.arange(len(texts))))
 
 
 def steps(batches: Iterator[pa.RecordBatch], name: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
