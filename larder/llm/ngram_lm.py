@@ -5,9 +5,11 @@ seen before it. A shard holds whole words, so their counts and quantised probabi
 there; it is a set of arrays in one memory-mapped file, queried by successor searches relative to
 the word (see eliasfano).
 
-P(w | v) = (c(v w) + MU * P(w)) / (c(v) + MU), P(w) = (c(w) + 1) / (N + V + 1).
-In a sum of logs the divisor belongs to v alone, so each shard scores its own words, as last
-words and as words before the next one, without asking another shard.
+P(w | v) = (c(v w) + m(v) P(w)) / (c(v) + m(v)), P(w) = (c(w) + 1) / (N + V + 1),
+m(v) = max(MU, N / HOT_PARTS, c(v)): a pair never seen costs a factor of 2 at most.
+In a sum of logs the divisor belongs to v alone, and m(v) is the same for all words but the hot
+ones, which every task knows; so each shard scores its own words, as last words and as words
+before the next one, without asking another shard.
 
 1. Words are counted per batch, then by Spark: N, V, and the words with more than 1 / HOT_PARTS of
    all tokens (HOT_PARTS at most, so they may be sent to every task).
@@ -42,7 +44,7 @@ from larder.llm.batches import coded, steps, text_column, words_of
 from larder.llm.common import shuffle_tasks, stored, table
 from larder.llm.eliasfano import Trie
 
-#: Strength of the word's own probability below each word before it.
+#: Least strength of the word's own probability below each word before it.
 MU = 4.0
 #: A word is hot from 1 / HOT_PARTS of all tokens.
 HOT_PARTS = 4096
@@ -151,23 +153,31 @@ def _load(data: bytes) -> tuple[np.ndarray, ...]:
 
 
 def _shard(word: np.ndarray, before: np.ndarray, times: np.ndarray, learn: np.ndarray, hot: tuple, total: int,
-           distinct: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+           distinct: int, strength: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Builds the shard of these entries and looks them up: for each entry the count of its word,
     log10 of its probability mass, and log10 of its word's divisor as a word before."""
     keys, index = np.unique(word, return_inverse=True)
     counts = np.bincount(index, weights=np.where(learn, times, 0), minlength=len(keys)).astype(np.int64)
     hot_keys, hot_counts = hot  # a hot word's entries lie in many shards: its count comes from step 1
-    if len(hot_keys):
-        at = np.minimum(np.searchsorted(hot_keys, keys), len(hot_keys) - 1)
-        counts = np.where(hot_keys[at] == keys, hot_counts[at], counts)
-    own = MU * (counts + 1) / (total + distinct + 1)
+    at = np.minimum(np.searchsorted(hot_keys, keys), len(hot_keys) - 1)
+    counts = np.where(hot_keys[at] == keys, hot_counts[at], counts)
+    # m(v) by the 40 bits that entries have of v: ``strength``, but for the hot words
+    short = hot_keys & BEFORE
+    by = np.argsort(short)
+    short, strong = short[by], np.maximum(hot_counts[by], strength)
+
+    def pull(v: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(short, v), len(short) - 1)
+        return np.where(short[at] == v, strong[at], strength)
+
+    own = (counts + 1) / (total + distinct + 1)
     pair = index[learn].astype(np.uint64) << np.uint64(BEFORE_BITS) | before[learn]
     order = np.argsort(pair, kind="stable")
     pair, weight = pair[order], times[learn][order]
     new = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])[:len(pair)])
     seen = np.add.reduceat(weight, new) if len(new) else np.zeros(0)
     parent = (pair[new] >> np.uint64(BEFORE_BITS)).astype(np.int64)
-    trie = Trie(keys, counts, parent, pair[new] & BEFORE, np.log10(seen + own[parent]))
+    trie = Trie(keys, counts, parent, pair[new] & BEFORE, np.log10(seen + pull(pair[new] & BEFORE) * own[parent]))
     # every entry asks the shard; equal questions stand together, so each is asked once
     ask = index.astype(np.uint64) << np.uint64(BEFORE_BITS) | before
     asked, back = np.unique(ask, return_inverse=True)
@@ -175,8 +185,8 @@ def _shard(word: np.ndarray, before: np.ndarray, times: np.ndarray, learn: np.nd
     node = trie.word(asked_keys)
     mass = trie.mass(node, asked & BEFORE)
     count = trie.counts[node]
-    mass = np.where(np.isnan(mass), np.log10(MU * (count + 1) / (total + distinct + 1)), mass)
-    divisor = np.where(asked_keys == END, 0.0, np.log10(count + MU))
+    mass = np.where(np.isnan(mass), np.log10(pull(asked & BEFORE) * (count + 1) / (total + distinct + 1)), mass)
+    divisor = np.where(asked_keys == END, 0.0, np.log10(count + np.maximum(count, strength)))
     return count[back], mass[back], divisor[back]
 
 
@@ -192,9 +202,10 @@ def score(df: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "te
     texts = counted.where(F.col("key") == END).first()
     texts = int(texts["n"]) if texts else 0
     few = counted.where(F.col("n") * HOT_PARTS >= total).orderBy("key").collect() if total else []  # HOT_PARTS at most
-    hot_keys = np.array([r["key"] for r in few], dtype=np.int64).view(np.uint64)
+    hot_keys = np.array([START, *(r["key"] for r in few)], dtype=np.int64).view(np.uint64)
     order = np.argsort(hot_keys)
-    hot = hot_keys[order], np.array([r["n"] for r in few], dtype=np.int64)[order]
+    hot = hot_keys[order], np.array([texts, *(r["n"] for r in few)], dtype=np.int64)[order]
+    strength = max(MU, total / HOT_PARTS)
     tasks = max(shuffle_tasks(spark), -(-total // TASK_TOKENS))
     slots = tasks * SLOTS_A_TASK
     id_type = docs.schema["id"].dataType
@@ -236,7 +247,7 @@ def score(df: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "te
         word, before, row, count = (np.concatenate(x) for x in zip(*parts))
         del parts
         learn, times = count >= 128, (count & MOST).astype(np.float64)
-        found, mass, divisor = _shard(word, before, times, learn, hot, total, distinct)
+        found, mass, divisor = _shard(word, before, times, learn, hot, total, distinct, strength)
         names, number = np.unique(np.array(batch_of, dtype=np.int64), return_inverse=True)
         place = np.repeat(number, sizes) << 16 | row
         docs_, back = np.unique(place, return_inverse=True)
@@ -264,7 +275,7 @@ def score(df: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "te
             got[at] += np.frombuffer(data, np.float32, size, size * 14)
         tokens = n.to_numpy()
         return pa.table([ids, n, pa.array(known.astype(np.int64)), pa.array(base - tokens * np.log10(total + distinct + 1)),
-                         pa.array(got - np.log10(texts + MU))], names=out.names)
+                         pa.array(got - np.log10(texts + max(texts, strength)))], names=out.names)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
