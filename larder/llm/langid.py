@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.batches import coded, list_array, steps, text_column, words_of
+from larder.llm.batches import coded, list_array, steps, strings, text_column, words_of
 from larder.llm.common import table
 
 #: Bound of the labelled sample, in rows.
@@ -58,7 +58,7 @@ class Words:
         lower = pc.utf8_lower(distinct)
         # beyond ASCII, other signs than letters, marks and digits part words too
         plain = pc.replace_substring_regex(lower, r"[^\p{L}\p{M}]", " ")
-        joined = "".join(w + "\n" for w in plain.to_pylist())
+        joined = "".join(w + "\n" for w in strings(plain))
         points = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
         ends = np.flatnonzero(points == 10)
         self.n = len(distinct)

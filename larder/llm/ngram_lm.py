@@ -61,7 +61,7 @@ MOST = 127  # largest count of one entry; the top bit says that the document is
 
 
 def _keys(distinct: pa.Array) -> np.ndarray:
-    found = pd.util.hash_array(np.array(distinct.to_pylist(), dtype=object), categorize=False)
+    found = pd.util.hash_array(distinct.to_numpy(zero_copy_only=False), categorize=False)
     return np.where(found <= START, found + np.uint64(3), found)
 
 

@@ -27,6 +27,7 @@ def test_ids_and_texts_are_the_librarys(spark):
         ids = t.encode(text or "", add_special_tokens=False).ids
         want.append((d, ids, t.decode(ids, skip_special_tokens=False)))
     assert order(got) == order(want)
+    assert order(map(tuple, bpe.encode(frame(spark, ALL), BPE, decoded=True).collect())) == order(want)
 
 
 def test_decode_of_any_ids(spark):
