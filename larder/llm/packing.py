@@ -19,11 +19,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm.batches import coded, ragged, steps, take, text_column, words_of
+from larder.llm.batches import Remembered, coded, ragged, steps, strings, take, text_column, words_of
 from larder.llm.common import table
 
 FILE = "word_bpe_49k.json"
@@ -41,24 +42,43 @@ def cost(n):
     return LINEAR * n + QUADRATIC * n * n
 
 
-@lru_cache(maxsize=4)
-def _tokenizer(path: str):
+#: Distinct words kept by one Python worker; signs that end words and are words of their own.
+KEPT_WORDS = 600_000
+END_SIGNS = ".,;:!?"
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> Remembered:
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(path)
     made.no_truncation()
     made.no_padding()
-    return made
+    return Remembered(lambda words: ragged([e.ids for e in made.encode_batch_fast(words, add_special_tokens=False)]),
+                      KEPT_WORDS)
 
 
 def tokens(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the texts with END_ID after each, and their numbers. This file's normalizer and
-    words never join what white space parts, so the distinct words are encoded once."""
+    """Ids of the texts with END_ID after each, and their numbers.
+
+    This file's words never cross white space, nor the end of ASCII letters before end signs, and
+    its normalizer lower-cases; so distinct words without their end signs, and these signs, are
+    encoded once. Lower-casing first is left out where it could make a special token.
+    """
+    if not pc.any(pc.match_substring(texts, "<|")).as_py():
+        texts = pc.ascii_lower(texts)
     values, row = words_of(texts)
     code, distinct = coded(values)
-    found = _tokenizer(path).encode_batch_fast(distinct.to_pylist(), add_special_tokens=False) if len(distinct) else []
-    ids, offsets = ragged([e.ids for e in found])
-    out, lengths = take(ids, offsets, code)
+    core = pc.ascii_rtrim(distinct, characters=END_SIGNS)
+    parted = pc.match_substring_regex(core, "[A-Za-z]$")  # else the word stays whole
+    core = pc.if_else(parted, core, distinct)
+    signs = pa.array([d[len(c):] for d, c in zip(strings(distinct), strings(core))], pa.large_string())
+    part, parts = coded(pa.concat_arrays([core, signs]))
+    ids, offsets, which = _encoder(path)(strings(parts))
+    pairs = which[part].reshape(2, -1).T.reshape(-1)  # core, signs, core, signs, ...
+    word_ids, lengths = take(ids, offsets, pairs)
+    word_offsets = np.append(0, np.cumsum(lengths))[::2]
+    out, lengths = take(word_ids, word_offsets, code)
     counts = np.bincount(row, weights=lengths, minlength=len(texts)).astype(np.int64) if len(row) else np.zeros(
         len(texts), np.int64)
     return np.insert(out, np.cumsum(counts), END_ID), counts + 1
