@@ -12,18 +12,18 @@ into one task.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from functools import cached_property
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.functions.exprs import first_date_at_or_after
-from larder.operators.ordinal import OrderSpec, scan_within, sort_columns
+from larder.operators.ordinal import OrderSpec, scan_within, stored
 
 # Fixed values of the reference's error handling.
 INSUFFICIENT_STOCK = -20005
@@ -115,50 +115,77 @@ class Reservation:
 
 
 LINE_ORDER: OrderSpec = (("arrival_seq", False), ("trackingID", False))
+#: Reasons of lines that pass the stock test and break a rule of their table.
+LINE_REASONS = ("missing_key", "duplicate_line", "unknown_shipment")
 
 
-def _first_of_key(df: DataFrame, key: Sequence[str], order: OrderSpec) -> Column:
-    return F.row_number().over(Window.partitionBy(*key).orderBy(*sort_columns(order))) == 1
+def _numbered(df: DataFrame) -> DataFrame:
+    """A stored copy with ``_id``, a number of each row that no later step changes."""
+    return stored(df.withColumn("_id", F.monotonically_increasing_id()))
+
+
+def _first_of_key(df: DataFrame, key: Sequence[str], order: OrderSpec) -> DataFrame:
+    """``_id`` of the first row of each key (column ``_first_id``), by a partial aggregate: a key
+    with a third of all rows is reduced where it is read."""
+    if any(desc for _, desc in order):
+        raise ValueError("first rows are taken in ascending order")
+    place = F.struct(*[x for i, (c, _) in enumerate(order) for x in (F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"c{i}"))],
+                     F.col("_id").alias("_id"))
+    return df.groupBy(*key).agg(F.min(place).alias("_place")).select(F.col("_place._id").alias("_first_id"))
+
+
+def _with_stock(df: DataFrame, column: str, materials: DataFrame) -> DataFrame:
+    """``_mid`` and ``_stock`` of each row's material; rows without one do not meet the join."""
+    stock = materials.select(F.col("material_Id").alias("_mid"), F.col("quantity").alias("_stock"))
+    found = df.filter(F.col(column).isNotNull()).join(stock, F.col(column) == F.col("_mid"), "left")
+    return found.unionByName(df.filter(F.col(column).isNull()), allowMissingColumns=True)
 
 
 def reserve_stock(shipment_lines: DataFrame, materials: DataFrame, order: OrderSpec = LINE_ORDER,
-                  shipments: DataFrame | None = None) -> Reservation:
+                  shipments: DataFrame | None = None, existing: DataFrame | None = None) -> Reservation:
     """Each new shipment line takes one unit of its material while stock is above 0.
 
-    Lines are taken in ``order`` per material: the n-th eligible line is accepted iff
-    ``quantity - (n - 1) > 0``. A repeated (material, tracking id) breaks the key and a
-    line of an unknown shipment breaks its foreign key: both fail before taking stock,
-    as does a line whose material does not exist.
+    Lines are judged in ``order`` per material. The stock test comes first: with nothing left a
+    line fails with INSUFFICIENT_STOCK, whatever else is wrong. Then its key: a missing part, a
+    (material, tracking id) that an earlier line or ``existing`` has, or a tracking id that
+    ``shipments`` lacks fails the line, and it takes nothing.
     """
-    stock = materials.select(F.col("material_Id").alias("_mid"), F.col("quantity").alias("_stock"))
-    lines = shipment_lines.withColumn("_first", _first_of_key(shipment_lines, ["Material_Id", "trackingID"], order))
-    lines = lines.join(stock, lines["Material_Id"] == stock["_mid"], "left")
-    if shipments is not None:
-        lines = lines.join(shipments.select(F.col("trackingID").alias("_tid")).distinct(),
-                           lines["trackingID"] == F.col("_tid"), "left")
-        shipment_ok = F.col("_tid").isNotNull()
-    else:
-        shipment_ok = F.lit(True)
-    reason = (F.when(F.col("_mid").isNull(), F.lit("unknown_material"))
-              .when(~F.col("_first"), F.lit("duplicate_line"))
-              .when(~shipment_ok, F.lit("unknown_shipment")))
-    lines = lines.withColumn("_reason", reason)
     cols = shipment_lines.columns
-    eligible = lines.filter(F.col("_reason").isNull()).select(*cols, "_stock")
-    failed = lines.filter(F.col("_reason").isNotNull()).select(
-        *cols, F.lit("rejected").alias("status"), F.lit(None).cast("int").alias("error_code"),
-        F.col("_reason").alias("reason"))
+    lines = _numbered(shipment_lines)
+    keyed = lines.filter(F.col("Material_Id").isNotNull() & F.col("trackingID").isNotNull())
+    first = _first_of_key(keyed, ["Material_Id", "trackingID"], order)
+    checked = keyed.join(first, F.col("_id") == F.col("_first_id"), "left")
+    known, stored_before = F.lit(True), F.lit(False)
+    if shipments is not None:
+        ids = shipments.filter(F.col("trackingID").isNotNull()).select(F.col("trackingID").alias("_tid")).distinct()
+        checked = checked.join(ids, F.col("trackingID") == F.col("_tid"), "left")
+        known = F.col("_tid").isNotNull()
+    if existing is not None:
+        old = existing.select(F.col("Material_Id").alias("_em"), F.col("trackingID").alias("_et")).distinct()
+        checked = checked.join(old, (F.col("Material_Id") == F.col("_em")) & (F.col("trackingID") == F.col("_et")), "left")
+        stored_before = F.col("_em").isNotNull()
+    missing, duplicate, unknown = (F.lit(r) for r in LINE_REASONS)
+    checked = checked.select(*cols, F.when(F.col("_first_id").isNull() | stored_before, duplicate)
+                             .when(~known, unknown).alias("_reason"))
+    bare = lines.filter(F.col("Material_Id").isNull() | F.col("trackingID").isNull()).select(*cols, missing.alias("_reason"))
+    judged = _with_stock(checked.unionByName(bare), "Material_Id", materials)
+    at_hand = judged.filter(F.col("_mid").isNotNull())
 
     def build_lines() -> DataFrame:
-        scanned = scan_within(eligible, ["Material_Id"], order)
-        taken = F.col("_stock") - (F.col("_pos") - 1) > 0
+        takes = F.col("_reason").isNull().cast("long")
+        scanned = scan_within(at_hand, ["Material_Id"], order, takes)
+        left = F.col("_stock") - (F.col("_run") - takes) > 0
+        ok = left & F.col("_reason").isNull()
         decided = scanned.select(
-            *cols, F.when(taken, F.lit("accepted")).otherwise(F.lit("rejected")).alias("status"),
-            F.when(taken, F.lit(None)).otherwise(F.lit(INSUFFICIENT_STOCK)).cast("int").alias("error_code"),
-            F.when(taken, F.lit(None)).otherwise(F.lit("insufficient_stock")).alias("reason"))
+            *cols, F.when(ok, F.lit("accepted")).otherwise(F.lit("rejected")).alias("status"),
+            F.when(~left, F.lit(INSUFFICIENT_STOCK)).cast("int").alias("error_code"),
+            F.when(~left, F.lit("insufficient_stock")).otherwise(F.col("_reason")).alias("reason"))
+        failed = judged.filter(F.col("_mid").isNull()).select(
+            *cols, F.lit("rejected").alias("status"), F.lit(None).cast("int").alias("error_code"),
+            F.lit("unknown_material").alias("reason"))
         return decided.unionByName(failed)
 
-    return Reservation(build_lines, materials, eligible.drop("_stock"))
+    return Reservation(build_lines, materials, at_hand.filter(F.col("_reason").isNull()).select(*cols))
 
 
 # ------------------------------------------------------------------------- E04
@@ -174,8 +201,8 @@ class Intake(NamedTuple):
         return self.audit_of()
 
 
-REQUEST_ORDER: OrderSpec = (("arrival_seq", False), ("p_material_id", False), ("p_purchase_qty", False),
-                            ("p_po_date", False))
+REQUEST_ORDER: OrderSpec = (("arrival_order", False), ("arrival_line", False), ("arrival_part", False),
+                            ("p_material_id", False), ("p_purchase_qty", False), ("p_po_date", False))
 
 
 def process_purchase_orders(requests: DataFrame, materials: DataFrame, existing_orders: DataFrame,
@@ -189,8 +216,7 @@ def process_purchase_orders(requests: DataFrame, materials: DataFrame, existing_
     material's stock; the audit carries the stock after each order, in arrival order.
     """
     cols = requests.columns
-    stock = materials.select(F.col("material_Id").alias("_mid"), F.col("quantity").alias("_stock"))
-    req = requests.join(stock, requests["p_material_id"] == stock["_mid"], "left")
+    req = _with_stock(_numbered(requests), "p_material_id", materials)
     null_field = (F.col("p_po_no").isNull() | F.col("p_po_date").isNull() | F.col("p_purchase_qty").isNull())
     bad_number = ~F.col("p_po_no").startswith(PO_PREFIX) | (F.octet_length("p_po_no") > PO_NO_WIDTH)
     first_fail = (F.when(F.col("_mid").isNull(), F.lit("material"))
@@ -198,8 +224,9 @@ def process_purchase_orders(requests: DataFrame, materials: DataFrame, existing_
                   .when(bad_number, F.lit("check constraint on PURCHASE_ORDER.PONo violated")))
     req = req.withColumn("_fail", first_fail)
     candidates = req.filter(F.col("_fail").isNull())
-    taken = existing_orders.select(F.col("PONo").alias("_taken")).distinct()
-    candidates = (candidates.withColumn("_first", _first_of_key(candidates, ["p_po_no"], order))
+    taken = existing_orders.filter(F.col("PONo").isNotNull()).select(F.col("PONo").alias("_taken")).distinct()
+    candidates = (candidates.join(_first_of_key(candidates, ["p_po_no"], order), F.col("_id") == F.col("_first_id"), "left")
+                  .withColumn("_first", F.col("_first_id").isNotNull())
                   .join(taken, F.col("p_po_no") == F.col("_taken"), "left"))
     dup = ~F.col("_first") | F.col("_taken").isNotNull()
     ok = candidates.filter(~dup).select(*cols, "_stock")
@@ -229,21 +256,24 @@ def process_purchase_orders(requests: DataFrame, materials: DataFrame, existing_
 
 
 # ------------------------------------------------------------------------- E05
-LEDGER_ORDER: OrderSpec = (("arrival_key", False), ("kind_rank", False), ("seq", False), ("ref", False))
-LEDGER_SCHEMA = ("Material_Id string, kind string, quantity long, arrival_key long, kind_rank int, seq long, "
+LEDGER_ORDER: OrderSpec = (("arrival_key", False), ("kind_rank", False), ("line", False), ("part", False), ("ref", False))
+LEDGER_SCHEMA = ("Material_Id string, kind string, quantity long, arrival_key long, kind_rank int, line long, part long, "
                  "ref string")
 
 
-def ledger_events(lines: DataFrame, receipts: DataFrame) -> DataFrame:
-    """One event table from reservation lines (E03 shape) and accepted purchase orders
-    (E04 shape with ``arrival_seq``): a receipt arrives before the lines of its order key."""
+def ledger_events(lines: DataFrame, receipts: DataFrame, line_arrival: str = "arrival_seq",
+                  receipt_arrival: Sequence[str] = ("arrival_order", "arrival_line", "arrival_part")) -> DataFrame:
+    """One event table from reservation lines (E03 shape) and accepted purchase orders (E04
+    shape). ``line_arrival`` and the first of ``receipt_arrival`` are the same counter, on which
+    a receipt comes before the lines; the others order receipts of equal arrival."""
+    key, line, part = (F.col(c).cast("long") for c in receipt_arrival)
+    none = F.lit(0).cast("long")
     res = lines.select("Material_Id", F.lit("reservation").alias("kind"), F.lit(1).cast("long").alias("quantity"),
-                       F.col("arrival_seq").cast("long").alias("arrival_key"), F.lit(1).alias("kind_rank"),
-                       F.col("arrival_seq").cast("long").alias("seq"), F.col("trackingID").alias("ref"))
+                       F.col(line_arrival).cast("long").alias("arrival_key"), F.lit(1).alias("kind_rank"),
+                       none.alias("line"), none.alias("part"), F.col("trackingID").alias("ref"))
     rec = receipts.select(F.col("p_material_id").alias("Material_Id"), F.lit("receipt").alias("kind"),
-                          F.col("p_purchase_qty").cast("long").alias("quantity"),
-                          F.floor(F.col("arrival_seq") / 1000000).cast("long").alias("arrival_key"),
-                          F.lit(0).alias("kind_rank"), F.col("arrival_seq").cast("long").alias("seq"),
+                          F.col("p_purchase_qty").cast("long").alias("quantity"), key.alias("arrival_key"),
+                          F.lit(0).alias("kind_rank"), line.alias("line"), part.alias("part"),
                           F.col("p_po_no").alias("ref"))
     return res.unionByName(rec)
 

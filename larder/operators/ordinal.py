@@ -29,9 +29,17 @@ from pyspark.sql import types as T
 
 from larder.session import partitions, shared_dir
 
+NO_MIN = np.iinfo(np.int64).max  # "no earlier row" in a running minimum
+
 OrderSpec = Sequence[tuple[str, bool]]  # (column, descending)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """A copy in the shared folder: it cuts the lineage and outlives executors."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def sort_columns(order: OrderSpec) -> list[Column]:
     return [F.col(c).desc_nulls_first() if desc else F.col(c).asc_nulls_last() for c, desc in order]
 
@@ -51,7 +59,7 @@ def rank_all(df: DataFrame, order: OrderSpec, out: str, *, dense: bool = False,
              num_partitions: int | None = None) -> DataFrame:
     """``df`` plus ``out`` = RANK (or DENSE_RANK) over the whole input ordered by ``order``."""
     spark = df.sparkSession
-    shared_dir(spark)
+    df = stored(df)  # read by the tally, the range sampler and the join
     keys = [c for c, _ in order]
     weight = F.lit(1).cast("long") if dense else F.count(F.lit(1))
     tally = df.groupBy(*keys).agg(weight.alias("_n")) if not dense else \
@@ -59,13 +67,11 @@ def rank_all(df: DataFrame, order: OrderSpec, out: str, *, dense: bool = False,
     parts = num_partitions or partitions(spark)
     spread_schema = T.StructType(list(tally.schema.fields) + [
         T.StructField("_part", T.IntegerType(), False), T.StructField("_before", T.LongType(), False)])
-    tally = tally.persist()  # read by the range sampler and by the checkpoint job
     spread = (tally.repartitionByRange(parts, *sort_columns(order))
               .sortWithinPartitions(*sort_columns(order))
               .withColumn("_part", F.spark_partition_id())
               .mapInPandas(_before_in_partition, spread_schema)
               .checkpoint(eager=True))
-    tally.unpersist()
     sizes = spread.groupBy("_part").agg(F.sum("_n").alias("_size"))
     offsets = sizes.select("_part", F.coalesce(
         F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)),
@@ -91,11 +97,11 @@ def _local_scan(by: Sequence[str], value: str):
         carry_key: tuple | None = None
         carry_n = 0
         carry_sum = 0
-        carry_min: float | None = None  # min of running sums before the next row
+        carry_min = NO_MIN  # min of running sums before the next row
         for pdf in batches:
             if pdf.empty:
                 yield pdf.assign(_pos=pd.Series(dtype="int64"), _run=pd.Series(dtype="int64"),
-                                 _min_prev=pd.Series(dtype="float64"))
+                                 _min_prev=pd.Series(dtype="int64"))
                 continue
             changed = pd.Series(False, index=pdf.index)
             for b in by:
@@ -106,23 +112,20 @@ def _local_scan(by: Sequence[str], value: str):
             grp = vals.groupby(runs)
             pos = grp.cumcount().astype("int64") + 1
             csum = grp.cumsum().astype("int64")
-            prev_min = csum.groupby(runs).cummin().groupby(runs).shift(1)
+            prev_min = csum.groupby(runs).cummin().groupby(runs).shift(1, fill_value=NO_MIN)
             first_key = tuple(None if pd.isna(pdf[b].iloc[0]) else pdf[b].iloc[0] for b in by)
             if carry_key is not None and first_key == carry_key:
                 head = runs == 1
                 pos = pos.where(~head, pos + carry_n)
                 csum = csum.where(~head, csum + carry_sum)
-                shifted = prev_min.where(~head, prev_min + carry_sum)
-                if carry_min is not None:
-                    shifted = shifted.where(~head, shifted.fillna(np.inf).clip(upper=carry_min))
-                prev_min = shifted
+                moved = prev_min.where(prev_min == NO_MIN, prev_min + carry_sum)
+                prev_min = prev_min.where(~head, moved.clip(upper=carry_min))
             last = runs == runs.iloc[-1]
             carry_key = tuple(None if pd.isna(pdf[b].iloc[-1]) else pdf[b].iloc[-1] for b in by)
             carry_n = int(pos.iloc[-1])
             carry_sum = int(csum.iloc[-1])
-            tail_min = float(min(csum[last].min(), prev_min[last].min() if prev_min[last].notna().any() else np.inf))
-            carry_min = tail_min
-            yield pdf.assign(_pos=pos, _run=csum, _min_prev=prev_min.astype("float64"))
+            carry_min = int(min(csum[last].min(), prev_min[last].min()))
+            yield pdf.assign(_pos=pos, _run=csum, _min_prev=prev_min)
 
     return run
 
@@ -149,13 +152,12 @@ def scan_within(df: DataFrame, by: Sequence[str], order: OrderSpec, value: Colum
     sort_cols = [F.col(b).asc_nulls_last() for b in by] + sort_columns(order)
     schema = T.StructType(list(staged.schema.fields) + [
         T.StructField("_part", T.IntegerType(), False), T.StructField("_pos", T.LongType(), False),
-        T.StructField("_run", T.LongType(), False), T.StructField("_min_prev", T.DoubleType(), True)])
-    staged = staged.persist()  # read by the range sampler and by the checkpoint job
+        T.StructField("_run", T.LongType(), False), T.StructField("_min_prev", T.LongType(), True)])
+    staged = stored(staged)  # read by the range sampler and by the scan
     spread = (staged.repartitionByRange(parts, *sort_cols).sortWithinPartitions(*sort_cols)
               .withColumn("_part", F.spark_partition_id())
               .mapInPandas(_local_scan(by, "_val"), schema)
               .checkpoint(eager=True))
-    staged.unpersist()
     seg = (spread.groupBy("_part", *by)
            .agg(F.max("_pos").alias("_n"), F.max_by("_run", "_pos").alias("_total"),
                 F.min("_run").alias("_low")))
@@ -172,11 +174,10 @@ def scan_within(df: DataFrame, by: Sequence[str], order: OrderSpec, value: Colum
     joined = spread.join(F.broadcast(carry), cond, "left")  # carry: at most one row per partition boundary
     c_n = F.coalesce(F.col("_c_n"), F.lit(0))
     c_sum = F.coalesce(F.col("_c_sum"), F.lit(0))
-    local_prev = F.col("_min_prev") + c_sum
-    min_prev = F.when(F.col("_c_low").isNull(), local_prev).otherwise(
-        F.least(F.col("_c_low").cast("double"), F.coalesce(local_prev, F.col("_c_low").cast("double"))))
+    # least() skips NULL: no carry, or no earlier row in the partition
+    min_prev = F.least(F.when(F.col("_min_prev") != NO_MIN, F.col("_min_prev") + c_sum), F.col("_c_low"))
     keep = [c for c in df.columns]
     return joined.select(*[spread[c] for c in keep],
                          (F.col("_pos") + c_n).alias("_pos"),
                          (F.col("_run") + c_sum).alias("_run"),
-                         min_prev.cast("long").alias("_min_prev"))
+                         min_prev.alias("_min_prev"))

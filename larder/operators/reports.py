@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from larder.functions.exprs import (band, first_date_at_or_after, joined_text, mean, months_back_literal,
                                     percent_text, ratio)
-from larder.operators.ordinal import rank_all
-from larder.operators.shaping import cube_summary, previous_period, rank_within, total_of
+from larder.operators.ordinal import rank_all, stored
+from larder.operators.shaping import previous_period, rank_within, total_of
 
 SHIFT_BANDS = ("Short Shift", "Regular Shift", "Long Shift")  # fixed labels of the report
 SHIFT_BOUNDS = (4, 8)
@@ -38,13 +38,14 @@ def item_feedback_ranking(menu_items: DataFrame, order_items: DataFrame, orders:
                  .groupBy("order_id")
                  .agg(F.sum("rating").alias("_sum"), F.count("rating").alias("_rated"),
                       F.count("feedbackID").alias("_links")))
+    # order grain first: the items meet orders that have feedback and a known franchise
+    placed = (orders.select("order_id", "franchise_id").join(per_order, "order_id")
+              .join(franchises.select("franchise_id"), "franchise_id", "left_semi"))
     per_item = (order_items.select("order_id", "mitemID")
-                .join(per_order, "order_id")
-                .join(orders.select("order_id", "franchise_id"), "order_id")
+                .join(placed, "order_id")
                 .groupBy("franchise_id", "mitemID")
                 .agg(F.sum("_sum").alias("_sum"), F.sum("_rated").alias("_rated"), F.sum("_links").alias("_links")))
     named = (per_item
-             .join(franchises.select("franchise_id"), "franchise_id", "left_semi")
              .join(menu_items.select(F.col("mItemID").alias("mitemID"), F.col("mItemName").alias("item_name")),
                    "mitemID")
              .filter(F.col("item_name").isNotNull())
@@ -53,10 +54,11 @@ def item_feedback_ranking(menu_items: DataFrame, order_items: DataFrame, orders:
              .filter(F.col("_links") > 0)
              .select("franchise_id", "item_name",
                      mean("_sum", "_rated").alias("avg_feedback_rating"),
-                     F.col("_links").cast("long").alias("total_feedbacks")))
-    ranked = rank_within(named, ["franchise_id"],
-                         [F.col("avg_feedback_rating").desc_nulls_first(), F.col("item_name").asc()],
-                         "feedback_rank")
+                     F.col("_links").cast("long").alias("total_feedbacks"),
+                     # the order is that of the exact mean, not of the rounded one
+                     F.when(F.col("_rated") > 0, F.col("_sum").cast("double") / F.col("_rated")).alias("_mean")))
+    ranked = rank_within(named, ["franchise_id"], [F.col("_mean").desc_nulls_first(), F.col("item_name").asc()],
+                         "feedback_rank").drop("_mean")
     return ranked.orderBy("franchise_id", "feedback_rank")
 
 
@@ -130,8 +132,9 @@ def seating_cost_score(franchises: DataFrame, salaries: DataFrame) -> DataFrame:
                  F.count(F.col("base_Salary") + F.coalesce(F.col("bonus"), F.lit(0))).alias("_n")))
     scored = (franchises.select("franchise_id", "city", "seating_capacity").join(cost, "franchise_id")
               .withColumn("avg_employee_cost", mean("_sum", "_n")))
+    # one rounding: seats * people / cost, not seats over the rounded mean
     return (scored.select("franchise_id", "city", "seating_capacity", "avg_employee_cost",
-                          ratio("seating_capacity", "avg_employee_cost", 5, den_scale=6,
+                          ratio(F.col("seating_capacity") * F.col("_n"), "_sum", 5, den_scale=2,
                                 precision=18).alias("profitability_score"))
             .orderBy(F.col("profitability_score").desc_nulls_first()))
 
@@ -150,8 +153,9 @@ def owner_revenue_rank(franchises: DataFrame, orders: DataFrame, owners: DataFra
 def revenue_share(orders: DataFrame, franchises: DataFrame) -> DataFrame:
     """Q07: franchise revenue and its percent of all order revenue (all orders count in
     the denominator, only orders of known franchises in the numerator)."""
-    total = total_of(orders, "totalamount")
-    per_franchise = orders.groupBy("franchise_id").agg(F.sum("totalamount").cast("decimal(38,2)").alias("franchise_revenue"))
+    per_franchise = stored(orders.groupBy("franchise_id").agg(
+        F.sum("totalamount").cast("decimal(38,2)").alias("franchise_revenue")))  # orders are read once
+    total = total_of(per_franchise, "franchise_revenue")
     shares = (per_franchise.join(franchises.select("franchise_id", "city"), "franchise_id")
               .select("franchise_id", "city", "franchise_revenue",
                       ratio(F.col("franchise_revenue") * 100, total, 2, num_scale=2, den_scale=2,
@@ -193,17 +197,17 @@ def purchases_per_seat_status(franchises: DataFrame, deliveries: DataFrame, ship
 
     Each delivery line meets every purchase order of its material (intended fan-out); the
     sum distributes over that join, so purchases are summed per material first and the
-    many-to-many join never materialises. The six-month bound is a driver-side literal
-    so it reaches the scan.
+    many-to-many join never materialises. The six-month bound is a driver-side literal.
     """
     since = first_date_at_or_after(months_back_literal(as_of, 6))
     per_material = purchase_orders.groupBy("Material_Id").agg(F.sum("PurcQty").alias("_qty"))
-    per_shipment = (shipment_materials.select("trackingID", "Material_Id").join(per_material, "Material_Id")
-                    .groupBy("trackingID").agg(F.sum("_qty").alias("_qty")))
-    recent = deliveries.filter(F.col("DeliveryDate") >= F.lit(since)).select("Franchise_ID", "trackingID")
-    per_franchise = (recent.join(per_shipment, "trackingID")
-                     .groupBy(F.col("Franchise_ID").alias("franchise_id"))
-                     .agg(F.sum("_qty").alias("total_purchases")))
+    recent = deliveries.filter(F.col("DeliveryDate") >= F.lit(since)).select(
+        F.col("Franchise_ID").alias("franchise_id"), "trackingID")
+    # only recently delivered shipments are counted, per franchise and material, before quantities join
+    per_franchise = (shipment_materials.select("trackingID", "Material_Id").join(recent, "trackingID")
+                     .groupBy("franchise_id", "Material_Id").agg(F.count(F.lit(1)).alias("_times"))
+                     .join(per_material, "Material_Id").groupBy("franchise_id")
+                     .agg(F.sum(F.col("_times") * F.col("_qty")).alias("total_purchases")))
     seats = (franchises.select("franchise_id", "city", "seating_capacity").join(per_franchise, "franchise_id")
              .withColumn("_ratio", ratio("total_purchases", "seating_capacity", 18)))
     avg_ratio = seats.select(F.avg("_ratio").cast("decimal(38,18)")).scalar()  # one row

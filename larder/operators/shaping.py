@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.functions.exprs import mean
-
 
 def rank_within(df: DataFrame, by: Sequence[str], order: Sequence[Column], out: str,
                 fn: str = "row_number") -> DataFrame:
@@ -29,19 +27,3 @@ def previous_period(df: DataFrame, by: Sequence[str], period: str, value: str, o
 def total_of(df: DataFrame, value: str) -> Column:
     """Grand total as an uncorrelated scalar subquery (one row; computed once)."""
     return df.select(F.sum(value)).scalar()
-
-
-def cube_summary(df: DataFrame, keys: Sequence[str], value: str, *, count_name: str,
-                 mean_name: str, total_name: str, scale: int = 2) -> DataFrame:
-    """``CUBE(keys)`` with COUNT(*), AVG(value), SUM(value).
-
-    The input is reduced to one row per full key first, so the 2^k expansion of CUBE
-    runs on that grain instead of on every input row.
-    """
-    grain = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.count(value).alias("_vals"),
-                                  F.sum(value).alias("_sum"))
-    cubed = grain.cube(*keys).agg(F.sum("_rows").alias(count_name), F.sum("_vals").alias("_vals"),
-                                  F.sum("_sum").alias(total_name))
-    return cubed.select(*keys, F.col(count_name).cast("long").alias(count_name),
-                        mean(total_name, "_vals", scale=scale).alias(mean_name),
-                        F.col(total_name).cast("decimal(38,2)").alias(total_name))

@@ -1,7 +1,7 @@
 """Independent SQL for every registered job, runnable by DuckDB on the driver tables.
 
 Each text puts the fixture derivations (FIXTURES.md part B) in front as CTEs and then
-states the job the way the reference scripts do (outer-join chains, plain windows).
+states the job from its meaning, in another way than the Spark plan does.
 DuckDB divides decimals in DOUBLE, so quotients here use exact integer arithmetic with
 half-away-from-zero rounding (``div``), the same values Spark's decimal division gives.
 """
@@ -10,6 +10,10 @@ from __future__ import annotations
 
 import re
 
+from larder.functions.exprs import months_back_literal
+from larder.operators.reports import CAPACITY_LABELS, SHIFT_BANDS, SHIFT_BOUNDS
+from larder.sources.fixtures import PURCHASES_AS_OF
+
 # ---------------------------------------------------------------- fixture CTEs
 FIXTURE_SQL: dict[str, str] = {
     "nsup": "SELECT CAST(COUNT(*) AS BIGINT) AS n FROM supplier",
@@ -32,10 +36,10 @@ FIXTURE_SQL: dict[str, str] = {
         "'FA'||CAST(l_suppkey AS VARCHAR) AS franchise_id FROM lineitem WHERE l_suppkey % 7 <> 0"),
     "employees": (
         "SELECT 'EMP'||CAST(c_custkey AS VARCHAR) AS employee_ID, "
-        "'FA'||CAST((c_custkey * c_custkey) % n AS VARCHAR) AS franchise_ID FROM customer CROSS JOIN nsup"),
+        "'FA'||CAST(((c_custkey % n) * (c_custkey % n)) % n AS VARCHAR) AS franchise_ID FROM customer CROSS JOIN nsup"),
     "salary_details": (
         "SELECT 'EMP'||CAST(c_custkey AS VARCHAR) AS employee_ID, "
-        "'FA'||CAST((c_custkey * c_custkey) % n AS VARCHAR) AS franchise_ID, "
+        "'FA'||CAST(((c_custkey % n) * (c_custkey % n)) % n AS VARCHAR) AS franchise_ID, "
         "CAST(GREATEST(c_acctbal, 0) AS DECIMAL(18,2)) AS bonus, "
         "CAST(20000 + (c_custkey * 7919) % 60000 AS DECIMAL(18,2)) AS base_Salary FROM customer CROSS JOIN nsup"),
     "eshifts_details": (
@@ -90,7 +94,7 @@ FIXTURE_SQL: dict[str, str] = {
     "po_requests": (
         "SELECT 'PO'||CAST(l_orderkey AS VARCHAR) AS p_po_no, 'RM'||CAST(l_partkey * 2 AS VARCHAR) AS p_material_id, "
         "CAST(l_quantity AS BIGINT) AS p_purchase_qty, CAST(l_shipdate AS DATE) AS p_po_date, "
-        "l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey AS arrival_seq FROM lineitem"),
+        "l_orderkey AS arrival_order, CAST(l_linenumber AS BIGINT) AS arrival_line, l_partkey AS arrival_part FROM lineitem"),
 }
 
 _NEEDS = {name: (["nsup"] if re.search(r"\bnsup\b", sql) else []) for name, sql in FIXTURE_SQL.items()}
@@ -137,25 +141,22 @@ def mean_sql(total: str, count: str, scale: int = 2) -> str:
 
 # ---------------------------------------------------------------- reports (Q01-Q10)
 def _report_sql() -> dict[str, str]:
+    """Written from the meaning of each report: facts are counted at their own grain first, names
+    and places are looked up last. Labels come from the constants of ``reports``."""
     out: dict[str, str] = {}
     out["q01_item_feedback_ranking"] = with_fixtures(f"""
-SELECT franchise_id, item_name, avg_feedback_rating, total_feedbacks,
-       CAST(ROW_NUMBER() OVER (PARTITION BY franchise_id
-                               ORDER BY avg_feedback_rating DESC NULLS FIRST, item_name) AS BIGINT) AS feedback_rank
-FROM (SELECT franchise_id, item_name, {mean_sql('s', 'nr')} AS avg_feedback_rating,
-             CAST(total_feedbacks AS BIGINT) AS total_feedbacks
-      FROM per_item WHERE total_feedbacks > 0) t
-ORDER BY franchise_id, feedback_rank""", ("per_item", """
-  SELECT f.franchise_id, mi.mItemName AS item_name, SUM(cf.rating) AS s, COUNT(cf.rating) AS nr,
-         COUNT(cf.feedbackID) AS total_feedbacks
-  FROM menu_items mi
-  LEFT JOIN lists l ON mi.mItemID = l.mitemID
-  LEFT JOIN customer_orders co ON l.order_id = co.order_id
-  LEFT JOIN feedback_info fi ON co.order_id = fi.order_id
-  LEFT JOIN customer_feedbacks cf ON fi.feedbackID = cf.feedbackID
-  LEFT JOIN franchise f ON co.franchise_id = f.franchise_id
-  GROUP BY f.franchise_id, mi.mItemName
-  HAVING f.franchise_id IS NOT NULL AND mi.mItemName IS NOT NULL"""))
+SELECT store AS franchise_id, dish AS item_name, {mean_sql('points', 'rated')} AS avg_feedback_rating,
+       CAST(given AS BIGINT) AS total_feedbacks,
+       CAST(ROW_NUMBER() OVER (PARTITION BY store ORDER BY CAST(points AS DOUBLE) / NULLIF(rated, 0) DESC NULLS FIRST,
+                               dish) AS BIGINT) AS feedback_rank
+FROM dish_votes WHERE given > 0""", ("order_votes", """
+  SELECT order_id, SUM(rating) AS points, COUNT(rating) AS rated, COUNT(*) AS given
+  FROM customer_feedbacks JOIN feedback_info USING (feedbackID) GROUP BY order_id"""), ("dish_votes", """
+  SELECT placed.franchise_id AS store, mItemName AS dish, SUM(points) AS points, SUM(rated) AS rated, SUM(given) AS given
+  FROM order_votes JOIN customer_orders AS placed USING (order_id)
+       JOIN lists AS listed USING (order_id) JOIN menu_items ON menu_items.mItemID = listed.mitemID
+  WHERE mItemName IS NOT NULL AND placed.franchise_id IN (SELECT franchise_id FROM franchise)
+  GROUP BY ALL"""))
 
     pct = div("(total_revenue - prev) * 100", 2, "prev", 2, 2)
     out["q02_yearly_revenue_growth"] = with_fixtures(f"""
@@ -163,100 +164,85 @@ SELECT franchise_id, year, total_revenue,
        CAST(COALESCE(prev, 0) AS DECIMAL(38,2)) AS previous_year_revenue,
        CAST(total_revenue - COALESCE(prev, 0) AS DECIMAL(38,2)) AS growth,
        CASE WHEN prev IS NULL OR prev = 0 THEN '0.00%' ELSE CAST({pct} AS VARCHAR) || '%' END AS growth_percentage
-FROM (SELECT franchise_id, year, total_revenue,
-             LAG(total_revenue) OVER (PARTITION BY franchise_id ORDER BY year) AS prev
-      FROM yearly) g""", ("yearly", """
-  SELECT franchise_id, CAST(EXTRACT(YEAR FROM orderdate) AS INTEGER) AS year,
-         CAST(SUM(totalamount) AS DECIMAL(38,2)) AS total_revenue
-  FROM customer_orders GROUP BY franchise_id, EXTRACT(YEAR FROM orderdate)"""))
-
-    years = div("fa.term_end_date - fa.term_start_date", 0, "365", 0, 2, "DECIMAL(18,2)")
-    out["q03_agreement_inventory_ranking"] = with_fixtures("""
-SELECT ad.franchise_id, ad.lname || ', ' || ad.fname AS franchise_owner, ad.agreement_years,
-       ic.total_inventory,
-       CAST(RANK() OVER (ORDER BY ad.agreement_years DESC NULLS FIRST, ad.franchise_id ASC) AS BIGINT) AS agreement_rank,
-       CAST(RANK() OVER (ORDER BY ic.total_inventory DESC NULLS FIRST, ad.franchise_id ASC) AS BIGINT) AS inventory_rank
-FROM ad LEFT JOIN ic ON ad.franchise_id = ic.franchise_id
-ORDER BY inventory_rank, agreement_rank""", ("ad", f"""
-  SELECT f.franchise_id, fo.lname, fo.fname, {years} AS agreement_years
-  FROM franchise_agreement fa JOIN franchise f ON fa.franchise_id = f.franchise_id
-  JOIN franchiseowners fo ON f.owner_id = fo.owner_id"""), ("ic", """
-  SELECT franchise_id, COUNT(inv_Id) AS total_inventory FROM franchise_inventory GROUP BY franchise_id"""))
+FROM (SELECT *, (SELECT MAX_BY(e.total_revenue, e.year) FROM takings e
+                 WHERE e.franchise_id = t.franchise_id AND e.year < t.year) AS prev FROM takings t)""", ("takings", """
+  SELECT franchise_id, CAST(year(orderdate) AS INTEGER) AS year, CAST(SUM(totalamount) AS DECIMAL(38,2)) AS total_revenue
+  FROM customer_orders GROUP BY ALL"""))
 
+    years = div("term_end_date - term_start_date", 0, "365", 0, 2, "DECIMAL(18,2)")
+    out["q03_agreement_inventory_ranking"] = with_fixtures("""
+SELECT terms.franchise_id, franchise_owner, agreement_years, stocked.records AS total_inventory,
+       CAST(RANK() OVER by_length AS BIGINT) AS agreement_rank, CAST(RANK() OVER by_stock AS BIGINT) AS inventory_rank
+FROM terms LEFT JOIN stocked USING (franchise_id)
+WINDOW by_length AS (ORDER BY agreement_years DESC NULLS FIRST, terms.franchise_id),
+       by_stock AS (ORDER BY stocked.records DESC NULLS FIRST, terms.franchise_id)""", ("named", """
+  SELECT franchise_id, concat(lname, ', ', fname) AS franchise_owner FROM franchise JOIN franchiseowners USING (owner_id)"""),
+        ("terms", f"""
+  SELECT franchise_id, franchise_owner, {years} AS agreement_years
+  FROM (SELECT franchise_id, term_start_date, term_end_date FROM franchise_agreement) JOIN named USING (franchise_id)"""),
+        ("stocked", "SELECT franchise_id, COUNT(inv_Id) AS records FROM franchise_inventory GROUP BY franchise_id"))
+
+    short, regular, long = SHIFT_BANDS
+    low, high = SHIFT_BOUNDS
     out["q04_shift_pattern_cube"] = with_fixtures(f"""
-SELECT franchise_id, shift_type, CAST(COUNT(*) AS BIGINT) AS total_shifts,
-       {mean_sql('SUM(shiftDuration)', 'COUNT(shiftDuration)')} AS avg_shift_duration,
-       CAST(SUM(shiftDuration) AS DECIMAL(38,2)) AS total_shift_hours
-FROM staffed GROUP BY CUBE (franchise_id, shift_type)""", ("staffed", """
-  SELECT f.franchise_id,
-         CASE WHEN es.shiftDuration < 4 THEN 'Short Shift'
-              WHEN es.shiftDuration BETWEEN 4 AND 8 THEN 'Regular Shift'
-              ELSE 'Long Shift' END AS shift_type,
-         es.shiftDuration
-  FROM franchise f JOIN employees e ON f.franchise_id = e.franchise_ID
-  JOIN eshifts_details es ON e.employee_ID = es.Employee_ID"""))
-
-    cost = mean_sql("SUM(s.base_Salary + COALESCE(s.bonus, 0))", "COUNT(s.base_Salary + COALESCE(s.bonus, 0))")
+SELECT place AS franchise_id, label AS shift_type, CAST(SUM(n) AS BIGINT) AS total_shifts,
+       {mean_sql('SUM(hours)', 'SUM(timed)')} AS avg_shift_duration, CAST(SUM(hours) AS DECIMAL(38,2)) AS total_shift_hours
+FROM worked GROUP BY GROUPING SETS ((place, label), (place), (label), ())""", ("labelled", f"""
+  SELECT Employee_ID AS person, shiftDuration AS hours,
+         if(shiftDuration >= {low} AND shiftDuration <= {high}, '{regular}', if(shiftDuration < {low}, '{short}', '{long}')) AS label
+  FROM eshifts_details"""), ("worked", """
+  SELECT employees.franchise_ID AS place, label, COUNT(*) AS n, COUNT(hours) AS timed, SUM(hours) AS hours
+  FROM labelled JOIN employees ON employees.employee_ID = person
+  WHERE employees.franchise_ID IN (SELECT franchise_id FROM franchise) GROUP BY ALL"""))
+
     out["q05_seating_cost_score"] = with_fixtures(f"""
-SELECT franchise_id, city, seating_capacity, avg_employee_cost,
-       {div('seating_capacity', 0, 'avg_employee_cost', 6, 5, 'DECIMAL(18,5)')} AS profitability_score
-FROM fp ORDER BY profitability_score DESC NULLS FIRST""", ("fp", f"""
-  SELECT f.franchise_id, f.city, f.seating_capacity, {cost} AS avg_employee_cost
-  FROM franchise f JOIN salary_details s ON f.franchise_id = s.franchise_ID
-  GROUP BY f.franchise_id, f.city, f.seating_capacity"""))
+SELECT franchise_id, city, seating_capacity, {mean_sql('paid', 'people')} AS avg_employee_cost,
+       {div('seating_capacity * people', 0, 'paid', 2, 5, 'DECIMAL(18,5)')} AS profitability_score
+FROM franchise JOIN payroll USING (franchise_id)""", ("payroll", """
+  SELECT franchise_ID AS franchise_id, SUM(pay) AS paid, COUNT(pay) AS people
+  FROM (SELECT franchise_ID, base_Salary + COALESCE(bonus, 0) AS pay FROM salary_details) GROUP BY franchise_ID"""))
 
     out["q06_owner_revenue_rank"] = with_fixtures("""
-SELECT fp.owner_id, fo.fname || ' ' || fo.lname AS owner_name,
-       CAST(SUM(fp.total_revenue) AS DECIMAL(38,2)) AS total_owner_revenue,
-       CAST(RANK() OVER (ORDER BY SUM(fp.total_revenue) DESC NULLS FIRST) AS BIGINT) AS owner_rank
-FROM fp JOIN franchiseowners fo ON fp.owner_id = fo.owner_id
-GROUP BY fp.owner_id, fo.fname, fo.lname""", ("fp", """
-  SELECT f.franchise_id, f.owner_id, SUM(o.totalamount) AS total_revenue
-  FROM franchise f JOIN customer_orders o ON f.franchise_id = o.franchise_id
-  GROUP BY f.franchise_id, f.owner_id"""))
-
-    share = div("SUM(co.totalamount) * 100", 2, "(SELECT total_revenue FROM tr)", 2, 2, "DECIMAL(18,2)")
+SELECT owner_id, concat(fname, ' ', lname) AS owner_name, earned AS total_owner_revenue,
+       CAST(RANK() OVER (ORDER BY earned DESC NULLS FIRST) AS BIGINT) AS owner_rank
+FROM franchiseowners JOIN earnings USING (owner_id)""", ("earnings", """
+  SELECT owner_id, CAST(SUM(totalamount) AS DECIMAL(38,2)) AS earned
+  FROM customer_orders JOIN franchise USING (franchise_id)
+  GROUP BY owner_id"""))
+
+    share = div("taken * 100", 2, "company", 2, 2, "DECIMAL(18,2)")
     out["q07_revenue_share"] = with_fixtures(f"""
-SELECT f.franchise_id, f.city, CAST(SUM(co.totalamount) AS DECIMAL(38,2)) AS franchise_revenue,
-       {share} AS revenue_share_percentage
-FROM customer_orders co JOIN franchise f ON co.franchise_id = f.franchise_id
-GROUP BY f.franchise_id, f.city ORDER BY franchise_revenue DESC NULLS FIRST""", ("tr", """
-  SELECT SUM(totalamount) AS total_revenue FROM customer_orders"""))
+SELECT franchise_id, city, CAST(taken AS DECIMAL(38,2)) AS franchise_revenue, {share} AS revenue_share_percentage
+FROM franchise JOIN shares USING (franchise_id)""", ("shares", """
+  SELECT franchise_id, SUM(totalamount) AS taken, SUM(SUM(totalamount)) OVER () AS company
+  FROM customer_orders GROUP BY franchise_id"""))
 
+    heads = ("heads", "SELECT franchise_ID AS franchise_id, COUNT(employee_ID) AS people FROM employees GROUP BY franchise_ID")
     out["q08_staff_seating_ratio"] = with_fixtures(f"""
-SELECT franchise_id, city, seating_capacity, staff_count,
-       {div('staff_count', 0, 'seating_capacity', 0, 18)} AS staff_to_seating_ratio
-FROM fs ORDER BY staff_to_seating_ratio DESC NULLS FIRST""", ("fs", """
-  SELECT f.franchise_id, f.city, f.seating_capacity, COUNT(e.employee_ID) AS staff_count
-  FROM franchise f JOIN employees e ON f.franchise_id = e.franchise_ID
-  GROUP BY f.franchise_id, f.city, f.seating_capacity"""))
+SELECT franchise_id, city, seating_capacity, people AS staff_count,
+       {div('people', 0, 'seating_capacity', 0, 18)} AS staff_to_seating_ratio
+FROM heads JOIN franchise USING (franchise_id)""", heads)
 
     out["q09_revenue_per_employee"] = with_fixtures(f"""
-SELECT r.franchise_id, f.city, r.total_revenue, s.num_employees,
-       {div('r.total_revenue', 2, 's.num_employees', 0, 2)} AS revenue_per_employee
-FROM fr r JOIN fs s ON r.franchise_id = s.franchise_id JOIN franchise f ON r.franchise_id = f.franchise_id
-WHERE s.num_employees > 0 ORDER BY revenue_per_employee DESC NULLS FIRST""", ("fr", """
-  SELECT franchise_id, CAST(SUM(totalamount) AS DECIMAL(38,2)) AS total_revenue
-  FROM customer_orders GROUP BY franchise_id"""), ("fs", """
-  SELECT f.franchise_id, COUNT(e.employee_ID) AS num_employees
-  FROM franchise f JOIN employees e ON f.franchise_id = e.franchise_ID GROUP BY f.franchise_id"""))
-
-    r18 = "CAST(fp.total_purchases AS HUGEINT) * CAST(1000000000000000000 AS HUGEINT)"
+SELECT franchise_id, city, taken AS total_revenue, people AS num_employees, {div('taken', 2, 'people', 0, 2)} AS revenue_per_employee
+FROM franchise JOIN heads USING (franchise_id) JOIN income USING (franchise_id) WHERE people > 0""", heads, ("income", """
+  SELECT franchise_id, CAST(SUM(totalamount) AS DECIMAL(38,2)) AS taken FROM customer_orders GROUP BY franchise_id"""))
+
+    since = months_back_literal(PURCHASES_AS_OF, 6)
+    r18 = "CAST(bought AS HUGEINT) * CAST(1000000000000000000 AS HUGEINT)"
     out["q10_purchases_per_seat_status"] = with_fixtures(f"""
-SELECT franchise_id, city, seating_capacity, total_purchases,
-       {div('total_purchases', 0, 'seating_capacity', 0, 2)} AS purchases_per_seat,
-       {div('m18', 0, '1000000000000000000', 0, 2)} AS avg_purchases_per_seat,
-       CASE WHEN 2 * r18 > 3 * m18 THEN 'Needs expansion' ELSE 'Adequate' END AS capacity_status
-FROM (SELECT *, {div('SUM(r18) OVER ()', 0, 'COUNT(*) OVER ()', 0, 0)} AS m18 FROM rated) t
-ORDER BY purchases_per_seat DESC NULLS FIRST""", ("fp", """
-  SELECT dd.Franchise_ID, SUM(po.PurcQty) AS total_purchases
-  FROM delivery_details dd JOIN shipment_details sd ON dd.trackingID = sd.trackingID
-  JOIN purchase_order po ON sd.Material_Id = po.Material_Id
-  WHERE dd.DeliveryDate >= TIMESTAMP '2001-02-01 00:00:00'
-  GROUP BY dd.Franchise_ID"""), ("rated", f"""
-  SELECT f.franchise_id, f.city, f.seating_capacity, CAST(fp.total_purchases AS BIGINT) AS total_purchases,
-         CAST({div(r18, 0, 'f.seating_capacity', 0, 0)} AS HUGEINT) AS r18
-  FROM franchise f JOIN fp ON f.franchise_id = fp.Franchise_ID"""))
+SELECT franchise_id, city, seating_capacity, bought AS total_purchases,
+       {div('bought', 0, 'seating_capacity', 0, 2)} AS purchases_per_seat,
+       {div('level', 0, '1000000000000000000', 0, 2)} AS avg_purchases_per_seat,
+       if(2 * r18 > 3 * level, '{CAPACITY_LABELS[0]}', '{CAPACITY_LABELS[1]}') AS capacity_status
+FROM (SELECT *, {div('SUM(r18) OVER ()', 0, 'COUNT(*) OVER ()', 0, 0)} AS level FROM seated)""", ("arrived", f"""
+  SELECT Franchise_ID AS place, Material_Id, COUNT(*) AS times FROM shipment_details JOIN delivery_details USING (trackingID)
+  WHERE DeliveryDate >= TIMESTAMP '{since}' GROUP BY ALL"""), ("ordered", """
+  SELECT Material_Id, SUM(PurcQty) AS qty FROM purchase_order GROUP BY Material_Id"""), ("needed", """
+  SELECT place AS franchise_id, CAST(SUM(times * qty) AS BIGINT) AS bought FROM arrived JOIN ordered USING (Material_Id) GROUP BY place"""),
+        ("seated", f"""
+  SELECT franchise_id, city, seating_capacity, bought, CAST({div(r18, 0, 'seating_capacity', 0, 0)} AS HUGEINT) AS r18
+  FROM needed JOIN franchise USING (franchise_id)"""))
     return out
 
 
@@ -266,23 +252,24 @@ REPORT_SQL = _report_sql()
 # ---------------------------------------------------------------- row-event jobs
 E01_STATUS_OK = "('no_coupon', 'applied', 'not_applied')"
 E03_LINES = ("e03_l", """
-  SELECT sd.Material_Id, sd.trackingID, sd.arrival_seq, rm.material_Id AS mid, rm.quantity AS stock,
-         ROW_NUMBER() OVER (PARTITION BY sd.Material_Id, sd.trackingID ORDER BY sd.arrival_seq, sd.trackingID) AS dup
+  SELECT sd.*, rm.material_Id AS mid, rm.quantity AS stock,
+         CASE WHEN sd.trackingID IS NULL THEN 'missing_key'
+              WHEN ROW_NUMBER() OVER (PARTITION BY sd.Material_Id, sd.trackingID ORDER BY sd.arrival_seq) > 1
+                THEN 'duplicate_line' END AS broken
   FROM shipment_details sd LEFT JOIN raw_materials rm ON sd.Material_Id = rm.material_Id""")
 E03_NUMBERED = ("e03_n", """
-  SELECT *, ROW_NUMBER() OVER (PARTITION BY Material_Id ORDER BY arrival_seq, trackingID) AS n
-  FROM e03_l WHERE mid IS NOT NULL AND dup = 1""")
-E03_RESULT = ("e03_r", f"""
-  SELECT Material_Id, trackingID, arrival_seq,
-         CASE WHEN stock - (n - 1) > 0 THEN 'accepted' ELSE 'rejected' END AS status,
-         CAST(CASE WHEN stock - (n - 1) > 0 THEN NULL ELSE -20005 END AS INTEGER) AS error_code,
-         CASE WHEN stock - (n - 1) > 0 THEN NULL ELSE 'insufficient_stock' END AS reason
+  SELECT *, stock - COUNT(*) FILTER (broken IS NULL) OVER (
+           PARTITION BY Material_Id ORDER BY arrival_seq, trackingID ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS units
+  FROM e03_l WHERE mid IS NOT NULL""")
+E03_RESULT = ("e03_r", """
+  SELECT Material_Id, trackingID, arrival_seq, if(units > 0 AND broken IS NULL, 'accepted', 'rejected') AS status,
+         CAST(if(units > 0, NULL, -20005) AS INTEGER) AS error_code,
+         if(units > 0, broken, 'insufficient_stock') AS reason
   FROM e03_n
   UNION ALL
-  SELECT Material_Id, trackingID, arrival_seq, 'rejected', CAST(NULL AS INTEGER),
-         CASE WHEN mid IS NULL THEN 'unknown_material' ELSE 'duplicate_line' END
-  FROM e03_l WHERE mid IS NULL OR dup > 1""")
-E04_ORDER = "arrival_seq, p_material_id, p_purchase_qty, p_po_date"
+  SELECT Material_Id, trackingID, arrival_seq, 'rejected', CAST(NULL AS INTEGER), 'unknown_material'
+  FROM e03_l WHERE mid IS NULL""")
+E04_ORDER = "arrival_order, arrival_line, arrival_part, p_material_id, p_purchase_qty, p_po_date"
 E04_REQ = ("e04_f", """
   SELECT r.*, rm.quantity AS stock,
          CASE WHEN rm.material_Id IS NULL THEN 'material'
@@ -296,7 +283,7 @@ E04_CAND = ("e04_c", f"""
          p_po_no IN (SELECT PONo FROM purchase_order) AS taken
   FROM e04_f WHERE fail IS NULL""")
 E04_OK = ("e04_ok", "SELECT * FROM e04_c WHERE k = 1 AND NOT taken")
-E04_REQ_COLS = "p_po_no, p_material_id, p_purchase_qty, p_po_date, arrival_seq"
+E04_REQ_COLS = "p_po_no, p_material_id, p_purchase_qty, p_po_date, arrival_order, arrival_line, arrival_part"
 
 
 def _event_sql() -> dict[str, str]:
@@ -354,16 +341,16 @@ SELECT p_po_no AS PONo, p_material_id AS Material_Id,
                                               ROWS UNBOUNDED PRECEDING) AS BIGINT) AS updated_quantity
 FROM e04_ok""", *e04)
     out["e05_stock_ledger"] = with_fixtures("""
-SELECT e.Material_Id, e.kind, e.quantity, e.arrival_key, e.kind_rank, e.seq, e.ref, w.acc AS accepted,
+SELECT e.Material_Id, e.kind, e.quantity, e.arrival_key, e.kind_rank, e.line, e.part, e.ref, w.acc AS accepted,
        CAST(w.bal AS BIGINT) AS balance
 FROM walk w JOIN e05_n e ON e.Material_Id = w.Material_Id AND e.rn = w.rn""",
         E03_LINES, E03_NUMBERED, *e04, ("e05_ev", """
   SELECT Material_Id, 'reservation' AS kind, CAST(1 AS BIGINT) AS quantity, CAST(arrival_seq AS BIGINT) AS arrival_key,
-         1 AS kind_rank, CAST(arrival_seq AS BIGINT) AS seq, trackingID AS ref FROM e03_n
+         1 AS kind_rank, CAST(0 AS BIGINT) AS line, CAST(0 AS BIGINT) AS part, trackingID AS ref FROM e03_n WHERE broken IS NULL
   UNION ALL
-  SELECT p_material_id, 'receipt', CAST(p_purchase_qty AS BIGINT), CAST(arrival_seq // 1000000 AS BIGINT), 0,
-         CAST(arrival_seq AS BIGINT), p_po_no FROM e04_ok"""), ("e05_n", """
-  SELECT ev.*, ROW_NUMBER() OVER (PARTITION BY ev.Material_Id ORDER BY arrival_key, kind_rank, seq, ref) AS rn
+  SELECT p_material_id, 'receipt', CAST(p_purchase_qty AS BIGINT), arrival_order, 0, arrival_line, arrival_part,
+         p_po_no FROM e04_ok"""), ("e05_n", """
+  SELECT ev.*, ROW_NUMBER() OVER (PARTITION BY ev.Material_Id ORDER BY arrival_key, kind_rank, line, part, ref) AS rn
   FROM e05_ev ev JOIN raw_materials rm ON ev.Material_Id = rm.material_Id"""), ("walk", """
   SELECT material_Id AS Material_Id, CAST(0 AS BIGINT) AS rn, CAST(quantity AS BIGINT) AS bal, TRUE AS acc
   FROM raw_materials

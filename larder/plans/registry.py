@@ -134,7 +134,7 @@ def _rules() -> dict[str, Builder]:
     def c05(spark, root):
         t = Fixtures(spark, root)
         return rules.check_foreign_key(t.po_requests, "po_requests", "p_material_id", t.raw_materials,
-                                       "material_Id", ["arrival_seq"])
+                                       "material_Id", ["arrival_order", "arrival_line", "arrival_part"])
 
     def c12(spark, root):
         t = Fixtures(spark, root)

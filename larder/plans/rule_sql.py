@@ -113,7 +113,7 @@ def _simple() -> dict[str, str]:
         "c03_primary_key_composite": primary_key("lineitem", "lineitem", ["l_orderkey", "l_linenumber"], set()),
         "c04_unique": unique("part", "part", "p_name"),
         "c05_foreign_key": with_fixtures(foreign_key("po_requests", "po_requests", "p_material_id", "raw_materials",
-                                                     "material_Id", ["arrival_seq"])),
+                                                     "material_Id", ["arrival_order", "arrival_line", "arrival_part"])),
         "c06_prefix": found("part", "part", "NOT starts_with(p_type, 'S')", "prefix", "p_type", ["p_partkey"]),
         "c07_min": found("customer", "customer", "c_acctbal < 0", "min", "c_acctbal", ["c_custkey"]),
         "c08_between": found("events", "events", "NOT (value BETWEEN 1 AND 5)", "between", "value", ["event_id"]),

@@ -30,7 +30,7 @@ SELECT PONo, 2, 'Material ID: ' || Material_Id || ' Updated Quantity: ' || CAST(
 FROM audit""", *E04, ("audit", """
   SELECT p_po_no AS PONo, p_material_id AS Material_Id,
          CAST(stock + SUM(p_purchase_qty) OVER (PARTITION BY p_material_id
-              ORDER BY arrival_seq, p_material_id, p_purchase_qty, p_po_date ROWS UNBOUNDED PRECEDING) AS BIGINT)
+              ORDER BY arrival_order, arrival_line, arrival_part, p_material_id, p_purchase_qty, p_po_date ROWS UNBOUNDED PRECEDING) AS BIGINT)
            AS updated_quantity
   FROM e04_ok""")),
     "e06_coupon_totals_stream": EVENT_SQL["e01_coupon_totals"],

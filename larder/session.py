@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -27,6 +28,11 @@ _LOCAL_CONF = {
 def build_session(cpus: int | str = 8, shuffle_partitions: int | None = None,
                   app: str = "larder", memory: str = "8g") -> SparkSession:
     """A local session for tests and the bench (a cluster brings its own)."""
+    # Python workers find the package wherever the driver was started (a cluster ships the wheel)
+    root = str(Path(__file__).resolve().parents[1])
+    seen = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in seen:
+        os.environ["PYTHONPATH"] = os.pathsep.join([root, *filter(None, seen)])
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
     for key, value in _LOCAL_CONF.items():
         builder = builder.config(key, value)
@@ -63,10 +69,5 @@ def scratch_path(spark: SparkSession, kind: str) -> str:
     return f"{root}/larder-{kind}-{uuid.uuid4().hex}"
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for Python-side checks in tests."""
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions") or os.cpu_count() or 8)

@@ -97,7 +97,8 @@ class Fixtures:
         return c.select(
             "c_custkey", "c_acctbal",
             _tag("EMP", F.col("c_custkey")).alias("employee_ID"),
-            _tag("FA", (F.col("c_custkey") * F.col("c_custkey")) % self.franchise_count).alias("franchise_ID"),
+            _tag("FA", (F.col("c_custkey") % self.franchise_count) * (F.col("c_custkey") % self.franchise_count)
+                 % self.franchise_count).alias("franchise_ID"),
         )
 
     @cached_property
@@ -245,7 +246,9 @@ class Fixtures:
             _tag("RM", F.col("l_partkey") * 2).alias("p_material_id"),
             F.col("l_quantity").cast("bigint").alias("p_purchase_qty"),
             F.col("l_shipdate").cast("date").alias("p_po_date"),
-            (F.col("l_orderkey") * 1000000 + F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("arrival_seq"),
+            # the order of arrival: by order, line, part
+            F.col("l_orderkey").alias("arrival_order"), F.col("l_linenumber").cast("bigint").alias("arrival_line"),
+            F.col("l_partkey").alias("arrival_part"),
         )
 
 

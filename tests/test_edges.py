@@ -3,6 +3,7 @@
 import datetime as dt
 from decimal import Decimal
 
+from larder.functions.exprs import add_months_keep_end, months_back_literal
 from larder.operators import events, reports
 
 D = Decimal
@@ -80,24 +81,68 @@ def test_e03_stock_zero_duplicates_unknown(spark):
     got = {r.arrival_seq: (r.status, r.reason) for r in res.lines.collect()}
     assert got[1] == ("accepted", None) and got[2] == ("accepted", None)
     assert got[3] == ("rejected", "insufficient_stock")
-    assert got[4] == ("rejected", "duplicate_line")
+    assert got[4] == ("rejected", "insufficient_stock")  # the stock test comes before the key
     assert got[5] == ("rejected", "insufficient_stock")
     assert got[6] == ("rejected", "unknown_material")
     after = {r.material_Id: r.quantity for r in res.materials_after.collect()}
     assert after == {"RM1": 0, "RM2": 0}
 
 
+def test_e03_key_rules_after_the_stock_test(spark):
+    mats = spark.createDataFrame([("RM1", 3), ("RM2", 9)], "material_Id string, quantity long")
+    lines = spark.createDataFrame(
+        [("RM1", "S1", 1), ("RM1", "S1", 2), ("RM1", None, 3), ("RM1", "S0", 4), ("RM1", "S2", 5), ("RM1", "OLD", 6),
+         ("RM1", "S3", 7), ("RM1", "S3", 8), ("RM1", None, 9), (None, "S1", 10), ("RM2", "S1", 11), ("RM2", "S1", 11)],
+        "Material_Id string, trackingID string, arrival_seq long")
+    ships = spark.createDataFrame([("S1",), ("S2",), ("S3",), ("OLD",), (None,)], "trackingID string")
+    old = spark.createDataFrame([("RM1", "OLD")], "Material_Id string, trackingID string")
+    res = events.reserve_stock(lines, mats, shipments=ships, existing=old)
+    got = sorted((r.arrival_seq, r.status, r.error_code, r.reason) for r in res.lines.collect())
+    bad = lambda at, why, code=None: (at, "rejected", code, why)
+    ok = lambda at: (at, "accepted", None, None)
+    assert [g for g in got if g[0] < 11] == [
+        ok(1), bad(2, "duplicate_line"), bad(3, "missing_key"), bad(4, "unknown_shipment"), ok(5), bad(6, "duplicate_line"), ok(7),
+        bad(8, "insufficient_stock", -20005), bad(9, "insufficient_stock", -20005), bad(10, "unknown_material")]
+    assert sorted(g[1:] for g in got if g[0] == 11) == [("accepted", None, None), ("rejected", None, "duplicate_line")]
+    assert {r.material_Id: r.quantity for r in res.materials_after.collect()} == {"RM1": 0, "RM2": 8}
+
+
+def test_arrival_order_beyond_any_slot(spark):
+    """Part keys over a million and order keys over 10**10: a plain fold by (order, kind, line, part)."""
+    big = 10**10
+    lines = [("RM1", f"S{k}", big + k) for k in range(6)]
+    recs = [("PO1", "RM1", 2, dt.date(2001, 1, 1), big + 2, 1, 3_000_001), ("PO2", "RM1", 5, dt.date(2001, 1, 1), big + 4, 7, 9)]
+    mats = spark.createDataFrame([("RM1", 1)], "material_Id string, quantity long")
+    ev = events.ledger_events(
+        spark.createDataFrame(lines, "Material_Id string, trackingID string, arrival_seq long"),
+        spark.createDataFrame(recs, "p_po_no string, p_material_id string, p_purchase_qty long, p_po_date date, "
+                                    "arrival_order long, arrival_line long, arrival_part long"))
+    got = {r.ref: (r.accepted, r.balance) for r in events.stock_ledger(ev, mats).collect()}
+    assert got == {"S0": (True, 0), "S1": (False, 0), "PO1": (True, 2), "S2": (True, 1), "S3": (True, 0), "PO2": (True, 5),
+                   "S4": (True, 4), "S5": (True, 3)}
+
+
+def test_month_ends_go_back_to_month_ends(spark):
+    assert months_back_literal(dt.datetime(2001, 4, 30), 6) == dt.datetime(2000, 10, 31)
+    assert months_back_literal(dt.datetime(2001, 8, 30), 6) == dt.datetime(2001, 2, 28)
+    assert months_back_literal(dt.datetime(2001, 8, 1, 5), 6) == dt.datetime(2001, 2, 1, 5)
+    days = spark.createDataFrame([(dt.date(2001, 4, 30),), (dt.date(2001, 8, 30),), (None,)], "d date")
+    assert [r[0] for r in days.select(add_months_keep_end("d", -6)).collect()] == [
+        dt.date(2000, 10, 31), dt.date(2001, 2, 28), None]
+
+
 def test_e04_failed_material_keeps_number(spark):
     mats = spark.createDataFrame([("RM1", 10)], "material_Id string, quantity long")
     existing = spark.createDataFrame([("PO9",)], "PONo string")
     req = spark.createDataFrame(
-        [("PO1", "RM404", 5, dt.date(2001, 1, 1), 1), ("PO1", "RM1", 5, dt.date(2001, 1, 1), 2),
-         ("PO1", "RM1", 7, dt.date(2001, 1, 1), 3), ("PO9", "RM1", 1, dt.date(2001, 1, 1), 4),
-         ("XX2", "RM1", 1, dt.date(2001, 1, 1), 5), ("PO3", "RM1", -4, dt.date(2001, 1, 1), 6)],
-        "p_po_no string, p_material_id string, p_purchase_qty long, p_po_date date, arrival_seq long")
+        [("PO1", "RM404", 5, dt.date(2001, 1, 1), 1, 1, 1), ("PO1", "RM1", 5, dt.date(2001, 1, 1), 2, 1, 1),
+         ("PO1", "RM1", 7, dt.date(2001, 1, 1), 3, 1, 1), ("PO9", "RM1", 1, dt.date(2001, 1, 1), 4, 1, 1),
+         ("XX2", "RM1", 1, dt.date(2001, 1, 1), 5, 1, 1), ("PO3", "RM1", -4, dt.date(2001, 1, 1), 6, 1, 1)],
+        "p_po_no string, p_material_id string, p_purchase_qty long, p_po_date date, arrival_order long, "
+        "arrival_line long, arrival_part long")
     res = events.process_purchase_orders(req, mats, existing)
     assert sorted((r.PONo, r.PurcQty) for r in res.accepted.collect()) == [("PO1", 5), ("PO3", -4)]
-    codes = {r.arrival_seq: r.error_code for r in res.rejected.collect()}
+    codes = {r.arrival_order: r.error_code for r in res.rejected.collect()}
     assert codes == {1: -20002, 3: -20003, 4: -20003, 5: -20003}
     assert {r.material_Id: r.quantity for r in res.materials_after.collect()} == {"RM1": 11}
     assert sorted(r.updated_quantity for r in res.audit.collect()) == [11, 15]

@@ -9,9 +9,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 
 import __spark_entry__ as entry  # noqa: E402
 from check_oracle import digest, duck  # noqa: E402
+from larder.plans import registry  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-SQL = entry.oracle_sql()
+SQL = registry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -19,9 +20,9 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_matches_oracle(spark, con, name):
-    df = entry.queries()[name](spark, SF)
+    df = registry.queries()[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]
     assert name in SQL, "every job has an oracle"
     res = con.execute(SQL[name])

@@ -50,7 +50,7 @@ def test_scan_within_matches_fold_with_hot_group(spark):
 def _sequential_ledger(events, start):
     bal = dict(start)
     out = {}
-    for e in sorted(events, key=lambda e: (e[0], e[3], e[4], e[5], e[6])):
+    for e in sorted(events, key=lambda e: (e[0], e[3], e[4], e[5], e[6], e[7])):
         m, kind, q = e[0], e[1], e[2]
         if kind == "receipt":
             bal[m] += q
@@ -60,7 +60,7 @@ def _sequential_ledger(events, start):
             ok = True
         else:
             ok = False
-        out[(m, e[6])] = (ok, bal[m])
+        out[(m, e[7])] = (ok, bal[m])
     return out
 
 
@@ -73,11 +73,11 @@ def test_stock_ledger_equals_sequential_fold(spark):
         m = "RM0" if i % 3 == 0 else f"RM{rnd.randint(0, 5)}"  # RM0 is hot
         if rnd.random() < 0.2:
             q = rnd.randint(0, 4) if m != "RM4" else rnd.randint(-2, 3)  # RM4 has negative receipts
-            events.append((m, "receipt", q, i, 0, i, f"PO{i}"))
+            events.append((m, "receipt", q, i, 0, i, 7, f"PO{i}"))
         else:
-            events.append((m, "reservation", 1, i, 1, i, f"SPM{i}"))
+            events.append((m, "reservation", 1, i, 1, 0, 0, f"SPM{i}"))
     ev = spark.createDataFrame(events, "Material_Id string, kind string, quantity long, arrival_key long, "
-                                       "kind_rank int, seq long, ref string")
+                                       "kind_rank int, line long, part long, ref string")
     mats = spark.createDataFrame(list(start.items()), "material_Id string, quantity long")
     got = {(r.Material_Id, r.ref): (r.accepted, r.balance) for r in stock_ledger(ev, mats).collect()}
     assert got == _sequential_ledger(events, start)
@@ -85,8 +85,9 @@ def test_stock_ledger_equals_sequential_fold(spark):
 
 def test_ledger_events_orders_receipt_before_lines(spark):
     lines = spark.createDataFrame([("RM1", "SPM5", 5)], "Material_Id string, trackingID string, arrival_seq long")
-    recs = spark.createDataFrame([("PO5", "RM1", 3, 5_100_007)],
-                                 "p_po_no string, p_material_id string, p_purchase_qty long, arrival_seq long")
+    recs = spark.createDataFrame([("PO5", "RM1", 3, 5, 1, 7)],
+                                 "p_po_no string, p_material_id string, p_purchase_qty long, arrival_order long, "
+                                 "arrival_line long, arrival_part long")
     ev = ledger_events(lines, recs).orderBy("arrival_key", "kind_rank").collect()
     assert [e.kind for e in ev] == ["receipt", "reservation"]
     assert ev[0].arrival_key == 5
