@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.catalogue import CATALOGUE, Table
+from larder.operators.ordinal import stored
 
 VIOLATION_COLUMNS = ("table_name", "rule", "row_key", "column_name", "value")
 
@@ -31,8 +32,9 @@ def render(df: DataFrame, name: str) -> Column:
 
 
 def row_key(df: DataFrame, key: Sequence[str] | None) -> Column:
+    """Key parts joined by ``|``; a NULL part reads ``NULL``, so the place of each part stays known."""
     cols = list(key) if key else df.columns
-    return F.concat_ws("|", *[render(df, k) for k in cols])
+    return F.concat_ws("|", *[F.coalesce(render(df, k), F.lit("NULL")) for k in cols])
 
 
 def _found(df: DataFrame, table: str, cond: Column, rule: str, column: str, key: Sequence[str] | None,
@@ -49,9 +51,16 @@ def _blank(df: DataFrame, name: str) -> Column:
     return c.isNull()
 
 
+def valued(df: DataFrame) -> DataFrame:
+    """The same rows with empty text as NULL, as the dialect stores it: every rule reads this."""
+    return df.select(*[F.when(F.col(f"`{f.name}`") != "", F.col(f"`{f.name}`")).alias(f.name)
+                       if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in df.schema.fields])
+
+
 # ---------------------------------------------------------------- single rules
 def check_not_null(df: DataFrame, table: str, cols: Sequence[str], key: Sequence[str] | None = None) -> DataFrame:
     """NULL (or empty text) in a NOT NULL column."""
+    df = valued(df)
     parts = [_found(df, table, _blank(df, c), "not_null", c, key) for c in cols]
     out = parts[0]
     for p in parts[1:]:
@@ -62,6 +71,7 @@ def check_not_null(df: DataFrame, table: str, cols: Sequence[str], key: Sequence
 def check_primary_key(df: DataFrame, table: str, key: Sequence[str]) -> DataFrame:
     """A key part is NULL (one row per row) or a key value repeats (one row per key,
     value = number of rows)."""
+    df = valued(df)
     label = ",".join(key)
     nulls = _found(df, table, F.greatest(*[_blank(df, k) for k in key]) if len(key) > 1 else _blank(df, key[0]),
                    "primary_key", label, key, value=F.lit(None).cast("string"))
@@ -76,6 +86,7 @@ def check_primary_key(df: DataFrame, table: str, key: Sequence[str]) -> DataFram
 
 def check_unique(df: DataFrame, table: str, column: str) -> DataFrame:
     """A non-key value that repeats (NULLs exempt); one row per value."""
+    df = valued(df)
     counted = (df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
                .filter(F.col("_n") > 1))
     return counted.select(F.lit(table).alias("table_name"), F.lit("unique").alias("rule"),
@@ -86,6 +97,7 @@ def check_unique(df: DataFrame, table: str, column: str) -> DataFrame:
 def check_foreign_key(child: DataFrame, table: str, column: str, parent: DataFrame, parent_column: str,
                       key: Sequence[str] | None = None) -> DataFrame:
     """A non-NULL child value with no parent row."""
+    child, parent = valued(child), valued(parent)
     keys = parent.select(F.col(parent_column).alias("_pk")).filter(F.col("_pk").isNotNull())
     orphans = child.filter(F.col(column).isNotNull()).join(keys, F.col(column) == F.col("_pk"), "left_anti")
     return _found(orphans, table, F.lit(True), "foreign_key", column, key)
@@ -93,33 +105,39 @@ def check_foreign_key(child: DataFrame, table: str, column: str, parent: DataFra
 
 def check_prefix(df: DataFrame, table: str, column: str, prefix: str, key: Sequence[str] | None = None) -> DataFrame:
     """``LIKE 'prefix%'`` fails (case-sensitive; NULL passes)."""
+    df = valued(df)
     return _found(df, table, ~F.col(column).startswith(prefix), "prefix", column, key)
 
 
 def check_min(df: DataFrame, table: str, column: str, low=0, key: Sequence[str] | None = None) -> DataFrame:
     """Value below the minimum (NULL passes)."""
+    df = valued(df)
     return _found(df, table, F.col(column) < low, "min", column, key)
 
 
 def check_between(df: DataFrame, table: str, column: str, low, high, key: Sequence[str] | None = None) -> DataFrame:
     """Value outside the inclusive range (NULL passes)."""
+    df = valued(df)
     return _found(df, table, ~F.col(column).between(low, high), "between", column, key)
 
 
 def check_in(df: DataFrame, table: str, column: str, values: Sequence, key: Sequence[str] | None = None) -> DataFrame:
     """Value outside the list (NULL passes)."""
+    df = valued(df)
     return _found(df, table, ~F.col(column).isin(*values), "in", column, key)
 
 
 def check_max_length(df: DataFrame, table: str, column: str, width: int,
                      key: Sequence[str] | None = None) -> DataFrame:
     """Text longer than the declared number of bytes."""
+    df = valued(df)
     return _found(df, table, F.octet_length(column) > width, "max_length", column, key)
 
 
 def check_precision(df: DataFrame, table: str, column: str, digits: int,
                     key: Sequence[str] | None = None) -> DataFrame:
     """C11: number with more integer digits than declared."""
+    df = valued(df)
     return _found(df, table, F.abs(F.col(column)) >= 10 ** digits, "precision", column, key)
 
 
@@ -159,6 +177,7 @@ def _key_of(df: DataFrame, table: Table) -> list[str] | None:
 
 def row_rules(df: DataFrame, table: Table) -> DataFrame:
     """All row-level rules of ``table`` over ``df`` in one pass."""
+    df = valued(df)
     conds = _row_conditions(df, table)
     key = _key_of(df, table)
     if not conds:
@@ -174,6 +193,7 @@ def row_rules(df: DataFrame, table: Table) -> DataFrame:
 
 def table_violations(df: DataFrame, table: Table, parents: Mapping[str, DataFrame]) -> DataFrame:
     """Every rule of ``table`` that can be checked with the columns and parents at hand."""
+    df = valued(df)
     present = {c.lower(): c for c in df.columns}
     out = row_rules(df, table)
     key = _key_of(df, table)
@@ -194,6 +214,7 @@ def table_violations(df: DataFrame, table: Table, parents: Mapping[str, DataFram
 def _counts(df: DataFrame, table: Table, parents: Mapping[str, DataFrame]) -> list[DataFrame]:
     """Violation counts of one table: all row-level rules (and NULL key parts) in one
     aggregate pass, then one aggregate per key / UNIQUE rule and one anti join per FK."""
+    df = valued(df)
     present = {c.lower(): c for c in df.columns}
     key = _key_of(df, table)
     conds = [(rule, cond) for rule, _, cond in _row_conditions(df, table)]
@@ -203,20 +224,13 @@ def _counts(df: DataFrame, table: Table, parents: Mapping[str, DataFrame]) -> li
     name = F.lit(table.name).alias("table_name")
     out: list[DataFrame] = []
     flags = [F.sum(F.when(c, 1).otherwise(0)).alias(f"_c{i}") for i, (_, c) in enumerate(conds)]
-    if key:
-        # one pass: per key the row count and the row-rule hits, then totals and repeated keys
-        per_key = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"), *flags)
-        whole = F.col("_rows") > 1
-        for k in key:
-            whole = whole & F.col(k).isNotNull()
-        sums = per_key.agg(*[F.sum(f"_c{i}").alias(f"_c{i}") for i in range(len(conds))],
-                           F.sum(F.when(whole, 1).otherwise(0)).alias(f"_c{len(conds)}"))
-        conds = conds + [("primary_key", None)]
-    elif conds:
-        sums = df.agg(*flags)
     if conds:
+        sums = df.agg(*flags)  # no row is shuffled for its row rules
         pairs = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"_c{i}").alias("n")) for i, (r, _) in enumerate(conds)])
         out.append(sums.select(name, F.explode(pairs).alias("_p")).select("table_name", "_p.rule", "_p.n"))
+    if key:  # repeated keys: only the key columns are shuffled, partly counted
+        whole = df.select(*key).dropna("any").groupBy(*key).agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1")
+        out.append(whole.agg(F.count(F.lit(1)).alias("n")).select(name, F.lit("primary_key").alias("rule"), "n"))
     for column in table.uniques:
         if column.lower() in present:
             c = present[column.lower()]
@@ -228,7 +242,7 @@ def _counts(df: DataFrame, table: Table, parents: Mapping[str, DataFrame]) -> li
             pcol = {c.lower(): c for c in pdf.columns}.get(parent_column.lower())
             if pcol:
                 c = present[column.lower()]
-                keys = pdf.select(F.col(pcol).alias("_pk")).filter(F.col("_pk").isNotNull())
+                keys = valued(pdf).select(F.col(pcol).alias("_pk")).filter(F.col("_pk").isNotNull())
                 orphans = df.filter(F.col(c).isNotNull()).join(keys, F.col(c) == F.col("_pk"), "left_anti")
                 out.append(orphans.agg(F.count(F.lit(1)).alias("n"))
                            .select(name, F.lit("foreign_key").alias("rule"), "n"))
@@ -246,44 +260,69 @@ def constraint_report(tables: Mapping[str, DataFrame], catalogue: Mapping[str, T
             .filter(F.col("violations") > 0))
 
 
+def unchecked_rules(df: DataFrame, table: Table, parents: Mapping[str, DataFrame]) -> list[str]:
+    """Rules of ``table`` that the columns and parents at hand cannot check."""
+    present = {c.lower() for c in df.columns}
+    out = [f"column({c.name})" for c in table.columns if c.name.lower() not in present]
+    if table.key and not all(k.lower() in present for k in table.key):
+        out.append(f"primary_key({','.join(table.key)})")
+    out += [f"prefix({c})" for c, _ in table.prefixes if c.lower() not in present]
+    out += [f"{kind}({c})" for c, kind, _ in table.value_rules if c.lower() not in present]
+    out += [f"unique({c})" for c in table.uniques if c.lower() not in present]
+    for column, parent, parent_column in table.foreign_keys:
+        there = parent in parents and parent_column.lower() in {c.lower() for c in parents[parent].columns}
+        if column.lower() not in present or not there:
+            out.append(f"foreign_key({column})")
+    return out
+
+
 class Split(NamedTuple):
     accepted: DataFrame
     rejected: DataFrame  # batch columns + reasons (sorted, '; '-joined)
 
 
 def quarantine(batch: DataFrame, table: Table, parents: Mapping[str, DataFrame],
-               existing: DataFrame | None = None) -> Split:
+               existing: DataFrame | None = None, order: Sequence[str] = ()) -> Split:
     """Split an incoming batch by every rule of its table.
 
-    A key repeated inside the batch rejects all its rows (no arrival order is implied);
-    a key already present in ``existing`` rejects the row.
+    The key is judged last, over the rows that pass all other rules: of equal keys the first by
+    ``order`` (then by the columns of the batch) is accepted, unless ``existing`` has the key. The
+    split is stored once, so both outputs are of one run.
     """
     present = {c.lower(): c for c in batch.columns}
-    conds = _row_conditions(batch, table)
-    reasons: list[Column] = [F.when(cond, F.lit(f"{rule}({name})")) for rule, name, cond in conds]
-    staged = batch
-    key = _key_of(batch, table)
-    if key:
-        dup = (batch.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
-               .select(*[F.col(k).alias(f"_d{i}") for i, k in enumerate(key)], F.lit(True).alias("_dup")))
-        staged = staged.join(dup, [staged[k] == dup[f"_d{i}"] for i, k in enumerate(key)], "left")
-        reasons.append(F.when(F.col("_dup"), F.lit(f"primary_key({','.join(key)})")))
-        if existing is not None:
-            old = existing.select(*[F.col(k).alias(f"_e{i}") for i, k in enumerate(key)]).distinct() \
-                .withColumn("_old", F.lit(True))
-            staged = staged.join(old, [staged[k] == old[f"_e{i}"] for i, k in enumerate(key)], "left")
-            reasons.append(F.when(F.col("_old"), F.lit(f"key_exists({','.join(key)})")))
+    staged = valued(batch)
+    reasons: list[Column] = [F.when(cond, F.lit(f"{rule}({name})")) for rule, name, cond in _row_conditions(staged, table)]
     for j, (column, parent, parent_column) in enumerate(table.foreign_keys):
         if column.lower() not in present or parent not in parents:
             continue
-        pdf = parents[parent]
+        pdf = valued(parents[parent])
         pcol = {c.lower(): c for c in pdf.columns}.get(parent_column.lower())
+        if pcol is None:
+            continue
         ok = pdf.select(F.col(pcol).alias(f"_p{j}")).filter(F.col(f"_p{j}").isNotNull()).distinct()
         name = present[column.lower()]
-        staged = staged.join(ok, staged[name] == ok[f"_p{j}"], "left")
+        bare = staged.filter(F.col(name).isNull())  # NULL keys do not meet the join
+        staged = staged.filter(F.col(name).isNotNull()).join(ok, F.col(name) == F.col(f"_p{j}"), "left").unionByName(
+            bare, allowMissingColumns=True)
         reasons.append(F.when(F.col(name).isNotNull() & F.col(f"_p{j}").isNull(), F.lit(f"foreign_key({name})")))
-    found = F.array_sort(F.filter(F.array(*reasons), lambda x: x.isNotNull())) if reasons else F.array()
-    staged = staged.select(*[staged[c] for c in batch.columns], found.alias("_why"))
+    found = F.filter(F.array(*reasons), lambda x: x.isNotNull()) if reasons else F.array().cast("array<string>")
+    staged = stored(staged.select(*batch.columns, found.alias("_why"), F.monotonically_increasing_id().alias("_id")))
+    key = _key_of(batch, table)
+    if key:
+        places = [*order, *batch.columns]
+        place = F.struct(*[x for i, c in enumerate(places) for x in (F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"c{i}"))],
+                         F.col("_id").alias("_id"))
+        fit = staged.filter(F.size("_why") == 0)
+        first = fit.groupBy(*key).agg(F.min(place).alias("_place")).select(F.col("_place._id").alias("_first"))
+        judged = fit.join(first, F.col("_id") == F.col("_first"), "left")
+        why = [F.when(F.col("_first").isNull(), F.lit(f"primary_key({','.join(key)})"))]
+        if existing is not None:
+            old = valued(existing).select(*[F.col(k).alias(f"_e{i}") for i, k in enumerate(key)]).dropna("any").distinct()
+            judged = judged.join(old, [F.col(k) == F.col(f"_e{i}") for i, k in enumerate(key)], "left")
+            why.append(F.when(F.col("_e0").isNotNull(), F.lit(f"key_exists({','.join(key)})")))
+        judged = judged.select(*batch.columns, F.filter(F.array(*why), lambda x: x.isNotNull()).alias("_why"))
+        staged = stored(judged.unionByName(staged.filter(F.size("_why") > 0).select(*batch.columns, "_why")))
     accepted = staged.filter(F.size("_why") == 0).select(*batch.columns)
-    rejected = staged.filter(F.size("_why") > 0).select(*batch.columns, F.concat_ws("; ", "_why").alias("reasons"))
+    rejected = staged.filter(F.size("_why") > 0).select(
+        *batch.columns, F.concat_ws("; ", F.array_sort("_why")).alias("reasons"))
     return Split(accepted, rejected)

@@ -117,9 +117,13 @@ def _events() -> dict[str, Builder]:
     }
 
 
-def _po_batch(t: Fixtures) -> DataFrame:
+ARRIVAL = ("arrival_order", "arrival_line", "arrival_part")
+ORDER_COLUMNS = ("PONo", "PODate", "PurcQty", "Material_Id")
+
+
+def _po_batch(t: Fixtures, *more: str) -> DataFrame:
     r = t.po_requests
-    return r.select(r.p_po_no.alias("PONo"), r.p_po_date.alias("PODate"), r.p_purchase_qty.alias("PurcQty"),
+    return r.select(*more, r.p_po_no.alias("PONo"), r.p_po_date.alias("PODate"), r.p_purchase_qty.alias("PurcQty"),
                     r.p_material_id.alias("Material_Id"))
 
 
@@ -144,8 +148,9 @@ def _rules() -> dict[str, Builder]:
 
     def c13(spark, root):
         t = Fixtures(spark, root)
-        return rules.quarantine(_po_batch(t), CATALOGUE["purchase_order"], {"raw_materials": t.raw_materials},
-                                existing=t.purchase_order)
+        split = rules.quarantine(_po_batch(t, *ARRIVAL), CATALOGUE["purchase_order"], {"raw_materials": t.raw_materials},
+                                 existing=t.purchase_order, order=ARRIVAL)
+        return rules.Split(split.accepted.select(*ORDER_COLUMNS), split.rejected.select(*ORDER_COLUMNS, "reasons"))
 
     return {
         "c01_not_null": c01,
@@ -169,6 +174,16 @@ def _rules() -> dict[str, Builder]:
 
 
 def _sources() -> dict[str, Builder]:
+    def materials_file(spark, root):
+        """raw_materials as CSV, columns in another order, with a fraction in every seventh quantity."""
+        t = Fixtures(spark, root)
+        path = scratch_path(spark, "s01-raw-materials")
+        odd = F.substring("material_Id", 3, 20).cast("long") % 7 == 0
+        quantity = F.concat(F.col("quantity").cast("string"), F.when(odd, F.lit(".5")).otherwise(F.lit("")))
+        t.raw_materials.withColumn("quantity", quantity).select(
+            "quantity", "cold_storage", "materialName", "material_Id", "typeofMaterial").write.option("header", "true").csv(path)
+        return io.read_table(spark, "raw_materials", path, fmt="csv", strict=False)
+
     def s01(spark, root):
         t = Fixtures(spark, root)
         path = scratch_path(spark, "s01-raw-materials")
@@ -178,9 +193,11 @@ def _sources() -> dict[str, Builder]:
     def s02(spark, root):
         t = Fixtures(spark, root)
         path = scratch_path(spark, "s02-purchase-order")
-        t.purchase_order.write.parquet(path)
-        io.append_rows(_intake(spark, root).accepted, path)
-        return spark.read.parquet(path)
+        io.append_rows(t.purchase_order, path, "stored")
+        batch = _intake(spark, root).accepted
+        for _ in range(2):  # the second is a replay: nothing is doubled
+            io.insert_rows(batch, "purchase_order", path, "intake", {"raw_materials": t.raw_materials})
+        return io.read_rows(spark, path)
 
     def s03(spark, root):
         t = Fixtures(spark, root)
@@ -198,7 +215,8 @@ def _sources() -> dict[str, Builder]:
     def s05(spark, root):
         return io.audit_messages(_intake(spark, root).audit)
 
-    return {"s01_typed_scan": s01, "s02_append": s02, "s03_apply_delta": s03, "s04_enrich": s04,
+    return {"s01_typed_scan": s01, "s01_accepted": lambda s, r: materials_file(s, r)[0],
+            "s01_refused": lambda s, r: materials_file(s, r)[1], "s02_append": s02, "s03_apply_delta": s03, "s04_enrich": s04,
             "s05_audit": s05}
 
 
@@ -207,7 +225,7 @@ def _slices(df: DataFrame, path: str, order: str | None, parts: int = 4) -> None
     if order is None:
         df.repartition(parts).write.parquet(path)
         return
-    cuts = df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.0)  # parts - 1 numbers
+    cuts = df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01)  # parts - 1 numbers
     bounds = [None, *cuts, None]
     for i in range(parts):
         part = df
@@ -232,7 +250,7 @@ def _streams() -> dict[str, Builder]:
         src, snap, ckpt = (scratch_path(spark, f"e07-{k}") for k in ("in", "snapshot", "ckpt"))
         _slices(t.inventory_details, src, None)
         jobs.run_stock_status_stream(jobs.stream_files(spark, src, t.inventory_details), snap, ckpt)
-        return io.read_current(spark, snap)
+        return jobs.read_stock_status(spark, snap)
 
     def e08(spark, root):
         t = Fixtures(spark, root)

@@ -10,6 +10,12 @@ E04 = (E04_REQ, E04_CAND, E04_OK)
 SOURCE_AND_STREAM_SQL = {
     "s01_typed_scan": with_fixtures(
         "SELECT material_Id, materialName, typeofMaterial, cold_storage, quantity FROM raw_materials"),
+    "s01_accepted": with_fixtures(
+        "SELECT material_Id, materialName, typeofMaterial, cold_storage, quantity FROM raw_materials "
+        "WHERE CAST(material_Id[3:] AS BIGINT) % 7 <> 0"),
+    "s01_refused": with_fixtures(
+        "SELECT material_Id, materialName, typeofMaterial, cold_storage, CAST(quantity AS VARCHAR) || '.5' AS quantity "
+        "FROM raw_materials WHERE CAST(material_Id[3:] AS BIGINT) % 7 = 0"),
     "s02_append": with_fixtures("""
 SELECT PONo, PODate, PurcQty, Material_Id FROM purchase_order
 UNION ALL

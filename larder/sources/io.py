@@ -1,71 +1,87 @@
 """Sources and sinks.
 
-Plain files have no MERGE and no multi-file transaction, so a changed table is written
-as a new version directory and published by rewriting a one-line pointer last; readers
-follow the pointer. All paths live below the cluster's shared folder.
+Plain files have no MERGE and no multi-file transaction. An appended batch has a directory of its
+own, so a replay replaces it. A changed table is written to a new directory and published by one
+small pointer file a version, written last: a crash before it leaves the old version in place and
+no name in the way of the next attempt. Several tables share one pointer, so they change
+together. All paths live below the cluster's shared folder.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.catalogue import CATALOGUE
+from larder.operators.rules import quarantine
 
-POINTER = "_current"
+POINTERS = "versions"
+EXACT = T.DecimalType(38, 10)
 
 
 # ---------------------------------------------------------------- S01
+def _typed(value: Column, kind: T.DataType) -> tuple[Column, Column]:
+    """The value in its declared type, and whether it does not fit: numbers must come through
+    the cast unchanged, so a fraction in a whole number or a third decimal place is refused."""
+    cast = value.try_cast(kind)
+    if isinstance(kind, (T.LongType, T.DecimalType)):
+        cast = F.when(cast.cast(EXACT) == value.try_cast(EXACT), cast)
+    return cast, value.isNotNull() & cast.isNull()
+
+
 def read_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet",
                strict: bool = True) -> DataFrame | tuple[DataFrame, DataFrame]:
     """Typed scan of a catalogue table: every declared column cast to its declared type.
 
-    Columns are matched case-insensitively; a missing column is an error. ``strict``
-    casts under ANSI rules, so a bad value fails the job; otherwise returns
-    ``(typed, refused)`` where refused rows hold a value that does not fit its type
-    (including a fraction in a whole-number column).
+    Columns are matched by name, whatever their order and case (CSV: by the header); a missing
+    column is an error. ``strict``: a value that does not fit its type fails the job; otherwise
+    returns ``(typed, refused)``, the refused rows as text.
     """
     table = CATALOGUE[name]
     reader = spark.read.format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", "true").schema(
-            T.StructType([T.StructField(c.name, T.StringType()) for c in table.columns]))
+        reader = reader.option("header", "true").option("inferSchema", "false")
     raw = reader.load(path)
     have = {c.lower(): c for c in raw.columns}
     missing = [c.name for c in table.columns if c.name.lower() not in have]
     if missing:
         raise ValueError(f"{name}: missing columns {missing}")
-    src = {c.name: F.col(have[c.name.lower()]) for c in table.columns}
+    src = {c.name: F.col(f"`{have[c.name.lower()]}`") for c in table.columns}
+    made = {c.name: _typed(src[c.name], c.spark_type) for c in table.columns}
     if strict:
-        return raw.select(*[src[c.name].cast(c.spark_type).alias(c.name) for c in table.columns])
-    typed_cols, bad = [], []
-    for c in table.columns:
-        cast = F.try_cast(src[c.name], c.spark_type)
-        if isinstance(c.spark_type, T.LongType):  # whole numbers only
-            exact = F.try_cast(src[c.name], T.DecimalType(38, 10))
-            cast = F.when(exact == F.floor(exact), cast)
-        typed_cols.append(cast.alias(c.name))
-        bad.append(src[c.name].isNotNull() & cast.isNull())
-    flagged = raw.select(*typed_cols, F.greatest(*[b.cast("int") for b in bad]).alias("_bad")) if len(bad) > 1 \
-        else raw.select(*typed_cols, bad[0].cast("int").alias("_bad"))
-    return flagged.filter("_bad = 0").drop("_bad"), _refused(raw, table, bad)
-
-
-def _refused(raw: DataFrame, table, bad) -> DataFrame:
-    cond = bad[0]
-    for b in bad[1:]:
-        cond = cond | b
-    have = {c.lower(): c for c in raw.columns}
-    return raw.filter(cond).select(*[F.col(have[c.name.lower()]).cast("string").alias(c.name) for c in table.columns])
+        return raw.select(*[F.when(bad, F.raise_error(F.concat(F.lit(f"{name}.{c}: value does not fit: "), src[c].cast("string"))))
+                            .otherwise(cast).alias(c) for c, (cast, bad) in made.items()])
+    wrong = F.lit(False)
+    for _, bad in made.values():
+        wrong = wrong | bad
+    flagged = raw.withColumn("_bad", wrong)
+    return (flagged.filter(~F.col("_bad")).select(*[cast.alias(c) for c, (cast, _) in made.items()]),
+            flagged.filter(F.col("_bad")).select(*[src[c].cast("string").alias(c) for c in made]))
 
 
 # ---------------------------------------------------------------- S02
-def append_rows(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Insert rows: append files to the table directory (after C13 has split the batch)."""
-    df.write.mode("append").format(fmt).save(path)
+def append_rows(df: DataFrame, path: str, batch_id: str, fmt: str = "parquet") -> None:
+    """Insert rows as the batch ``batch_id``; the same batch again takes the place of the first."""
+    df.write.mode("overwrite").format(fmt).save(f"{path.rstrip('/')}/batch={batch_id}")
+
+
+def read_rows(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    return spark.read.format(fmt).load(path).drop("batch")
+
+
+def insert_rows(batch: DataFrame, name: str, path: str, batch_id: str, parents: Mapping[str, DataFrame],
+                order: Sequence[str] = (), fmt: str = "parquet") -> DataFrame:
+    """S02 behind C13: appends what the table's rules accept and returns the rest with reasons.
+    Rows of an earlier run of the same batch do not count as stored."""
+    stored_rows = batch.sparkSession.read.format(fmt).load(path).filter(F.col("batch").cast("string") != batch_id).drop("batch")
+    split = quarantine(batch, CATALOGUE[name], parents, existing=stored_rows, order=order)
+    append_rows(split.accepted.drop(*order), path, batch_id, fmt)
+    return split.rejected
 
 
 # ---------------------------------------------------------------- S03
@@ -79,34 +95,48 @@ def apply_delta(snapshot: DataFrame, delta: DataFrame, key: Sequence[str], colum
                            .alias(c) if c == column else snapshot[c] for c in snapshot.columns])
 
 
-def publish_version(df: DataFrame, root: str, version: int) -> str:
-    """Write ``df`` as version ``version`` of the table at ``root``, then move the pointer."""
-    spark = df.sparkSession
-    target = f"{root.rstrip('/')}/v{version:09d}"
-    df.write.mode("errorifexists").parquet(target)
-    spark.createDataFrame([(target,)], "path string").coalesce(1).write.mode("overwrite").text(
-        f"{root.rstrip('/')}/{POINTER}")
-    return target
+def publish_tables(tables: Mapping[str, DataFrame], root: str, version: int) -> dict[str, str]:
+    """Write all ``tables`` as version ``version`` of ``root``, then the one pointer to them."""
+    root = root.rstrip("/")
+    attempt = f"v{version:09d}-{uuid.uuid4().hex}"  # of its own: what a crash leaves is in nobody's way
+    targets = {name: f"{root}/{attempt}/{name}" for name in tables}
+    for name, df in tables.items():
+        df.write.parquet(targets[name])
+    spark = next(iter(tables.values())).sparkSession
+    spark.createDataFrame([(version, n, p) for n, p in targets.items()], "version long, name string, path string").coalesce(
+        1).write.json(f"{root}/{POINTERS}/{attempt}")
+    return targets
 
 
-def current_version(spark: SparkSession, root: str) -> str | None:
+def _current(spark: SparkSession, root: str) -> tuple[int, dict[str, str]] | None:
+    """The highest version with a pointer; None only if there is no pointer at all."""
     try:
-        row = spark.read.text(f"{root.rstrip('/')}/{POINTER}").first()
-    except Exception:  # noqa: BLE001 - no pointer yet
+        rows = spark.read.schema("version long, name string, path string").json(f"{root.rstrip('/')}/{POINTERS}/*")
+        last = rows.agg(F.max("version")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    if last is None:
         return None
-    return row[0] if row else None
+    found = rows.filter(F.col("version") == last).groupBy("name").agg(F.max("path").alias("path")).collect()
+    return last, {r["name"]: r["path"] for r in found}  # one row a table of this root
+
+
+def publish_version(df: DataFrame, root: str, version: int) -> str:
+    return publish_tables({"table": df}, root, version)["table"]
 
 
-def read_current(spark: SparkSession, root: str) -> DataFrame:
-    path = current_version(spark, root)
-    if path is None:
+def read_current(spark: SparkSession, root: str, name: str = "table") -> DataFrame:
+    found = _current(spark, root)
+    if found is None:
         raise FileNotFoundError(f"no published version under {root}")
-    return spark.read.parquet(path)
+    return spark.read.parquet(found[1][name])
 
 
 def next_version(spark: SparkSession, root: str) -> int:
-    path = current_version(spark, root)
-    return 0 if path is None else int(path.rsplit("/v", 1)[1]) + 1
+    found = _current(spark, root)
+    return 0 if found is None else found[0] + 1
 
 
 # ---------------------------------------------------------------- S04

@@ -1,8 +1,8 @@
 """Structured Streaming forms of the row-event jobs.
 
 E06: coupon totals on a stream of order requests (stream-static join; stateless).
-E07: stock status on a stream of inventory rows; a ``foreachBatch`` sink keeps the latest
-     row per key in a versioned snapshot (plain files have no MERGE).
+E07: stock status on a stream of inventory rows; a ``foreachBatch`` sink writes change files,
+     and the reader takes the latest row per key (plain files have no MERGE).
 E08: stock reservation on a stream of shipment lines; the units left per material are
      the only state (``applyInPandasWithState``), seeded from the stock snapshot.
 
@@ -13,15 +13,14 @@ from its checkpoint, and the file sink commits each micro-batch exactly once.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from larder.operators.events import INSUFFICIENT_STOCK, LINE_ORDER, apply_coupon_totals, stock_status
-from larder.sources.io import next_version, publish_version, read_current
 
 
 def stream_files(spark: SparkSession, path: str, template: DataFrame, files_per_batch: int = 1) -> DataFrame:
@@ -44,30 +43,40 @@ def coupon_totals_stream(requests: DataFrame, coupons: DataFrame, as_of: dt.date
 
 
 # ------------------------------------------------------------------------- E07
-def stock_status_upsert(snapshot_root: str, key: str = "Material_Id", order: str | None = None):
-    """``foreachBatch`` function: score the batch (E02) and publish a new snapshot version
-    holding the latest row per key (batch rows win over the snapshot; inside a batch the
-    greatest ``order`` wins)."""
-
-    def upsert(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        scored = stock_status(batch).withColumn("_epoch", F.lit(epoch).cast("long"))
-        scored = scored.withColumn("_seq", F.col(order).cast("long") if order else F.lit(0).cast("long"))
-        version = next_version(spark, snapshot_root)
-        if version:
-            old = read_current(spark, snapshot_root).withColumn("_epoch", F.lit(-1).cast("long")) \
-                .withColumn("_seq", F.lit(0).cast("long"))
-            scored = old.unionByName(scored)
-        latest = (scored.withColumn("_r", F.row_number().over(
-            Window.partitionBy(key).orderBy(F.col("_epoch").desc(), F.col("_seq").desc())))
-            .filter("_r = 1").drop("_r", "_epoch", "_seq"))
-        publish_version(latest, snapshot_root, version)
-
-    return upsert
-
-
-def run_stock_status_stream(stream: DataFrame, snapshot_root: str, checkpoint: str) -> None:
-    q = (stream.writeStream.foreachBatch(stock_status_upsert(snapshot_root))
+INVENTORY_KEY = ("Material_Id", "inv_Id")
+
+
+def _keys(df: DataFrame) -> list[str]:
+    return [c for c in INVENTORY_KEY if c in df.columns]
+
+
+def stock_status_changes(root: str):
+    """``foreachBatch`` function: score the batch (E02) and write it as a change file of its own.
+    A batch that runs again after a crash replaces its file; no snapshot is rewritten."""
+
+    def change(batch: DataFrame, epoch: int) -> None:
+        stock_status(batch).write.mode("overwrite").parquet(f"{root.rstrip('/')}/epoch={epoch}")
+
+    return change
+
+
+def read_stock_status(spark: SparkSession, root: str, order: Sequence[str] = ()) -> DataFrame:
+    """The latest row of each (material, inventory): of the last batch that has it, in it the
+    greatest by ``order`` (then by the other columns). Rows with a NULL in the key are no versions
+    of one another: all stay. Reduced by a partial aggregate, so a hot key costs one row a task."""
+    changes = spark.read.parquet(root)
+    columns = [c for c in changes.columns if c != "epoch"]
+    keys = _keys(changes)
+    place = F.struct(F.col("epoch"), *[F.col(c) for c in order], F.struct(*columns).alias("_row"))
+    full = F.lit(True)
+    for k in keys:
+        full = full & F.col(k).isNotNull()
+    latest = changes.filter(full).groupBy(*keys).agg(F.max(place).alias("_last")).select("_last._row.*")
+    return latest.unionByName(changes.filter(~full).select(*columns))
+
+
+def run_stock_status_stream(stream: DataFrame, root: str, checkpoint: str) -> None:
+    q = (stream.writeStream.foreachBatch(stock_status_changes(root))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
