@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.batches import Remembered, coded, list_array, ragged, steps, take, text_column
+from larder.llm.batches import Remembered, coded, list_array, ragged, steps, strings, take, text_column
 from larder.llm.common import table
 
 #: White space, and the rule that cuts a text into words.
@@ -33,10 +33,13 @@ BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + BLANK + r"\p{L}\p{N}]+|["
          + BLANK + r"]+(?![^" + BLANK + r"])|[" + BLANK + r"]+")
 FILE = "byte_bpe_50k.json"
-#: Ids decoded at once.
+#: Bytes of text encoded, and ids decoded, at once.
+STEP_TEXT = 2 << 20
 STEP_IDS = 1 << 20
+#: Words merged at once.
+STEP_WORDS = 1 << 14
 #: Distinct pieces of text kept by one Python worker.
-KEPT_PIECES = 600_000
+KEPT_PIECES = 300_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -69,6 +72,8 @@ class Codec:
         self.bytes, self.byte_at = ragged([spelled.get(i, b"") for i in range(self.size)])
         self.bytes = self.bytes.astype(np.uint8)
         self.words = regex.compile(WORDS)
+        letter = regex.compile(f"[{BLANK}]")
+        self.blank = {"", *(chr(i) for i in range(0x3001) if letter.match(chr(i)))}
         self.cut_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.kept = Remembered(self.pieces, KEPT_PIECES)
 
@@ -116,7 +121,8 @@ class Codec:
         sizes = [len(ws) for ws in cut]
         each = [w for ws in cut for w in ws]
         places = {w: k for k, w in enumerate(dict.fromkeys(each))}
-        ids, offsets = ragged(self.merge(list(places)))
+        words = list(places)
+        ids, offsets = ragged([x for k in range(0, len(words), STEP_WORDS) for x in self.merge(words[k:k + STEP_WORDS])])
         out, lengths = take(ids, offsets, np.fromiter((places[w] for w in each), np.int64, len(each)))
         return out, np.append(0, np.cumsum(lengths))[np.append(0, np.cumsum(sizes)).astype(np.int64)]
 
@@ -153,10 +159,9 @@ class Codec:
         code, distinct = coded(values)
         if not len(code):
             return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
-        strings = distinct.to_pylist()
-        blank = regex.compile(f"[{BLANK}]")
-        opens = np.array([bool(s) and not blank.match(s[0]) for s in strings])
-        closes = np.array([bool(s) and not blank.match(s[-1]) for s in strings])
+        parts = strings(distinct)
+        opens = np.array([s[:1] not in self.blank for s in parts])
+        closes = np.array([s[-1:] not in self.blank for s in parts])
         inner = np.append(False, row[1:] == row[:-1])  # follows a blank
         free = ~inner | (opens[code] & np.append(False, closes[code[:-1]]))  # a piece begins here
         alone = free & np.append(free[1:], True)
@@ -165,11 +170,11 @@ class Codec:
         extra: dict[str, int] = {}
         ends = np.append(heads[1:], len(code))
         for a, b in zip(heads[~alone[heads]].tolist(), ends[~alone[heads]].tolist()):
-            s = (" " if inner[a] else "") + " ".join(strings[c] for c in code[a:b].tolist())
-            key[a] = 2 * len(strings) + extra.setdefault(s, len(extra))
+            s = (" " if inner[a] else "") + " ".join(parts[c] for c in code[a:b].tolist())
+            key[a] = 2 * len(parts) + extra.setdefault(s, len(extra))
         kinds, which = np.unique(key[heads], return_inverse=True)
         more = list(extra)
-        known = [more[k - 2 * len(strings)] if k >= 2 * len(strings) else (" " if k % 2 else "") + strings[k // 2]
+        known = [more[k - 2 * len(parts)] if k >= 2 * len(parts) else (" " if k % 2 else "") + parts[k // 2]
                  for k in kinds.tolist()]
         ids, offsets, place = self.kept(known)
         out, n = take(ids, offsets, place[which])
@@ -189,19 +194,23 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: the id column and ``ids`` (array<int>)."""
+def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """One row per input row: the id column, ``ids`` (array<int>) and, with ``decoded``, the text
+    that decoding these ids gives (in the same task, so that the ids make one way only)."""
     kind = df.schema[id_col].dataType.simpleString()
+    names = [id_col, "ids", *(["decoded"] if decoded else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for step in steps(batches, "text"):
+        for step in steps(batches, "text", STEP_TEXT):
             ids, n = c.encode(text_column(step, "text"))
-            yield pa.RecordBatch.from_arrays([step.column(0), list_array(ids.astype(np.int32), n, pa.int32())],
-                                             names=[id_col, "ids"])
+            columns = [step.column(0), list_array(ids.astype(np.int32), n, pa.int32())]
+            if decoded:
+                columns.append(pa.array(c.decode(ids, n), pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return df.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, f"`{id_col}` {kind}, ids array<int>")
+        run, f"`{id_col}` {kind}, ids array<int>" + (", decoded string" if decoded else ""))
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -231,7 +240,7 @@ def query(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFram
         import public_tokenizers
 
         path = public_tokenizers.path(FILE)
-    done = decode(encode(table(spark, sf_dir, "documents"), path), path)
+    done = encode(table(spark, sf_dir, "documents"), path, decoded=True)
     return done.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
