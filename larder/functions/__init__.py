@@ -1,5 +0,0 @@
-from larder.functions.exprs import (add_months_keep_end, band, first_date_at_or_after, joined_text,
-                                    mean, months_back_literal, percent_text, ratio)
-
-__all__ = ["add_months_keep_end", "band", "first_date_at_or_after", "joined_text", "mean",
-           "months_back_literal", "percent_text", "ratio"]

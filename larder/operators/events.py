@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from larder.functions.exprs import first_date_at_or_after
 from larder.operators.ordinal import OrderSpec, scan_within, stored
+from larder.operators.shaping import spread_nulls
 
 # Fixed values of the reference's error handling.
 INSUFFICIENT_STOCK = -20005
@@ -46,16 +47,15 @@ def apply_coupon_totals(order_requests: DataFrame, coupons: DataFrame, as_of: dt
     inclusive; the expiry date means its midnight). An unknown code, a missing total or
     a negative total rejects the row (``accepted`` false, ``totalamount`` NULL).
 
-    Requests without a coupon never meet the coupon table: a NULL join key would send
-    all of them (most orders) to one join task.
+    Requests are read once: those without a coupon get a spread key that no coupon has, so they
+    neither match nor meet in one task.
     """
     valid_from = first_date_at_or_after(as_of)
-    c = coupons.select(F.col("coupon_code").alias("_code"), F.col("minPurchase_amt").alias("_min"),
-                       F.col("coupExpiry").alias("_expiry"), F.col("coupDiscount").alias("_discount"))
-    with_code = order_requests.filter(F.col("coupon_code").isNotNull())
-    matched = with_code.join(c, with_code["coupon_code"] == c["_code"], "left")
-    bare = order_requests.filter(F.col("coupon_code").isNull())
-    both = matched.unionByName(bare, allowMissingColumns=True)
+    c = coupons.filter(F.col("coupon_code").isNotNull()).select(
+        F.col("coupon_code").alias("_code"), F.col("minPurchase_amt").alias("_min"), F.col("coupExpiry").alias("_expiry"),
+        F.col("coupDiscount").alias("_discount"), F.lit(0).alias("_place"))
+    both = spread_nulls(order_requests, "coupon_code").join(
+        c, F.col("coupon_code").eqNullSafe(F.col("_code")) & (F.col("_spread") == F.col("_place")), "left")
     has = F.col("coupon_code").isNotNull()
     known = F.col("_code").isNotNull()
     valid = (F.col("subtotal") >= F.col("_min")) & (F.col("_expiry") >= F.lit(valid_from))

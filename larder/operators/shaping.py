@@ -27,3 +27,10 @@ def previous_period(df: DataFrame, by: Sequence[str], period: str, value: str, o
 def total_of(df: DataFrame, value: str) -> Column:
     """Grand total as an uncorrelated scalar subquery (one row; computed once)."""
     return df.select(F.sum(value)).scalar()
+
+
+def spread_nulls(df: DataFrame, key: str, places: int = 1000) -> DataFrame:
+    """Adds ``_spread``: 0 where ``key`` has a value, else one of ``places`` numbers from 1 on. With it
+    as a second join key (0 on the other side) rows without a key match nothing and are dealt out."""
+    place = F.pmod(F.xxhash64(*df.columns), F.lit(places)) + 1
+    return df.withColumn("_spread", F.when(F.col(key).isNull(), place).otherwise(F.lit(0)).cast("int"))

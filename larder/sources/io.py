@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from larder.catalogue import CATALOGUE
 from larder.operators.rules import quarantine
+from larder.operators.shaping import spread_nulls
 
 POINTERS = "versions"
 EXACT = T.DecimalType(38, 10)
@@ -149,11 +150,10 @@ def enrich(df: DataFrame, dim: DataFrame, key: str, dim_key: str | None = None,
     """
     dk = dim_key or key
     cols = list(columns) if columns is not None else [c for c in dim.columns if c != dk]
-    d = dim.select(F.col(dk).alias("_dk"), *cols)
-    keyed = df.filter(F.col(key).isNotNull())
-    found = keyed.join(d, keyed[key] == d["_dk"], "left").drop("_dk")
-    # rows without a key never meet the dimension: NULL keys would all hash to one task
-    return found.unionByName(df.filter(F.col(key).isNull()), allowMissingColumns=True)
+    d = dim.filter(F.col(dk).isNotNull()).select(F.col(dk).alias("_dk"), *cols, F.lit(0).alias("_place"))
+    keyed = spread_nulls(df, key)  # rows without a key match nothing and do not meet in one task
+    return keyed.join(d, F.col(key).eqNullSafe(F.col("_dk")) & (F.col("_spread") == F.col("_place")), "left").drop(
+        "_dk", "_spread", "_place")
 
 
 # ---------------------------------------------------------------- S05
