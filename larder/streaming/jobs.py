@@ -4,7 +4,7 @@ E06: coupon totals on a stream of order requests (stream-static join; stateless)
 E07: stock status on a stream of inventory rows; a ``foreachBatch`` sink writes change files,
      and the reader takes the latest row per key (plain files have no MERGE).
 E08: stock reservation on a stream of shipment lines; the units left per material are
-     the only state (``applyInPandasWithState``), seeded from the stock snapshot.
+     the state, with the ids that took them (``applyInPandasWithState``), seeded from the snapshot.
 
 Sources, sinks and checkpoints live below the shared folder; a restarted query resumes
 from its checkpoint, and the file sink commits each micro-batch exactly once.
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from larder.operators.events import INSUFFICIENT_STOCK, LINE_ORDER, apply_coupon_totals, stock_status
+from larder.operators.shaping import spread_nulls
 
 
 def stream_files(spark: SparkSession, path: str, template: DataFrame, files_per_batch: int = 1) -> DataFrame:
@@ -84,32 +85,50 @@ def run_stock_status_stream(stream: DataFrame, root: str, checkpoint: str) -> No
 # ------------------------------------------------------------------------- E08
 RESERVATION_SCHEMA = ("Material_Id string, trackingID string, arrival_seq long, status string, error_code int, "
                       "reason string")
-STATE_SCHEMA = "units_left long"
+STATE_SCHEMA = "units_left long, taken array<string>"
 
 
 def _reserve(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    pdf = pd.concat(list(batches), ignore_index=True)
-    pdf = pdf.sort_values([c for c, _ in LINE_ORDER], kind="mergesort")
-    if pdf["_stock"].isna().all():
-        out = pdf.assign(status="rejected", error_code=None, reason="unknown_material")
-        yield out[["Material_Id", "trackingID", "arrival_seq", "status", "error_code", "reason"]]
+    pdf = pd.concat(list(batches), ignore_index=True).sort_values([c for c, _ in LINE_ORDER], kind="mergesort")
+    if pdf["_stock"].isna().all():  # no such material: no state
+        yield _lines(pdf, ["rejected"] * len(pdf), [None] * len(pdf), ["unknown_material"] * len(pdf))
         return
-    left = state.get[0] if state.exists else int(pdf["_stock"].dropna().iloc[0])
-    granted = max(0, min(len(pdf), left))  # the first `granted` lines (arrival order) take a unit
-    state.update((left - granted,))
-    ok = pd.Series(range(len(pdf)), index=pdf.index) < granted
-    out = pdf.assign(status=ok.map({True: "accepted", False: "rejected"}),
-                     error_code=ok.map({True: None, False: INSUFFICIENT_STOCK}).astype("Int32"),
-                     reason=ok.map({True: None, False: "insufficient_stock"}))
-    yield out[["Material_Id", "trackingID", "arrival_seq", "status", "error_code", "reason"]]
-
-
-def reserve_stock_stream(lines: DataFrame, materials: DataFrame) -> DataFrame:
-    """E03 on a stream. State per material = units left; a line takes one unit while
-    units are above 0. Within a micro-batch lines are taken in arrival order; across
-    batches, batch order is arrival order. Stock changes after the start must arrive as
-    events (E05), not as edits of the snapshot."""
-    stock = materials.select(F.col("material_Id").alias("_mid"), F.col("quantity").alias("_stock"))
-    joined = lines.join(stock, lines["Material_Id"] == stock["_mid"], "left").drop("_mid")
-    return joined.groupBy("Material_Id").applyInPandasWithState(
+    left, taken = (state.get[0], set(state.get[1])) if state.exists else (int(pdf["_stock"].iloc[0]), set())
+    status, code, reason = [], [], []
+    for tid, known in zip(pdf["trackingID"], pdf["_known"]):
+        why = ("missing_key" if tid is None or pd.isna(tid) else "duplicate_line" if tid in taken
+               else None if known else "unknown_shipment")
+        why = "insufficient_stock" if left <= 0 else why  # the stock test comes first
+        if why is None:
+            left -= 1
+            taken.add(tid)  # at most as many as there were units
+        status.append("rejected" if why else "accepted")
+        code.append(INSUFFICIENT_STOCK if why == "insufficient_stock" else None)
+        reason.append(why)
+    state.update((left, sorted(taken)))
+    yield _lines(pdf, status, code, reason)
+
+
+def _lines(pdf: pd.DataFrame, status: list, code: list, reason: list) -> pd.DataFrame:
+    out = pdf[["Material_Id", "trackingID", "arrival_seq"]].copy()
+    return out.assign(status=status, error_code=pd.array(code, dtype="Int32"), reason=reason)
+
+
+def reserve_stock_stream(lines: DataFrame, materials: DataFrame, shipments: DataFrame | None = None) -> DataFrame:
+    """E03 on a stream. State per material: units left, and the tracking ids that have taken
+    one (no more than there were units). Within a micro-batch lines are taken in arrival order;
+    across batches, batch order is arrival order. Lines of no known material keep no state and
+    are dealt out. Stock changes after the start must arrive as events (E05), not as edits of
+    the snapshot."""
+    stock = materials.filter(F.col("material_Id").isNotNull()).select(
+        F.col("material_Id").alias("_mid"), F.col("quantity").alias("_stock"), F.lit(0).alias("_place"))
+    joined = spread_nulls(lines, "Material_Id").join(
+        stock, F.col("Material_Id").eqNullSafe(F.col("_mid")) & (F.col("_spread") == F.col("_place")), "left")
+    if shipments is None:
+        joined = joined.withColumn("_known", F.lit(True))
+    else:
+        ids = shipments.filter(F.col("trackingID").isNotNull()).select(F.col("trackingID").alias("_tid")).distinct()
+        joined = joined.join(ids, F.col("trackingID") == F.col("_tid"), "left").withColumn("_known", F.col("_tid").isNotNull())
+    return joined.select("Material_Id", "trackingID", "arrival_seq", "_stock", "_known", "_spread").groupBy(
+        "Material_Id", "_spread").applyInPandasWithState(
         _reserve, RESERVATION_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)

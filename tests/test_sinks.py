@@ -96,3 +96,21 @@ def test_stock_status_stream_keeps_inventories_and_null_keys(spark):
     got = sorted(map(str, ((r.Material_Id, r.inv_Id, r.inv_qoh, r.inv_stock_status)
                            for r in jobs.read_stock_status(spark, root).collect())))
     assert got == sorted(map(str, [("RM1", "A", 30, "High"), ("RM1", "B", 50, "High"), (None, "A", 1, "Low"), (None, "A", 9, "High")]))
+
+
+def test_reservation_stream_knows_duplicates_and_shipments(spark):
+    sink, ckpt, src = (scratch_path(spark, f"e08-{k}") for k in ("out", "ckpt", "in"))
+    mats = spark.createDataFrame([("RM1", 2), ("RM2", 9)], "material_Id string, quantity long")
+    ships = spark.createDataFrame([("S1",), ("S2",), ("S3",)], "trackingID string")
+    kind = "Material_Id string, trackingID string, arrival_seq long"
+    batches = [[("RM1", "S1", 1), ("RM1", "S1", 2), ("RM1", "S9", 3), ("RM2", None, 4), (None, "S1", 5), (None, None, 5)],
+               [("RM1", "S1", 6), ("RM1", "S2", 7), ("RM1", "S3", 8), ("RM7", "S1", 9), ("RM2", "S3", 10)]]
+    for rows in batches:  # stopped and started again between the two
+        df = spark.createDataFrame(rows, kind)
+        df.coalesce(1).write.mode("append").parquet(src)
+        jobs.run_to_sink(jobs.reserve_stock_stream(jobs.stream_files(spark, src, df), mats, ships), sink, ckpt)
+    got = sorted((r.arrival_seq, r.reason, r.error_code) for r in spark.read.parquet(sink).collect())
+    assert [(a, r) for a, r, _ in got] == [
+        (1, None), (2, "duplicate_line"), (3, "unknown_shipment"), (4, "missing_key"), (5, "unknown_material"),
+        (5, "unknown_material"), (6, "duplicate_line"), (7, None), (8, "insufficient_stock"), (9, "unknown_material"), (10, None)]
+    assert [c for _, _, c in got if c] == [-20005]
