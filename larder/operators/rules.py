@@ -61,11 +61,10 @@ def valued(df: DataFrame) -> DataFrame:
 def check_not_null(df: DataFrame, table: str, cols: Sequence[str], key: Sequence[str] | None = None) -> DataFrame:
     """NULL (or empty text) in a NOT NULL column."""
     df = valued(df)
-    parts = [_found(df, table, _blank(df, c), "not_null", c, key) for c in cols]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    missing = F.filter(F.array(*[F.when(_blank(df, c), F.lit(c)) for c in cols]), lambda c: c.isNotNull())
+    return df.select(row_key(df, key).alias("row_key"), F.explode(missing).alias("column_name")).select(  # one scan
+        F.lit(table).alias("table_name"), F.lit("not_null").alias("rule"), "row_key", "column_name",
+        F.lit(None).cast("string").alias("value"))
 
 
 def check_primary_key(df: DataFrame, table: str, key: Sequence[str]) -> DataFrame:
@@ -250,19 +249,22 @@ def _counts(df: DataFrame, table: Table, parents: Mapping[str, DataFrame]) -> li
 
 
 def constraint_report(tables: Mapping[str, DataFrame], catalogue: Mapping[str, Table] = CATALOGUE) -> DataFrame:
-    """Violation count per table and rule over a set of tables (rules with none are
-    left out). Counts equal the rows ``table_violations`` would return."""
+    """Violation count per table and rule over a set of tables (rules with none are left
+    out). Counts equal the rows ``table_violations`` would return. Rules that the tables at hand
+    cannot check, those of absent tables included, are counted as ``unchecked``."""
     parts = [p for name, df in tables.items() for p in _counts(df, catalogue[name], tables)]
-    allv = parts[0]
-    for p in parts[1:]:
+    spark = next(iter(tables.values())).sparkSession
+    left = [(name, "unchecked", len(unchecked_rules(tables.get(name), table, tables))) for name, table in catalogue.items()]
+    allv = spark.createDataFrame(left, "table_name string, rule string, n long")  # one row a table of the catalogue
+    for p in parts:
         allv = allv.unionByName(p)
     return (allv.groupBy("table_name", "rule").agg(F.sum("n").cast("long").alias("violations"))
             .filter(F.col("violations") > 0))
 
 
-def unchecked_rules(df: DataFrame, table: Table, parents: Mapping[str, DataFrame]) -> list[str]:
-    """Rules of ``table`` that the columns and parents at hand cannot check."""
-    present = {c.lower() for c in df.columns}
+def unchecked_rules(df: DataFrame | None, table: Table, parents: Mapping[str, DataFrame]) -> list[str]:
+    """Rules of ``table`` (None: no such table at hand) that the columns and parents cannot check."""
+    present = {c.lower() for c in df.columns} if df is not None else set()
     out = [f"column({c.name})" for c in table.columns if c.name.lower() not in present]
     if table.key and not all(k.lower() in present for k in table.key):
         out.append(f"primary_key({','.join(table.key)})")

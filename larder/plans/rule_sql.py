@@ -98,11 +98,27 @@ def table_rules(name: str, columns: tuple[str, ...], present: set[str]) -> list[
     return out
 
 
+def _unchecked() -> list[tuple[str, int]]:
+    """Per table of the catalogue: its columns, key, value rules and foreign keys that need what is not derived."""
+    out = []
+    for name, t in CATALOGUE.items():
+        have = {c.lower() for c in REFERENCE_SHAPED.get(name, ())}
+        names = [c.name for c in t.columns] + [c for c, _ in t.prefixes] + [c for c, _, _ in t.value_rules] + list(t.uniques)
+        missing = sum(c.lower() not in have for c in names)
+        missing += bool(t.key) and any(k.lower() not in have for k in t.key)
+        for column, parent, pcol in t.foreign_keys:
+            there = {c.lower() for c in REFERENCE_SHAPED.get(parent, ())}
+            missing += column.lower() not in have or pcol.lower() not in there
+        out.append((name, missing))
+    return out
+
+
 def constraint_report_sql() -> str:
     present = set(REFERENCE_SHAPED)
     parts = [sql for name, cols in REFERENCE_SHAPED.items() for sql in table_rules(name, cols, present)]
     body = ("SELECT table_name, rule, CAST(COUNT(*) AS BIGINT) AS violations FROM (\n"
-            + "\nUNION ALL\n".join(parts) + "\n) v GROUP BY table_name, rule")
+            + "\nUNION ALL\n".join(parts) + "\n) v GROUP BY table_name, rule\nUNION ALL\n"
+            + "\nUNION ALL\n".join(f"SELECT '{n}', 'unchecked', CAST({k} AS BIGINT)" for n, k in _unchecked() if k))
     return with_fixtures(body)
 
 
