@@ -58,29 +58,40 @@ def _before_in_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFra
 def rank_all(df: DataFrame, order: OrderSpec, out: str, *, dense: bool = False,
              num_partitions: int | None = None) -> DataFrame:
     """``df`` plus ``out`` = RANK (or DENSE_RANK) over the whole input ordered by ``order``."""
-    spark = df.sparkSession
-    df = stored(df)  # read by the tally, the range sampler and the join
+    return ranks_all(df, {out: order}, dense=dense, num_partitions=num_partitions)
+
+
+def ranks_all(df: DataFrame, orders: dict[str, OrderSpec], *, dense: bool = False,
+              num_partitions: int | None = None) -> DataFrame:
+    """``df`` plus one rank column for each of ``orders``; the input is run and stored once."""
+    df = stored(df)  # read by the tallies, the range samplers and the joins
+    out = df
+    for name, order in orders.items():
+        ranked = _ranked_keys(df, order, name, dense, num_partitions or partitions(df.sparkSession))
+        keys = [c for c, _ in order]
+        cond = [out[k].eqNullSafe(ranked[f"_k{i}"]) for i, k in enumerate(keys)]
+        out = out.join(ranked, cond, "inner").drop(*[f"_k{i}" for i in range(len(keys))])
+    return out
+
+
+def _ranked_keys(df: DataFrame, order: OrderSpec, out: str, dense: bool, parts: int) -> DataFrame:
+    """One row per distinct key (columns _k0, _k1, ...) with its rank."""
     keys = [c for c, _ in order]
-    weight = F.lit(1).cast("long") if dense else F.count(F.lit(1))
-    tally = df.groupBy(*keys).agg(weight.alias("_n")) if not dense else \
-        df.select(*keys).distinct().withColumn("_n", F.lit(1).cast("long"))
-    parts = num_partitions or partitions(spark)
+    tally = (df.select(*keys).distinct().withColumn("_n", F.lit(1).cast("long")) if dense
+             else df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
     spread_schema = T.StructType(list(tally.schema.fields) + [
         T.StructField("_part", T.IntegerType(), False), T.StructField("_before", T.LongType(), False)])
-    spread = (tally.repartitionByRange(parts, *sort_columns(order))
-              .sortWithinPartitions(*sort_columns(order))
-              .withColumn("_part", F.spark_partition_id())
-              .mapInPandas(_before_in_partition, spread_schema)
-              .checkpoint(eager=True))
+    spread = stored(tally.repartitionByRange(parts, *sort_columns(order))
+                    .sortWithinPartitions(*sort_columns(order))
+                    .withColumn("_part", F.spark_partition_id())
+                    .mapInPandas(_before_in_partition, spread_schema))
     sizes = spread.groupBy("_part").agg(F.sum("_n").alias("_size"))
     offsets = sizes.select("_part", F.coalesce(
         F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0)).alias("_offset"))
-    ranked = (spread.join(F.broadcast(offsets), "_part")  # one row per partition: bounded
-              .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-                      (F.lit(1) + F.col("_offset") + F.col("_before")).cast("long").alias(out)))
-    cond = [df[k].eqNullSafe(ranked[f"_k{i}"]) for i, k in enumerate(keys)]
-    return df.join(ranked, cond, "inner").drop(*[f"_k{i}" for i in range(len(keys))])
+    return (spread.join(F.broadcast(offsets), "_part")  # one row per partition: bounded
+            .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                    (F.lit(1) + F.col("_offset") + F.col("_before")).cast("long").alias(out)))
 
 
 # ---------------------------------------------------------------------------- scans

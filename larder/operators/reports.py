@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.exprs import (band, first_date_at_or_after, joined_text, mean, months_back_literal,
                                     percent_text, ratio)
-from larder.operators.ordinal import rank_all, stored
+from larder.operators.ordinal import rank_all, ranks_all, stored
 from larder.operators.shaping import previous_period, rank_within, total_of
 
 SHIFT_BANDS = ("Short Shift", "Regular Shift", "Long Shift")  # fixed labels of the report
@@ -93,10 +93,9 @@ def agreement_inventory_ranking(agreements: DataFrame, franchises: DataFrame, ow
                      ratio(F.datediff("term_end_date", "term_start_date"), F.lit(365), 2,
                            precision=18).alias("agreement_years")))
     counts = inventories.groupBy("franchise_id").agg(F.count("inv_Id").alias("total_inventory"))
-    # both ranks and the output read one materialised copy (agreement grain, small)
-    joined = spans.join(counts, "franchise_id", "left").checkpoint(eager=True)
-    joined = rank_all(joined, [("agreement_years", True), ("franchise_id", False)], "agreement_rank")
-    joined = rank_all(joined, [("total_inventory", True), ("franchise_id", False)], "inventory_rank")
+    joined = ranks_all(spans.join(counts, "franchise_id", "left"), {
+        "agreement_rank": [("agreement_years", True), ("franchise_id", False)],
+        "inventory_rank": [("total_inventory", True), ("franchise_id", False)]})
     return (joined.select("franchise_id", "franchise_owner", "agreement_years", "total_inventory",
                           "agreement_rank", "inventory_rank")
             .orderBy("inventory_rank", "agreement_rank"))
