@@ -220,12 +220,20 @@ def _sources() -> dict[str, Builder]:
             "s05_audit": s05}
 
 
-def _slices(df: DataFrame, path: str, order: str | None, parts: int = 4) -> None:
-    """Write ``df`` as ``parts`` files, one write each, so a file stream sees them in order."""
+#: Rows of one file of a stream's input, and micro-batches at least.
+FILE_ROWS = 1_000_000
+BATCHES = 4
+
+
+def _slices(df: DataFrame, path: str, order: str | None) -> int:
+    """Write ``df`` as files for a file stream, as many as its size asks for, and return how many of
+    them make a micro-batch. With ``order`` each file is a slice of it, written one after the
+    other, since a file stream takes files by their time."""
+    parts = max(BATCHES, -(-df.count() // FILE_ROWS))
     if order is None:
         df.repartition(parts).write.parquet(path)
-        return
-    cuts = df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01)  # parts - 1 numbers
+        return -(-parts // BATCHES)
+    cuts = df.approxQuantile(order, [i / parts for i in range(1, parts)], 1 / (10 * parts))  # parts - 1 numbers
     bounds = [None, *cuts, None]
     for i in range(parts):
         part = df
@@ -233,30 +241,31 @@ def _slices(df: DataFrame, path: str, order: str | None, parts: int = 4) -> None
             part = part.filter(F.col(order) > bounds[i])
         if bounds[i + 1] is not None:
             part = part.filter(F.col(order) <= bounds[i + 1])
-        part.coalesce(1).write.mode("append").parquet(path)
+        part.coalesce(1).write.mode("append").parquet(path)  # about FILE_ROWS rows
+    return 1
 
 
 def _streams() -> dict[str, Builder]:
     def e06(spark, root):
         t = Fixtures(spark, root)
         src, sink, ckpt = (scratch_path(spark, f"e06-{k}") for k in ("in", "out", "ckpt"))
-        _slices(t.order_requests, src, None)
-        stream = jobs.stream_files(spark, src, t.order_requests)
+        files = _slices(t.order_requests, src, None)
+        stream = jobs.stream_files(spark, src, t.order_requests, files)
         jobs.run_to_sink(jobs.coupon_totals_stream(stream, t.coupons, COUPONS_AS_OF), sink, ckpt)
         return spark.read.parquet(sink)
 
     def e07(spark, root):
         t = Fixtures(spark, root)
         src, snap, ckpt = (scratch_path(spark, f"e07-{k}") for k in ("in", "snapshot", "ckpt"))
-        _slices(t.inventory_details, src, None)
-        jobs.run_stock_status_stream(jobs.stream_files(spark, src, t.inventory_details), snap, ckpt)
+        files = _slices(t.inventory_details, src, None)
+        jobs.run_stock_status_stream(jobs.stream_files(spark, src, t.inventory_details, files), snap, ckpt)
         return jobs.read_stock_status(spark, snap)
 
     def e08(spark, root):
         t = Fixtures(spark, root)
         src, sink, ckpt = (scratch_path(spark, f"e08-{k}") for k in ("in", "out", "ckpt"))
-        _slices(t.shipment_details, src, "arrival_seq")
-        stream = jobs.stream_files(spark, src, t.shipment_details)
+        files = _slices(t.shipment_details, src, "arrival_seq")
+        stream = jobs.stream_files(spark, src, t.shipment_details, files)
         jobs.run_to_sink(jobs.reserve_stock_stream(stream, t.raw_materials), sink, ckpt)
         return spark.read.parquet(sink)
 
