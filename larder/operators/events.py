@@ -308,7 +308,7 @@ def stock_ledger(events: DataFrame, materials: DataFrame, order: OrderSpec = LED
     domain (negative start or receipt) is folded sequentially.
     """
     stock = materials.select(F.col("material_Id").alias("_mid"), F.col("quantity").alias("_start"))
-    ev = events.join(stock, events["Material_Id"] == stock["_mid"], "inner").drop("_mid")
+    ev = stored(events.join(stock, events["Material_Id"] == stock["_mid"], "inner").drop("_mid"))  # read three times
     odd = (ev.groupBy("Material_Id")
            .agg(F.max(F.when((F.col("_start") < 0) | ((F.col("kind") == "receipt") & (F.col("quantity") < 0)), 1)
                       .otherwise(0)).alias("_odd"))
