@@ -50,7 +50,7 @@ MU = 4.0
 HOT_PARTS = 4096
 #: Tokens of a task, bytes of text of a batch, rows of a batch (their number has 16 bits).
 TASK_TOKENS = 2_000_000
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 6 << 20
 BATCH_ROWS = 60_000
 SLOTS_A_TASK = 16
 #: Keys of the end and the start of a text; the rest of a key is a hash, which may not be these.
@@ -152,11 +152,11 @@ def _load(data: bytes) -> tuple[np.ndarray, ...]:
     return np.repeat(word, sizes), low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), row, count
 
 
-def _shard(word: np.ndarray, before: np.ndarray, times: np.ndarray, learn: np.ndarray, hot: tuple, total: int,
+def _shard(keys: np.ndarray, index: np.ndarray, before: np.ndarray, times: np.ndarray, learn: np.ndarray, hot: tuple, total: int,
            distinct: int, strength: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Builds the shard of these entries and looks them up: for each entry the count of its word,
-    log10 of its probability mass, and log10 of its word's divisor as a word before."""
-    keys, index = np.unique(word, return_inverse=True)
+    """Builds the shard of these entries (index: of the word among keys) and looks them up: for each
+    entry the count of its word, log10 of its probability mass, and log10 of its word's divisor as
+    a word before."""
     counts = np.bincount(index, weights=np.where(learn, times, 0), minlength=len(keys)).astype(np.int64)
     hot_keys, hot_counts = hot  # a hot word's entries lie in many shards: its count comes from step 1
     at = np.minimum(np.searchsorted(hot_keys, keys), len(hot_keys) - 1)
@@ -173,7 +173,7 @@ def _shard(word: np.ndarray, before: np.ndarray, times: np.ndarray, learn: np.nd
     own = (counts + 1) / (total + distinct + 1)
     pair = index[learn].astype(np.uint64) << np.uint64(BEFORE_BITS) | before[learn]
     order = np.argsort(pair, kind="stable")
-    pair, weight = pair[order], times[learn][order]
+    pair, weight = pair[order], times[learn][order].astype(np.float64)
     new = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])[:len(pair)])
     seen = np.add.reduceat(weight, new) if len(new) else np.zeros(0)
     parent = (pair[new] >> np.uint64(BEFORE_BITS)).astype(np.int64)
@@ -185,6 +185,7 @@ def _shard(word: np.ndarray, before: np.ndarray, times: np.ndarray, learn: np.nd
     node = trie.word(asked_keys)
     mass = trie.mass(node, asked & BEFORE)
     count = trie.counts[node]
+    del ask, pair, weight, order, parent, seen, new
     mass = np.where(np.isnan(mass), np.log10(pull(asked & BEFORE) * (count + 1) / (total + distinct + 1)), mass)
     divisor = np.where(asked_keys == END, 0.0, np.log10(count + np.maximum(count, strength)))
     return count[back], mass[back], divisor[back]
@@ -231,6 +232,8 @@ def score(df: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays(
                 [pa.array([number % slots], pa.int64()), pa.array([number], pa.int64()), pa.nulls(1, pa.binary()), ids, tokens],
                 names=["slot", "batch", "data", "ids", "tokens"])
+            del rows, word, before, row, count, slot, by
+            pa.default_memory_pool().release_unused()
 
     def look_up(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, batch_of = [], []
@@ -244,10 +247,16 @@ def score(df: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "te
         if not parts:
             return
         sizes = [len(p[0]) for p in parts]
-        word, before, row, count = (np.concatenate(x) for x in zip(*parts))
-        del parts
-        learn, times = count >= 128, (count & MOST).astype(np.float64)
-        found, mass, divisor = _shard(word, before, times, learn, hot, total, distinct, strength)
+        columns = [list(x) for x in zip(*parts)]
+        parts.clear()
+        count, row, before, word = (np.concatenate(columns.pop()) for _ in range(4))
+        pa.default_memory_pool().release_unused()
+        learn, times = count >= 128, (count & MOST).astype(np.float32)
+        keys, index = np.unique(word, return_inverse=True)
+        del word, count
+        index = index.astype(np.int32)
+        found, mass, divisor = _shard(keys, index, before, times, learn, hot, total, distinct, strength)
+        del index, before, learn
         names, number = np.unique(np.array(batch_of, dtype=np.int64), return_inverse=True)
         place = np.repeat(number, sizes) << 16 | row
         docs_, back = np.unique(place, return_inverse=True)
