@@ -301,22 +301,31 @@ def stock_ledger(events: DataFrame, materials: DataFrame, order: OrderSpec = LED
     """Receipts (+quantity, never fail) and reservations (one unit, fail at balance
     <= 0) on the stock counter of each material, in arrival order.
 
-    With a whole start >= 0 and receipts >= 0 the balance is a clamped walk: let S be the
-    start plus the running sum of deltas (every reservation counted as -1) and M the
-    running minimum of S capped at 0; then balance = S - M and a reservation fails
-    exactly where M falls. That is one skew-safe prefix scan. A material outside that
-    domain (negative start or receipt) is folded sequentially.
+    With receipts >= 0 the balance is a clamped walk: let S be the start plus the running sum of
+    deltas (every reservation counted as -1) and M the running minimum of S capped at 0; then
+    balance = S - M and a reservation fails exactly where M falls. That is one skew-safe prefix
+    scan, and one more before it where the start is below 0. A material with a negative receipt
+    is folded sequentially.
     """
     stock = materials.select(F.col("material_Id").alias("_mid"), F.col("quantity").alias("_start"))
     ev = stored(events.join(stock, events["Material_Id"] == stock["_mid"], "inner").drop("_mid"))  # read three times
-    odd = (ev.groupBy("Material_Id")
-           .agg(F.max(F.when((F.col("_start") < 0) | ((F.col("kind") == "receipt") & (F.col("quantity") < 0)), 1)
-                      .otherwise(0)).alias("_odd"))
-           .filter(F.col("_odd") == 1).select(F.col("Material_Id").alias("_oid")))
+    receipt = F.col("kind") == "receipt"
+    odd = (ev.filter(receipt & (F.col("quantity") < 0)).select(F.col("Material_Id").alias("_oid")).distinct())
     tagged = ev.join(odd, ev["Material_Id"] == odd["_oid"], "left")
     regular = tagged.filter(F.col("_oid").isNull()).drop("_oid")
-    delta = F.when(F.col("kind") == "receipt", F.col("quantity")).otherwise(F.lit(-1))
-    scanned = scan_within(regular.withColumn("_delta", delta), ["Material_Id"], order, "_delta")
+    delta = F.when(receipt, F.col("quantity")).otherwise(F.lit(-1)).cast("long")
+    # below 0 only receipts count: up to the receipt that brings the sum above 0 every reservation
+    # fails; from there on the walk starts at 0 with what that receipt leaves
+    below = scan_within(regular.filter(F.col("_start") < 0), ["Material_Id"], order,
+                        F.when(receipt, F.col("quantity")).otherwise(F.lit(0)))
+    below = below.withColumn("_sum", F.col("_start") + F.col("_run")).drop("_pos", "_run", "_min_prev")
+    sunk = below.filter(F.col("_sum") <= 0).select(
+        *events.columns, receipt.alias("accepted"), F.col("_sum").cast("long").alias("balance"))
+    risen = below.filter(F.col("_sum") > 0).withColumn(
+        "_delta", F.when(receipt & (F.col("_sum") <= F.col("quantity")), F.col("_sum")).otherwise(delta)).withColumn(
+        "_start", F.lit(0).cast("long")).drop("_sum")
+    walk = regular.filter(F.col("_start") >= 0).withColumn("_start", F.col("_start").cast("long")).withColumn("_delta", delta)
+    scanned = scan_within(walk.unionByName(risen), ["Material_Id"], order, "_delta")
     s = F.col("_start") + F.col("_run")
     low_prev = F.least(F.lit(0), F.coalesce(F.col("_start") + F.col("_min_prev"), F.lit(0)))
     before = s - F.col("_delta") - low_prev
@@ -328,4 +337,4 @@ def stock_ledger(events: DataFrame, materials: DataFrame, order: OrderSpec = LED
         T.StructField("accepted", T.BooleanType()), T.StructField("balance", T.LongType())])
     folded = (tagged.filter(F.col("_oid").isNotNull()).select(*events.columns, "_start")
               .groupBy("Material_Id").applyInPandas(_fold_material, folded_schema))
-    return walked.unionByName(folded)
+    return walked.unionByName(sunk).unionByName(folded)
