@@ -80,18 +80,17 @@ def linked(rows: DataFrame) -> DataFrame:
 
 def conversations(spark: SparkSession, links: DataFrame) -> DataFrame:
     """scope, m, root (the conversation's first message) and depth, for links with a parent."""
-    up = stored(spark, links.select("scope", "m", F.col("parent").alias("head"), F.lit(1).cast("long").alias("steps"))
-                .where("head IS NOT NULL"), "replies")
-    ended = None  # heads that answer nothing are roots
-    while True:
-        top = up.select("scope", F.col("m").alias("head"), F.col("head").alias("next"), F.col("steps").alias("more"))
-        moved = stored(spark, up.join(top, ["scope", "head"], "left").select(
-            "scope", "m", F.coalesce("next", "head").alias("head"),
-            (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), "replies")
-        reach = moved.agg(F.sum("steps")).first()[0]
-        if reach == ended:
-            return moved.select("scope", "m", F.col("head").alias("root"), F.col("steps").alias("depth"))
-        up, ended = moved, reach
+    up = links.where("parent IS NOT NULL").select("scope", "m", F.col("parent").alias("head"))
+    replies = up.select("scope", F.col("m").alias("head"), F.lit(False).alias("ended"))
+    state = stored(spark, up.join(replies, ["scope", "head"], "left").select(  # heads that answer nothing are roots
+        "scope", "m", "head", F.lit(1).cast("long").alias("steps"), F.coalesce("ended", F.lit(True)).alias("ended")), "replies")
+    while not state.where("NOT ended").isEmpty():  # only messages that are not at their root meet the join
+        top = state.select("scope", F.col("m").alias("head"), F.col("head").alias("next"), F.col("steps").alias("more"),
+                           F.col("ended").alias("done"))
+        moved = state.where("NOT ended").join(top, ["scope", "head"]).select(
+            "scope", "m", F.col("next").alias("head"), (F.col("steps") + F.col("more")).alias("steps"), F.col("done").alias("ended"))
+        state = stored(spark, state.where("ended").unionByName(moved), "replies")
+    return state.select("scope", "m", F.col("head").alias("root"), F.col("steps").alias("depth"))
 
 
 def formatted(df: DataFrame, id_col: str, order_col: str, text_col: str, scope_col: str | None = None) -> DataFrame:
