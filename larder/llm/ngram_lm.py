@@ -6,10 +6,11 @@ there; it is a set of arrays in one memory-mapped file, queried by successor sea
 the word (see eliasfano).
 
 P(w | v) = (c(v w) + m(v) P(w)) / (c(v) + m(v)), P(w) = (c(w) + 1) / (N + V + 1),
-m(v) = max(MU, N / HOT_PARTS, c(v)): a pair never seen costs a factor of 2 at most.
-In a sum of logs the divisor belongs to v alone, and m(v) is the same for all words but the hot
-ones, which every task knows; so each shard scores its own words, as last words and as words
-before the next one, without asking another shard.
+m(v) = ``strength``, a constant: what a pair's counts weigh does not depend on the corpus around
+them. In a sum of logs the divisor belongs to v alone; so each shard scores its own words, as last
+words and as words before the next one, without asking another shard. ``score`` without a strength
+takes m(v) = max(MU, N / HOT_PARTS, c(v)), which grows with the corpus: there the pairs of all but
+the commonest words weigh less, the more text there is.
 
 1. Words are counted per batch, then by Spark: N, V, and the words with more than 1 / HOT_PARTS of
    all tokens (HOT_PARTS at most, so they may be sent to every task).
@@ -46,6 +47,9 @@ from larder.llm.eliasfano import Trie
 
 #: Least strength of the word's own probability below each word before it.
 MU = 4.0
+#: Strength of the registered query, for every word before and every size of the corpus: of 4, 64, 256, 1024 and 4096
+#: the one that gave the texts not learned of sf0.1 most.
+STRENGTH = 256.0
 #: A word is hot from 1 / HOT_PARTS of all tokens.
 HOT_PARTS = 4096
 #: Tokens of a task, bytes of text of a batch, rows of a batch (their number has 16 bits).
@@ -153,7 +157,7 @@ def _load(data: bytes) -> tuple[np.ndarray, ...]:
 
 
 def _shard(keys: np.ndarray, index: np.ndarray, before: np.ndarray, times: np.ndarray, learn: np.ndarray, hot: tuple, total: int,
-           distinct: int, strength: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+           distinct: int, strength: float, fixed: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Builds the shard of these entries (index: of the word among keys) and looks them up: for each
     entry the count of its word, log10 of its probability mass, and log10 of its word's divisor as
     a word before."""
@@ -161,12 +165,14 @@ def _shard(keys: np.ndarray, index: np.ndarray, before: np.ndarray, times: np.nd
     hot_keys, hot_counts = hot  # a hot word's entries lie in many shards: its count comes from step 1
     at = np.minimum(np.searchsorted(hot_keys, keys), len(hot_keys) - 1)
     counts = np.where(hot_keys[at] == keys, hot_counts[at], counts)
-    # m(v) by the 40 bits that entries have of v: ``strength``, but for the hot words
+    # m(v) by the 40 bits that entries have of v: ``strength``, but for the hot words if it is not fixed
     short = hot_keys & BEFORE
     by = np.argsort(short)
     short, strong = short[by], np.maximum(hot_counts[by], strength)
 
-    def pull(v: np.ndarray) -> np.ndarray:
+    def pull(v: np.ndarray) -> np.ndarray | float:
+        if fixed:
+            return strength
         at = np.minimum(np.searchsorted(short, v), len(short) - 1)
         return np.where(short[at] == v, strong[at], strength)
 
@@ -178,6 +184,7 @@ def _shard(keys: np.ndarray, index: np.ndarray, before: np.ndarray, times: np.nd
     seen = np.add.reduceat(weight, new) if len(new) else np.zeros(0)
     parent = (pair[new] >> np.uint64(BEFORE_BITS)).astype(np.int64)
     trie = Trie(keys, counts, parent, pair[new] & BEFORE, np.log10(seen + pull(pair[new] & BEFORE) * own[parent]))
+    del pair, weight, order, parent, seen, new
     # every entry asks the shard; equal questions stand together, so each is asked once
     ask = index.astype(np.uint64) << np.uint64(BEFORE_BITS) | before
     asked, back = np.unique(ask, return_inverse=True)
@@ -185,15 +192,16 @@ def _shard(keys: np.ndarray, index: np.ndarray, before: np.ndarray, times: np.nd
     node = trie.word(asked_keys)
     mass = trie.mass(node, asked & BEFORE)
     count = trie.counts[node]
-    del ask, pair, weight, order, parent, seen, new
+    del ask
     mass = np.where(np.isnan(mass), np.log10(pull(asked & BEFORE) * (count + 1) / (total + distinct + 1)), mass)
-    divisor = np.where(asked_keys == END, 0.0, np.log10(count + np.maximum(count, strength)))
+    divisor = np.where(asked_keys == END, 0.0, np.log10(count + np.maximum(0 if fixed else count, strength)))
     return count[back], mass[back], divisor[back]
 
 
-def score(df: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(df: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "text", strength: float | None = None) -> DataFrame:
     """One row per input row: the id, n_tokens, n_known, train_tokens, base_score and score.
-    ``train``: SQL of a condition, the rows to learn from (null: not)."""
+    ``train``: SQL of a condition, the rows to learn from (null: not). ``strength``: m(v) of all
+    words (over 0); None: the rule that grows with the corpus."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"),
                      F.coalesce(F.expr(train), F.lit(False)).alias("train"))
@@ -206,7 +214,8 @@ def score(df: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "te
     hot_keys = np.array([START, *(r["key"] for r in few)], dtype=np.int64).view(np.uint64)
     order = np.argsort(hot_keys)
     hot = hot_keys[order], np.array([texts, *(r["n"] for r in few)], dtype=np.int64)[order]
-    strength = max(MU, total / HOT_PARTS)
+    fixed = strength is not None
+    strength = strength if fixed else max(MU, total / HOT_PARTS)
     tasks = max(shuffle_tasks(spark), -(-total // TASK_TOKENS))
     slots = tasks * SLOTS_A_TASK
     id_type = docs.schema["id"].dataType
@@ -255,7 +264,7 @@ def score(df: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "te
         keys, index = np.unique(word, return_inverse=True)
         del word, count
         index = index.astype(np.int32)
-        found, mass, divisor = _shard(keys, index, before, times, learn, hot, total, distinct, strength)
+        found, mass, divisor = _shard(keys, index, before, times, learn, hot, total, distinct, strength, fixed)
         del index, before, learn
         names, number = np.unique(np.array(batch_of, dtype=np.int64), return_inverse=True)
         place = np.repeat(number, sizes) << 16 | row
@@ -284,7 +293,7 @@ def score(df: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "te
             got[at] += np.frombuffer(data, np.float32, size, size * 14)
         tokens = n.to_numpy()
         return pa.table([ids, n, pa.array(known.astype(np.int64)), pa.array(base - tokens * np.log10(total + distinct + 1)),
-                         pa.array(got - np.log10(texts + max(texts, strength)))], names=out.names)
+                         pa.array(got - np.log10(texts + max(0 if fixed else texts, strength)))], names=out.names)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -304,6 +313,6 @@ def score(df: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "te
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = "crc32(cast(doc_id AS string)) % 7 = 2"
-    return score(table(spark, sf_dir, "documents"), f"NOT coalesce({held_out}, false)").select(
+    return score(table(spark, sf_dir, "documents"), f"NOT coalesce({held_out}, false)", strength=STRENGTH).select(
         "doc_id", F.expr(f"coalesce({held_out}, false)").alias("held_out"), "n_tokens", "n_known", "train_tokens",
         "base_score", "score")

@@ -140,3 +140,23 @@ def test_scores_edges(spark):
     assert ngram_lm.score(frame(spark, []), "true").count() == 0
     check(ngram_lm.score(frame(spark), "false").collect(), brute(ROWS, lambda d: False))
     check(ngram_lm.score(frame(spark), "true").collect(), brute(ROWS, lambda d: True))
+
+
+@pytest.mark.parametrize("fill", [1_000, 400_000])
+def test_pairs_weigh_the_same_at_every_size(spark, fill):
+    m = ngram_lm.STRENGTH
+    rows = [(i, "alpha beta") for i in range(300)] + [(1000, "alpha beta"), (1001, "some other filling words " * (fill // 4))]
+    got = ngram_lm.score(frame(spark, rows), "doc_id <> 1000", strength=m).where("doc_id = 1000").first()
+    total, distinct = 300 * 3 + fill + 1, 7
+    want = 0.0
+    for pair, before, count in ((300, 301, 300), (300, 300, 300), (300, 300, 301)):  # start alpha, alpha beta, beta end
+        want += math.log10((pair + m * (count + 1) / (total + distinct + 1)) / (before + m))
+    assert got.train_tokens == total and abs(got.score - want) < 0.02
+
+
+def test_query_has_one_strength(monkeypatch, spark):
+    asked = {}
+    monkeypatch.setattr(ngram_lm, "score", lambda df, train, **kw: asked.update(kw) or df.selectExpr(
+        "doc_id", "1 AS n_tokens", "1 AS n_known", "1 AS train_tokens", "0.0 AS base_score", "0.0 AS score"))
+    ngram_lm.query(spark, SF)
+    assert asked == {"strength": ngram_lm.STRENGTH}
