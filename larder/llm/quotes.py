@@ -3,11 +3,14 @@
 1. Each message is cut into runs of lines of one quote level: the leading ``>`` signs, with
    blanks between them, are the level; level 0 is the message's own text.
 2. A passage is a run's text, normalised: lower case, white space as one blank, ends cut off.
-   Its key is its SHA-256 within its scope (a mailbox, list or conversation).
+   Its key is its SHA-256 within its scope (a mailbox, list or conversation). The paragraphs of a
+   run (blocks between blank lines) have keys of their own.
 3. Level-0 passages are the originals: of equal ones in a scope the first message (by order)
    stands for all, so a passage that thousands of messages share joins as one row.
-4. A quoted passage joins its original. A message's parent is the latest earlier message that one
-   of its level-1 passages comes from; if none is found, of its deeper ones.
+4. A quoted passage joins its original: the message that has it as a whole run, or else the latest
+   of the messages that one of its paragraphs comes from, so trimmed and interleaved quotes are
+   found too. A message's parent is the latest earlier message that one of its level-1 passages
+   comes from, whole runs before paragraphs; if none is found, of its deeper ones.
 5. Conversations are the trees of parents: the root of each message is found by doubling the
    parent pointers, in as many turns as the logarithm of the longest chain of replies. The rows
    are sorted by conversation and order, so every message stands after the one that it answers.
@@ -29,8 +32,10 @@ from pyspark.sql import functions as F
 
 from larder.llm.common import stored, table, whole
 
-#: A line's quote signs, and a line that introduces a quote.
+#: A line's quote signs, the gap between paragraphs, a letter or digit, and a line that introduces a quote.
 SIGNS = r"^(?:[ \t]*>)+"
+BLANK_LINES = r"\n[\x20\x09-\x0D]*\n"
+WORDY = r"[\p{L}\p{N}]"
 ATTRIBUTION = r"(?i)(?:^|\n)[^\n]*\b(?:wrote|writes|schrieb|a écrit|escribió)\s*:\s*$"
 
 
@@ -61,18 +66,29 @@ def with_runs(df: DataFrame, text_col: str) -> DataFrame:
 def linked(rows: DataFrame) -> DataFrame:
     """rows: scope, m (struct of order and text hash, a message within its scope), runs. One row per
     message: scope, m, n_quotes, n_found, parent (the m that it answers, or null)."""
+    level, text = F.col("r.level"), F.col("r.text")
     parts = rows.select("scope", "m", F.explode("runs").alias("r")).select(
-        "scope", "m", F.col("r.level").alias("level"), normalised(F.when(F.col("r.level") > 0, F.col("r.text")).otherwise(
-            own_text(F.col("r.text")))).alias("norm"))
-    parts = parts.where(F.col("norm").rlike(r"[\p{L}\p{N}]")).select("scope", "m", "level", F.sha2("norm", 256).alias("key"))
-    originals = parts.where("level = 0").groupBy("scope", "key").agg(F.min("m").alias("origin"))
+        "scope", "m", level.alias("level"), F.when(level > 0, text).otherwise(own_text(text)).alias("text"))
+    parts = parts.withColumn("norm", normalised(F.col("text"))).where(F.col("norm").rlike(WORDY))
+    blocks = F.filter(F.transform(F.split("text", BLANK_LINES), normalised), lambda x: x.rlike(WORDY))
+    parts = parts.select("scope", "m", "level", F.sha2("norm", 256).alias("key"),
+                         F.transform(blocks, lambda x: F.sha2(x, 256)).alias("blocks"))
+    asked = F.explode(F.array_union(F.array("key"), "blocks")).alias("key")  # a run of one paragraph has one key
+    originals = parts.where("level = 0").select("scope", "m", F.col("key").alias("run"), asked).groupBy("scope", "key").agg(
+        F.min(F.when(F.col("key") == F.col("run"), F.col("m"))).alias("whole"), F.min("m").alias("part"))
     # a message that quotes one passage twice asks once
-    quotes = parts.where("level > 0").groupBy("scope", "key", "m").agg(F.min("level").alias("level"))
-    found = quotes.join(originals, ["scope", "key"], "left").withColumn(
-        "origin", F.when(F.col("origin") < F.col("m"), F.col("origin")))
+    quotes = parts.where("level > 0").groupBy("scope", "key", "m").agg(
+        F.min(F.struct("level", "blocks")).alias("q")).select(
+        "scope", "m", F.col("q.level").alias("level"), F.col("key").alias("run"), F.col("key"), F.col("q.blocks").alias("blocks"))
+    found = quotes.select("scope", "m", "level", "run", asked).join(originals, ["scope", "key"], "left").groupBy(
+        "scope", "m", "level", "run").agg(
+        F.max(F.when((F.col("key") == F.col("run")) & (F.col("whole") < F.col("m")), F.col("whole"))).alias("whole"),
+        F.max(F.when(F.col("part") < F.col("m"), F.col("part"))).alias("part"))
+    found = found.withColumn("origin", F.coalesce("whole", "part"))
     best = found.groupBy("scope", "m").agg(
         F.count("*").alias("n_quotes"), F.count("origin").alias("n_found"),
-        F.max(F.when(F.col("origin").isNotNull(), F.struct((-F.col("level")).alias("l"), F.col("origin")))).alias("b"))
+        F.max(F.when(F.col("origin").isNotNull(), F.struct(
+            (-F.col("level")).alias("l"), F.col("whole").isNotNull().alias("w"), F.col("origin")))).alias("b"))
     return rows.select("scope", "m").distinct().join(best, ["scope", "m"], "left").select(
         "scope", "m", F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"),
         F.coalesce("n_found", F.lit(0)).cast("long").alias("n_found"), F.col("b.origin").alias("parent"))

@@ -47,6 +47,31 @@ def test_long_chain_and_sorted_rows(spark):
     assert got == [(i, i, 0) for i in range(60)]
 
 
+def test_trimmed_and_interleaved_quotes(spark):
+    rows = thread([
+        (1, 10, "Para one.\n\nPara two\ngoes on.\n \n\nPara three."),
+        (2, 20, "> Para two\n> goes on.\nJust this."),
+        (3, 30, "> Para one.\nyes\n> Para two goes on.\nno"),
+        (4, 40, "> yes\n>\n> no such paragraph\n\nWhy?"),
+        (5, 50, "> > Para three.\n> Just this.\ndeep"),
+        (6, 60, "> Para one.\n> Para two\ncut inside a paragraph"),
+        (7, 5, "> Para three.\nToo early."),
+        (8, 70, "> Para three.\n>\n> Just this.\n\nfrom two messages"),
+    ])
+    got = {r.id: r for r in quotes.formatted(mail(spark, rows), "id", "at", "text", "box").collect()}
+    assert {k: r.parent for k, r in got.items()} == {1: None, 2: 10, 3: 10, 4: 30, 5: 20, 6: None, 7: None, 8: 20}
+    assert {k: (r.n_quotes, r.n_found) for k, r in got.items()} == {
+        1: (0, 0), 2: (1, 1), 3: (2, 2), 4: (1, 1), 5: (2, 2), 6: (1, 0), 7: (1, 0), 8: (1, 1)}
+    assert {r.root for r in got.values()} == {10, 60, 5} and got[5].depth == 2
+
+
+def test_whole_runs_come_before_paragraphs(spark):
+    rows = thread([(1, 1, "Good idea."), (2, 2, "Good idea.\n\nBut late."), (3, 3, "Later then.\n\nGood idea."),
+                   (4, 4, "> Good idea.\nwhole of 1"), (5, 5, "> But late.\nx\n> Good idea.\ny")])
+    got = {r.id: r.parent for r in quotes.formatted(mail(spark, rows), "id", "at", "text", "box").collect()}
+    assert got == {1: None, 2: None, 3: None, 4: 1, 5: 1}
+
+
 PAGE = ('<!DOCTYPE html><html><head><title>A &amp; B</title><style>p{}</style><script>var t="</p>";</script></head><body>'
         '<!-- ad --><p>One <b>two</b>&nbsp;three<br>four</p><ul><li><a href="/x?a=1&amp;b=2">x</a></li></ul><td>c1</td><td>c2</td></body>')
 
