@@ -22,6 +22,8 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
+#: Fewer repeated lines than this say nothing: one of three lines is a third of a short text.
+MIN_DUP_LINES = 3
 
 #: Function words of four languages. Compared as they stand, so shouted text has few of them.
 STOP_WORDS = (
@@ -48,7 +50,7 @@ RULES = (
     Rule("word_length", "word_chars / n_words", 2.0, 15.0),
     Rule("symbols", "n_symbols / n_words", None, 0.1),
     Rule("stop_words", "n_stop_words / n_words", 0.04, None),
-    Rule("repeated_lines", "n_dup_lines / n_lines", None, 0.3),
+    Rule("repeated_lines", f"CASE WHEN n_dup_lines < {MIN_DUP_LINES} THEN 0 ELSE n_dup_lines / n_lines END", None, 0.3),
 )
 
 

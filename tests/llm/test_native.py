@@ -98,6 +98,21 @@ def test_quality_keeps_whole_rows(spark):
     assert {r.doc_id for r in kept} == {1} and kept[0].h == "x" and quality.keep(df).columns == df.columns
 
 
+def test_few_repeated_lines_are_no_reason(spark):
+    text = "the cat and the dog of the house is in the garden\nshort line\nshort line\nwith a ball that was on the table"
+    longer = "\n".join(["the cat and the dog", "of the house", "is in the garden", "with a ball", "that was on", "the table for you"])
+    rows = [(1, text), (2, longer + "\nis in the garden\nwith a ball\nthat was on"), (3, longer + "\nwith a ball" * 4)]
+    got = dict(quality.measure(frame(spark, rows)).select("doc_id", "failed").collect())
+    assert got == {1: "", 2: "repeated_lines", 3: "repeated_lines"}
+
+
+def test_labelled_good_documents_stay(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("quality = 1").select("doc_id")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(labels, "doc_id")
+    judged = quality.measure(docs).select("doc_id", "base_failed", "kept").collect()
+    assert judged and not [r.doc_id for r in judged if not r.base_failed and not r.kept]
+
+
 def test_rules_are_a_table(spark):
     rules = (quality.Rule("few", "n_words", 3, None), quality.Rule("marks", "n_symbols / n_words", None, 0.5))
     got = dict(quality.measure(frame(spark, [(1, "a b"), (2, "# % $ x"), (3, "a b c")]), rules=rules).select(
