@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from larder.llm import bpe, fingerprints, langid, ngram_lm, packing, quality, quotes, secrets, simhash_dedup, warc
+from larder.llm import (
+    ann, bpe, fingerprints, langid, negatives, ngram_lm, packing, quality, quotes, secrets, simhash_dedup, warc)
 
 
 def queries() -> dict:
@@ -17,6 +18,8 @@ def queries() -> dict:
         "op8_quality_rules": quality.query,
         "op9_bpe_codec": bpe.query,
         "op10_cost_packing": packing.query,
+        "op12_graph_neighbours": ann.query,
+        "op13_hard_negatives": negatives.query,
     }
 
 
@@ -24,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_quotation_chat": quotes.SQL,
         "op8_quality_rules": quality.sql(),
+        "op13_hard_negatives": negatives.SQL,
     }
