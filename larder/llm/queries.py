@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from larder.llm import (
-    ann, bpe, fingerprints, langid, negatives, ngram_lm, packing, quality, quotes, secrets, simhash_dedup, warc)
+    ann, bpe, fingerprints, langid, negatives, ngram_lm, packing, phrases, quality, quotes, secrets, simhash_dedup, warc)
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_quality_rules": quality.query,
         "op9_bpe_codec": bpe.query,
         "op10_cost_packing": packing.query,
+        "op11_phrase_mining": phrases.query,
         "op12_graph_neighbours": ann.query,
         "op13_hard_negatives": negatives.query,
     }
@@ -27,5 +28,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_quotation_chat": quotes.SQL,
         "op8_quality_rules": quality.sql(),
+        "op11_phrase_mining": phrases.SQL,
         "op13_hard_negatives": negatives.SQL,
     }
