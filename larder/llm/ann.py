@@ -51,27 +51,32 @@ FOUND_SCHEMA = "query bigint, query_id bigint, vec_id bigint, score double"
 
 # ---------------------------------------------------------------- one shard, in numpy
 class Graph:
-    """Vectors (scaled to single precision), squared lengths and the edges of one shard."""
+    """Vectors (scaled to single precision) and the edges of one shard. Distances are taken from differences,
+    so near copies are told apart."""
 
     def __init__(self, vecs: np.ndarray, edges: np.ndarray | None = None, start: int | None = None):
         top = float(np.abs(vecs).max()) if vecs.size else 0.0
         self.scale = 1.0 / top if top > 0 else 1.0
         self.vecs = (vecs * self.scale).astype(np.float32)
-        self.sq = np.einsum("ij,ij->i", self.vecs, self.vecs)
         self.edges = np.full((len(vecs), DEGREE), -1, dtype=np.int32) if edges is None else edges
         self.start = self._medoid() if start is None else start
 
     def _medoid(self) -> int:
-        return int((self.sq - 2 * (self.vecs @ self.vecs.mean(axis=0))).argmin()) if len(self.vecs) else 0
+        return int(((self.vecs - self.vecs.mean(axis=0)) ** 2).sum(axis=1).argmin()) if len(self.vecs) else 0
+
+    def _apart(self, near: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Squared distances of each query to its row of nodes."""
+        gap = self.vecs[near]
+        gap -= q[:, None, :]
+        return np.einsum("ijk,ijk->ij", gap, gap)
 
     def walk(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Beam search of all queries in step. Nodes of each beam (-1: none), and the nodes visited."""
         m, n = len(q), len(self.vecs)
-        qq = np.einsum("ij,ij->i", q, q)
         ids, dist = np.full((m, beam), -1, np.int32), np.full((m, beam), np.inf, np.float32)
         fresh = np.zeros((m, beam), dtype=bool)
         ids[:, 0], fresh[:, 0] = self.start, True
-        dist[:, 0] = self.sq[self.start] + qq - 2 * (q @ self.vecs[self.start])
+        dist[:, 0] = ((q - self.vecs[self.start]) ** 2).sum(axis=1)
         seen = np.zeros((m, n), dtype=bool)
         seen[:, self.start] = True
         visited, live = [], np.arange(m)
@@ -90,7 +95,7 @@ class Graph:
             near = self.edges[now]
             new = (near >= 0) & ~seen[live[:, None], near]
             seen[live[:, None], np.where(near >= 0, near, now[:, None])] = True
-            nd = self.sq[near] + qq[live, None] - 2 * np.matmul(self.vecs[near], q[live][:, :, None])[:, :, 0]
+            nd = self._apart(near, q[live])
             nd[~new] = np.inf
             all_d = np.concatenate([dist[live], nd], axis=1)
             keep = np.argpartition(all_d, beam - 1, axis=1)[:, :beam]
@@ -112,9 +117,9 @@ class Graph:
         near = np.sort(near, axis=1)
         none = (near < 0) | (near == nodes[:, None])
         none[:, 1:] |= near[:, 1:] == near[:, :-1]
-        x, p = self.vecs[near], self.vecs[nodes]
-        d = self.sq[near] + self.sq[nodes][:, None] - 2 * np.matmul(x, p[:, :, None])[:, :, 0]
-        d = np.where(none, np.inf, np.maximum(d, 0))
+        x = self.vecs[near]
+        gap = x - self.vecs[nodes][:, None, :]
+        d = np.where(none, np.inf, np.einsum("ijk,ijk->ij", gap, gap))
         out, i = np.full((len(nodes), DEGREE), -1, dtype=np.int32), np.arange(len(nodes))
         left = d.copy()
         for r in range(DEGREE):
@@ -124,8 +129,8 @@ class Graph:
                 break
             pick = near[i, j]
             out[ok, r] = pick[ok]
-            between = self.sq[near] + self.sq[pick][:, None] - 2 * np.matmul(x, self.vecs[pick][:, :, None])[:, :, 0]
-            left[(slack * slack * between <= d) & ok[:, None]] = np.inf
+            np.subtract(x, self.vecs[pick][:, None, :], out=gap)
+            left[(slack * slack * np.einsum("ijk,ijk->ij", gap, gap) <= d) & ok[:, None]] = np.inf
             left[i, j] = np.inf
         return out
 

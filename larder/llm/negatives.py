@@ -93,7 +93,8 @@ def bounds(norms_a: np.ndarray, angles_a: np.ndarray, norms_b: np.ndarray, angle
         np.minimum(high, np.minimum(both, 2 * np.pi - both), out=high)
     size = norms_a[:, None] * norms_b[None, :]
     size = size * (1 + 1e-9)
-    return (size * np.cos(np.minimum(high + ANGLE_SLACK, np.pi)) - 1, size * np.cos(np.maximum(low - ANGLE_SLACK, 0)) + 1)
+    lower, upper = size * np.cos(np.minimum(high + ANGLE_SLACK, np.pi)) - 1, size * np.cos(np.maximum(low - ANGLE_SLACK, 0)) + 1
+    return np.clip(lower, LONG.min, LONG.max), np.clip(upper, LONG.min, LONG.max)  # as scores are
 
 
 class Block:

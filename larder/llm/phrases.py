@@ -1,19 +1,19 @@
 """Phrase collocation mining: Toivonen's sampling with exact counts, phrases of two or three words.
 
-1. A sample of the documents (one in ``SAMPLE_SHARE``, by a hash of the text) proposes words and pairs
-   that it holds at least ``SAMPLE_SEEN`` times.
-2. A full pass counts exactly all words, and of the phrases the proposed ones together with their
-   negative border, as far as it occurs: every pair of two proposed words (proposed itself or
-   not) and every triple of two proposed pairs.
-3. Words or pairs that turn out frequent and were not proposed are failures of the border: a
-   further pass counts exactly the phrases that could not be counted before, those of frequent words
-   or pairs that are no part of an earlier pass's. Passes follow until no new frequent word or pair comes
-   up, so nothing depends on the sample but the number of passes: a phrase is frequent only if its
-   parts are.
-
-The sets that a pass asks for are bit tables of fixed size (``WORD_BITS``, ``PAIR_BITS``) over hashes, so what goes
-to the tasks does not grow with the corpus. A bit that two keys share makes a phrase be counted that
-need not be; since all tasks ask the same table, a phrase is counted everywhere or nowhere, and
+1. A sample of the documents (one in ``SAMPLE_SHARE``) proposes words and pairs that it holds at least
+   ``SAMPLE_SEEN`` times.
+2. A full pass counts the proposed phrases exactly, and their negative border as far as it occurs: all
+   other words, all other pairs of two proposed words, all triples of two proposed pairs. The border is
+   long and rare, so it is counted under 64-bit keys; two phrases of one key can only seem
+   more frequent than they are.
+3. Phrases of the border that reach the count are its failures: a further pass counts them exactly as
+   themselves, with the phrases that come into question by them: pairs of new words and triples of
+   new pairs. Passes follow until no new frequent word or pair comes up, so nothing depends on the sample but
+   the number of passes: a phrase is frequent only if its parts are.
+
+The sets that a pass asks for are bit tables of fixed size (``WORD_BITS``, ``PAIR_BITS``) over the keys, so what
+goes to the tasks does not grow with the corpus. A bit that two keys share makes a phrase be counted that
+need not be; since all tasks ask the same tables, a phrase is counted everywhere or nowhere, and
 the earlier passes' tables say exactly which were. Tasks count in arrays of word numbers and hand
 on partial sums, so a phrase that a third of the corpus repeats is a few rows.
 
@@ -45,9 +45,10 @@ SAMPLE_SEEN = 2
 WORD_BITS = 24
 PAIR_BITS = 26
 #: Words that a task numbers before it hands on its sums (21 bits of a key), and keys that it holds.
-WORDS_KEPT = 1 << 20
-KEYS_KEPT = 1 << 22
-ROWS_OUT = 100_000
+WORDS_KEPT = 1 << 18
+KEYS_KEPT = 1 << 20
+ROWS_OUT = 50_000
+STEP = 1 << 21
 
 #: Blanks between words, marks between pieces, capitals that are lowered.
 BLANKS = b"\x20\x09"
@@ -58,7 +59,7 @@ CLASS[list(MARKS)] = 2
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-COUNT_SCHEMA = "lang string, size int, phrase string, n bigint"
+COUNT_SCHEMA = "size int, key bigint, lang string, phrase string, n bigint"
 SHIFT = 21
 LOW = (1 << SHIFT) - 1
 
@@ -77,11 +78,11 @@ def words_and_pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]
     heads = offsets[:-1][offsets[:-1] < len(raw)]
     begins[heads] = part[heads]
     starts = np.flatnonzero(begins)
-    kept = np.cumsum(part, dtype=np.int64)
+    kept = np.cumsum(part, dtype=np.int32)  # a step is far below 2**31 bytes, a text too
     ends = np.append(kept[starts] - 1, kept[-1] if len(kept) else 0)
     words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(LOWER[raw[part]]))
     rows = np.searchsorted(offsets, starts, side="right") - 1
-    marks = np.cumsum(kind == 2, dtype=np.int64)[starts]
+    marks = np.cumsum(kind == 2, dtype=np.int32)[starts]
     joined = np.zeros(len(starts), dtype=bool)
     joined[:-1] = (marks[1:] == marks[:-1]) & (rows[1:] == rows[:-1])
     return words, rows, joined
@@ -97,10 +98,9 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def key_hash(lang: int, first: np.ndarray, second: np.ndarray | None = None) -> np.ndarray:
-    """Hash of a word, or of a pair of words, of a language from the hashes of its words."""
-    h = mixed(first ^ np.uint64(lang))
-    return h if second is None else mixed(h * np.uint64(0x9E3779B97F4A7C15) + second)
+def longer_key(key: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Key of a phrase from the key of all its words but the last, and the hash of that one."""
+    return mixed(key * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
 class Bits:
@@ -119,50 +119,56 @@ class Bits:
 
 
 def bits_of(found: DataFrame, size: int, bits: int) -> Bits:
-    """The table of the phrases of ``size`` words (1 or 2) of lang, size, phrase, n: 2**bits / 64 rows at most
-    come to the driver, whatever the number of phrases."""
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        empty = Bits(bits)
-        for batch in batches:
-            langs, phrases = strings(batch.column(0)), [p.split(" ") for p in strings(batch.column(1))]
-            base = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in langs), np.uint64, len(langs))
-            words = [word_hash([p[k] for p in phrases]) for k in range(size)]
-            at = empty.places(key_hash(0, words[0] ^ base, *words[1:]))
-            yield pa.record_batch({"slot": pa.array(at >> 6), "bits": pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))})
-
-    rows = found.where(F.col("size") == size).select("lang", "phrase").mapInArrow(placed, "slot bigint, bits bigint")
-    slots = rows.groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    """The table of the keys of phrases of ``size`` words: 2**bits / 64 rows at most come to the driver,
+    whatever the number of phrases."""
+    place = F.shiftrightunsigned("key", 64 - bits)
+    slots = found.where(F.col("size") == size).select(place.alias("place")).select(
+        F.shiftright("place", 6).alias("slot"), F.expr("shiftleft(1L, cast(place % 64 as int))").alias("bits"))
+    slots = slots.groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(1 << (bits - 6), dtype=np.int64)
     out[slots["slot"].to_numpy()] = slots["bits"].to_numpy()
     return Bits(bits, out.view(np.uint8))
 
 
-class Asked:
-    """What a pass counts: pairs of words and triples of pairs that it asks for, without those that the
-    earlier passes have counted. ``all_words``: also every word."""
+class Pass:
+    """What a pass counts. ``words``, ``pairs``: proposed in the first pass, frequent ones in later passes.
+    ``before``: the passes before it; ``failed``: their border's failures by size."""
 
-    def __init__(self, words: Bits, pairs: Bits, before: list["Asked"] = (), all_words: bool = False):
-        self.words, self.pairs, self.before, self.all_words = words, pairs, list(before), all_words
+    def __init__(self, words: Bits, pairs: Bits, before: list["Pass"] = (), failed: dict[int, Bits] | None = None):
+        self.words, self.pairs, self.before, self.failed = words, pairs, list(before), failed
 
-    def _both(self, table: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def _reached(self, table: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         bits = getattr(self, table)
         return bits.has(a) & bits.has(b)
 
-    def new(self, table: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        wanted = self._both(table, a, b)
-        for old in self.before:
-            at = np.flatnonzero(wanted)
-            if len(at):
-                wanted[at] = ~old._both(table, a[at], b[at])
-        return wanted
+    def judged(self, size: int, key: np.ndarray, a: np.ndarray | None = None, b: np.ndarray | None = None) -> tuple:
+        """Which occurrences to count exactly, and which under their key; ``a``, ``b``: keys of the two parts."""
+        table = {1: None, 2: "words", 3: "pairs"}[size]
+        if not self.before:
+            asked = np.ones(len(key), dtype=bool) if size == 1 else self._reached(table, a, b)
+            own = {1: self.words, 2: self.pairs}.get(size)
+            exact = asked & own.has(key) if own else np.zeros(len(key), dtype=bool)
+            return exact, asked & ~exact
+        first, later = self.before[0], self.before[1:]
+        known = first._reached(table, a, b) if size > 1 else np.ones(len(key), dtype=bool)
+        # asked by the first pass: only what failed there, once
+        own = {1: first.words, 2: first.pairs}.get(size)
+        exact = known & self.failed[size].has(key) if not later else np.zeros(len(key), dtype=bool)
+        if own is not None and not later:
+            exact &= ~own.has(key)
+        if size > 1:
+            new = ~known & self._reached(table, a, b)
+            for old in later:
+                new &= ~old._reached(table, a, b)
+            exact |= new
+        return exact, np.zeros(len(key), dtype=bool)
 
 
 # ---------------------------------------------------------------- one task
 class Tally:
-    """Partial sums of one task: keys of word numbers by language and size, handed on before they outgrow it."""
+    """Partial sums of one task: word numbers by language, size and kind, handed on before they outgrow it."""
 
-    def __init__(self, asked: Asked | None):
+    def __init__(self, asked: Pass | None):
         self.asked = asked
         self.clear()
 
@@ -170,7 +176,8 @@ class Tally:
         self.numbers: dict[str, int] = {}
         self.words: list[str] = []
         self.hashes = np.zeros(0, dtype=np.uint64)
-        self.sums: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.sums: dict[tuple[str, int, bool], list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.totals: dict[str, int] = {}
         self.held = 0
 
     def numbered(self, words: pa.Array) -> np.ndarray:
@@ -181,39 +188,65 @@ class Tally:
             self.numbers.update(zip(new, range(len(self.words), len(self.words) + len(new))))
             self.words += new
             self.hashes = np.concatenate([self.hashes, word_hash(new)])
-        place = np.fromiter((self.numbers[w] for w in distinct), np.int64, len(distinct))
+        place = np.fromiter(map(self.numbers.__getitem__, distinct), np.int64, len(distinct))
         return place[np.asarray(coded.indices, dtype=np.int64)]
 
-    def put(self, lang: str, size: int, keys: np.ndarray) -> None:
-        if len(keys):
-            keys, n = np.unique(keys, return_counts=True)
-            self.sums.setdefault((lang, size), []).append((keys, n))
-            self.held += len(keys)
+    def put(self, lang: str, size: int, exact: bool, codes: np.ndarray) -> None:
+        if len(codes):
+            codes, n = np.unique(codes, return_counts=True)
+            self.sums.setdefault((lang, size, exact), []).append((codes, n))
+            self.held += len(codes)
 
     def add(self, lang: str, codes: np.ndarray, joined: np.ndarray) -> None:
         """Words in order, and whether the next one continues the piece."""
-        asked, base = self.asked, xxhash.xxh3_64_intdigest(lang)
-        if asked is None or asked.all_words:
-            self.put(lang, 1, codes)
-        a, b = codes[:-1][joined[:-1]], codes[1:][joined[:-1]]
-        if asked is None:
-            self.put(lang, 2, a << SHIFT | b)
+        self.totals[lang] = self.totals.get(lang, 0) + len(codes)
+        h, base = self.hashes, np.uint64(xxhash.xxh3_64_intdigest(lang))
+        first = mixed(h ^ base)  # keys of the words
+        two = joined[:-1]
+        a, b = codes[:-1][two], codes[1:][two]
+        if self.asked is None:
+            self.put(lang, 1, False, codes)
+            self.put(lang, 2, False, a << SHIFT | b)
             return
-        h = self.hashes
-        self_hash = key_hash(base, h)  # once a word, not once an occurrence
-        self.put(lang, 2, (a << SHIFT | b)[asked.new("words", self_hash[a], self_hash[b])])
-        three = joined[:-2] & joined[1:-1]
-        a, b, c = codes[:-2][three], codes[1:-1][three], codes[2:][three]
-        wanted = asked.new("pairs", key_hash(base, h[a], h[b]), key_hash(base, h[b], h[c]))
-        self.put(lang, 3, (a << 2 * SHIFT | b << SHIFT | c)[wanted])
+        exact, border = self.asked.judged(1, first)
+        self.put(lang, 1, True, codes[exact[codes]])
+        self.put(lang, 1, False, codes[border[codes]])
+        if not len(a):
+            return
+        # pairs are judged once a distinct pair of the batch, not once an occurrence
+        pairs, where = np.unique(a << SHIFT | b, return_inverse=True)
+        a, b = pairs >> SHIFT, pairs & LOW
+        key = longer_key(first[a], h[b])
+        exact, border = self.asked.judged(2, key, first[a], first[b])
+        self._counted(lang, 2, pairs, where, exact, border)
+        place = np.full(len(codes) - 1, -1)
+        place[two] = where
+        i = np.flatnonzero(two[:-1] & two[1:])
+        left, right = place[i], place[i + 1]
+        if not len(i):
+            return
+        last = b[right]
+        exact, border = self.asked.judged(3, longer_key(key[left], h[last]), key[left], key[right])
+        triple = pairs[left] << SHIFT | last
+        self.put(lang, 3, True, triple[exact])
+        self.put(lang, 3, False, triple[border])
+
+    def _counted(self, lang: str, size: int, codes: np.ndarray, where: np.ndarray, exact: np.ndarray, border: np.ndarray) -> None:
+        n = np.bincount(where, minlength=len(codes))
+        for kind, mask in ((True, exact), (False, border)):
+            if mask.any():
+                self.sums.setdefault((lang, size, kind), []).append((codes[mask], n[mask]))
+                self.held += int(mask.sum())
 
     def merged(self) -> None:
         self.held = 0
         for at, parts in self.sums.items():
             if len(parts) > 1:
-                keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-                n = np.bincount(where, weights=np.concatenate([x for _, x in parts])).astype(np.int64)
-                self.sums[at] = [(keys, n)]
+                codes, n = np.concatenate([k for k, _ in parts]), np.concatenate([x for _, x in parts])
+                order = np.argsort(codes, kind="stable")
+                codes, n = codes[order], n[order]
+                heads = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+                self.sums[at] = [(codes[heads], np.add.reduceat(n, heads))]
             self.held += len(self.sums[at][0][0])
 
     def full(self) -> bool:
@@ -226,25 +259,37 @@ class Tally:
     def handed_on(self) -> Iterator[pa.RecordBatch]:
         self.merged()
         words = pa.array(self.words, type=pa.string())
-        for (lang, size), [(keys, n)] in self.sums.items():
-            for a in range(0, len(keys), ROWS_OUT):
-                k = keys[a:a + ROWS_OUT]
-                parts = [words.take(pa.array(k >> (SHIFT * (size - 1 - i)) & LOW)) for i in range(size)]
-                phrase = parts[0] if size == 1 else pc.binary_join_element_wise(*parts, " ")
-                yield pa.record_batch({"lang": pa.array([lang] * len(k)), "size": pa.array(np.full(len(k), size, dtype=np.int32)),
-                                       "phrase": phrase, "n": pa.array(n[a:a + ROWS_OUT].astype(np.int64))})
+        for (lang, size, exact), [(codes, n)] in self.sums.items():
+            for at in range(0, len(codes), ROWS_OUT):
+                some = codes[at:at + ROWS_OUT]
+                parts = [some >> (SHIFT * (size - 1 - i)) & LOW for i in range(size)]
+                key = mixed(self.hashes[parts[0]] ^ np.uint64(xxhash.xxh3_64_intdigest(lang)))
+                for part in parts[1:]:
+                    key = longer_key(key, self.hashes[part])
+                named = [words.take(pa.array(part)) for part in parts] if exact else []
+                phrase = pa.nulls(len(some), pa.string()) if not exact else named[0] if size == 1 else pc.binary_join_element_wise(*named, " ")
+                yield pa.record_batch({
+                    "size": pa.array(np.full(len(some), size, dtype=np.int32)), "key": pa.array(key.view(np.int64)),
+                    "lang": pa.array([lang if exact else None] * len(some), type=pa.string()), "phrase": phrase,
+                    "n": pa.array(n[at:at + ROWS_OUT].astype(np.int64))})
+        langs = list(self.totals)
+        yield pa.record_batch({
+            "size": pa.array([0] * len(langs), type=pa.int32()), "key": pa.array([0] * len(langs), type=pa.int64()),
+            "lang": pa.array(langs, type=pa.string()), "phrase": pa.nulls(len(langs), pa.string()),
+            "n": pa.array([self.totals[x] for x in langs], type=pa.int64())})
         self.clear()
 
 
-def counted(docs: DataFrame, asked: Asked | None) -> DataFrame:
-    """lang, size, phrase, n: exact sums over docs (lang, text) of what ``asked`` asks for; None: all
-    words and pairs."""
+def counted(docs: DataFrame, asked: Pass | None) -> DataFrame:
+    """size, key, lang, phrase, n over docs (lang, text): exact sums (with lang and phrase) and the border's
+    (without) of what ``asked`` asks for, and the words of each language as size 0. None: all words and pairs
+    by their keys."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(asked)  # tables of fixed size
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = Tally(held.value)
-        for batch in steps(batches, "text"):
+        for batch in steps(batches, "text", STEP):
             words, rows, joined = words_and_pieces(text_column(batch, "text"))
             if not len(words):
                 continue
@@ -258,7 +303,7 @@ def counted(docs: DataFrame, asked: Asked | None) -> DataFrame:
                 yield from sums.handed_on()
         yield from sums.handed_on()
 
-    return docs.select("lang", "text").mapInArrow(tally, COUNT_SCHEMA).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
+    return docs.select("lang", "text").mapInArrow(tally, COUNT_SCHEMA).groupBy("size", "key", "lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 # ---------------------------------------------------------------- the passes
@@ -267,22 +312,29 @@ def frequent_phrases(docs: DataFrame, min_count: int, share: int = SAMPLE_SHARE,
     """docs: lang, text. Phrases of one to three words that occur ``min_count`` times or more (lang, size,
     phrase, n), and the words of each language (lang, total). ``report``: gets a line a pass."""
     spark = docs.sparkSession
-    sample = docs.where(F.pmod(F.xxhash64("text", "lang"), F.lit(share)) == 0)
-    seen_there = stored(spark, counted(sample, None).where(F.col("n") >= seen), "proposed")
-    passes = [Asked(bits_of(seen_there, 1, WORD_BITS), bits_of(seen_there, 2, PAIR_BITS), all_words=True)]
-    first = stored(spark, counted(docs, passes[0]), "counted")  # all words: their sum is the language's total
-    totals = first.where("size = 1").groupBy("lang").agg(F.sum("n").alias("total"))
-    found = first.where(F.col("n") >= min_count)
+    sample = docs.where(F.rand(7) * share < 1)
+    proposed = stored(spark, counted(sample, None).where(F.col("n") >= seen), "proposed")
+    passes = [Pass(bits_of(proposed, 1, WORD_BITS), bits_of(proposed, 2, PAIR_BITS))]
+    enough = (F.col("n") >= min_count) | (F.col("size") == 0)
+    first = stored(spark, counted(docs, passes[0]).where(enough), "counted")
+    totals = first.where("size = 0").select("lang", F.col("n").alias("total"))
+    found, failed = first.where("phrase IS NOT NULL"), first.where("size > 0 AND phrase IS NULL")
     while True:
-        words, pairs = bits_of(found, 1, WORD_BITS), bits_of(found, 2, PAIR_BITS)
+        frequent = found.unionByName(failed) if len(passes) == 1 else found
+        words, pairs = bits_of(frequent, 1, WORD_BITS), bits_of(frequent, 2, PAIR_BITS)
         last = passes[-1]
         new_words, new_pairs = bool((words.data & ~last.words.data).any()), bool((pairs.data & ~last.pairs.data).any())
+        if len(passes) == 1:
+            failures = {1: bits_of(failed, 1, WORD_BITS), 2: bits_of(failed, 2, PAIR_BITS), 3: bits_of(failed, 3, PAIR_BITS)}
+            open_border = any(b.data.any() for b in failures.values())
+        else:
+            failures, open_border = None, False
         if report is not None:
-            report.append({"pass": len(passes), "new_words": new_words, "new_pairs": new_pairs})
-        if not new_words and not new_pairs:  # all phrases of frequent parts were asked for by this pass
+            report.append({"pass": len(passes), "new_words": new_words, "new_pairs": new_pairs, "border_failed": open_border})
+        if not (new_words or new_pairs or open_border):  # all phrases of frequent parts have been asked for
             return found, totals
-        passes.append(Asked(words, pairs, before=passes))
-        more = stored(spark, counted(docs, passes[-1]).where(F.col("n") >= min_count), "counted")
+        passes.append(Pass(words, pairs, before=passes, failed=failures))
+        more = stored(spark, counted(docs, passes[-1]).where((F.col("n") >= min_count) & F.col("phrase").isNotNull()), "counted")
         found = found.unionByName(more)
 
 
