@@ -4,7 +4,7 @@
    ``SAMPLE_SEEN`` times.
 2. A full pass counts the proposed phrases exactly, and their negative border as far as it occurs: all
    other words, all other pairs of two proposed words, all triples of two proposed pairs. The border is
-   long and rare, so it is counted under 64-bit keys; two phrases of one key can only seem
+   long and rare, so it is counted under keys of 48 bits; two phrases of one key can only seem
    more frequent than they are.
 3. Phrases of the border that reach the count are its failures: a further pass counts them exactly as
    themselves, with the phrases that come into question by them: pairs of new words and triples of
@@ -15,7 +15,9 @@ The sets that a pass asks for are bit tables of fixed size (``WORD_BITS``, ``PAI
 goes to the tasks does not grow with the corpus. A bit that two keys share makes a phrase be counted that
 need not be; since all tasks ask the same tables, a phrase is counted everywhere or nowhere, and
 the earlier passes' tables say exactly which were. Tasks count in arrays of word numbers and hand
-on partial sums, so a phrase that a third of the corpus repeats is a few rows.
+on partial sums as sorted arrays, one row for each range of keys, so a phrase that a third of the corpus
+repeats is a few entries. The number of ranges follows from the bytes of text (``RANGE_BYTES``), and each range is
+merged by a task of its own.
 
 Score of a cut after k words: floor(10**6 * a * a / (l * r)) in whole numbers of 38 digits (exact while
 a is below 10**16); the lowest cut counts, ties to the smallest k.
@@ -38,6 +40,7 @@ from pyspark.sql import functions as F
 
 from larder.llm.batches import steps, strings, text_column
 from larder.llm.common import stored, table, whole
+from larder.llm.vectors import blocks_of
 from larder.operators.ordinal import scan_within
 
 SAMPLE_SHARE = 8
@@ -47,8 +50,9 @@ PAIR_BITS = 26
 #: Words that a task numbers before it hands on its sums (21 bits of a key), and keys that it holds.
 WORDS_KEPT = 1 << 18
 KEYS_KEPT = 1 << 20
-ROWS_OUT = 50_000
 STEP = 1 << 21
+#: Bytes of text whose keys make one range.
+RANGE_BYTES = 8 << 20
 
 #: Blanks between words, marks between pieces, capitals that are lowered.
 BLANKS = b"\x20\x09"
@@ -60,6 +64,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 COUNT_SCHEMA = "size int, key bigint, lang string, phrase string, n bigint"
+RANGE_SCHEMA = ("range int, low binary, high binary, counts binary, sizes array<int>, keys array<bigint>, langs array<string>, "
+                "phrases array<string>, sums array<bigint>")
 SHIFT = 21
 LOW = (1 << SHIFT) - 1
 
@@ -242,11 +248,7 @@ class Tally:
         self.held = 0
         for at, parts in self.sums.items():
             if len(parts) > 1:
-                codes, n = np.concatenate([k for k, _ in parts]), np.concatenate([x for _, x in parts])
-                order = np.argsort(codes, kind="stable")
-                codes, n = codes[order], n[order]
-                heads = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
-                self.sums[at] = [(codes[heads], np.add.reduceat(n, heads))]
+                self.sums[at] = [summed(np.concatenate([k for k, _ in parts]), np.concatenate([x for _, x in parts]))]
             self.held += len(self.sums[at][0][0])
 
     def full(self) -> bool:
@@ -256,36 +258,105 @@ class Tally:
             self.merged()
         return self.held > KEYS_KEPT // 2
 
-    def handed_on(self) -> Iterator[pa.RecordBatch]:
+    def handed_on(self, ranges: int) -> Iterator[pa.RecordBatch]:
+        """One row for each range of keys that has any."""
         self.merged()
         words = pa.array(self.words, type=pa.string())
+        border: list[tuple[np.ndarray, np.ndarray]] = []
+        sizes, keys, langs, phrases, sums = [], [], [], [], []
         for (lang, size, exact), [(codes, n)] in self.sums.items():
-            for at in range(0, len(codes), ROWS_OUT):
-                some = codes[at:at + ROWS_OUT]
-                parts = [some >> (SHIFT * (size - 1 - i)) & LOW for i in range(size)]
-                key = mixed(self.hashes[parts[0]] ^ np.uint64(xxhash.xxh3_64_intdigest(lang)))
-                for part in parts[1:]:
-                    key = longer_key(key, self.hashes[part])
-                named = [words.take(pa.array(part)) for part in parts] if exact else []
-                phrase = pa.nulls(len(some), pa.string()) if not exact else named[0] if size == 1 else pc.binary_join_element_wise(*named, " ")
-                yield pa.record_batch({
-                    "size": pa.array(np.full(len(some), size, dtype=np.int32)), "key": pa.array(key.view(np.int64)),
-                    "lang": pa.array([lang if exact else None] * len(some), type=pa.string()), "phrase": phrase,
-                    "n": pa.array(n[at:at + ROWS_OUT].astype(np.int64))})
-        langs = list(self.totals)
-        yield pa.record_batch({
-            "size": pa.array([0] * len(langs), type=pa.int32()), "key": pa.array([0] * len(langs), type=pa.int64()),
-            "lang": pa.array(langs, type=pa.string()), "phrase": pa.nulls(len(langs), pa.string()),
-            "n": pa.array([self.totals[x] for x in langs], type=pa.int64())})
+            base = np.uint64(xxhash.xxh3_64_intdigest(lang))
+            parts = [codes >> (SHIFT * (size - 1 - i)) & LOW for i in range(size)]
+            key = mixed(self.hashes[parts[0]] ^ base)
+            for part in parts[1:]:
+                key = longer_key(key, self.hashes[part])
+            if exact:
+                named = [words.take(pa.array(part)) for part in parts]
+                phrases.append(named[0] if size == 1 else pc.binary_join_element_wise(*named, " "))
+                langs.append(pa.array([lang] * len(codes), type=pa.string()))
+                sizes.append(np.full(len(codes), size, dtype=np.int32))
+                keys.append(key)
+                sums.append(n.astype(np.int64))
+            else:
+                border.append((key >> np.uint64(18) << np.uint64(2) | np.uint64(size), n))
+        if self.totals:
+            langs.append(pa.array(list(self.totals), type=pa.string()))
+            phrases.append(pa.array([""] * len(self.totals), type=pa.string()))
+            sizes.append(np.zeros(len(self.totals), dtype=np.int32))
+            keys.append(word_hash(list(self.totals)))
+            sums.append(np.array(list(self.totals.values()), dtype=np.int64))
+            yield self._rows(border, np.concatenate(sizes), np.concatenate(keys), pa.concat_arrays(langs), pa.concat_arrays(phrases),
+                             np.concatenate(sums), ranges)
         self.clear()
 
-
-def counted(docs: DataFrame, asked: Pass | None) -> DataFrame:
-    """size, key, lang, phrase, n over docs (lang, text): exact sums (with lang and phrase) and the border's
-    (without) of what ``asked`` asks for, and the words of each language as size 0. None: all words and pairs
-    by their keys."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(asked)  # tables of fixed size
+    @staticmethod
+    def _rows(border: list, sizes: np.ndarray, keys: np.ndarray, langs: pa.Array, phrases: pa.Array, sums: np.ndarray,
+              ranges: int) -> pa.RecordBatch:
+        key, n = summed(np.concatenate([k for k, _ in border]), np.concatenate([x for _, x in border])) if border else (
+            np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        cuts = np.searchsorted(range_of(key << np.uint64(16), ranges), np.arange(ranges + 1))
+        place = range_of(keys, ranges)
+        order = np.argsort(place, kind="stable")
+        marks = np.searchsorted(place[order], np.arange(ranges + 1)).astype(np.int32)
+
+        def packed(values: np.ndarray) -> pa.Array:
+            offsets = (cuts * values.itemsize).astype(np.int32)
+            return pa.Array.from_buffers(pa.binary(), ranges, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+        def listed(values: pa.Array) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(marks), values.take(pa.array(order)))
+
+        rows = pa.record_batch({
+            "range": pa.array(np.arange(ranges, dtype=np.int32)), "low": packed((key & np.uint64(0xFFFFFFFF)).astype(np.uint32)),
+            "high": packed((key >> np.uint64(32)).astype(np.uint16)), "counts": packed(n.astype(np.uint32)),
+            "sizes": listed(pa.array(sizes)), "keys": listed(pa.array(keys.view(np.int64))), "langs": listed(langs),
+            "phrases": listed(phrases), "sums": listed(pa.array(sums))})
+        return rows.filter(pa.array((np.diff(cuts) > 0) | (np.diff(marks) > 0)))
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sum of each."""
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[heads], np.add.reduceat(n, heads)
+
+
+def range_of(key: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of a 64-bit key; it rises with the key."""
+    return ((key >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
+def _merge_range(least: int):
+    def merge(key: tuple, rows: pa.Table) -> pa.Table:
+        def all_of(name: str, kind: type) -> np.ndarray:
+            return np.concatenate([np.frombuffer(x, dtype=kind) for x in rows[name].to_pylist() if x] or [np.zeros(0, dtype=kind)])
+
+        border, n = summed(all_of("high", np.uint16).astype(np.uint64) << np.uint64(32) | all_of("low", np.uint32),
+                           all_of("counts", np.uint32).astype(np.int64))
+        border, n = border[n >= least], n[n >= least]
+        flat = {name: pa.concat_arrays([x.flatten() for x in rows[column].chunks]) for name, column in (
+            ("size", "sizes"), ("key", "keys"), ("lang", "langs"), ("phrase", "phrases"), ("n", "sums"))}
+        exact = pa.table(flat).group_by(["size", "lang", "phrase"]).aggregate([("n", "sum"), ("key", "min")])
+        exact = exact.filter(pc.or_(pc.equal(exact["size"], 0), pc.greater_equal(exact["n_sum"], least)))
+        names = ["size", "key", "lang", "phrase", "n"]
+        kinds = [pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        exact = [exact["size"], exact["key_min"], exact["lang"], exact["phrase"], exact["n_sum"]]
+        counted = [(border & np.uint64(3)).astype(np.int32), (border >> np.uint64(2) << np.uint64(18)).view(np.int64),
+                   pa.nulls(len(n), pa.string()), pa.nulls(len(n), pa.string()), n]
+        return pa.table({name: pa.chunked_array([*a.cast(kind).chunks, pa.array(b, type=kind)], type=kind)
+                         for name, kind, a, b in zip(names, kinds, exact, counted)})
+
+    return merge
+
+
+def counted(docs: DataFrame, asked: Pass | None, ranges: int, least: int) -> DataFrame:
+    """size, key, lang, phrase, n over docs (lang, text), from ``least`` on: exact sums (with lang and phrase) and the
+    border's (without) of what ``asked`` asks for, and the words of each language as size 0. None: all
+    words and pairs by their keys."""
+    held = docs.sparkSession.sparkContext.broadcast(asked)  # tables of fixed size
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = Tally(held.value)
@@ -298,12 +369,13 @@ def counted(docs: DataFrame, asked: Pass | None) -> DataFrame:
             langs, lang_of = strings(coded.dictionary), np.asarray(coded.indices, dtype=np.int64)[rows]
             for i, lang in enumerate(langs):  # a text's words stay together, so no piece is torn
                 own = np.flatnonzero(lang_of == i) if len(langs) > 1 else slice(None)
-                sums.add(lang, codes[own], joined[own])
+                if len(codes[own]):
+                    sums.add(lang, codes[own], joined[own])
             if sums.full():
-                yield from sums.handed_on()
-        yield from sums.handed_on()
+                yield from sums.handed_on(ranges)
+        yield from sums.handed_on(ranges)
 
-    return docs.select("lang", "text").mapInArrow(tally, COUNT_SCHEMA).groupBy("size", "key", "lang", "phrase").agg(F.sum("n").alias("n"))
+    return docs.select("lang", "text").mapInArrow(tally, RANGE_SCHEMA).groupBy("range").applyInArrow(_merge_range(least), COUNT_SCHEMA)
 
 
 # ---------------------------------------------------------------- the passes
@@ -312,13 +384,14 @@ def frequent_phrases(docs: DataFrame, min_count: int, share: int = SAMPLE_SHARE,
     """docs: lang, text. Phrases of one to three words that occur ``min_count`` times or more (lang, size,
     phrase, n), and the words of each language (lang, total). ``report``: gets a line a pass."""
     spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = blocks_of(size, RANGE_BYTES)
     sample = docs.where(F.rand(7) * share < 1)
-    proposed = stored(spark, counted(sample, None).where(F.col("n") >= seen), "proposed")
+    proposed = stored(spark, counted(sample, None, blocks_of(size, share * RANGE_BYTES), seen), "proposed")
     passes = [Pass(bits_of(proposed, 1, WORD_BITS), bits_of(proposed, 2, PAIR_BITS))]
-    enough = (F.col("n") >= min_count) | (F.col("size") == 0)
-    first = stored(spark, counted(docs, passes[0]).where(enough), "counted")
+    first = stored(spark, counted(docs, passes[0], ranges, min_count), "counted")
     totals = first.where("size = 0").select("lang", F.col("n").alias("total"))
-    found, failed = first.where("phrase IS NOT NULL"), first.where("size > 0 AND phrase IS NULL")
+    found, failed = first.where("size > 0 AND phrase IS NOT NULL"), first.where("phrase IS NULL")
     while True:
         frequent = found.unionByName(failed) if len(passes) == 1 else found
         words, pairs = bits_of(frequent, 1, WORD_BITS), bits_of(frequent, 2, PAIR_BITS)
@@ -334,7 +407,7 @@ def frequent_phrases(docs: DataFrame, min_count: int, share: int = SAMPLE_SHARE,
         if not (new_words or new_pairs or open_border):  # all phrases of frequent parts have been asked for
             return found, totals
         passes.append(Pass(words, pairs, before=passes, failed=failures))
-        more = stored(spark, counted(docs, passes[-1]).where((F.col("n") >= min_count) & F.col("phrase").isNotNull()), "counted")
+        more = stored(spark, counted(docs, passes[-1], ranges, min_count).where("size > 0"), "counted")
         found = found.unionByName(more)
 
 
