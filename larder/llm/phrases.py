@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm.batches import steps, strings, text_column
+from larder.llm.batches import strings, text_column
 from larder.llm.common import stored, table, whole
 from larder.llm.vectors import blocks_of
 from larder.operators.ordinal import scan_within
@@ -49,7 +49,7 @@ WORD_BITS = 24
 PAIR_BITS = 26
 #: Words that a task numbers before it hands on its sums (21 bits of a key), and keys that it holds.
 WORDS_KEPT = 1 << 18
-KEYS_KEPT = 1 << 20
+KEYS_KEPT = 1 << 19
 STEP = 1 << 21
 #: Bytes of text whose keys make one range.
 RANGE_BYTES = 8 << 20
@@ -94,6 +94,16 @@ def words_and_pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]
     return words, rows, joined
 
 
+def small_steps(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about ``limit`` bytes of text; nothing is copied."""
+    for batch in batches:
+        size = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0), dtype=np.int64)
+        cuts = np.flatnonzero(np.diff(np.cumsum(size) // limit)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 # ---------------------------------------------------------------- sets as bit tables
 def word_hash(words: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
@@ -288,6 +298,7 @@ class Tally:
             yield self._rows(border, np.concatenate(sizes), np.concatenate(keys), pa.concat_arrays(langs), pa.concat_arrays(phrases),
                              np.concatenate(sums), ranges)
         self.clear()
+        pa.default_memory_pool().release_unused()
 
     @staticmethod
     def _rows(border: list, sizes: np.ndarray, keys: np.ndarray, langs: pa.Array, phrases: pa.Array, sums: np.ndarray,
@@ -360,7 +371,7 @@ def counted(docs: DataFrame, asked: Pass | None, ranges: int, least: int) -> Dat
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = Tally(held.value)
-        for batch in steps(batches, "text", STEP):
+        for batch in small_steps(batches, STEP):
             words, rows, joined = words_and_pieces(text_column(batch, "text"))
             if not len(words):
                 continue
