@@ -1,7 +1,7 @@
 """Row-event jobs: the reference's triggers and procedure as set-based DataFrame jobs.
 
 E01 coupon totals, E02 stock status, E03 stock reservation, E04 purchase-order intake,
-E05 stock ledger (E03 and E04 interleaved on the one counter they share).
+E05 stock ledger (E03 and E04 interleaved on the one counter they share; in ``ledger``).
 
 A trigger fires per row in arrival order; here a batch of rows is one job. Order
 dependence (one unit per shipment line while stock lasts, running stock after each
@@ -16,13 +16,11 @@ from collections.abc import Callable, Sequence
 from functools import cached_property
 from typing import NamedTuple
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from larder.functions.exprs import first_date_at_or_after
+from larder.operators.ledger import LEDGER_ORDER, LEDGER_SCHEMA, ledger_events, stock_ledger  # noqa: F401  (E05)
 from larder.operators.ordinal import OrderSpec, scan_within, stored
 from larder.operators.shaping import spread_nulls
 
@@ -93,7 +91,8 @@ def stock_status(inventory_details: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------------- E03
 class Reservation:
     """E03 outputs. ``lines`` / ``materials_after`` run the ordered scan on first use;
-    ``eligible`` (lines that reach the stock test) does not need it."""
+    ``eligible`` does not need it: the lines that may take a unit, repeated ones included (a line that failed
+    for want of stock may come again in a ledger)."""
 
     def __init__(self, build_lines, materials: DataFrame, eligible: DataFrame):
         self._build_lines = build_lines
@@ -166,8 +165,9 @@ def reserve_stock(shipment_lines: DataFrame, materials: DataFrame, order: OrderS
         stored_before = F.col("_em").isNotNull()
     missing, duplicate, unknown = (F.lit(r) for r in LINE_REASONS)
     checked = checked.select(*cols, F.when(F.col("_first_id").isNull() | stored_before, duplicate)
-                             .when(~known, unknown).alias("_reason"))
-    bare = lines.filter(F.col("Material_Id").isNull() | F.col("trackingID").isNull()).select(*cols, missing.alias("_reason"))
+                             .when(~known, unknown).alias("_reason"), (stored_before | ~known).alias("_old"))
+    bare = lines.filter(F.col("Material_Id").isNull() | F.col("trackingID").isNull()).select(
+        *cols, missing.alias("_reason"), F.lit(True).alias("_old"))
     judged = _with_stock(checked.unionByName(bare), "Material_Id", materials)
     at_hand = judged.filter(F.col("_mid").isNotNull())
 
@@ -185,7 +185,8 @@ def reserve_stock(shipment_lines: DataFrame, materials: DataFrame, order: OrderS
             F.lit("unknown_material").alias("reason"))
         return decided.unionByName(failed)
 
-    return Reservation(build_lines, materials, at_hand.filter(F.col("_reason").isNull()).select(*cols))
+    may_take = F.col("_reason").isNull() | ((F.col("_reason") == duplicate) & ~F.col("_old"))
+    return Reservation(build_lines, materials, at_hand.filter(may_take).select(*cols))
 
 
 # ------------------------------------------------------------------------- E04
@@ -253,88 +254,3 @@ def process_purchase_orders(requests: DataFrame, materials: DataFrame, existing_
              .select(materials["material_Id"], (F.col("quantity") + F.coalesce(F.col("_added"), F.lit(0)))
                      .cast("long").alias("quantity")))
     return Intake(accepted, ok.drop("_stock"), rejected, after, audit)
-
-
-# ------------------------------------------------------------------------- E05
-LEDGER_ORDER: OrderSpec = (("arrival_key", False), ("kind_rank", False), ("line", False), ("part", False), ("ref", False))
-LEDGER_SCHEMA = ("Material_Id string, kind string, quantity long, arrival_key long, kind_rank int, line long, part long, "
-                 "ref string")
-
-
-def ledger_events(lines: DataFrame, receipts: DataFrame, line_arrival: str = "arrival_seq",
-                  receipt_arrival: Sequence[str] = ("arrival_order", "arrival_line", "arrival_part")) -> DataFrame:
-    """One event table from reservation lines (E03 shape) and accepted purchase orders (E04
-    shape). ``line_arrival`` and the first of ``receipt_arrival`` are the same counter, on which
-    a receipt comes before the lines; the others order receipts of equal arrival."""
-    key, line, part = (F.col(c).cast("long") for c in receipt_arrival)
-    none = F.lit(0).cast("long")
-    res = lines.select("Material_Id", F.lit("reservation").alias("kind"), F.lit(1).cast("long").alias("quantity"),
-                       F.col(line_arrival).cast("long").alias("arrival_key"), F.lit(1).alias("kind_rank"),
-                       none.alias("line"), none.alias("part"), F.col("trackingID").alias("ref"))
-    rec = receipts.select(F.col("p_material_id").alias("Material_Id"), F.lit("receipt").alias("kind"),
-                          F.col("p_purchase_qty").cast("long").alias("quantity"), key.alias("arrival_key"),
-                          F.lit(0).alias("kind_rank"), line.alias("line"), part.alias("part"),
-                          F.col("p_po_no").alias("ref"))
-    return res.unionByName(rec)
-
-
-def _fold_material(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sequential reference semantics for one material (used outside the scan's domain)."""
-    keys = [c for c, _ in LEDGER_ORDER]
-    pdf = pdf.sort_values(keys, kind="mergesort")
-    bal = int(pdf["_start"].iloc[0])
-    acc, out = [], []
-    for kind, qty in zip(pdf["kind"], pdf["quantity"]):
-        if kind == "receipt":
-            bal += int(qty)
-            acc.append(True)
-        elif bal > 0:
-            bal -= 1
-            acc.append(True)
-        else:
-            acc.append(False)
-        out.append(bal)
-    return pdf.drop(columns=["_start"]).assign(accepted=acc, balance=np.array(out, dtype="int64"))
-
-
-def stock_ledger(events: DataFrame, materials: DataFrame, order: OrderSpec = LEDGER_ORDER) -> DataFrame:
-    """Receipts (+quantity, never fail) and reservations (one unit, fail at balance
-    <= 0) on the stock counter of each material, in arrival order.
-
-    With receipts >= 0 the balance is a clamped walk: let S be the start plus the running sum of
-    deltas (every reservation counted as -1) and M the running minimum of S capped at 0; then
-    balance = S - M and a reservation fails exactly where M falls. That is one skew-safe prefix
-    scan, and one more before it where the start is below 0. A material with a negative receipt
-    is folded sequentially.
-    """
-    stock = materials.select(F.col("material_Id").alias("_mid"), F.col("quantity").alias("_start"))
-    ev = stored(events.join(stock, events["Material_Id"] == stock["_mid"], "inner").drop("_mid"))  # read three times
-    receipt = F.col("kind") == "receipt"
-    odd = (ev.filter(receipt & (F.col("quantity") < 0)).select(F.col("Material_Id").alias("_oid")).distinct())
-    tagged = ev.join(odd, ev["Material_Id"] == odd["_oid"], "left")
-    regular = tagged.filter(F.col("_oid").isNull()).drop("_oid")
-    delta = F.when(receipt, F.col("quantity")).otherwise(F.lit(-1)).cast("long")
-    # below 0 only receipts count: up to the receipt that brings the sum above 0 every reservation
-    # fails; from there on the walk starts at 0 with what that receipt leaves
-    below = scan_within(regular.filter(F.col("_start") < 0), ["Material_Id"], order,
-                        F.when(receipt, F.col("quantity")).otherwise(F.lit(0)))
-    below = below.withColumn("_sum", F.col("_start") + F.col("_run")).drop("_pos", "_run", "_min_prev")
-    sunk = below.filter(F.col("_sum") <= 0).select(
-        *events.columns, receipt.alias("accepted"), F.col("_sum").cast("long").alias("balance"))
-    risen = below.filter(F.col("_sum") > 0).withColumn(
-        "_delta", F.when(receipt & (F.col("_sum") <= F.col("quantity")), F.col("_sum")).otherwise(delta)).withColumn(
-        "_start", F.lit(0).cast("long")).drop("_sum")
-    walk = regular.filter(F.col("_start") >= 0).withColumn("_start", F.col("_start").cast("long")).withColumn("_delta", delta)
-    scanned = scan_within(walk.unionByName(risen), ["Material_Id"], order, "_delta")
-    s = F.col("_start") + F.col("_run")
-    low_prev = F.least(F.lit(0), F.coalesce(F.col("_start") + F.col("_min_prev"), F.lit(0)))
-    before = s - F.col("_delta") - low_prev
-    walked = scanned.select(
-        *events.columns,
-        ((F.col("kind") == "receipt") | (before > 0)).alias("accepted"),
-        (s - F.least(low_prev, s)).cast("long").alias("balance"))
-    folded_schema = T.StructType(list(events.schema.fields) + [
-        T.StructField("accepted", T.BooleanType()), T.StructField("balance", T.LongType())])
-    folded = (tagged.filter(F.col("_oid").isNotNull()).select(*events.columns, "_start")
-              .groupBy("Material_Id").applyInPandas(_fold_material, folded_schema))
-    return walked.unionByName(sunk).unionByName(folded)
