@@ -49,7 +49,7 @@ WORD_BITS = 24
 PAIR_BITS = 26
 #: Words that a task numbers before it hands on its sums (21 bits of a key), and keys that it holds.
 WORDS_KEPT = 1 << 18
-KEYS_KEPT = 1 << 19
+KEYS_KEPT = {True: 1 << 21, False: 1 << 19}  # exact ones, the border's
 STEP = 1 << 21
 #: Bytes of text whose keys make one range.
 RANGE_BYTES = 8 << 20
@@ -64,7 +64,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 COUNT_SCHEMA = "size int, key bigint, lang string, phrase string, n bigint"
-RANGE_SCHEMA = ("range int, low binary, high binary, counts binary, sizes array<int>, keys array<bigint>, langs array<string>, "
+RANGE_SCHEMA = ("range int, low binary, high binary, counts binary, sizes array<int>, langs array<string>, "
                 "phrases array<string>, sums array<bigint>")
 SHIFT = 21
 LOW = (1 << SHIFT) - 1
@@ -119,6 +119,18 @@ def longer_key(key: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mixed(key * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
+def phrase_keys(langs: list[str], phrases: list[str]) -> pa.Array:
+    """Keys of whole phrases (words with one blank between them)."""
+    words = [p.split(" ") for p in phrases]
+    base = {lang: xxhash.xxh3_64_intdigest(lang) for lang in set(langs)}
+    first = np.fromiter((xxhash.xxh3_64_intdigest(w[0]) ^ base[lang] for lang, w in zip(langs, words)), np.uint64, len(words))
+    key = mixed(first)
+    for k in (1, 2):
+        rows = np.array([i for i, w in enumerate(words) if len(w) > k], dtype=np.int64)
+        key[rows] = longer_key(key[rows], word_hash([words[i][k] for i in rows]))
+    return pa.array(key.view(np.int64))
+
+
 class Bits:
     """A set of hashes as a table of 2**bits bits; a bit may stand for more than one key."""
 
@@ -194,7 +206,7 @@ class Tally:
         self.hashes = np.zeros(0, dtype=np.uint64)
         self.sums: dict[tuple[str, int, bool], list[tuple[np.ndarray, np.ndarray]]] = {}
         self.totals: dict[str, int] = {}
-        self.held = 0
+        self.held = {True: 0, False: 0}  # exact sums, the border's
 
     def numbered(self, words: pa.Array) -> np.ndarray:
         coded = words.dictionary_encode()
@@ -211,7 +223,7 @@ class Tally:
         if len(codes):
             codes, n = np.unique(codes, return_counts=True)
             self.sums.setdefault((lang, size, exact), []).append((codes, n))
-            self.held += len(codes)
+            self.held[exact] += len(codes)
 
     def add(self, lang: str, codes: np.ndarray, joined: np.ndarray) -> None:
         """Words in order, and whether the next one continues the piece."""
@@ -252,29 +264,38 @@ class Tally:
         for kind, mask in ((True, exact), (False, border)):
             if mask.any():
                 self.sums.setdefault((lang, size, kind), []).append((codes[mask], n[mask]))
-                self.held += int(mask.sum())
+                self.held[kind] += int(mask.sum())
 
-    def merged(self) -> None:
-        self.held = 0
+    def merged(self, kind: bool) -> None:
+        self.held[kind] = 0
         for at, parts in self.sums.items():
-            if len(parts) > 1:
-                self.sums[at] = [summed(np.concatenate([k for k, _ in parts]), np.concatenate([x for _, x in parts]))]
-            self.held += len(self.sums[at][0][0])
-
-    def full(self) -> bool:
-        if len(self.words) > WORDS_KEPT:
-            return True
-        if self.held > KEYS_KEPT:
-            self.merged()
-        return self.held > KEYS_KEPT // 2
-
-    def handed_on(self, ranges: int) -> Iterator[pa.RecordBatch]:
-        """One row for each range of keys that has any."""
-        self.merged()
+            if at[2] == kind:
+                if len(parts) > 1:
+                    self.sums[at] = [summed(np.concatenate([k for k, _ in parts]), np.concatenate([x for _, x in parts]))]
+                self.held[kind] += len(self.sums[at][0][0])
+
+    def full(self) -> tuple[bool, bool]:
+        """Whether anything has to be handed on, and whether all of it: the exact sums of a task are worth keeping."""
+        over = {True: len(self.words) > WORDS_KEPT, False: False}
+        for kind, limit in KEYS_KEPT.items():
+            if self.held[kind] > limit:
+                self.merged(kind)
+                over[kind] |= self.held[kind] > limit // 2
+        return any(over.values()), over[True]
+
+    def handed_on(self, ranges: int, everything: bool = True) -> Iterator[pa.RecordBatch]:
+        """One row for each range of keys that has any; else than ``everything`` only the border's sums."""
+        self.merged(False)
+        if everything:
+            self.merged(True)
         words = pa.array(self.words, type=pa.string())
         border: list[tuple[np.ndarray, np.ndarray]] = []
-        sizes, keys, langs, phrases, sums = [], [], [], [], []
-        for (lang, size, exact), [(codes, n)] in self.sums.items():
+        sizes, keys, langs, phrases, sums = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)], [pa.array([], pa.string())], [
+            pa.array([], pa.string())], [np.zeros(0, np.int64)]
+        for (lang, size, exact), [(codes, n)] in list(self.sums.items()):
+            if exact and not everything:
+                continue
+            del self.sums[lang, size, exact]
             base = np.uint64(xxhash.xxh3_64_intdigest(lang))
             parts = [codes >> (SHIFT * (size - 1 - i)) & LOW for i in range(size)]
             key = mixed(self.hashes[parts[0]] ^ base)
@@ -289,15 +310,17 @@ class Tally:
                 sums.append(n.astype(np.int64))
             else:
                 border.append((key >> np.uint64(18) << np.uint64(2) | np.uint64(size), n))
-        if self.totals:
+        if everything and self.totals:
             langs.append(pa.array(list(self.totals), type=pa.string()))
             phrases.append(pa.array([""] * len(self.totals), type=pa.string()))
             sizes.append(np.zeros(len(self.totals), dtype=np.int32))
             keys.append(word_hash(list(self.totals)))
             sums.append(np.array(list(self.totals.values()), dtype=np.int64))
-            yield self._rows(border, np.concatenate(sizes), np.concatenate(keys), pa.concat_arrays(langs), pa.concat_arrays(phrases),
-                             np.concatenate(sums), ranges)
-        self.clear()
+        yield self._rows(border, np.concatenate(sizes), np.concatenate(keys), pa.concat_arrays(langs), pa.concat_arrays(phrases),
+                         np.concatenate(sums), ranges)
+        if everything:
+            self.clear()
+        self.held[False] = 0
         pa.default_memory_pool().release_unused()
 
     @staticmethod
@@ -320,8 +343,7 @@ class Tally:
         rows = pa.record_batch({
             "range": pa.array(np.arange(ranges, dtype=np.int32)), "low": packed((key & np.uint64(0xFFFFFFFF)).astype(np.uint32)),
             "high": packed((key >> np.uint64(32)).astype(np.uint16)), "counts": packed(n.astype(np.uint32)),
-            "sizes": listed(pa.array(sizes)), "keys": listed(pa.array(keys.view(np.int64))), "langs": listed(langs),
-            "phrases": listed(phrases), "sums": listed(pa.array(sums))})
+            "sizes": listed(pa.array(sizes)), "langs": listed(langs), "phrases": listed(phrases), "sums": listed(pa.array(sums))})
         return rows.filter(pa.array((np.diff(cuts) > 0) | (np.diff(marks) > 0)))
 
 
@@ -349,12 +371,13 @@ def _merge_range(least: int):
                            all_of("counts", np.uint32).astype(np.int64))
         border, n = border[n >= least], n[n >= least]
         flat = {name: pa.concat_arrays([x.flatten() for x in rows[column].chunks]) for name, column in (
-            ("size", "sizes"), ("key", "keys"), ("lang", "langs"), ("phrase", "phrases"), ("n", "sums"))}
-        exact = pa.table(flat).group_by(["size", "lang", "phrase"]).aggregate([("n", "sum"), ("key", "min")])
+            ("size", "sizes"), ("lang", "langs"), ("phrase", "phrases"), ("n", "sums"))}
+        exact = pa.table(flat).group_by(["size", "lang", "phrase"]).aggregate([("n", "sum")])
         exact = exact.filter(pc.or_(pc.equal(exact["size"], 0), pc.greater_equal(exact["n_sum"], least)))
         names = ["size", "key", "lang", "phrase", "n"]
         kinds = [pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-        exact = [exact["size"], exact["key_min"], exact["lang"], exact["phrase"], exact["n_sum"]]
+        exact = [exact["size"], pa.chunked_array([phrase_keys(exact["lang"].to_pylist(), exact["phrase"].to_pylist())]), exact["lang"],
+                 exact["phrase"], exact["n_sum"]]
         counted = [(border & np.uint64(3)).astype(np.int32), (border >> np.uint64(2) << np.uint64(18)).view(np.int64),
                    pa.nulls(len(n), pa.string()), pa.nulls(len(n), pa.string()), n]
         return pa.table({name: pa.chunked_array([*a.cast(kind).chunks, pa.array(b, type=kind)], type=kind)
@@ -382,8 +405,9 @@ def counted(docs: DataFrame, asked: Pass | None, ranges: int, least: int) -> Dat
                 own = np.flatnonzero(lang_of == i) if len(langs) > 1 else slice(None)
                 if len(codes[own]):
                     sums.add(lang, codes[own], joined[own])
-            if sums.full():
-                yield from sums.handed_on(ranges)
+            some, everything = sums.full()
+            if some:
+                yield from sums.handed_on(ranges, everything)
         yield from sums.handed_on(ranges)
 
     return docs.select("lang", "text").mapInArrow(tally, RANGE_SCHEMA).groupBy("range").applyInArrow(_merge_range(least), COUNT_SCHEMA)
