@@ -292,10 +292,8 @@ class Tally:
         border: list[tuple[np.ndarray, np.ndarray]] = []
         sizes, keys, langs, phrases, sums = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)], [pa.array([], pa.string())], [
             pa.array([], pa.string())], [np.zeros(0, np.int64)]
-        for (lang, size, exact), [(codes, n)] in list(self.sums.items()):
-            if exact and not everything:
-                continue
-            del self.sums[lang, size, exact]
+        for lang, size, exact in [at for at in self.sums if everything or not at[2]]:
+            [(codes, n)] = self.sums.pop((lang, size, exact))
             base = np.uint64(xxhash.xxh3_64_intdigest(lang))
             parts = [codes >> (SHIFT * (size - 1 - i)) & LOW for i in range(size)]
             key = mixed(self.hashes[parts[0]] ^ base)

@@ -103,6 +103,41 @@ def test_words_and_pieces(texts):
     assert list(zip(words.to_pylist(), rows.tolist(), joined.tolist())) == want
 
 
+@pytest.mark.parametrize("exact, border, kept", [(40, 10, 10**6), (10**6, 12, 10**6), (30, 10**6, 10**6), (10**6, 10**6, 25)])
+def test_sums_handed_on_early_add_up(monkeypatch, exact, border, kept):
+    """Whatever a task hands on before its end, the ranges merge to the sums of the whole."""
+    import pyarrow as pa
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 12))) for _ in range(60)]
+    chosen = phrases.Bits(12), phrases.Bits(12)
+    chosen[0].data[:] = rng.randbytes(len(chosen[0].data))
+    chosen[1].data[:] = rng.randbytes(len(chosen[1].data))
+
+    def sums():
+        tally, rows = phrases.Tally(phrases.Pass(*chosen)), []
+        for i, text in enumerate(texts):
+            found, _, joined = phrases.words_and_pieces(pa.array([text], type=pa.large_string()))
+            tally.add("en" if i % 3 else "de", tally.numbered(found), joined)
+            some, everything = tally.full()
+            if some:
+                rows += tally.handed_on(5, everything)
+        rows += tally.handed_on(5)
+        whole = pa.Table.from_batches(rows)
+        out = []
+        for r in range(5):
+            part = whole.filter(pa.compute.equal(whole["range"], r))
+            if part.num_rows:
+                out += [tuple(x.values()) for x in phrases._merge_range(2)(None, part).to_pylist()]
+        return len(rows), sorted(out, key=repr)
+
+    once, want = sums()
+    monkeypatch.setattr(phrases, "KEYS_KEPT", {True: exact, False: border})
+    monkeypatch.setattr(phrases, "WORDS_KEPT", kept)
+    times, got = sums()
+    assert once == 1 and times > 2 and got == want and len(want) > 100
+
+
 # ---------------------------------------------------------------- op12
 def vectors_frame(spark, rows, kind="float"):
     return spark.createDataFrame([(*r, "x", "x") for r in rows], f"vec_id long, embedding array<{kind}>, node string, block string")
