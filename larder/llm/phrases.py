@@ -48,11 +48,11 @@ SAMPLE_SEEN = 2
 WORD_BITS = 24
 PAIR_BITS = 26
 #: Words that a task numbers before it hands on its sums (21 bits of a key), and keys that it holds.
-WORDS_KEPT = 1 << 18
-KEYS_KEPT = {True: 1 << 21, False: 1 << 19}  # exact ones, the border's
-STEP = 1 << 21
+WORDS_KEPT = 1 << 17
+KEYS_KEPT = {True: 1 << 19, False: 1 << 18}  # exact ones, the border's
+STEP = 1 << 20
 #: Bytes of text whose keys make one range.
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 4 << 20
 
 #: Blanks between words, marks between pieces, capitals that are lowered.
 BLANKS = b"\x20\x09"
