@@ -70,6 +70,16 @@ FIXTURE_SQL: dict[str, str] = {
     "shipment_details": (
         "SELECT DISTINCT 'RM'||CAST(l_partkey AS VARCHAR) AS Material_Id, 'SPM'||CAST(l_orderkey AS VARCHAR) AS trackingID, "
         "l_orderkey AS arrival_seq FROM lineitem"),
+    "shipment": "SELECT 'SPM'||CAST(o_orderkey AS VARCHAR) AS trackingID FROM orders WHERE o_orderkey % 13 <> 0",
+    "shipment_stored": (
+        "SELECT DISTINCT 'RM'||CAST(l_partkey AS VARCHAR) AS Material_Id, 'SPM'||CAST(l_orderkey AS VARCHAR) AS trackingID "
+        "FROM lineitem WHERE l_orderkey % 23 = 0"),
+    "shipment_requests": (
+        "SELECT CASE WHEN l_orderkey % 37 = 0 THEN 'RM0_'||CAST(l_partkey AS VARCHAR) "
+        "WHEN l_orderkey % 31 <> 0 THEN 'RM'||CAST(l_partkey AS VARCHAR) END AS Material_Id, "
+        "CASE WHEN l_orderkey % 29 <> 0 THEN 'SPM'||CAST(l_orderkey AS VARCHAR) END AS trackingID, "
+        "l_orderkey + late AS arrival_seq, CAST(l_linenumber + late // 4 AS BIGINT) AS line "
+        "FROM lineitem, (VALUES (0), (40)) AS again(late) WHERE late = 0 OR l_orderkey % 5 = 0"),
     "purchase_order": (
         "SELECT 'PO'||CAST(l_partkey AS VARCHAR)||'_'||CAST(l_suppkey AS VARCHAR) AS PONo, "
         "CAST(MIN(l_shipdate) AS DATE) AS PODate, CAST(SUM(l_quantity) AS BIGINT) AS PurcQty, "
@@ -252,22 +262,25 @@ REPORT_SQL = _report_sql()
 # ---------------------------------------------------------------- row-event jobs
 E01_STATUS_OK = "('no_coupon', 'applied', 'not_applied')"
 E03_LINES = ("e03_l", """
-  SELECT sd.*, rm.material_Id AS mid, rm.quantity AS stock,
-         CASE WHEN sd.trackingID IS NULL THEN 'missing_key'
-              WHEN ROW_NUMBER() OVER (PARTITION BY sd.Material_Id, sd.trackingID ORDER BY sd.arrival_seq) > 1
-                THEN 'duplicate_line' END AS broken
-  FROM shipment_details sd LEFT JOIN raw_materials rm ON sd.Material_Id = rm.material_Id""")
+  SELECT s.*, s.trackingID IS NULL OR s.trackingID NOT IN (SELECT trackingID FROM shipment) OR held AS never,
+         CASE WHEN s.trackingID IS NULL THEN 'missing_key'
+              WHEN ROW_NUMBER() OVER (PARTITION BY s.Material_Id, s.trackingID ORDER BY s.arrival_seq, s.line) > 1 OR held
+                THEN 'duplicate_line'
+              WHEN s.trackingID NOT IN (SELECT trackingID FROM shipment) THEN 'unknown_shipment' END AS broken
+  FROM (SELECT sr.*, rm.material_Id AS mid, rm.quantity AS stock, ss.Material_Id IS NOT NULL AS held
+        FROM shipment_requests sr LEFT JOIN raw_materials rm ON sr.Material_Id = rm.material_Id
+             LEFT JOIN shipment_stored ss ON sr.Material_Id = ss.Material_Id AND sr.trackingID = ss.trackingID) s""")
 E03_NUMBERED = ("e03_n", """
   SELECT *, stock - COUNT(*) FILTER (broken IS NULL) OVER (
-           PARTITION BY Material_Id ORDER BY arrival_seq, trackingID ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS units
+           PARTITION BY Material_Id ORDER BY arrival_seq, line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS units
   FROM e03_l WHERE mid IS NOT NULL""")
 E03_RESULT = ("e03_r", """
-  SELECT Material_Id, trackingID, arrival_seq, if(units > 0 AND broken IS NULL, 'accepted', 'rejected') AS status,
+  SELECT Material_Id, trackingID, arrival_seq, line, if(units > 0 AND broken IS NULL, 'accepted', 'rejected') AS status,
          CAST(if(units > 0, NULL, -20005) AS INTEGER) AS error_code,
          if(units > 0, broken, 'insufficient_stock') AS reason
   FROM e03_n
   UNION ALL
-  SELECT Material_Id, trackingID, arrival_seq, 'rejected', CAST(NULL AS INTEGER), 'unknown_material'
+  SELECT Material_Id, trackingID, arrival_seq, line, 'rejected', CAST(NULL AS INTEGER), 'unknown_material'
   FROM e03_l WHERE mid IS NULL""")
 E04_ORDER = "arrival_order, arrival_line, arrival_part, p_material_id, p_purchase_qty, p_po_date"
 E04_REQ = ("e04_f", """
@@ -346,18 +359,21 @@ SELECT e.Material_Id, e.kind, e.quantity, e.arrival_key, e.kind_rank, e.line, e.
 FROM walk w JOIN e05_n e ON e.Material_Id = w.Material_Id AND e.rn = w.rn""",
         E03_LINES, E03_NUMBERED, *e04, ("e05_ev", """
   SELECT Material_Id, 'reservation' AS kind, CAST(1 AS BIGINT) AS quantity, CAST(arrival_seq AS BIGINT) AS arrival_key,
-         1 AS kind_rank, CAST(0 AS BIGINT) AS line, CAST(0 AS BIGINT) AS part, trackingID AS ref FROM e03_n WHERE broken IS NULL
+         1 AS kind_rank, CAST(0 AS BIGINT) AS line, CAST(0 AS BIGINT) AS part, trackingID AS ref FROM e03_n WHERE NOT never
   UNION ALL
   SELECT p_material_id, 'receipt', CAST(p_purchase_qty AS BIGINT), arrival_order, 0, arrival_line, arrival_part,
          p_po_no FROM e04_ok"""), ("e05_n", """
   SELECT ev.*, ROW_NUMBER() OVER (PARTITION BY ev.Material_Id ORDER BY arrival_key, kind_rank, line, part, ref) AS rn
   FROM e05_ev ev JOIN raw_materials rm ON ev.Material_Id = rm.material_Id"""), ("walk", """
-  SELECT material_Id AS Material_Id, CAST(0 AS BIGINT) AS rn, CAST(quantity AS BIGINT) AS bal, TRUE AS acc
+  SELECT material_Id AS Material_Id, CAST(0 AS BIGINT) AS rn, CAST(quantity AS BIGINT) AS bal, TRUE AS acc,
+         CAST([] AS VARCHAR[]) AS taken
   FROM raw_materials
   UNION ALL
   SELECT w.Material_Id, e.rn,
-         CASE WHEN e.kind = 'receipt' THEN w.bal + e.quantity WHEN w.bal > 0 THEN w.bal - 1 ELSE w.bal END,
-         e.kind = 'receipt' OR w.bal > 0
+         CASE WHEN e.kind = 'receipt' THEN w.bal + e.quantity
+              WHEN w.bal > 0 AND NOT list_contains(w.taken, e.ref) THEN w.bal - 1 ELSE w.bal END,
+         e.kind = 'receipt' OR (w.bal > 0 AND NOT list_contains(w.taken, e.ref)),
+         CASE WHEN e.kind = 'reservation' AND w.bal > 0 THEN list_append(w.taken, e.ref) ELSE w.taken END
   FROM walk w JOIN e05_n e ON e.Material_Id = w.Material_Id AND e.rn = w.rn + 1"""), recursive=True)
     return out
 

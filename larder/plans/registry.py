@@ -80,9 +80,12 @@ def _reports() -> dict[str, Builder]:
     }
 
 
+LINES_BY = (("arrival_seq", False), ("line", False))
+
+
 def _reservation(spark, root):
     t = Fixtures(spark, root)
-    return events.reserve_stock(t.shipment_details, t.raw_materials)
+    return events.reserve_stock(t.shipment_requests, t.raw_materials, LINES_BY, t.shipment, t.shipment_stored)
 
 
 def _intake(spark, root):
@@ -149,7 +152,7 @@ def _rules() -> dict[str, Builder]:
     def c13(spark, root):
         t = Fixtures(spark, root)
         split = rules.quarantine(_po_batch(t, *ARRIVAL), CATALOGUE["purchase_order"], {"raw_materials": t.raw_materials},
-                                 existing=t.purchase_order, order=ARRIVAL)
+                                 existing=t.purchase_order, order=(*ARRIVAL, "Material_Id", "PurcQty", "PODate"))  # as E04
         return rules.Split(split.accepted.select(*ORDER_COLUMNS), split.rejected.select(*ORDER_COLUMNS, "reasons"))
 
     return {
@@ -225,23 +228,21 @@ FILE_ROWS = 1_000_000
 BATCHES = 4
 
 
-def _slices(df: DataFrame, path: str, order: str | None) -> int:
+def _slices(df: DataFrame, path: str, *order: str) -> int:
     """Write ``df`` as files for a file stream, as many as its size asks for, and return how many of
-    them make a micro-batch. With ``order`` each file is a slice of it, written one after the
-    other, since a file stream takes files by their time."""
+    them make a micro-batch. With ``order`` each file is a range of it; a file stream takes files by
+    their times, so these are set in that order."""
+    spark = df.sparkSession
     parts = max(BATCHES, -(-df.count() // FILE_ROWS))
-    if order is None:
+    if not order:
         df.repartition(parts).write.parquet(path)
         return -(-parts // BATCHES)
-    cuts = df.approxQuantile(order, [i / parts for i in range(1, parts)], 1 / (10 * parts))  # parts - 1 numbers
-    bounds = [None, *cuts, None]
-    for i in range(parts):
-        part = df
-        if bounds[i] is not None:
-            part = part.filter(F.col(order) > bounds[i])
-        if bounds[i + 1] is not None:
-            part = part.filter(F.col(order) <= bounds[i + 1])
-        part.coalesce(1).write.mode("append").parquet(path)  # about FILE_ROWS rows
+    df.repartitionByRange(parts, *order).write.parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = sorted((f for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda f: f.getPath().getName())
+    for i, f in enumerate(files):
+        fs.setTimes(f.getPath(), files[0].getModificationTime() - 1000 * (len(files) - i), -1)
     return 1
 
 
@@ -249,7 +250,7 @@ def _streams() -> dict[str, Builder]:
     def e06(spark, root):
         t = Fixtures(spark, root)
         src, sink, ckpt = (scratch_path(spark, f"e06-{k}") for k in ("in", "out", "ckpt"))
-        files = _slices(t.order_requests, src, None)
+        files = _slices(t.order_requests, src)
         stream = jobs.stream_files(spark, src, t.order_requests, files)
         jobs.run_to_sink(jobs.coupon_totals_stream(stream, t.coupons, COUPONS_AS_OF), sink, ckpt)
         return spark.read.parquet(sink)
@@ -257,17 +258,17 @@ def _streams() -> dict[str, Builder]:
     def e07(spark, root):
         t = Fixtures(spark, root)
         src, snap, ckpt = (scratch_path(spark, f"e07-{k}") for k in ("in", "snapshot", "ckpt"))
-        files = _slices(t.inventory_details, src, None)
+        files = _slices(t.inventory_details, src)
         jobs.run_stock_status_stream(jobs.stream_files(spark, src, t.inventory_details, files), snap, ckpt)
         return jobs.read_stock_status(spark, snap)
 
     def e08(spark, root):
         t = Fixtures(spark, root)
-        src, sink, ckpt = (scratch_path(spark, f"e08-{k}") for k in ("in", "out", "ckpt"))
-        files = _slices(t.shipment_details, src, "arrival_seq")
-        stream = jobs.stream_files(spark, src, t.shipment_details, files)
-        jobs.run_to_sink(jobs.reserve_stock_stream(stream, t.raw_materials), sink, ckpt)
-        return spark.read.parquet(sink)
+        src, root_, ckpt = (scratch_path(spark, f"e08-{k}") for k in ("in", "out", "ckpt"))
+        files = _slices(t.shipment_requests, src, "arrival_seq")
+        stream = jobs.stream_files(spark, src, t.shipment_requests, files)
+        jobs.run_reservation_stream(stream, t.raw_materials, root_, ckpt, LINES_BY, t.shipment, t.shipment_stored)
+        return jobs.read_reservations(spark, root_)
 
     return {"e06_coupon_totals_stream": e06, "e07_stock_status_stream": e07, "e08_reserve_stock_stream": e08}
 

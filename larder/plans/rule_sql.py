@@ -155,7 +155,7 @@ def _simple() -> dict[str, str]:
     keyed = ("SELECT *, CASE WHEN len(other) > 0 THEN other ELSE list_filter(["
              "CASE WHEN PONo IN (SELECT PONo FROM purchase_order) THEN 'key_exists(PONo)' END, "
              "CASE WHEN ROW_NUMBER() OVER (PARTITION BY PONo, len(other) = 0 "
-             "ORDER BY arrival_order, arrival_line, arrival_part) > 1 THEN 'primary_key(PONo)' END], "
+             "ORDER BY arrival_order, arrival_line, arrival_part, Material_Id, PurcQty, PODate) > 1 THEN 'primary_key(PONo)' END], "
              "lambda x: x IS NOT NULL) END AS why FROM flagged")
     ctes = (("batch", batch), ("flagged", reasons), ("keyed", keyed))
     out["c13_quarantine_rejected"] = with_fixtures(

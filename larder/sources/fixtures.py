@@ -188,6 +188,30 @@ class Fixtures:
             _tag("RM", F.col("l_partkey")).alias("Material_Id"), _tag("SPM", F.col("l_orderkey")).alias("trackingID"),
             F.col("l_orderkey").alias("arrival_seq"))
 
+    @cached_property
+    def shipment(self) -> DataFrame:
+        """Known shipments: those of most orders."""
+        return self.base("orders").filter(F.col("o_orderkey") % 13 != 0).select(_tag("SPM", F.col("o_orderkey")).alias("trackingID"))
+
+    @cached_property
+    def shipment_stored(self) -> DataFrame:
+        """Lines that SHIPMENT_DETAILS holds before the requests come."""
+        li = self.base("lineitem").filter(F.col("l_orderkey") % 23 == 0)
+        return li.select("l_partkey", "l_orderkey").distinct().select(
+            _tag("RM", F.col("l_partkey")).alias("Material_Id"), _tag("SPM", F.col("l_orderkey")).alias("trackingID"))
+
+    @cached_property
+    def shipment_requests(self) -> DataFrame:
+        """Incoming shipment lines: repeated ones, missing and unknown materials, missing tracking ids; every fifth
+        order's lines come again 40 later. (arrival_seq, line) is their order."""
+        li, order = self.base("lineitem"), F.col("l_orderkey")
+        lines = li.select("l_partkey", "l_orderkey", order.alias("arrival_seq"), F.col("l_linenumber").cast("bigint").alias("line"))
+        again = li.filter(order % 5 == 0).select("l_partkey", "l_orderkey", (order + 40).alias("arrival_seq"),
+                                                 (F.col("l_linenumber") + 10).cast("bigint").alias("line"))
+        material = F.when(order % 37 == 0, _tag("RM0_", F.col("l_partkey"))).when(order % 31 != 0, _tag("RM", F.col("l_partkey")))
+        return lines.unionByName(again).select(material.alias("Material_Id"), F.when(order % 29 != 0, _tag("SPM", order)).alias("trackingID"),
+                                               "arrival_seq", "line")
+
     @cached_property
     def purchase_order(self) -> DataFrame:
         li = self.base("lineitem")

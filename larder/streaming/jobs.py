@@ -3,8 +3,8 @@
 E06: coupon totals on a stream of order requests (stream-static join; stateless).
 E07: stock status on a stream of inventory rows; a ``foreachBatch`` sink writes change files,
      and the reader takes the latest row per key (plain files have no MERGE).
-E08: stock reservation on a stream of shipment lines; the units left per material are
-     the state, with the ids that took them (``applyInPandasWithState``), seeded from the snapshot.
+E08: stock reservation on a stream of shipment lines; the keys seen are state (one flag a key,
+     ``applyInPandasWithState``), the stock left is a small table a micro-batch (``foreachBatch``).
 
 Sources, sinks and checkpoints live below the shared folder; a restarted query resumes
 from its checkpoint, and the file sink commits each micro-batch exactly once.
@@ -18,10 +18,11 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from larder.operators.events import INSUFFICIENT_STOCK, LINE_ORDER, apply_coupon_totals, stock_status
-from larder.operators.shaping import spread_nulls
+from larder.operators.events import LINE_ORDER, apply_coupon_totals, reserve_stock, stock_status
+from larder.operators.ordinal import OrderSpec, stored
 
 
 def stream_files(spark: SparkSession, path: str, template: DataFrame, files_per_batch: int = 1) -> DataFrame:
@@ -83,52 +84,61 @@ def run_stock_status_stream(stream: DataFrame, root: str, checkpoint: str) -> No
 
 
 # ------------------------------------------------------------------------- E08
-RESERVATION_SCHEMA = ("Material_Id string, trackingID string, arrival_seq long, status string, error_code int, "
-                      "reason string")
-STATE_SCHEMA = "units_left long, taken array<string>"
-
-
-def _reserve(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    pdf = pd.concat(list(batches), ignore_index=True).sort_values([c for c, _ in LINE_ORDER], kind="mergesort")
-    if pdf["_stock"].isna().all():  # no such material: no state
-        yield _lines(pdf, ["rejected"] * len(pdf), [None] * len(pdf), ["unknown_material"] * len(pdf))
-        return
-    left, taken = (state.get[0], set(state.get[1])) if state.exists else (int(pdf["_stock"].iloc[0]), set())
-    status, code, reason = [], [], []
-    for tid, known in zip(pdf["trackingID"], pdf["_known"]):
-        why = ("missing_key" if tid is None or pd.isna(tid) else "duplicate_line" if tid in taken
-               else None if known else "unknown_shipment")
-        why = "insufficient_stock" if left <= 0 else why  # the stock test comes first
-        if why is None:
-            left -= 1
-            taken.add(tid)  # at most as many as there were units
-        status.append("rejected" if why else "accepted")
-        code.append(INSUFFICIENT_STOCK if why == "insufficient_stock" else None)
-        reason.append(why)
-    state.update((left, sorted(taken)))
-    yield _lines(pdf, status, code, reason)
-
-
-def _lines(pdf: pd.DataFrame, status: list, code: list, reason: list) -> pd.DataFrame:
-    out = pdf[["Material_Id", "trackingID", "arrival_seq"]].copy()
-    return out.assign(status=status, error_code=pd.array(code, dtype="Int32"), reason=reason)
-
-
-def reserve_stock_stream(lines: DataFrame, materials: DataFrame, shipments: DataFrame | None = None) -> DataFrame:
-    """E03 on a stream. State per material: units left, and the tracking ids that have taken
-    one (no more than there were units). Within a micro-batch lines are taken in arrival order;
-    across batches, batch order is arrival order. Lines of no known material keep no state and
-    are dealt out. Stock changes after the start must arrive as events (E05), not as edits of
-    the snapshot."""
-    stock = materials.filter(F.col("material_Id").isNotNull()).select(
-        F.col("material_Id").alias("_mid"), F.col("quantity").alias("_stock"), F.lit(0).alias("_place"))
-    joined = spread_nulls(lines, "Material_Id").join(
-        stock, F.col("Material_Id").eqNullSafe(F.col("_mid")) & (F.col("_spread") == F.col("_place")), "left")
-    if shipments is None:
-        joined = joined.withColumn("_known", F.lit(True))
-    else:
-        ids = shipments.filter(F.col("trackingID").isNotNull()).select(F.col("trackingID").alias("_tid")).distinct()
-        joined = joined.join(ids, F.col("trackingID") == F.col("_tid"), "left").withColumn("_known", F.col("_tid").isNotNull())
-    return joined.select("Material_Id", "trackingID", "arrival_seq", "_stock", "_known", "_spread").groupBy(
-        "Material_Id", "_spread").applyInPandasWithState(
-        _reserve, RESERVATION_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+SEEN_SCHEMA = "seen boolean"
+
+
+def _mark_seen(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    seen = state.exists
+    for pdf in batches:
+        yield pdf.assign(_seen=seen)
+    state.update((True,))
+
+
+def mark_seen(lines: DataFrame) -> DataFrame:
+    """Adds ``_seen``: an earlier micro-batch had the line's (material, tracking id). One flag of state a key, so the
+    state is spread by key, not by material; lines without a full key keep none."""
+    keyed = F.col("Material_Id").isNotNull() & F.col("trackingID").isNotNull()
+    schema = T.StructType([*lines.schema.fields, T.StructField("_seen", T.BooleanType())])
+    marked = lines.filter(keyed).groupBy("Material_Id", "trackingID").applyInPandasWithState(
+        _mark_seen, schema, SEEN_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    return marked.unionByName(lines.filter(~keyed).withColumn("_seen", F.lit(False)))
+
+
+def reservation_changes(root: str, materials: DataFrame, order: OrderSpec, shipments: DataFrame | None, existing: DataFrame | None):
+    """``foreachBatch`` function: E03 on the batch, with the stock that the batch before it left. Writes the judged
+    lines and the stock after them, each to a folder of the batch: one that runs again after a crash
+    reads the same stock and replaces both."""
+    base = root.rstrip("/")
+
+    def reserve(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        batch = stored(batch)
+        stock = materials if epoch == 0 else spark.read.parquet(f"{base}/stock/epoch={epoch - 1}")
+        had = batch.filter("_seen").select("Material_Id", "trackingID")
+        if existing is not None:
+            had = had.unionByName(existing.select("Material_Id", "trackingID"))
+        judged = reserve_stock(batch.drop("_seen"), stock.select("material_Id", "quantity"), order, shipments, had)
+        judged.lines.write.mode("overwrite").parquet(f"{base}/lines/epoch={epoch}")
+        # what the batch took is counted from the lines as written
+        taken = spark.read.parquet(f"{base}/lines/epoch={epoch}").filter("status = 'accepted'").groupBy("Material_Id").agg(
+            F.count(F.lit(1)).alias("_taken"))
+        left = stock.join(taken, stock["material_Id"] == taken["Material_Id"], "left").select(
+            stock["material_Id"], (F.col("quantity") - F.coalesce("_taken", F.lit(0))).cast("long").alias("quantity"))
+        left.write.mode("overwrite").parquet(f"{base}/stock/epoch={epoch}")
+
+    return reserve
+
+
+def run_reservation_stream(lines: DataFrame, materials: DataFrame, root: str, checkpoint: str, order: OrderSpec = LINE_ORDER,
+                           shipments: DataFrame | None = None, existing: DataFrame | None = None) -> None:
+    """E03 on a stream of shipment lines. Within a micro-batch lines are taken in ``order`` by a scan that splits
+    a hot material; across batches, batch order is arrival order. A key that came before cannot take a unit:
+    if its line was taken it is a duplicate, and if it failed for stock there is none left, since stock
+    changes after the start must arrive as events (E05), not as edits of the snapshot."""
+    q = (mark_seen(lines).writeStream.foreachBatch(reservation_changes(root, materials, order, shipments, existing))
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def read_reservations(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.parquet(f"{root.rstrip('/')}/lines").drop("epoch")

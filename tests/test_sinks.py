@@ -108,9 +108,25 @@ def test_reservation_stream_knows_duplicates_and_shipments(spark):
     for rows in batches:  # stopped and started again between the two
         df = spark.createDataFrame(rows, kind)
         df.coalesce(1).write.mode("append").parquet(src)
-        jobs.run_to_sink(jobs.reserve_stock_stream(jobs.stream_files(spark, src, df), mats, ships), sink, ckpt)
-    got = sorted((r.arrival_seq, r.reason, r.error_code) for r in spark.read.parquet(sink).collect())
+        jobs.run_reservation_stream(jobs.stream_files(spark, src, df), mats, sink, ckpt, shipments=ships)
+    got = sorted((r.arrival_seq, r.reason, r.error_code) for r in jobs.read_reservations(spark, sink).collect())
     assert [(a, r) for a, r, _ in got] == [
         (1, None), (2, "duplicate_line"), (3, "unknown_shipment"), (4, "missing_key"), (5, "unknown_material"),
         (5, "unknown_material"), (6, "duplicate_line"), (7, None), (8, "insufficient_stock"), (9, "unknown_material"), (10, None)]
     assert [c for _, _, c in got if c] == [-20005]
+
+
+def test_reservation_batch_that_runs_again_changes_nothing(spark):
+    root = scratch_path(spark, "e08-again")
+    mats = spark.createDataFrame([("RM1", 3), ("RM2", 0)], "material_Id string, quantity long")
+    kind = "Material_Id string, trackingID string, arrival_seq long, _seen boolean"
+    change = jobs.reservation_changes(root, mats, (("arrival_seq", False), ("trackingID", False)), None,
+                                      spark.createDataFrame([("RM1", "OLD")], "Material_Id string, trackingID string"))
+    first = spark.createDataFrame([("RM1", f"S{i % 4}", i, False) for i in range(6)] + [("RM1", "OLD", 9, False)], kind)
+    second = spark.createDataFrame([("RM1", "S0", 20, True), ("RM1", "S9", 21, False), ("RM2", "S9", 22, False)], kind)
+    change(first.where("arrival_seq < 2 OR arrival_seq = 9"), 0)
+    for _ in range(2):  # the second run is a replay after a crash
+        change(second, 1)
+    got = sorted((r.arrival_seq, r.reason) for r in jobs.read_reservations(spark, root).collect())
+    assert got == [(0, None), (1, None), (9, "duplicate_line"), (20, "duplicate_line"), (21, None), (22, "insufficient_stock")]
+    assert {r.material_Id: r.quantity for r in spark.read.parquet(f"{root}/stock/epoch=1").collect()} == {"RM1": 0, "RM2": 0}
