@@ -37,7 +37,7 @@ def test_scopes_ties_and_repeats(spark):
             (3, 2, "> hello there\nhi", "b", "", ""), (4, 1, "hello there", None, "", ""), (5, 2, "> hello there\nhi", None, "", ""),
             (6, 3, "hello there", "a", "", ""), (7, 4, "> hello there\nagain", "a", "", "")]
     got = sorted((r.id, r.parent) for r in quotes.formatted(mail(spark, rows), "id", "at", "text", "box").collect() if r.id != 9)
-    assert got == [(1, None), (2, 1), (2, 1), (3, None), (4, None), (5, 1), (6, None), (7, 1)]
+    assert got == [(1, None), (2, 1), (2, 1), (3, None), (4, None), (5, 1), (6, None), (7, 3)]
     assert quotes.formatted(mail(spark, []), "id", "at", "text").count() == 0
 
 
@@ -72,6 +72,38 @@ def test_whole_runs_come_before_paragraphs(spark):
     assert got == {1: None, 2: None, 3: None, 4: 1, 5: 1}
 
 
+def test_long_rows_of_signs_and_blanks(spark):
+    rows = thread([(1, 1, "the word"), (2, 2, ">" * 100_000 + " the word\n" + "> " * 50_000 + "the word\nreply"),
+                   (3, 3, "> the word" + " " * 100_000 + "\n" + " " * 100_000 + "x" + "\t" * 100_000 + "y" + "\n" * 100_000),
+                   (4, 4, " > \t>\t> the word\n>\n>>\nz > not a quote")])
+    got = {r.id: (r.parent, r.text) for r in quotes.formatted(mail(spark, rows), "id", "at", "text", "box").collect()}
+    assert got[1] == (None, "the word") and got[2] == (1, "reply") and got[4] == (1, "z > not a quote")
+    assert got[3][0] == 1 and got[3][1][0] == "x" and got[3][1][-1] == "y"
+
+
+def plain_links(rows):
+    """rows: (order, own passage, quoted passage or None), one scope: the latest earlier message with the passage."""
+    out = {}
+    for at, _, asked in rows:
+        had = [b for b, own, _ in rows if own == asked and b < at]
+        out[at] = max(had) if asked is not None and had else None
+    return out
+
+
+def test_hot_passages_link_to_the_latest_before(spark):
+    """A third of all messages say the same; quotes of it take the latest before them, in whatever range it lies."""
+    import random
+    rng = random.Random(6)
+    rows = []
+    for i in range(600):
+        own = "yes" if i % 3 == 0 else rng.choice(["no", "maybe so", f"only {i}"])
+        rows.append((i, own, rng.choice([None, "yes", "yes", "no", "maybe so", "never said"])))
+    text = lambda own, asked: (f"> {asked}\n" if asked else "") + own
+    df = mail(spark, [(i, i, text(own, asked), "b", "x", "y") for i, own, asked in rows]).repartition(5)
+    got = {r.id: r.parent for r in quotes.formatted(df, "id", "at", "text", "box").collect()}
+    assert got == plain_links(rows)
+
+
 PAGE = ('<!DOCTYPE html><html><head><title>A &amp; B</title><style>p{}</style><script>var t="</p>";</script></head><body>'
         '<!-- ad --><p>One <b>two</b>&nbsp;three<br>four</p><ul><li><a href="/x?a=1&amp;b=2">x</a></li></ul><td>c1</td><td>c2</td></body>')
 
