@@ -146,8 +146,8 @@ def reserve_stock(shipment_lines: DataFrame, materials: DataFrame, order: OrderS
 
     Lines are judged in ``order`` per material. The stock test comes first: with nothing left a
     line fails with INSUFFICIENT_STOCK, whatever else is wrong. Then its key: a missing part, a
-    (material, tracking id) that an earlier line or ``existing`` has, or a tracking id that
-    ``shipments`` lacks fails the line, and it takes nothing.
+    tracking id that ``shipments`` lacks, or a (material, tracking id) that an earlier line or
+    ``existing`` has fails the line, and it takes nothing.
     """
     cols = shipment_lines.columns
     lines = _numbered(shipment_lines)
@@ -164,8 +164,8 @@ def reserve_stock(shipment_lines: DataFrame, materials: DataFrame, order: OrderS
         checked = checked.join(old, (F.col("Material_Id") == F.col("_em")) & (F.col("trackingID") == F.col("_et")), "left")
         stored_before = F.col("_em").isNotNull()
     missing, duplicate, unknown = (F.lit(r) for r in LINE_REASONS)
-    checked = checked.select(*cols, F.when(F.col("_first_id").isNull() | stored_before, duplicate)
-                             .when(~known, unknown).alias("_reason"), (stored_before | ~known).alias("_old"))
+    checked = checked.select(*cols, F.when(~known, unknown).when(F.col("_first_id").isNull() | stored_before, duplicate)
+                             .alias("_reason"), (stored_before | ~known).alias("_old"))
     bare = lines.filter(F.col("Material_Id").isNull() | F.col("trackingID").isNull()).select(
         *cols, missing.alias("_reason"), F.lit(True).alias("_old"))
     judged = _with_stock(checked.unionByName(bare), "Material_Id", materials)

@@ -210,54 +210,102 @@ def table_violations(df: DataFrame, table: Table, parents: Mapping[str, DataFram
     return out
 
 
-def _counts(df: DataFrame, table: Table, parents: Mapping[str, DataFrame]) -> list[DataFrame]:
-    """Violation counts of one table: all row-level rules (and NULL key parts) in one
-    aggregate pass, then one aggregate per key / UNIQUE rule and one anti join per FK."""
+class _Tags:
+    """Numbers for what a report counts: rules of rows, and sets of keys that rows hold or refer to."""
+
+    def __init__(self) -> None:
+        self.rules: list[tuple[str, str]] = []  # (table, rule) of rules of single rows
+        self.keys: dict[tuple, int] = {}        # (table, columns) -> number of the key set
+        self.repeats: dict[int, tuple[str, str]] = {}  # key set -> (table, rule) that repeated keys break
+        self.users: dict[int, list[str]] = {}   # key set -> tables of the foreign keys that refer to it
+
+    def key_set(self, table: str, columns: Sequence[str]) -> int:
+        return self.keys.setdefault((table, tuple(c.lower() for c in columns)), len(self.keys))
+
+
+def _key_text(names: Sequence[str]) -> Column:
+    """Key values as one text; the parts of a longer key carry their lengths, so no two keys read alike."""
+    if len(names) == 1:
+        return F.col(names[0]).cast("string")
+    parts = [F.concat(F.octet_length(F.col(n).cast("string")).cast("string"), F.lit(":"), F.col(n).cast("string")) for n in names]
+    full = F.lit(True)
+    for n in names:
+        full = full & F.col(n).isNotNull()
+    return F.when(full, F.concat(*parts))
+
+
+def _tagged(df: DataFrame, table: Table, parents: Mapping[str, DataFrame], tags: _Tags) -> DataFrame:
+    """Everything that the report needs of a table, in one pass: (kind, number, key, slot). A row gives one entry for
+    each rule it breaks (kind 0, number of the rule) and one for each key it holds (kind 1, slot 0) or
+    refers to (slot: place of the foreign key among those of the key set)."""
     df = valued(df)
     present = {c.lower(): c for c in df.columns}
-    key = _key_of(df, table)
+    entries: list[Column] = []
+
+    def entry(kind: int, number: int, key: Column, slot: int) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.lit(number).alias("number"), key.alias("key"), F.lit(slot).alias("slot"))
+
     conds = [(rule, cond) for rule, _, cond in _row_conditions(df, table)]
+    key = _key_of(df, table)
     if key:
         blank = [_blank(df, k) for k in key]
         conds.append(("primary_key", F.greatest(*blank) if len(blank) > 1 else blank[0]))
-    name = F.lit(table.name).alias("table_name")
-    out: list[DataFrame] = []
-    flags = [F.sum(F.when(c, 1).otherwise(0)).alias(f"_c{i}") for i, (_, c) in enumerate(conds)]
-    if conds:
-        sums = df.agg(*flags)  # no row is shuffled for its row rules
-        pairs = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"_c{i}").alias("n")) for i, (r, _) in enumerate(conds)])
-        out.append(sums.select(name, F.explode(pairs).alias("_p")).select("table_name", "_p.rule", "_p.n"))
-    if key:  # repeated keys: only the key columns are shuffled, partly counted
-        whole = df.select(*key).dropna("any").groupBy(*key).agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1")
-        out.append(whole.agg(F.count(F.lit(1)).alias("n")).select(name, F.lit("primary_key").alias("rule"), "n"))
-    for column in table.uniques:
-        if column.lower() in present:
-            c = present[column.lower()]
-            dup = df.filter(F.col(c).isNotNull()).groupBy(c).count().filter(F.col("count") > 1)
-            out.append(dup.agg(F.count(F.lit(1)).alias("n")).select(name, F.lit("unique").alias("rule"), "n"))
+    for rule, cond in conds:
+        tags.rules.append((table.name, rule))
+        entries.append(F.when(cond, entry(0, len(tags.rules) - 1, F.lit(None).cast("string"), 0)))
+    held = {tuple(k.lower() for k in table.key): "primary_key"} if key else {}
+    held.update({(u.lower(),): "unique" for u in table.uniques if u.lower() in present})
+    referred = {(p, pc.lower()) for t in CATALOGUE.values() for _, p, pc in t.foreign_keys}
+    for columns in {*held, *((pc,) for p, pc in referred if p == table.name and pc in present)}:
+        number = tags.key_set(table.name, columns)
+        if columns in held:
+            tags.repeats[number] = (table.name, held[columns])
+        text = _key_text([present[c] for c in columns])
+        entries.append(F.when(text.isNotNull(), entry(1, number, text, 0)))
     for column, parent, parent_column in table.foreign_keys:
-        if column.lower() in present and parent in parents:
-            pdf = parents[parent]
-            pcol = {c.lower(): c for c in pdf.columns}.get(parent_column.lower())
-            if pcol:
-                c = present[column.lower()]
-                keys = valued(pdf).select(F.col(pcol).alias("_pk")).filter(F.col("_pk").isNotNull())
-                orphans = df.filter(F.col(c).isNotNull()).join(keys, F.col(c) == F.col("_pk"), "left_anti")
-                out.append(orphans.agg(F.count(F.lit(1)).alias("n"))
-                           .select(name, F.lit("foreign_key").alias("rule"), "n"))
-    return out
+        if column.lower() in present and parent in parents and parent_column.lower() in {c.lower() for c in parents[parent].columns}:
+            number = tags.key_set(parent, [parent_column])
+            users = tags.users.setdefault(number, [])
+            users.append(table.name)
+            text = _key_text([present[column.lower()]])
+            entries.append(F.when(text.isNotNull(), entry(1, number, text, len(users))))
+    found = F.filter(F.array(*entries), lambda e: e.isNotNull())
+    return df.select(F.explode(found).alias("e")).select("e.*")
 
 
 def constraint_report(tables: Mapping[str, DataFrame], catalogue: Mapping[str, Table] = CATALOGUE) -> DataFrame:
     """Violation count per table and rule over a set of tables (rules with none are left
     out). Counts equal the rows ``table_violations`` would return. Rules that the tables at hand
-    cannot check, those of absent tables included, are counted as ``unchecked``."""
-    parts = [p for name, df in tables.items() for p in _counts(df, catalogue[name], tables)]
+    cannot check, those of absent tables included, are counted as ``unchecked``.
+
+    Each table is read once. All keys, UNIQUE columns and foreign keys meet in one exchange of (key set, key),
+    partly summed where they are read: a key's holders and, for each foreign key, its users stand in one
+    row, which says whether the key repeats and which users have no holder.
+    """
+    tags = _Tags()
     spark = next(iter(tables.values())).sparkSession
+    entries: DataFrame | None = None
+    for name, df in tables.items():
+        part = _tagged(df, catalogue[name], tables, tags)
+        entries = part if entries is None else entries.unionByName(part)
+    slots = range(1 + max([0, *map(len, tags.users.values())]))
+    per_key = entries.groupBy("kind", "number", "key").agg(
+        *[F.sum((F.col("slot") == i).cast("long")).alias(f"n{i}") for i in slots])
+    lone = F.col("n0") == 0
+    sums = per_key.groupBy("kind", "number").agg(
+        F.sum("n0").alias("rows"), F.sum((F.col("n0") > 1).cast("long")).alias("repeated"),
+        *[F.sum(F.when(lone, F.col(f"n{i}")).otherwise(0)).alias(f"lone{i}") for i in slots[1:]])
+    # what the numbers stand for: a row for each rule of the catalogue
+    meaning = [(0, i, "rows", table, rule) for i, (table, rule) in enumerate(tags.rules)]
+    meaning += [(1, i, "repeated", table, rule) for i, (table, rule) in tags.repeats.items()]
+    meaning += [(1, i, f"lone{j}", table, "foreign_key") for i, users in tags.users.items() for j, table in enumerate(users, 1)]
+    named = spark.createDataFrame(meaning, "kind int, number int, measure string, table_name string, rule string")
+    measures = ["rows", "repeated", *[f"lone{i}" for i in slots[1:]]]
+    long = sums.select("kind", "number", F.explode(F.array(*[
+        F.struct(F.lit(m).alias("measure"), F.col(m).alias("n")) for m in measures])).alias("m")).select("kind", "number", "m.*")
+    allv = long.join(named, ["kind", "number", "measure"]).select("table_name", "rule", "n")
     left = [(name, "unchecked", len(unchecked_rules(tables.get(name), table, tables))) for name, table in catalogue.items()]
-    allv = spark.createDataFrame(left, "table_name string, rule string, n long")  # one row a table of the catalogue
-    for p in parts:
-        allv = allv.unionByName(p)
+    allv = allv.unionByName(spark.createDataFrame(left, "table_name string, rule string, n long"))  # one row a table
     return (allv.groupBy("table_name", "rule").agg(F.sum("n").cast("long").alias("violations"))
             .filter(F.col("violations") > 0))
 

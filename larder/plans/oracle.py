@@ -264,9 +264,9 @@ E01_STATUS_OK = "('no_coupon', 'applied', 'not_applied')"
 E03_LINES = ("e03_l", """
   SELECT s.*, s.trackingID IS NULL OR s.trackingID NOT IN (SELECT trackingID FROM shipment) OR held AS never,
          CASE WHEN s.trackingID IS NULL THEN 'missing_key'
+              WHEN s.trackingID NOT IN (SELECT trackingID FROM shipment) THEN 'unknown_shipment'
               WHEN ROW_NUMBER() OVER (PARTITION BY s.Material_Id, s.trackingID ORDER BY s.arrival_seq, s.line) > 1 OR held
-                THEN 'duplicate_line'
-              WHEN s.trackingID NOT IN (SELECT trackingID FROM shipment) THEN 'unknown_shipment' END AS broken
+                THEN 'duplicate_line' END AS broken
   FROM (SELECT sr.*, rm.material_Id AS mid, rm.quantity AS stock, ss.Material_Id IS NOT NULL AS held
         FROM shipment_requests sr LEFT JOIN raw_materials rm ON sr.Material_Id = rm.material_Id
              LEFT JOIN shipment_stored ss ON sr.Material_Id = ss.Material_Id AND sr.trackingID = ss.trackingID) s""")

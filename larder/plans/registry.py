@@ -18,7 +18,8 @@ from larder.plans import rule_sql, stream_sql
 from larder.session import scratch_path
 from larder.sources import io
 from larder.streaming import jobs
-from larder.sources.fixtures import COUPONS_AS_OF, PURCHASES_AS_OF, REFERENCE_SHAPED, Fixtures
+from larder.sources.fixtures import COUPONS_AS_OF, PURCHASES_AS_OF, Fixtures
+from larder.sources.rest import whole_table
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -145,7 +146,7 @@ def _rules() -> dict[str, Builder]:
 
     def c12(spark, root):
         t = Fixtures(spark, root)
-        tables = {name: getattr(t, name) for name in REFERENCE_SHAPED}
+        tables = {name: whole_table(t, name) for name in CATALOGUE}
         tables["purchase_order"] = t.purchase_order.unionByName(_po_batch(t))  # stored + incoming batch
         return rules.constraint_report(tables)
 

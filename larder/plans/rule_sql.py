@@ -5,6 +5,8 @@ from __future__ import annotations
 from larder.catalogue import CATALOGUE
 from larder.plans.oracle import with_fixtures
 from larder.sources.fixtures import REFERENCE_SHAPED
+from larder.sources.rest import SOURCES as REST
+from larder.sources.rest import missing_columns, rest_columns
 
 STRING_KINDS = ("s", "c")
 DOUBLE_COLUMNS = {("customer", "c_acctbal"), ("events", "value"), ("orders", "o_totalprice")}
@@ -54,6 +56,24 @@ SOURCES = {"purchase_order": ("(SELECT PONo, PODate, PurcQty, Material_Id FROM p
                               "SELECT p_po_no, p_po_date, p_purchase_qty, p_material_id FROM po_requests) po_all")}
 
 
+SOURCES |= {name: f"rest_{name}" for name in REST}
+SOURCES |= {name: f"whole_{name}" for name in REFERENCE_SHAPED if missing_columns(name)}
+
+
+def _whole_tables() -> list[tuple[str, str]]:
+    """The tables that no job but the report reads, and the shaped ones with all their columns."""
+    out = [(f"rest_{name}", "SELECT " + ", ".join(f"{sql} AS {c}" for c, sql in rest_columns(name)) + f" FROM {base}")
+           for name, (base, _) in REST.items()]
+    return out + [(f"whole_{name}", "SELECT *, " + ", ".join(f"{sql} AS {c}" for c, sql in missing_columns(name)) + f" FROM {name}")
+                  for name in REFERENCE_SHAPED if missing_columns(name)]
+
+
+def _declared(name: str) -> tuple[str, ...]:
+    """All columns of a whole table, as they are named there."""
+    own = REFERENCE_SHAPED.get(name, ())
+    return (*own, *(c for c, _ in (missing_columns(name) if own else rest_columns(name))))
+
+
 def table_rules(name: str, columns: tuple[str, ...], present: set[str]) -> list[str]:
     t = CATALOGUE[name]
     src = SOURCES.get(name, name)
@@ -92,34 +112,16 @@ def table_rules(name: str, columns: tuple[str, ...], present: set[str]) -> list[
             out.append(unique(name, src, have[column.lower()]))
     for column, parent, pcol in t.foreign_keys:
         if column.lower() in have and parent in present:
-            pc = {c.lower(): c for c in REFERENCE_SHAPED[parent]}.get(pcol.lower())
-            if pc:
-                out.append(foreign_key(name, src, have[column.lower()], parent, pc, key))
-    return out
-
-
-def _unchecked() -> list[tuple[str, int]]:
-    """Per table of the catalogue: its columns, key, value rules and foreign keys that need what is not derived."""
-    out = []
-    for name, t in CATALOGUE.items():
-        have = {c.lower() for c in REFERENCE_SHAPED.get(name, ())}
-        names = [c.name for c in t.columns] + [c for c, _ in t.prefixes] + [c for c, _, _ in t.value_rules] + list(t.uniques)
-        missing = sum(c.lower() not in have for c in names)
-        missing += bool(t.key) and any(k.lower() not in have for k in t.key)
-        for column, parent, pcol in t.foreign_keys:
-            there = {c.lower() for c in REFERENCE_SHAPED.get(parent, ())}
-            missing += column.lower() not in have or pcol.lower() not in there
-        out.append((name, missing))
+            pc = {c.lower(): c for c in _declared(parent)}[pcol.lower()]
+            out.append(foreign_key(name, src, have[column.lower()], SOURCES.get(parent, parent), pc, key))
     return out
 
 
 def constraint_report_sql() -> str:
-    present = set(REFERENCE_SHAPED)
-    parts = [sql for name, cols in REFERENCE_SHAPED.items() for sql in table_rules(name, cols, present)]
+    parts = [sql for name in CATALOGUE for sql in table_rules(name, _declared(name), set(CATALOGUE))]
     body = ("SELECT table_name, rule, CAST(COUNT(*) AS BIGINT) AS violations FROM (\n"
-            + "\nUNION ALL\n".join(parts) + "\n) v GROUP BY table_name, rule\nUNION ALL\n"
-            + "\nUNION ALL\n".join(f"SELECT '{n}', 'unchecked', CAST({k} AS BIGINT)" for n, k in _unchecked() if k))
-    return with_fixtures(body)
+            + "\nUNION ALL\n".join(parts) + "\n) v GROUP BY table_name, rule")
+    return with_fixtures(body, *_whole_tables())
 
 
 def _simple() -> dict[str, str]:

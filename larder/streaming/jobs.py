@@ -3,8 +3,8 @@
 E06: coupon totals on a stream of order requests (stream-static join; stateless).
 E07: stock status on a stream of inventory rows; a ``foreachBatch`` sink writes change files,
      and the reader takes the latest row per key (plain files have no MERGE).
-E08: stock reservation on a stream of shipment lines; the keys seen are state (one flag a key,
-     ``applyInPandasWithState``), the stock left is a small table a micro-batch (``foreachBatch``).
+E08: stock reservation on a stream of shipment lines (``foreachBatch``): the state is the stock left, a
+     table a micro-batch, and the lines that took units, as written.
 
 Sources, sinks and checkpoints live below the shared folder; a restarted query resumes
 from its checkpoint, and the file sink commits each micro-batch exactly once.
@@ -13,16 +13,13 @@ from its checkpoint, and the file sink commits each micro-batch exactly once.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from larder.operators.events import LINE_ORDER, apply_coupon_totals, reserve_stock, stock_status
-from larder.operators.ordinal import OrderSpec, stored
+from larder.operators.ordinal import OrderSpec
 
 
 def stream_files(spark: SparkSession, path: str, template: DataFrame, files_per_batch: int = 1) -> DataFrame:
@@ -84,40 +81,24 @@ def run_stock_status_stream(stream: DataFrame, root: str, checkpoint: str) -> No
 
 
 # ------------------------------------------------------------------------- E08
-SEEN_SCHEMA = "seen boolean"
-
-
-def _mark_seen(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    seen = state.exists
-    for pdf in batches:
-        yield pdf.assign(_seen=seen)
-    state.update((True,))
-
-
-def mark_seen(lines: DataFrame) -> DataFrame:
-    """Adds ``_seen``: an earlier micro-batch had the line's (material, tracking id). One flag of state a key, so the
-    state is spread by key, not by material; lines without a full key keep none."""
-    keyed = F.col("Material_Id").isNotNull() & F.col("trackingID").isNotNull()
-    schema = T.StructType([*lines.schema.fields, T.StructField("_seen", T.BooleanType())])
-    marked = lines.filter(keyed).groupBy("Material_Id", "trackingID").applyInPandasWithState(
-        _mark_seen, schema, SEEN_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-    return marked.unionByName(lines.filter(~keyed).withColumn("_seen", F.lit(False)))
-
-
 def reservation_changes(root: str, materials: DataFrame, order: OrderSpec, shipments: DataFrame | None, existing: DataFrame | None):
     """``foreachBatch`` function: E03 on the batch, with the stock that the batch before it left. Writes the judged
     lines and the stock after them, each to a folder of the batch: one that runs again after a crash
-    reads the same stock and replaces both."""
+    reads the same stock and replaces both. A line repeats one of an earlier batch if that one was taken: these
+    are read from the lines as written, for materials with stock left only (the others fail for
+    stock first), so no more of them are read than there were units, however long the stream is."""
     base = root.rstrip("/")
 
     def reserve(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        batch = stored(batch)
-        stock = materials if epoch == 0 else spark.read.parquet(f"{base}/stock/epoch={epoch - 1}")
-        had = batch.filter("_seen").select("Material_Id", "trackingID")
-        if existing is not None:
-            had = had.unionByName(existing.select("Material_Id", "trackingID"))
-        judged = reserve_stock(batch.drop("_seen"), stock.select("material_Id", "quantity"), order, shipments, had)
+        stock, had = materials, existing
+        if epoch:
+            stock = spark.read.parquet(f"{base}/stock/epoch={epoch - 1}")
+            took = spark.read.parquet(f"{base}/lines").filter(f"epoch < {epoch} AND status = 'accepted'")
+            left = stock.filter("quantity > 0").select(F.col("material_Id").alias("_left"))
+            took = took.join(left, F.col("Material_Id") == F.col("_left"), "left_semi").select("Material_Id", "trackingID")
+            had = took if existing is None else took.unionByName(existing.select("Material_Id", "trackingID"))
+        judged = reserve_stock(batch, stock.select("material_Id", "quantity"), order, shipments, had)
         judged.lines.write.mode("overwrite").parquet(f"{base}/lines/epoch={epoch}")
         # what the batch took is counted from the lines as written
         taken = spark.read.parquet(f"{base}/lines/epoch={epoch}").filter("status = 'accepted'").groupBy("Material_Id").agg(
@@ -132,10 +113,9 @@ def reservation_changes(root: str, materials: DataFrame, order: OrderSpec, shipm
 def run_reservation_stream(lines: DataFrame, materials: DataFrame, root: str, checkpoint: str, order: OrderSpec = LINE_ORDER,
                            shipments: DataFrame | None = None, existing: DataFrame | None = None) -> None:
     """E03 on a stream of shipment lines. Within a micro-batch lines are taken in ``order`` by a scan that splits
-    a hot material; across batches, batch order is arrival order. A key that came before cannot take a unit:
-    if its line was taken it is a duplicate, and if it failed for stock there is none left, since stock
-    changes after the start must arrive as events (E05), not as edits of the snapshot."""
-    q = (mark_seen(lines).writeStream.foreachBatch(reservation_changes(root, materials, order, shipments, existing))
+    a hot material; across batches, batch order is arrival order. Stock changes after the start must arrive as
+    events (E05), not as edits of the snapshot."""
+    q = (lines.writeStream.foreachBatch(reservation_changes(root, materials, order, shipments, existing))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 

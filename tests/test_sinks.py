@@ -119,11 +119,11 @@ def test_reservation_stream_knows_duplicates_and_shipments(spark):
 def test_reservation_batch_that_runs_again_changes_nothing(spark):
     root = scratch_path(spark, "e08-again")
     mats = spark.createDataFrame([("RM1", 3), ("RM2", 0)], "material_Id string, quantity long")
-    kind = "Material_Id string, trackingID string, arrival_seq long, _seen boolean"
+    kind = "Material_Id string, trackingID string, arrival_seq long"
     change = jobs.reservation_changes(root, mats, (("arrival_seq", False), ("trackingID", False)), None,
                                       spark.createDataFrame([("RM1", "OLD")], "Material_Id string, trackingID string"))
-    first = spark.createDataFrame([("RM1", f"S{i % 4}", i, False) for i in range(6)] + [("RM1", "OLD", 9, False)], kind)
-    second = spark.createDataFrame([("RM1", "S0", 20, True), ("RM1", "S9", 21, False), ("RM2", "S9", 22, False)], kind)
+    first = spark.createDataFrame([("RM1", f"S{i % 4}", i) for i in range(6)] + [("RM1", "OLD", 9)], kind)
+    second = spark.createDataFrame([("RM1", "S0", 20), ("RM1", "S9", 21), ("RM2", "S9", 22)], kind)
     change(first.where("arrival_seq < 2 OR arrival_seq = 9"), 0)
     for _ in range(2):  # the second run is a replay after a crash
         change(second, 1)
