@@ -284,10 +284,10 @@ def constraint_report(tables: Mapping[str, DataFrame], catalogue: Mapping[str, T
     """
     tags = _Tags()
     spark = next(iter(tables.values())).sparkSession
-    entries: DataFrame | None = None
-    for name, df in tables.items():
-        part = _tagged(df, catalogue[name], tables, tags)
-        entries = part if entries is None else entries.unionByName(part)
+    parts = [_tagged(df, catalogue[name], tables, tags) for name, df in tables.items()]
+    while len(parts) > 1:  # in pairs: the plan stays shallow
+        parts = [a.union(b) for a, b in zip(parts[::2], parts[1::2])] + parts[len(parts) // 2 * 2:]
+    entries = parts[0]
     slots = range(1 + max([0, *map(len, tags.users.values())]))
     per_key = entries.groupBy("kind", "number", "key").agg(
         *[F.sum((F.col("slot") == i).cast("long")).alias(f"n{i}") for i in slots])
@@ -376,3 +376,24 @@ def quarantine(batch: DataFrame, table: Table, parents: Mapping[str, DataFrame],
     rejected = staged.filter(F.size("_why") > 0).select(
         *batch.columns, F.concat_ws("; ", F.array_sort("_why")).alias("reasons"))
     return Split(accepted, rejected)
+
+
+def quarantine_batch(batch: Mapping[str, DataFrame], existing: Mapping[str, DataFrame],
+                     order: Mapping[str, Sequence[str]] | None = None, catalogue: Mapping[str, Table] = CATALOGUE) -> dict[str, Split]:
+    """C13 for a batch over several tables: a split of each, by name.
+
+    Tables are judged in the order of the schema, in which a parent stands before its children, and each verdict is
+    handed down: a row's parents are the stored rows and those that the batch itself got accepted, so a child
+    of a rejected parent is rejected with it, and a child of a parent of the same batch passes. Foreign keys to
+    tables that are in neither are not judged. ``order``: columns by which the first of equal keys is taken.
+    """
+    out: dict[str, Split] = {}
+    parents: dict[str, DataFrame] = dict(existing)
+    for name, table in catalogue.items():
+        if name not in batch:
+            continue
+        out[name] = quarantine(batch[name], table, parents, existing.get(name), (order or {}).get(name, ()))
+        wanted = [c for c in batch[name].columns if name not in existing or c in existing[name].columns]
+        accepted = out[name].accepted.select(*wanted)
+        parents[name] = accepted if name not in existing else existing[name].select(*wanted).unionByName(accepted)
+    return out

@@ -19,7 +19,7 @@ from larder.session import scratch_path
 from larder.sources import io
 from larder.streaming import jobs
 from larder.sources.fixtures import COUPONS_AS_OF, PURCHASES_AS_OF, Fixtures
-from larder.sources.rest import whole_table
+from larder.sources.rest import feedback_batch, whole_table
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -156,7 +156,19 @@ def _rules() -> dict[str, Builder]:
                                  existing=t.purchase_order, order=(*ARRIVAL, "Material_Id", "PurcQty", "PODate"))  # as E04
         return rules.Split(split.accepted.select(*ORDER_COLUMNS), split.rejected.select(*ORDER_COLUMNS, "reasons"))
 
+    def c13_batch(spark, root):
+        batch, had = feedback_batch(Fixtures(spark, root))
+        splits = rules.quarantine_batch(batch, had, {"customer_orders": ["orderdate"]})
+        out = None
+        for name, split in splits.items():
+            key = rules.row_key(split.rejected, [c.name for c in CATALOGUE[name].columns if c.name in batch[name].columns])
+            judged = split.rejected.select(F.lit(name).alias("table_name"), key.alias("row_key"), "reasons").unionByName(
+                split.accepted.select(F.lit(name).alias("table_name"), key.alias("row_key"), F.lit(None).cast("string").alias("reasons")))
+            out = judged if out is None else out.unionByName(judged)
+        return out
+
     return {
+        "c13_batch": c13_batch,
         "c01_not_null": c01,
         "c02_primary_key": lambda s, r: rules.check_primary_key(base("lineitem")(s, r), "lineitem", ["l_orderkey"]),
         "c03_primary_key_composite": lambda s, r: rules.check_primary_key(

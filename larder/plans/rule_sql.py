@@ -5,8 +5,8 @@ from __future__ import annotations
 from larder.catalogue import CATALOGUE
 from larder.plans.oracle import with_fixtures
 from larder.sources.fixtures import REFERENCE_SHAPED
+from larder.sources.rest import BATCH, BATCH_STORED, missing_columns, rest_columns
 from larder.sources.rest import SOURCES as REST
-from larder.sources.rest import missing_columns, rest_columns
 
 STRING_KINDS = ("s", "c")
 DOUBLE_COLUMNS = {("customer", "c_acctbal"), ("events", "value"), ("orders", "o_totalprice")}
@@ -168,4 +168,41 @@ def _simple() -> dict[str, str]:
     return out
 
 
-RULE_SQL = _simple()
+def batch_sql() -> str:
+    """The batch over four tables, judged one after the other: each CTE of a child reads its parents' verdicts."""
+    ctes = [(f"in_{name}", "SELECT *, row_number() OVER () AS row FROM (SELECT " + ", ".join(f"{sql} AS {c}" for c, sql in columns)
+             + f" FROM {base} WHERE {cond})") for name, (base, cond, columns) in BATCH.items()]
+    stored = {name: f"(SELECT * FROM {name} WHERE CAST({c}[3:] AS BIGINT) % 3 <> 0)" for name, c in BATCH_STORED.items()}
+    out = []
+    for name, (_, _, columns) in BATCH.items():
+        t = CATALOGUE[name]
+        have = [c for c, _ in columns]
+        why = [(f"not_null({c})", f"{c} IS NULL OR CAST({c} AS VARCHAR) = ''") for c in have if not t.column(c).nullable or c in t.key]
+        why += [(f"max_length({c})", f"strlen({c}) > {t.column(c).width}") for c in have if t.column(c).kind == "s"]
+        why += [(f"prefix({c})", f"NOT starts_with({c}, '{p}')") for c, p in t.prefixes if c in have]
+        why += [(f"{k}({c})", f"{c} < {a[0]}" if k == "min" else f"NOT ({c} BETWEEN {a[0]} AND {a[1]})") for c, k, a in t.value_rules if c in have]
+        for c, parent, pc in t.foreign_keys:
+            if parent in BATCH:
+                known = f"SELECT {pc} FROM ok_{parent}" + (f" UNION ALL SELECT {pc} FROM {stored[parent]}" if parent in stored else "")
+            elif parent in ("franchise", "menu_items"):
+                known = f"SELECT {pc} FROM {parent}"
+            else:
+                continue
+            why.append((f"foreign_key({c})", f"{c} IS NOT NULL AND {c} NOT IN (SELECT {pc} FROM ({known}) WHERE {pc} IS NOT NULL)"))
+        cases = ", ".join(f"CASE WHEN {cond} THEN '{label}' END" for label, cond in why)
+        ctes.append((f"why_{name}", f"SELECT *, list_filter([{cases}], lambda x: x IS NOT NULL) AS other FROM in_{name}"))
+        keys, last = ", ".join(t.key), "list_filter([CAST(NULL AS VARCHAR)], lambda x: x IS NOT NULL)"
+        if t.key:
+            order = ", ".join([*(["orderdate"] if name == "customer_orders" else []), *have, "row"])
+            held = f"CASE WHEN ({keys}) IN (SELECT ({keys}) FROM {stored[name]}) THEN 'key_exists({','.join(t.key)})' END" if name in stored else "NULL"
+            last = (f"list_filter([CASE WHEN ROW_NUMBER() OVER (PARTITION BY {keys}, len(other) = 0 ORDER BY {order}) > 1 "
+                    f"THEN 'primary_key({','.join(t.key)})' END, {held}], lambda x: x IS NOT NULL)")
+        ctes.append((f"all_{name}", f"SELECT *, CASE WHEN len(other) > 0 THEN other ELSE {last} END AS why FROM why_{name}"))
+        ctes.append((f"ok_{name}", f"SELECT * FROM all_{name} WHERE len(why) = 0"))
+        cols = [c.name for c in t.columns if c.name in have]
+        out.append(f"SELECT '{name}' AS table_name, {_key(name, cols)} AS row_key, "
+                   f"CASE WHEN len(why) > 0 THEN array_to_string(list_sort(why), '; ') END AS reasons FROM all_{name}")
+    return with_fixtures("\nUNION ALL\n".join(out), *ctes)
+
+
+RULE_SQL = _simple() | {"c13_batch": batch_sql()}

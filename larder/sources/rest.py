@@ -98,3 +98,35 @@ def whole_table(t: Fixtures, name: str) -> DataFrame:
     if name in SOURCES:
         return t.base(SOURCES[name][0]).select(*[F.expr(sql).alias(c) for c, sql in rest_columns(name)])
     return getattr(t, name).select("*", *[F.expr(sql).alias(c) for c, sql in missing_columns(name)])
+
+
+#: A batch over four tables, every third order: some totals are negative or missing, some franchises unknown, some
+#: numbers stored or repeated, and a feedback breaks its range. (table, driver table, filter, columns as SQL)
+BATCH: dict[str, tuple[str, str, tuple[tuple[str, str], ...]]] = {
+    "customer_orders": ("orders", "o_orderkey % 3 = 0", (
+        ("order_id", "CASE WHEN o_orderkey % 17 = 5 THEN concat('X', o_orderkey) WHEN o_orderkey % 19 = 4 THEN 'CO1' "
+                     "WHEN o_orderkey % 23 = 7 THEN concat('CO', o_orderkey - 21) ELSE concat('CO', o_orderkey) END"),
+        ("orderdate", "CAST(o_orderdate AS DATE)"),
+        ("totalamount", "CASE WHEN o_orderkey % 11 = 2 THEN CAST(-1 AS DECIMAL(18,2)) WHEN o_orderkey % 13 <> 3 THEN CAST(o_totalprice AS DECIMAL(18,2)) END"),
+        ("franchise_id", "CASE WHEN o_orderkey % 7 = 1 THEN 'FAnone' ELSE concat('FA', o_orderkey % 5 + 1) END"),
+        ("cus_id", "concat('MCDC', o_custkey)"))),
+    "lists": ("lineitem", "l_orderkey % 3 = 0", (
+        ("order_id", "concat('CO', l_orderkey)"), ("mitemID", "CASE WHEN l_partkey % 31 = 3 THEN 'MInone' ELSE concat('MI', l_partkey) END"))),
+    "customer_feedbacks": ("orders", "o_orderkey % 6 = 0", (
+        ("feedbackID", "concat('FB', o_orderkey)"), ("feedback_date", "CAST(o_orderdate AS DATE)"),
+        ("rating", "CAST(o_orderkey % 8 AS DECIMAL(18,2))"), ("service_used", "o_orderpriority"))),
+    "feedback_info": ("orders", "o_orderkey % 3 = 0", (
+        ("cus_id", "concat('MCDC', o_custkey)"), ("order_id", "concat('CO', o_orderkey)"), ("feedbackID", "concat('FB', o_orderkey)"))),
+}
+#: What is stored before: the other orders and their lists, and the parents.
+BATCH_STORED = {"customer_orders": "order_id", "lists": "order_id"}
+
+
+def feedback_batch(t: Fixtures) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """The batch and the stored tables."""
+    batch = {name: t.base(base).filter(cond).select(*[F.expr(sql).alias(c) for c, sql in columns])
+             for name, (base, cond, columns) in BATCH.items()}
+    had = {"franchise": t.franchise, "menu_items": t.menu_items}
+    for name, column in BATCH_STORED.items():
+        had[name] = getattr(t, name).filter(F.substring(column, 3, 20).cast("bigint") % 3 != 0)
+    return batch, had

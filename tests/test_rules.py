@@ -64,3 +64,48 @@ def test_quarantine_and_intake_accept_the_same_orders(spark):
         intake = sorted(map(tuple, jobs["e04_po_accepted"](spark, f"/root/testdata/sf{sf}").select("PONo", "PODate", "PurcQty", "Material_Id").collect()))
         known = {r.material_Id for r in registry.Fixtures(spark, f"/root/testdata/sf{sf}").raw_materials.collect()}
         assert [r for r in split if r[3] in known] == intake and intake
+
+
+def test_batch_hands_verdicts_down(spark):
+    """A child of a rejected parent goes with it, one of an accepted parent of the batch stays; keys see earlier tables only."""
+    import datetime as dt
+    from decimal import Decimal
+
+    from larder.operators import rules
+    d = dt.date(2001, 1, 1)
+    orders = spark.createDataFrame(
+        [("CO1", d, Decimal(5), "FA1"), ("CO2", d, Decimal(-5), "FA1"), ("CO3", d, Decimal(5), "FA9"), ("CO4", d, Decimal(5), None),
+         ("CO5", d, Decimal(5), "FA1"), ("CO5", d, Decimal(6), "FA1"), ("OLD", d, Decimal(5), "FA1"), ("", d, Decimal(1), "FA1")],
+        "order_id string, orderdate date, totalamount decimal(18,2), franchise_id string")
+    lists = spark.createDataFrame([("CO1", "MI1"), ("CO1", "MI1"), ("CO2", "MI1"), ("CO5", "MI2"), ("COLD", "MI1"), ("CO1", "MI9"), (None, "MI1")],
+                                  "order_id string, mitemID string")
+    feedback = spark.createDataFrame([("FB1", Decimal(9)), ("FB2", Decimal(3))], "feedbackID string, rating decimal(18,2)")
+    links = spark.createDataFrame([("CO1", "FB2"), ("CO1", "FB1"), ("CO3", "FB2")], "order_id string, feedbackID string")
+    stored = {"franchise": spark.createDataFrame([("FA1",)], "franchise_id string"),
+              "menu_items": spark.createDataFrame([("MI1",), ("MI2",)], "mItemID string"),
+              "customer_orders": spark.createDataFrame([("COLD", d, Decimal(1), "FA1"), ("OLD", d, Decimal(1), "FA1")], orders.schema)}
+    got = rules.quarantine_batch({"feedback_info": links, "customer_orders": orders, "lists": lists, "customer_feedbacks": feedback}, stored,
+                                 {"customer_orders": ["totalamount"]})
+    assert list(got) == ["customer_orders", "lists", "customer_feedbacks", "feedback_info"]
+    kept = {name: sorted(tuple(r) for r in split.accepted.collect()) for name, split in got.items()}
+    assert [(r[0], r[2]) for r in kept["customer_orders"]] == [("CO1", 5), ("CO5", 5)]
+    assert kept["lists"] == [("CO1", "MI1"), ("CO5", "MI2"), ("COLD", "MI1")]
+    assert kept["customer_feedbacks"] == [("FB2", 3)] and kept["feedback_info"] == [("CO1", "FB2")]
+    why = {(r.order_id, r.mitemID): r.reasons for r in got["lists"].rejected.collect()}
+    assert why == {("CO1", "MI1"): "primary_key(order_id,mitemID)", ("CO2", "MI1"): "foreign_key(order_id)",
+                   ("CO1", "MI9"): "foreign_key(mitemID)", (None, "MI1"): "not_null(order_id)"}
+    assert rules.quarantine_batch({}, stored) == {}
+
+
+def test_report_keys_do_not_run_together(spark):
+    """Parts of a longer key keep their lengths; a hot key, NULL parts and users of one key set are told apart."""
+    from larder.operators import rules
+    pairs = [("1:a", "b"), ("1", "a1:b"), ("x", "y"), ("x", "y"), (None, "y"), (None, "y"), ("", "y")] + [("hot", "hot")] * 500
+    tables = {
+        "operated_by": spark.createDataFrame(pairs, "TPL_ID string, center_ID string"),
+        "third_party_logistics": spark.createDataFrame([("hot",), ("x",), ("x",)], "TPL_ID string"),
+        "third_party_logistics_services": spark.createDataFrame([("hot",), ("gone",)], "TPL_ID string"),
+        "distribution_centers": spark.createDataFrame([], "center_ID string")}
+    got = {(r.table_name, r.rule): r.violations for r in rules.constraint_report(tables).collect() if r.rule in ("primary_key", "foreign_key")}
+    assert got == {("operated_by", "primary_key"): 2 + 3, ("operated_by", "foreign_key"): 2 + 507,
+                   ("third_party_logistics", "primary_key"): 1, ("third_party_logistics_services", "foreign_key"): 1}
