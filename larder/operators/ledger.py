@@ -188,12 +188,11 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 # ---------------------------------------------------------------- the job
-def _walked(events: DataFrame, order: OrderSpec) -> DataFrame:
+def _walked(events: DataFrame, order: OrderSpec, parts: int) -> DataFrame:
     """events with _start, _receipt and _counts: one ordered walk; adds accepted, balance, _found and _row (a number in
     order of material and ``order``); stored."""
-    spark = events.sparkSession
     sort = [F.col("Material_Id").asc_nulls_last(), *sort_columns(order)]
-    spread = stored(events.repartitionByRange(partitions(spark), *sort).sortWithinPartitions(*sort)
+    spread = stored(events.repartitionByRange(parts, *sort).sortWithinPartitions(*sort)
                     .withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()))
     drop = F.sum(F.when(F.col("_receipt") & (F.col("quantity") < 0), F.col("quantity")).otherwise(0))
     parts = spread.groupBy("Material_Id", "_part").agg(drop.alias("_drop"), F.first("_start").alias("_start"))
@@ -226,9 +225,10 @@ def stock_ledger(events: DataFrame, materials: DataFrame, order: OrderSpec = LED
     pending = ev.join(again, repeated, "left").withColumn(
         "_counts", F.col("_first_id").isNull() | (F.col("_id") == F.col("_first_id"))).withColumn(
         "_again", F.col("_first_id").isNotNull()).drop("_k0", "_k1", "_first_id", "_id")
+    parts = partitions(ev.sparkSession, ev)
     done: list[DataFrame] = []
     while True:
-        walked = _walked(pending, order)
+        walked = _walked(pending, order, parts)
         hits = walked.where("_again").groupBy(*key).agg(F.min(F.when(F.col("_found"), F.col("_row"))).alias("_hit"))
         judged = walked.where("_again").join(hits, key).withColumn(
             "_should", F.col("_hit").isNull() | (F.col("_row") <= F.col("_hit")))

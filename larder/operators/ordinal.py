@@ -1,16 +1,16 @@
 """Order-dependent operators that never funnel a whole table, or one hot group, into one task.
 
 ``RANK() OVER (ORDER BY ...)`` with no partition is a single-task window in Spark. Here
-it runs in three distributed steps:
+it is one pass over the rows:
 
-1. ties collapse first: one row per distinct order key with its multiplicity (a partial
-   aggregate, so a key holding a third of all rows costs one row);
-2. the distinct keys are range-partitioned and sorted; each partition computes, per key,
-   the number of rows before it inside the partition (Arrow batches, one pass);
-3. the per-partition row totals (one row per partition, so bounded by the partition
-   count, not by the data) give each partition's offset; rank = 1 + offset + before.
+1. the rows are range-partitioned and sorted by the key and, among ties, by a hash of the row, so a
+   key that a third of all rows share is cut too; each partition numbers its runs of equal
+   keys and counts the rows before each run (Arrow batches, one pass);
+2. one row a partition (rows, runs, first and last key) gives its offset, and for a run that
+   goes on from the partition before, where it began;
+3. rank = 1 + offset + rows before the run. Nothing is joined back but that one row a partition.
 
-Step 2's output is checkpointed to the shared folder so the range cut is fixed for both
+Step 1's output is stored in the shared folder, so the range cut is fixed for both
 consumers and survives an executor loss.
 
 Order keys follow the dialect's NULL placement: ascending puts NULLs last, descending
@@ -23,6 +23,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,17 +46,6 @@ def sort_columns(order: OrderSpec) -> list[Column]:
     return [F.col(c).desc_nulls_first() if desc else F.col(c).asc_nulls_last() for c, desc in order]
 
 
-def _before_in_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    carried = 0
-    for pdf in batches:
-        counts = pdf["_n"].to_numpy(dtype=np.int64)
-        run = np.cumsum(counts)
-        pdf["_before"] = run - counts + carried
-        if len(counts):
-            carried += int(run[-1])
-        yield pdf
-
-
 def rank_all(df: DataFrame, order: OrderSpec, out: str, *, dense: bool = False,
              num_partitions: int | None = None) -> DataFrame:
     """``df`` plus ``out`` = RANK (or DENSE_RANK) over the whole input ordered by ``order``."""
@@ -63,35 +54,69 @@ def rank_all(df: DataFrame, order: OrderSpec, out: str, *, dense: bool = False,
 
 def ranks_all(df: DataFrame, orders: dict[str, OrderSpec], *, dense: bool = False,
               num_partitions: int | None = None) -> DataFrame:
-    """``df`` plus one rank column for each of ``orders``; the input is run and stored once."""
-    df = stored(df)  # read by the tallies, the range samplers and the joins
-    out = df
+    """``df`` plus one rank column for each of ``orders``."""
     for name, order in orders.items():
-        ranked = _ranked_keys(df, order, name, dense, num_partitions or partitions(df.sparkSession))
-        keys = [c for c, _ in order]
-        cond = [out[k].eqNullSafe(ranked[f"_k{i}"]) for i, k in enumerate(keys)]
-        out = out.join(ranked, cond, "inner").drop(*[f"_k{i}" for i in range(len(keys))])
-    return out
+        df = _ranked(df, order, name, dense, num_partitions or partitions(df.sparkSession))
+    return df
+
+
+def _same_as_before(column: pa.Array) -> np.ndarray:
+    """For each row but the first whether it equals the row before; NULL equals NULL, NaN equals NaN."""
+    a, b = column.slice(1), column.slice(0, len(column) - 1)
+    same = pc.fill_null(pc.equal(a, b), False)
+    same = pc.or_(same, pc.and_(pc.is_null(a, nan_is_null=True), pc.is_null(b, nan_is_null=True)))
+    return same.to_numpy(zero_copy_only=False)
+
+
+def _numbered_runs(keys: list[str]):
+    """Adds ``_run``, the number of each run of equal keys in the partition, and ``_before``, the rows before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, number, began, last = 0, -1, 0, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            new = np.zeros(n, dtype=bool)
+            for k in keys:
+                column = batch.column(batch.schema.get_field_index(k))
+                new[1:] |= ~_same_as_before(column)
+                if last is not None:
+                    new[0] |= not _same_as_before(pa.concat_arrays([last[k], column.slice(0, 1)]))[0]
+            new[0] |= last is None
+            runs = number + np.cumsum(new)
+            starts = np.concatenate([[began], rows + np.flatnonzero(new)])
+            before = starts[runs - number]
+            rows, number, began = rows + n, int(runs[-1]), int(before[-1])
+            last = {k: batch.column(batch.schema.get_field_index(k)).slice(n - 1, 1) for k in keys}
+            yield batch.append_column("_run", pa.array(runs.astype(np.int64))).append_column("_before", pa.array(before.astype(np.int64)))
+
+    return run
 
 
-def _ranked_keys(df: DataFrame, order: OrderSpec, out: str, dense: bool, parts: int) -> DataFrame:
-    """One row per distinct key (columns _k0, _k1, ...) with its rank."""
+def _ranked(df: DataFrame, order: OrderSpec, out: str, dense: bool, parts: int) -> DataFrame:
     keys = [c for c, _ in order]
-    tally = (df.select(*keys).distinct().withColumn("_n", F.lit(1).cast("long")) if dense
-             else df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
-    spread_schema = T.StructType(list(tally.schema.fields) + [
-        T.StructField("_part", T.IntegerType(), False), T.StructField("_before", T.LongType(), False)])
-    spread = stored(tally.repartitionByRange(parts, *sort_columns(order))
-                    .sortWithinPartitions(*sort_columns(order))
-                    .withColumn("_part", F.spark_partition_id())
-                    .mapInPandas(_before_in_partition, spread_schema))
-    sizes = spread.groupBy("_part").agg(F.sum("_n").alias("_size"))
-    offsets = sizes.select("_part", F.coalesce(
-        F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)).alias("_offset"))
-    return (spread.join(F.broadcast(offsets), "_part")  # one row per partition: bounded
-            .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-                    (F.lit(1) + F.col("_offset") + F.col("_before")).cast("long").alias(out)))
+    hashed = [c.name for c in df.schema.fields if not isinstance(c.dataType, (T.MapType, T.VariantType))]
+    sort = [*sort_columns(order), F.xxhash64(*hashed)]
+    staged = df.repartitionByRange(parts, *sort).sortWithinPartitions(*sort).withColumn("_part", F.spark_partition_id())
+    schema = T.StructType([*staged.schema.fields, T.StructField("_run", T.LongType()), T.StructField("_before", T.LongType())])
+    spread = stored(staged.mapInArrow(_numbered_runs(keys), schema))
+    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    parts_ = spread.groupBy("_part").agg(
+        F.count(F.lit(1)).alias("_rows"), (F.max("_run") + 1).alias("_runs"), F.max("_before").alias("_last"),
+        F.min_by(key, "_run").alias("_first_key"), F.max_by(key, "_run").alias("_last_key"))
+    by_part = Window.orderBy("_part")  # one row a partition
+    earlier = by_part.rowsBetween(Window.unboundedPreceding, -1)
+    parts_ = parts_.withColumn("_offset", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).withColumn(
+        "_on", F.coalesce(F.lag("_last_key").over(by_part).eqNullSafe(F.col("_first_key")) & F.lag("_rows").over(by_part).isNotNull(), F.lit(False)))
+    began = F.when(~F.col("_on") | (F.col("_runs") > 1), F.col("_offset") + F.col("_last"))  # of the last run
+    parts_ = parts_.withColumn("_start", F.last(began, ignorenulls=True).over(earlier)).withColumn(
+        "_distinct", F.coalesce(F.sum(F.col("_runs") - F.col("_on").cast("long")).over(earlier), F.lit(0)))
+    rank = F.when(F.col("_on") & (F.col("_run") == 0), F.col("_start")).otherwise(F.col("_offset") + F.col("_before"))
+    if dense:
+        rank = F.col("_distinct") + F.col("_run") - F.col("_on").cast("long")
+    offsets = parts_.select("_part", "_offset", "_on", "_start", "_distinct")
+    return spread.join(F.broadcast(offsets), "_part").select(*df.columns, (rank + 1).cast("long").alias(out))
 
 
 # ---------------------------------------------------------------------------- scans
@@ -157,7 +182,6 @@ def scan_within(df: DataFrame, by: Sequence[str], order: OrderSpec, value: Colum
     """
     spark = df.sparkSession
     shared_dir(spark)
-    parts = num_partitions or partitions(spark)
     val = F.lit(1) if value is None else (F.col(value) if isinstance(value, str) else value)
     staged = df.withColumn("_val", val.cast("long"))
     sort_cols = [F.col(b).asc_nulls_last() for b in by] + sort_columns(order)
@@ -165,6 +189,7 @@ def scan_within(df: DataFrame, by: Sequence[str], order: OrderSpec, value: Colum
         T.StructField("_part", T.IntegerType(), False), T.StructField("_pos", T.LongType(), False),
         T.StructField("_run", T.LongType(), False), T.StructField("_min_prev", T.LongType(), True)])
     staged = stored(staged)  # read by the range sampler and by the scan
+    parts = num_partitions or partitions(spark, staged)
     spread = (staged.repartitionByRange(parts, *sort_cols).sortWithinPartitions(*sort_cols)
               .withColumn("_part", F.spark_partition_id())
               .mapInPandas(_local_scan(by, "_val"), schema)

@@ -12,7 +12,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_CONF = {
     "spark.ui.enabled": "false",
@@ -70,5 +70,14 @@ def scratch_path(spark: SparkSession, kind: str) -> str:
     return f"{root}/larder-{kind}-{uuid.uuid4().hex}"
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions") or os.cpu_count() or 8)
+#: Bytes of rows that one partition of an ordered pass should hold.
+PARTITION_BYTES = 128 << 20
+
+
+def partitions(spark: SparkSession, rows: DataFrame | None = None) -> int:
+    """Partitions of a shuffle: the session's number, or more if ``rows`` (stored, so that counting is cheap) need
+    more to stay at ``PARTITION_BYTES`` each."""
+    least = int(spark.conf.get("spark.sql.shuffle.partitions") or os.cpu_count() or 8)
+    if rows is None:
+        return least
+    return max(least, -(-rows.count() * rows._jdf.schema().defaultSize() // PARTITION_BYTES))

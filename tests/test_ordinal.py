@@ -28,6 +28,21 @@ def test_rank_all_matches_sorted_positions(spark):
     assert all(got[i] == first[v] for i, v in enumerate(vals))
 
 
+def test_ranks_of_ties_over_many_partitions(spark):
+    """A tie that fills partitions, NULLs, two keys, both kinds of rank; rows come through whole."""
+    rnd = random.Random(9)
+    rows = [(i, rnd.choice([None, 1.5, 2.5]), rnd.choice(["a", "b", None]), [i, None]) for i in range(400)] + [(900 + i, 2.5, "a", None) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, v double, w string, more array<int>").repartition(3)
+    order = [("v", True), ("w", False)]
+    place = lambda r: ((r[1] is not None, -(r[1] or 0)), (r[2] is None, r[2] or ""))
+    keys = sorted(place(r) for r in rows)
+    distinct = sorted(set(keys))
+    for dense, want in ((False, lambda r: keys.index(place(r)) + 1), (True, lambda r: distinct.index(place(r)) + 1)):
+        got = {r.id: (r.rk, r.more) for r in rank_all(df, order, "rk", dense=dense, num_partitions=13).collect()}
+        assert got == {r[0]: (want(r), r[3]) for r in rows}
+    assert rank_all(df.where("false"), order, "rk").count() == 0
+
+
 def test_scan_within_matches_fold_with_hot_group(spark):
     rnd = random.Random(3)
     rows = []
