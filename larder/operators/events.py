@@ -16,7 +16,7 @@ from collections.abc import Callable, Sequence
 from functools import cached_property
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.exprs import first_date_at_or_after
@@ -38,17 +38,22 @@ STOCK_LABELS = ("Low", "Decent", "High")  # fixed labels of the stock-status tri
 
 
 # ------------------------------------------------------------------------- E01
-def apply_coupon_totals(order_requests: DataFrame, coupons: DataFrame, as_of: dt.datetime) -> DataFrame:
+def apply_coupon_totals(order_requests: DataFrame, coupons: DataFrame, as_of: dt.datetime | Column) -> DataFrame:
     """``totalamount`` of each incoming order from its subtotal and optional coupon.
 
     A coupon applies when ``subtotal >= minimum`` and ``as_of <= expiry`` (both
-    inclusive; the expiry date means its midnight). An unknown code, a missing total or
+    inclusive; the expiry date means its midnight). ``as_of`` is one time for all rows, or a column:
+    the time of each request, or ``F.current_timestamp()``, which a stream sets anew for each
+    micro-batch. A request without a time gets no discount. An unknown code, a missing total or
     a negative total rejects the row (``accepted`` false, ``totalamount`` NULL).
 
     Requests are read once: those without a coupon get a spread key that no coupon has, so they
     neither match nor meet in one task.
     """
-    valid_from = first_date_at_or_after(as_of)
+    if isinstance(as_of, dt.datetime):
+        in_time = F.col("_expiry") >= F.lit(first_date_at_or_after(as_of))
+    else:
+        in_time = F.col("_expiry").cast("timestamp") >= as_of
     c = coupons.filter(F.col("coupon_code").isNotNull()).select(
         F.col("coupon_code").alias("_code"), F.col("minPurchase_amt").alias("_min"), F.col("coupExpiry").alias("_expiry"),
         F.col("coupDiscount").alias("_discount"), F.lit(0).alias("_place"))
@@ -56,7 +61,7 @@ def apply_coupon_totals(order_requests: DataFrame, coupons: DataFrame, as_of: dt
         c, F.col("coupon_code").eqNullSafe(F.col("_code")) & (F.col("_spread") == F.col("_place")), "left")
     has = F.col("coupon_code").isNotNull()
     known = F.col("_code").isNotNull()
-    valid = (F.col("subtotal") >= F.col("_min")) & (F.col("_expiry") >= F.lit(valid_from))
+    valid = (F.col("subtotal") >= F.col("_min")) & in_time
     total = (F.when(~has, F.col("subtotal"))
              .when(~known, F.lit(None))
              .when(valid, F.col("subtotal") - F.col("_discount"))

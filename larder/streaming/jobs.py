@@ -15,7 +15,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.operators.events import LINE_ORDER, apply_coupon_totals, reserve_stock, stock_status
@@ -36,9 +36,11 @@ def run_to_sink(stream: DataFrame, sink: str, checkpoint: str, mode: str = "appe
 
 
 # ------------------------------------------------------------------------- E06
-def coupon_totals_stream(requests: DataFrame, coupons: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """The E01 job on a stream (same function; the coupon table is static)."""
-    return apply_coupon_totals(requests, coupons, as_of)
+def coupon_totals_stream(requests: DataFrame, coupons: DataFrame, as_of: dt.datetime | Column | None = None) -> DataFrame:
+    """The E01 job on a stream (same function; the coupon table is static). ``as_of``: a column of the requests,
+    so a coupon runs out while the stream runs; by default the time of each micro-batch, which a batch that
+    runs again after a crash keeps; one fixed time replays a past day."""
+    return apply_coupon_totals(requests, coupons, F.current_timestamp() if as_of is None else as_of)
 
 
 # ------------------------------------------------------------------------- E07

@@ -1,8 +1,10 @@
 """Sources, sinks, rules and streams on hand-made rows: what round one got wrong."""
 
 import datetime as dt
+from decimal import Decimal as D
 
 import pytest
+from pyspark.sql import functions as F
 
 from larder.catalogue import CATALOGUE
 from larder.operators import rules
@@ -130,3 +132,21 @@ def test_reservation_batch_that_runs_again_changes_nothing(spark):
     got = sorted((r.arrival_seq, r.reason) for r in jobs.read_reservations(spark, root).collect())
     assert got == [(0, None), (1, None), (9, "duplicate_line"), (20, "duplicate_line"), (21, None), (22, "insufficient_stock")]
     assert {r.material_Id: r.quantity for r in spark.read.parquet(f"{root}/stock/epoch=1").collect()} == {"RM1": 0, "RM2": 0}
+
+
+def test_coupon_runs_out_while_the_stream_runs(spark):
+    """The same coupon applies in the first micro-batch and not in the second: by each request's time, and by the clock."""
+    day = dt.date.today()
+    coupons = spark.createDataFrame([("C1", D(10), day, D(5)), ("C2", D(10), day + dt.timedelta(days=2), D(5))],
+                                    "coupon_code string, minPurchase_amt decimal(18,2), coupExpiry date, coupDiscount decimal(18,2)")
+    kind = "order_id string, subtotal decimal(18,2), coupon_code string, at timestamp"
+    midnight = dt.datetime.combine(day, dt.time())
+    times = [midnight, midnight + dt.timedelta(seconds=1)]
+    for name, clock, want in (("asked", F.col("at"), {"A0": 15, "A1": 20, "B0": 15, "B1": 15, "N0": 20, "N1": 20}),
+                              ("now", None, {"A0": 20, "A1": 20, "B0": 15, "B1": 15, "N0": 20, "N1": 20})):
+        src, out, ckpt = (scratch_path(spark, f"e06-{name}-{k}") for k in ("in", "out", "ckpt"))
+        for i, at in enumerate(times):  # a micro-batch each; the stream goes on from its checkpoint
+            rows = spark.createDataFrame([(f"A{i}", D(20), "C1", at), (f"B{i}", D(20), "C2", at), (f"N{i}", D(20), None, None)], kind)
+            rows.coalesce(1).write.mode("append").parquet(src)
+            jobs.run_to_sink(jobs.coupon_totals_stream(jobs.stream_files(spark, src, rows), coupons, clock), out, ckpt)
+        assert {r.order_id: int(r.totalamount) for r in spark.read.parquet(out).collect()} == want, name
