@@ -161,3 +161,66 @@ def test_search_finds_all_within_the_radius(spark):
         assert got == {(a, b) for a in base_ for b in known if (a ^ b).bit_count() <= radius}
     with pytest.raises(ValueError):
         fingerprints.near(df, df, 5)
+
+
+def plain_secrets(text, ratios):
+    """Spans (kind, start, end) by plain loops: base ones, then runs that touch none of them."""
+    import re
+    found = []
+    for kind, pattern, group in (("assign", secrets.ASSIGN, 2), ("access", secrets.ACCESS, 0), ("hex", secrets.HEX, 0)):
+        for m in re.finditer(pattern, text):
+            if group == 0 or len(m[2]) >= secrets.MIN_VALUE:
+                found.append((m.start(), secrets.KINDS.index(kind), m.end(), kind))
+    base = list(found)
+    for m in re.finditer(secrets.RUN, text):
+        code = [secrets.LETTERS.find(c) + 1 for c in m[0]]
+        score = sum(ratios[a * secrets.SIZE + b] for a, b in zip(code, code[1:]))
+        enough = secrets.MIN_RATIO + secrets.LENGTH_RATIO * (len(m[0]) - secrets.MIN_RUN)
+        if re.search("[A-Za-z]", m[0]) and score >= enough and not any(s < m.end() and m.start() < e for s, _, e, _ in base):
+            found.append((m.start(), len(secrets.KINDS), m.end(), secrets.RANDOM))
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(found))
+
+
+def test_spans_are_those_of_plain_loops(spark):
+    import random
+    rng = random.Random(4)
+    ratios = secrets.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    parts = [lambda: draw(secrets.LETTERS, rng.randint(15, 60)), lambda: draw("0123456789abcdef", rng.randint(20, 70)), lambda: "token = ",
+             lambda: "api_key:'", lambda: "AKIA" + draw(secrets.UPPER + secrets.DIGITS, rng.randint(10, 30)), lambda: " ", lambda: "é\U0001F600 ",
+             lambda: "Secret=" + draw(secrets.LETTERS, 9), lambda: "\n", lambda: "the_long_name_of_a_thing", lambda: "." + draw(secrets.LOWER, 25)]
+    rows = [(i, "".join(rng.choice(parts)() for _ in range(rng.randint(0, 40)))) for i in range(120)]
+    rows += [(1000, " ".join(draw("0123456789abcdef", 24) for _ in range(700)) + " " + draw(secrets.LETTERS, 40)),
+             (1001, "".join("token=" + draw(secrets.LOWER, 8) + "; " + draw(secrets.UPPER + secrets.DIGITS, 30) + " " for _ in range(300)))]
+    got = dict(secrets.scan(frame(spark, rows), ratios).select("row.doc_id", secrets.joined(F.col("spans"))).collect())
+    assert got == {i: plain_secrets(t, ratios) for i, t in rows}
+
+
+def test_recall_of_random_strings(spark):
+    """At least 0.98 of random strings of each alphabet are found, and no ordinary word of the corpus is."""
+    import random
+    rng = random.Random(8)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    ratios = secrets.train(docs)
+    rows = [(k * 10 + j, " ".join("".join(rng.choice(letters) for _ in range(n)) for _ in range(400)))
+            for k, letters in enumerate(secrets.ALPHABETS) for j, n in enumerate((20, 32))]
+    found = dict(secrets.scan(frame(spark, rows), ratios).select("row.doc_id", F.size("spans")).collect())
+    assert min(found.values()) >= 0.98 * 400, found
+    false = secrets.scan(docs, ratios).select(F.explode("spans").alias("s"), "text").where("s.kind = 'random'")
+    assert false.count() == 0  # the corpus has matches of the patterns, and words
+
+
+def test_many_matches_take_seconds(spark):
+    """A text of 1 MB with 40,000 matches, another with as many runs, cut out again: in proportion, not with the square."""
+    import random
+    import time
+    rng = random.Random(3)
+    ratios = secrets.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    hexes = " ".join("%024x" % rng.getrandbits(96) for _ in range(40_000))
+    runs = " ".join("".join(rng.choice(secrets.LETTERS[:62]) for _ in range(24)) for _ in range(40_000))
+    df = frame(spark, [(1, hexes), (2, runs)]).withColumn("n_chars", F.lit(0).cast("long"))
+    began = time.monotonic()
+    clean = {r.doc_id: r.text for r in secrets.redact(df, ratios).collect()}
+    assert clean[1] == " ".join([secrets.REDACTED] * 40_000)
+    assert clean[2].count(secrets.REDACTED) > 39_900
+    assert time.monotonic() - began < 60
