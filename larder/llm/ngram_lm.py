@@ -5,19 +5,17 @@ seen before it. A shard holds whole words, so their counts and quantised probabi
 there; it is a set of arrays in one memory-mapped file, queried by successor searches relative to
 the word (see eliasfano).
 
-P(w | v) = (c(v w) + m(v) P(w)) / (c(v) + m(v)), P(w) = (c(w) + 1) / (N + V + 1),
-m(v) = ``strength``, a constant: what a pair's counts weigh does not depend on the corpus around
+P(w | v) = (c(v w) + m P(w)) / (c(v) + m), P(w) = (c(w) + 1) / (N + V + 1),
+m = ``strength``, a constant: what a pair's counts weigh does not depend on the corpus around
 them. In a sum of logs the divisor belongs to v alone; so each shard scores its own words, as last
-words and as words before the next one, without asking another shard. ``score`` without a strength
-takes m(v) = max(MU, N / HOT_PARTS, c(v)), which grows with the corpus: there the pairs of all but
-the commonest words weigh less, the more text there is.
+words and as words before the next one, without asking another shard.
 
 1. Words are counted per batch, then by Spark: N, V, and the words with more than 1 / HOT_PARTS of
    all tokens (HOT_PARTS at most, so they may be sent to every task).
 2. Each batch of texts hands its (word, word before, document) counts to the slots of the words, a
    row per batch and slot; a hot word's are spread over all slots by the word before it.
-3. A task has the slots of some 2 million tokens: it counts the training tokens, builds its shard,
-   looks up all its entries and hands a sum per document back to each batch.
+3. A task has the slots of some ``TASK_BYTES`` of text, learned or not: it counts the training tokens, builds its
+   shard, looks up all its entries and hands a sum per document back to each batch.
 4. The sums of a batch meet.
 What is gathered grows with the corpus; nothing is pruned, capped or sampled.
 
@@ -45,20 +43,18 @@ from larder.llm.batches import coded, steps, text_column, words_of
 from larder.llm.common import shuffle_tasks, stored, table
 from larder.llm.eliasfano import Trie
 
-#: Least strength of the word's own probability below each word before it.
-MU = 4.0
-#: Strength of the registered query, for every word before and every size of the corpus: of 4, 64, 256, 1024 and 4096
-#: the one that gave the texts not learned of sf0.1 most.
+#: Strength of the word's own probability below each word before it, at every size of the corpus: of 4, 64, 256, 1024
+#: and 4096 the one that gave the texts not learned of sf0.1 most.
 STRENGTH = 256.0
 #: A word is hot from 1 / HOT_PARTS of all tokens.
 HOT_PARTS = 4096
-#: Tokens of a task, bytes of text of a batch, rows of a batch (their number has 16 bits).
-TASK_TOKENS = 2_000_000
+#: Bytes of text of a task and of a batch, rows of a batch (their number has 16 bits).
+TASK_BYTES = 9 << 20
 BATCH_BYTES = 6 << 20
 BATCH_ROWS = 60_000
 SLOTS_A_TASK = 16
-#: Keys of the end and the start of a text; the rest of a key is a hash, which may not be these.
-END, START = 1, 2
+#: Keys of the bytes of all texts, of the end and of the start of a text; the rest of a key is a hash, which may not be these.
+BYTES, END, START = 0, 1, 2
 BEFORE_BITS = 40
 BEFORE = np.uint64((1 << BEFORE_BITS) - 1)
 MOST = 127  # largest count of one entry; the top bit says that the document is one to learn from
@@ -83,7 +79,8 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """docs: text, train. Columns key and n: the counts of the words and of the end, in training texts."""
+    """docs: text, train. Columns key and n: the counts of the words and of the end, in training texts, and the bytes of
+    all texts."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _batches(frames):
@@ -94,6 +91,8 @@ def count_words(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.append(keys, np.uint64(END)).view(np.int64)), pa.array(np.append(n, learn.num_rows))],
                     names=["key", "n"])
+            size = pc.sum(pc.binary_length(batch.column(batch.schema.get_field_index("text")))).as_py() or 0
+            yield pa.RecordBatch.from_arrays([pa.array([BYTES], pa.int64()), pa.array([size], pa.int64())], names=["key", "n"])
 
     return docs.select("text", "train").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -157,7 +156,7 @@ def _load(data: bytes) -> tuple[np.ndarray, ...]:
 
 
 def _shard(keys: np.ndarray, index: np.ndarray, before: np.ndarray, times: np.ndarray, learn: np.ndarray, hot: tuple, total: int,
-           distinct: int, strength: float, fixed: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+           distinct: int, strength: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Builds the shard of these entries (index: of the word among keys) and looks them up: for each
     entry the count of its word, log10 of its probability mass, and log10 of its word's divisor as
     a word before."""
@@ -165,17 +164,6 @@ def _shard(keys: np.ndarray, index: np.ndarray, before: np.ndarray, times: np.nd
     hot_keys, hot_counts = hot  # a hot word's entries lie in many shards: its count comes from step 1
     at = np.minimum(np.searchsorted(hot_keys, keys), len(hot_keys) - 1)
     counts = np.where(hot_keys[at] == keys, hot_counts[at], counts)
-    # m(v) by the 40 bits that entries have of v: ``strength``, but for the hot words if it is not fixed
-    short = hot_keys & BEFORE
-    by = np.argsort(short)
-    short, strong = short[by], np.maximum(hot_counts[by], strength)
-
-    def pull(v: np.ndarray) -> np.ndarray | float:
-        if fixed:
-            return strength
-        at = np.minimum(np.searchsorted(short, v), len(short) - 1)
-        return np.where(short[at] == v, strong[at], strength)
-
     own = (counts + 1) / (total + distinct + 1)
     pair = index[learn].astype(np.uint64) << np.uint64(BEFORE_BITS) | before[learn]
     order = np.argsort(pair, kind="stable")
@@ -183,7 +171,7 @@ def _shard(keys: np.ndarray, index: np.ndarray, before: np.ndarray, times: np.nd
     new = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])[:len(pair)])
     seen = np.add.reduceat(weight, new) if len(new) else np.zeros(0)
     parent = (pair[new] >> np.uint64(BEFORE_BITS)).astype(np.int64)
-    trie = Trie(keys, counts, parent, pair[new] & BEFORE, np.log10(seen + pull(pair[new] & BEFORE) * own[parent]))
+    trie = Trie(keys, counts, parent, pair[new] & BEFORE, np.log10(seen + strength * own[parent]))
     del pair, weight, order, parent, seen, new
     # every entry asks the shard; equal questions stand together, so each is asked once
     ask = index.astype(np.uint64) << np.uint64(BEFORE_BITS) | before
@@ -193,19 +181,20 @@ def _shard(keys: np.ndarray, index: np.ndarray, before: np.ndarray, times: np.nd
     mass = trie.mass(node, asked & BEFORE)
     count = trie.counts[node]
     del ask
-    mass = np.where(np.isnan(mass), np.log10(pull(asked & BEFORE) * (count + 1) / (total + distinct + 1)), mass)
-    divisor = np.where(asked_keys == END, 0.0, np.log10(count + np.maximum(0 if fixed else count, strength)))
+    mass = np.where(np.isnan(mass), np.log10(strength * (count + 1) / (total + distinct + 1)), mass)
+    divisor = np.where(asked_keys == END, 0.0, np.log10(count + strength))
     return count[back], mass[back], divisor[back]
 
 
-def score(df: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "text", strength: float | None = None) -> DataFrame:
+def score(df: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "text", strength: float = STRENGTH) -> DataFrame:
     """One row per input row: the id, n_tokens, n_known, train_tokens, base_score and score.
-    ``train``: SQL of a condition, the rows to learn from (null: not). ``strength``: m(v) of all
-    words (over 0); None: the rule that grows with the corpus."""
+    ``train``: SQL of a condition, the rows to learn from (null: not). ``strength``: m, over 0."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"),
                      F.coalesce(F.expr(train), F.lit(False)).alias("train"))
     counted = stored(spark, count_words(docs), "words")
+    size = counted.where(F.col("key") == BYTES).first()
+    counted = counted.where(F.col("key") != BYTES)
     sums = counted.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     total, distinct = int(sums["n"] or 0), int(sums["v"])
     texts = counted.where(F.col("key") == END).first()
@@ -214,9 +203,7 @@ def score(df: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "te
     hot_keys = np.array([START, *(r["key"] for r in few)], dtype=np.int64).view(np.uint64)
     order = np.argsort(hot_keys)
     hot = hot_keys[order], np.array([texts, *(r["n"] for r in few)], dtype=np.int64)[order]
-    fixed = strength is not None
-    strength = strength if fixed else max(MU, total / HOT_PARTS)
-    tasks = max(shuffle_tasks(spark), -(-total // TASK_TOKENS))
+    tasks = max(shuffle_tasks(spark), -(-int(size["n"] if size else 0) // TASK_BYTES))
     slots = tasks * SLOTS_A_TASK
     id_type = docs.schema["id"].dataType
 
@@ -264,7 +251,7 @@ def score(df: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "te
         keys, index = np.unique(word, return_inverse=True)
         del word, count
         index = index.astype(np.int32)
-        found, mass, divisor = _shard(keys, index, before, times, learn, hot, total, distinct, strength, fixed)
+        found, mass, divisor = _shard(keys, index, before, times, learn, hot, total, distinct, strength)
         del index, before, learn
         names, number = np.unique(np.array(batch_of, dtype=np.int64), return_inverse=True)
         place = np.repeat(number, sizes) << 16 | row
@@ -293,7 +280,7 @@ def score(df: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "te
             got[at] += np.frombuffer(data, np.float32, size, size * 14)
         tokens = n.to_numpy()
         return pa.table([ids, n, pa.array(known.astype(np.int64)), pa.array(base - tokens * np.log10(total + distinct + 1)),
-                         pa.array(got - np.log10(texts + max(0 if fixed else texts, strength)))], names=out.names)
+                         pa.array(got - np.log10(texts + strength))], names=out.names)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -313,6 +300,6 @@ def score(df: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "te
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = "crc32(cast(doc_id AS string)) % 7 = 2"
-    return score(table(spark, sf_dir, "documents"), f"NOT coalesce({held_out}, false)", strength=STRENGTH).select(
+    return score(table(spark, sf_dir, "documents"), f"NOT coalesce({held_out}, false)").select(
         "doc_id", F.expr(f"coalesce({held_out}, false)").alias("held_out"), "n_tokens", "n_known", "train_tokens",
         "base_score", "score")

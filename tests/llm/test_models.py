@@ -108,7 +108,7 @@ def brute(rows, learn):
             pairs.update(zip([None, *w], w))
     total, distinct = sum(c.values()), len(c)
     before = lambda v: c[""] if v is None else c[v]
-    mu = lambda v: max(ngram_lm.MU, total / ngram_lm.HOT_PARTS, before(v))
+    mu = lambda v: ngram_lm.STRENGTH
     return [(d, len(w), sum(c[x] > 0 for x in w), total,
              sum(math.log10((c[x] + 1) / (total + distinct + 1)) for x in w),
              sum(math.log10((pairs[v, x] + mu(v) * (c[x] + 1) / (total + distinct + 1)) / (before(v) + mu(v)))
@@ -154,9 +154,9 @@ def test_pairs_weigh_the_same_at_every_size(spark, fill):
     assert got.train_tokens == total and abs(got.score - want) < 0.02
 
 
-def test_query_has_one_strength(monkeypatch, spark):
-    asked = {}
-    monkeypatch.setattr(ngram_lm, "score", lambda df, train, **kw: asked.update(kw) or df.selectExpr(
-        "doc_id", "1 AS n_tokens", "1 AS n_known", "1 AS train_tokens", "0.0 AS base_score", "0.0 AS score"))
-    ngram_lm.query(spark, SF)
-    assert asked == {"strength": ngram_lm.STRENGTH}
+def test_registered_scores(spark):
+    """The query's own rows against the plain formula on whole texts."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    got = ngram_lm.query(spark, SF).collect()
+    check([(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got], brute(rows, lambda d: not held(d)))
+    assert {r.doc_id: r.held_out for r in got} == {d: held(d) for d, _ in rows}
