@@ -2,10 +2,17 @@
 
 Both refer to the response (WARC-Refers-To, its URI and date) and to each other; the metadata
 record keeps all named fields of the source, WARC and HTTP, its digests and whether its payload
-digest holds, and the page's title and links. The work is row by row, so nothing is shuffled.
+digest holds (both over the bytes as stored), and the page's title and links. The work is row by row, so
+nothing is shuffled, and each step passes over a page once, however its tags are broken.
+
+Before its text is read a payload's chunks are joined and gzip or deflate undone. Hidden parts of a page are
+comments, scripts and styles (open ones to the end of the page), and closed noscript, template, svg and
+title elements; of open ones only the tag goes, and head and body tags need not be there.
 
 Defined results: a null or malformed record gives one row of type ``error`` with the reason and no
-record; a record of another type gives nothing; an empty payload gives an empty text; a charset
+record; a record of another type gives nothing; a payload that is not text (by its type, or by null bytes where
+it has none), is encoded otherwise, broken or larger than ``MOST_BYTES`` when undone, gives its metadata
+record alone, with the reason in it and in ``reason``; an empty payload gives an empty text; a charset
 that Python does not know is read as UTF-8, bytes that are no text as replacement characters;
 repeated rows are converted one by one (into equal records); an empty table gives no rows; other
 columns are not read.
@@ -18,6 +25,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,9 +43,16 @@ DATE = "2024-01-01T00:00:00Z"
 #: Rows handed back at once.
 ROWS = 256
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
+#: Bytes of a payload after its encodings are undone.
+MOST_BYTES = 1 << 28
+
+_OPEN = re.compile(r"<(?:(!--)|(script|style|noscript|template|svg|title)\b)", re.I)
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "noscript", "template", "svg", "title")}
+_CLOSE["!--"] = re.compile("-->")
+_TO_THE_END = ("!--", "script", "style")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ANCHOR = re.compile(r"<a\b([^>]*)>", re.I)
+_HREF = re.compile(r"(?:^|\s)href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|"
                     r"h[1-6]|header|hr|li|main|nav|ol|option|p|pre|section|table|tbody|tfoot|thead|tr|ul)\b[^>]*>", re.I)
 _CELL = re.compile(r"</?t[dh]\b[^>]*>", re.I)
@@ -91,14 +106,104 @@ def _get(fields: list[tuple[str, str]], name: str) -> str | None:
     return next((v for k, v in fields if k.lower() == name.lower()), None)
 
 
+def shown(page: str) -> str:
+    """The page without its hidden parts. An element that is nowhere closed is looked for once."""
+    out, at, never = [], 0, set()
+    while found := _OPEN.search(page, at):
+        name = (found[1] or found[2]).lower()
+        out.append(page[at:found.start()])
+        end = None if name in never else _CLOSE[name].search(page, found.end())
+        tag = page.find(">", found.end())
+        if name == "svg" and page[tag - 1:tag + 1] == "/>":
+            at = tag + 1
+        elif end:
+            at = end.end()
+        elif name in _TO_THE_END or tag < 0:
+            return " ".join(out)
+        else:
+            never.add(name)
+            at = tag + 1
+    return " ".join([*out, page[at:]])
+
+
+def tagged(page: str) -> tuple[str, str]:
+    """The page up to its last ``>``, where every tag that begins ends, and the rest, which has no whole tag."""
+    last = page.rfind(">") + 1
+    return page[:last], page[last:]
+
+
+def outlinks(page: str) -> list[str]:
+    """Targets of the links of what is shown."""
+    found = (_HREF.search(m[1]) for m in _ANCHOR.finditer(tagged(page)[0]))
+    return [html.unescape(m[1] or m[2] or m[3] or "") for m in found if m]
+
+
 def plain_text(page: str) -> str:
-    """Lines of the visible text: hidden parts and tags go, blocks break lines, blanks are joined."""
-    page = _HIDDEN.sub(" ", page)
-    page = _TAG.sub("", _CELL.sub(" ", _BREAK.sub("\n", _BLANKS.sub(" ", page.replace("\n", " ")))))
+    """Lines of the visible text (``page``: what is shown): tags go, blocks break lines, blanks are joined."""
+    page, rest = tagged(page)
+    page = _TAG.sub("", _CELL.sub(" ", _BREAK.sub("\n", _BLANKS.sub(" ", page.replace("\n", " "))))) + _BLANKS.sub(" ", rest.replace("\n", " "))
     lines = (_BLANKS.sub(" ", line).strip() for line in html.unescape(page).split("\n"))
     return "\n".join(line for line in lines if line)
 
 
+def _unchunked(data: bytes) -> bytes:
+    out, at = [], 0
+    while True:
+        line, end = data.find(b"\r\n", at), 0
+        size = int(data[at:line].split(b";")[0].strip(), 16) if line >= 0 else -1
+        if size < 0:
+            raise ValueError("broken chunks")
+        if not size:
+            return b"".join(out)
+        end = line + 2 + size
+        if end > len(data):
+            raise ValueError("broken chunks")
+        out.append(data[line + 2:end])
+        at = end + 2
+
+
+def _inflated(data: bytes, kinds: tuple[int, ...]) -> bytes:
+    for bits in kinds:  # as the format says, else as some servers send it
+        out, size, rest = [], 0, data
+        try:
+            while rest:  # gzip may have several members
+                one = zlib.decompressobj(bits)
+                out.append(one.decompress(rest, MOST_BYTES - size + 1))
+                size += len(out[-1])
+                if size > MOST_BYTES:
+                    raise OverflowError("payload too large")
+                if not one.eof:
+                    raise ValueError("broken compression")
+                rest = one.unused_data if bits > 16 else b""
+            return b"".join(out)
+        except zlib.error:
+            continue
+    raise ValueError("broken compression")
+
+
+def undone(payload: bytes, sent: list[tuple[str, str]]) -> bytes:
+    """The payload without its transfer and content encodings; ValueError or OverflowError says why it cannot be had."""
+    names = [x.strip().lower() for field in ("Content-Encoding", "Transfer-Encoding") for x in (_get(sent, field) or "").split(",")]
+    for name in reversed([n for n in names if n not in ("", "identity")]):
+        if name == "chunked":
+            payload = _unchunked(payload)
+        elif name in ("gzip", "x-gzip"):
+            payload = _inflated(payload, (16 + zlib.MAX_WBITS,))
+        elif name == "deflate":
+            payload = _inflated(payload, (zlib.MAX_WBITS, -zlib.MAX_WBITS))
+        else:
+            raise ValueError(f"encoding {_field(name)}")
+    return payload
+
+
+def is_text(kind: str | None, payload: bytes) -> bool:
+    if kind is None:
+        return b"\0" not in payload[:1024]
+    main = kind.split(";")[0].strip().lower()
+    return main.startswith("text/") or main.endswith(("+xml", "+json")) or main in (
+        "", "application/xml", "application/json", "application/javascript", "application/xhtml")
+
+
 def derive_one(raw: bytes | None) -> list[dict]:
     """The derivatives of one record, as rows of SCHEMA."""
     if raw is None:
@@ -117,24 +222,32 @@ def derive_one(raw: bytes | None) -> list[dict]:
     status, sent = _fields(http)
     if not gap or not status.startswith("HTTP/"):
         return [{"record_type": "error", "reason": "no HTTP header", "refers_to": source}]
+    claimed, found = _get(fields, "WARC-Payload-Digest"), digest(payload)
+    why = None
+    try:
+        body = undone(payload, sent)
+        if not is_text(_get(sent, "Content-Type"), body):
+            why, body = f"not text: {_field(_get(sent, 'Content-Type') or 'null bytes')}", b""
+    except (ValueError, OverflowError) as problem:
+        why, body = str(problem) if "int()" not in str(problem) else "broken chunks", b""
     kind = _get(sent, "Content-Type") or "text/html"
     charset = re.search(r"charset\s*=\s*[\"']?([^\s;\"']+)", kind, re.I)
     try:
-        page = payload.decode(charset[1] if charset else "utf-8", "replace")
-    except LookupError:
-        page = payload.decode("utf-8", "replace")
+        page = body.decode(charset[1] if charset else "utf-8", "replace")
+    except (LookupError, ValueError):
+        page = body.decode("utf-8", "replace")
     is_html = "html" in kind.lower()
-    text = plain_text(page) if is_html else page
-    title = _TITLE.search(page) if is_html else None
-    links = [html.unescape(a or b or c) for a, b, c in _LINK.findall(_HIDDEN.sub(" ", page))] if is_html else []
-    claimed, found = _get(fields, "WARC-Payload-Digest"), digest(payload)
+    visible = shown(page) if is_html else page
+    text = plain_text(visible) if is_html else page
+    title = _TITLE.search(tagged(page)[0]) if is_html else None
+    links = outlinks(visible) if is_html else []
     uri, date = _get(fields, "WARC-Target-URI"), _get(fields, "WARC-Date")
     ids = {t: record_id(t, source, claimed or found) for t in ("metadata", "conversion")}
     refers = [("WARC-Refers-To", source)] + ([("WARC-Refers-To-Target-URI", uri)] if uri else []) + (
         [("WARC-Refers-To-Date", date)] if date else [])
     # fields: what the page and its source say of themselves
-    told = [("software", SOFTWARE), ("conversion-record-id", ids["conversion"]), ("http-status", _field(status)),
-            ("title", _field(html.unescape(title[1])) if title else ""), ("text-characters", str(len(text))),
+    told = [("software", SOFTWARE), ("no-conversion", why) if why else ("conversion-record-id", ids["conversion"]),
+            ("http-status", _field(status)), ("title", _field(html.unescape(title[1])) if title else ""), ("text-characters", str(len(text))),
             ("source-payload-digest", claimed or ""), ("computed-payload-digest", found),
             ("source-block-digest", _get(fields, "WARC-Block-Digest") or ""), ("computed-block-digest", digest(block))]
     told += [("warc-field", f"{k}: {v}") for k, v in fields] + [("http-field", f"{k}: {v}") for k, v in sent]
@@ -143,14 +256,16 @@ def derive_one(raw: bytes | None) -> list[dict]:
     kinds = {"metadata": "application/warc-fields", "conversion": "text/plain; charset=utf-8"}
     out = []
     for t, body in blocks.items():
-        other = ids["conversion" if t == "metadata" else "metadata"]
+        if why and t == "conversion":
+            continue
+        other = None if why else ids["conversion" if t == "metadata" else "metadata"]
         head_fields = [("WARC-Type", t), ("WARC-Record-ID", ids[t])] + ([("WARC-Date", date)] if date else []) + (
-            [("WARC-Target-URI", uri)] if uri else []) + refers + [
-            ("WARC-Concurrent-To", other), ("WARC-Block-Digest", digest(body)), ("Content-Type", kinds[t])]
+            [("WARC-Target-URI", uri)] if uri else []) + refers + (
+            [("WARC-Concurrent-To", other)] if other else []) + [("WARC-Block-Digest", digest(body)), ("Content-Type", kinds[t])]
         out.append({"record_type": t, "record_id": ids[t], "refers_to": source, "concurrent_to": other, "target_uri": uri,
                     "date": date, "content_type": kinds[t], "block_digest": digest(body), "source_payload_digest": claimed,
                     "digest_ok": claimed is None or claimed == found, "n_links": len(links), "content_length": len(body),
-                    "warc": record(head_fields, body)})
+                    "warc": record(head_fields, body), "reason": why})
     return out
 
 

@@ -137,6 +137,108 @@ def test_records_link_and_keep_the_source(spark):
             assert f"warc-field: WARC-Record-ID: {r.refers_to}\r\n" in told and "http-field: Content-Type: text/html" in told
 
 
+def parsed(page):
+    """Text and links by an HTML parser, for pages whose elements are closed."""
+    from html.parser import HTMLParser
+    breaks = set(warc._BREAK.pattern.split("(?:")[1].split(")")[0].replace("h[1-6]", "h1|h2|h3|h4|h5|h6").split("|"))
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.links, self.deep = [], [], 0
+
+        def handle_starttag(self, tag, attrs):
+            if tag in warc._CLOSE:
+                self.deep += 1
+                self.out.append(" ")
+            elif not self.deep:
+                self.out.append("\n" if tag in breaks else " " if tag in ("td", "th") else "")
+                if tag == "a" and dict(attrs).get("href") is not None:
+                    self.links.append(dict(attrs)["href"])
+
+        def handle_startendtag(self, tag, attrs):
+            if tag != "svg":
+                self.handle_starttag(tag, attrs)
+            elif not self.deep:
+                self.out.append(" ")
+
+        def handle_comment(self, data):
+            if not self.deep:
+                self.out.append(" ")
+
+        def handle_endtag(self, tag):
+            if tag in warc._CLOSE:
+                self.deep = max(0, self.deep - 1)
+            elif not self.deep:
+                self.out.append("\n" if tag in breaks else " " if tag in ("td", "th") else "")
+
+        def handle_data(self, data):
+            if not self.deep:
+                self.out.append(data.replace("\n", " "))
+
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    lines = (" ".join(line.replace("\xa0", " ").split()) for line in "".join(reader.out).split("\n"))
+    return [line for line in lines if line], reader.links
+
+
+def test_text_and_links_are_those_of_a_parser(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect() if r.html]
+    pages += [PAGE, '<p>a<svg width="1"/>b<svg><text>no</text></svg>c<noscript>n</noscript>', "<ul><li>x<li>y</ul>z &lt;p&gt; 1 < 2",
+              "<html><head><title>t</title><body><p>all the text</p><a href=/u>l</a>", "<title>t</title>no head <b>at</b> all",
+              "<a title='x' href=\"/q?a=1&amp;b=2\">q</a><a name=x>n</a><a data-href='/no' HREF = '/yes'>y</a>"]
+    for page in pages:
+        text, links = parsed(page)
+        seen = warc.shown(page)
+        assert [" ".join(x.split()) for x in warc.plain_text(seen).split("\n") if x] == text, page[:200]
+        assert warc.outlinks(seen) == links, page[:200]
+
+
+def test_broken_pages_in_one_pass():
+    import time
+    began = time.monotonic()
+    assert warc.plain_text(warc.shown("<svg>a<noscript>b<template>c" * 60_000)) == " ".join("abc" * 60_000)
+    assert warc.plain_text(warc.shown("<a " * 200_000)).startswith("<a <a")
+    assert warc.outlinks("<a <a " * 200_000 + ">") == []
+    assert warc.plain_text(warc.shown("x<script>" + "<script>y" * 100_000)) == "x"
+    assert warc.plain_text(warc.shown("<p>long</p>" * 300_000)).count("long") == 300_000
+    assert warc.plain_text(warc.shown("<title>open <p>text")) == "open\ntext"
+    assert time.monotonic() - began < 20
+
+
+def coded_response(body, *heads, stored=None):
+    block = ("HTTP/1.1 200 OK\r\n" + "".join(h + "\r\n" for h in heads) + "\r\n").encode() + body
+    fields = [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"), ("WARC-Payload-Digest", warc.digest(stored or body))]
+    return warc.record(fields, block)
+
+
+def test_payloads_are_undone_or_refused():
+    import gzip
+    import zlib
+    page = b"<p>caf\xc3\xa9</p>"
+    chunks = b"5;x=y\r\n" + page[:5] + b"\r\n" + b"%x\r\n" % len(page[5:]) + page[5:] + b"\r\n0\r\nTrailer: t\r\n\r\n"
+    html_ = "Content-Type: text/html; charset=utf-8"
+    raw = zlib.compressobj(wbits=-15)
+    raw = raw.compress(page) + raw.flush()
+    fine = [coded_response(chunks, html_, "Transfer-Encoding: chunked"), coded_response(gzip.compress(page), html_, "Content-Encoding: gzip"),
+            coded_response(gzip.compress(page[:4]) + gzip.compress(page[4:]), html_, "Content-Encoding: x-gzip"),
+            coded_response(zlib.compress(page), html_, "content-encoding: deflate"), coded_response(raw, html_, "Content-Encoding: deflate"),
+            coded_response(b"%x\r\n" % len(gzip.compress(page)) + gzip.compress(page) + b"\r\n0\r\n\r\n", html_, "Content-Encoding: gzip",
+                           "Transfer-Encoding: chunked"), coded_response(page)]
+    for r in fine:
+        meta, text = warc.derive_one(r)
+        assert text["record_type"] == "conversion" and meta["digest_ok"] and b"\r\n\r\ncaf\xc3\xa9\r\n" in text["warc"]
+    odd = {"not text: image/png": coded_response(b"\x89PNG", "Content-Type: image/png"), "not text: null bytes": coded_response(b"a\0b"),
+           "encoding br": coded_response(page, html_, "Content-Encoding: br"), "broken chunks": coded_response(b"zz\r\nx", html_, "Transfer-Encoding: chunked"),
+           "broken compression": coded_response(gzip.compress(page)[:-9], html_, "Content-Encoding: gzip")}
+    for why, r in odd.items():
+        [meta] = warc.derive_one(r)
+        assert (meta["record_type"], meta["reason"], meta["concurrent_to"], meta["digest_ok"]) == ("metadata", why, None, True)
+        assert f"no-conversion: {why}\r\n".encode() in meta["warc"]
+    assert warc.derive_one(coded_response(b"{}", "Content-Type: application/json"))[1]["reason"] is None
+
+
 def test_records_that_are_none(spark):
     good = warc.response("k", "http://a", PAGE)
     rows = [(1, None), (2, b""), (3, b"WARC/1.1\r\nWARC-Type: response\r\n\r\n"), (4, good[:-400]),
