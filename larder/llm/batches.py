@@ -20,14 +20,15 @@ def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 
 def steps(batches: Iterator[pa.RecordBatch], name: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches whose texts have about ``limit`` bytes together."""
+    """The same rows in batches whose texts have about ``limit`` bytes together; nothing is copied."""
     for batch in batches:
-        size = np.asarray(pc.fill_null(pc.binary_length(text_column(batch, name)), 0), dtype=np.int64)
+        size = np.asarray(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name))), 0), dtype=np.int64)
         step = np.cumsum(size) // limit
         cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+        pa.default_memory_pool().release_unused()
 
 
 def flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
