@@ -77,6 +77,21 @@ def list_array(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
 
 
+#: What operators keep in a worker from task to task, by what lets go of it.
+_KEPT: list = []
+
+
+def kept(cached):
+    """Marks a cached function whose results a worker keeps; another operator's task lets go of them (``drop_kept``)."""
+    _KEPT.append(cached.cache_clear)
+    return cached
+
+
+def drop_kept() -> None:
+    for clear in _KEPT:
+        clear()
+
+
 class Remembered:
     """Encoded strings that one Python worker keeps between batches, at most ``limit`` of them."""
 

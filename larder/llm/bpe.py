@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.batches import Remembered, coded, list_array, ragged, steps, strings, take, text_column
+from larder.llm.batches import Remembered, coded, kept, list_array, ragged, steps, strings, take, text_column
 from larder.llm.common import table
 
 #: White space, and the rule that cuts a text into words.
@@ -189,6 +189,7 @@ class Codec:
         return [data[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
+@kept
 @lru_cache(maxsize=4)
 def codec(path: str) -> Codec:
     return Codec(path)

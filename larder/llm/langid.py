@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.batches import coded, list_array, steps, strings, text_column, words_of
+from larder.llm.batches import coded, drop_kept, list_array, steps, strings, text_column, words_of
 from larder.llm.common import table
 
 #: Bound of the labelled sample, in rows.
@@ -231,12 +231,15 @@ def identify(df: DataFrame, model: Model, id_cols: list[str], text_col: str = "t
     shared = spark.sparkContext.broadcast(model)  # SLOTS x languages numbers
     keys = df.select(*id_cols).schema
     names = [*keys.names]
+    own = text_col in names and isinstance(keys[text_col].dataType, T.StringType)  # then the text goes to the tasks once
+    text = text_col if own else "__text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         m = shared.value
         langs = np.array([*m.languages, UNKNOWN], dtype=object)
-        for step in steps(batches, "__text"):
-            row, path, letters, held = m.label(text_column(step, "__text"))
+        for step in steps(batches, text):
+            row, path, letters, held = m.label(text_column(step, text))
             total = held.sum(axis=1)
             best = np.where(total > 0, held.argmax(axis=1) if held.shape[1] else 0, len(langs) - 1)
             most = held.max(axis=1) if held.shape[1] else total
@@ -258,18 +261,20 @@ def identify(df: DataFrame, model: Model, id_cols: list[str], text_col: str = "t
         more += [T.StructField("span_langs", T.ArrayType(T.StringType())),
                  T.StructField("span_words", T.ArrayType(T.LongType()))]
     out = T.StructType([*keys.fields, *more])
-    return df.select(*[F.col(c) for c in id_cols], F.col(text_col).cast("string").alias("__text")).mapInArrow(run, out)
+    asked = [] if own else [F.col(text_col).cast("string").alias(text)]
+    return df.select(*[F.col(c) for c in id_cols], *asked).mapInArrow(run, out)
 
 
 def keep(df: DataFrame, model: Model, text_col: str = "text", lang_col: str | None = "lang",
          least: float = 0.3) -> DataFrame:
     """The input rows whose text has a language with at least the share ``least`` of its letters;
     a null ``lang_col`` becomes the predicted language."""
-    rows = df.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
-    found = identify(rows, model, ["row"], "text", with_spans=False).where(
+    others = [F.col(c) for c in df.columns if c != text_col] or [F.lit(0).alias("none")]
+    rows = df.select(F.struct(*others).alias("row"), F.col(text_col).alias("text"))
+    found = identify(rows, model, ["row", "text"], "text", with_spans=False).where(
         (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return found.select(*[(F.coalesce(F.col("row")[c], F.col("lang_pred")) if c == lang_col else F.col("row")[c]
-                           ).alias(c) for c in df.columns])
+    return found.select(*[(F.col("text") if c == text_col else F.coalesce(F.col("row")[c], F.col("lang_pred")) if c == lang_col
+                           else F.col("row")[c]).alias(c) for c in df.columns])
 
 
 def learned_rows(df: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm.batches import Remembered, coded, ragged, steps, strings, take, text_column, words_of
+from larder.llm.batches import Remembered, coded, kept, ragged, steps, strings, take, text_column, words_of
 from larder.llm.common import table
 
 FILE = "word_bpe_49k.json"
@@ -47,6 +47,7 @@ KEPT_WORDS = 600_000
 END_SIGNS = ".,;:!?"
 
 
+@kept
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> Remembered:
     from tokenizers import Tokenizer
