@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +20,18 @@ def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return texts.take(pa.array(np.arange(len(texts))))
 
 
+def hand_back() -> None:
+    """What is free goes back to the system: a worker stays after its task, and others run beside it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def steps(batches: Iterator[pa.RecordBatch], name: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose texts have about ``limit`` bytes together; nothing is copied."""
+    hand_back()
     for batch in batches:
         size = np.asarray(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name))), 0), dtype=np.int64)
         step = np.cumsum(size) // limit
@@ -28,7 +39,7 @@ def steps(batches: Iterator[pa.RecordBatch], name: str, limit: int = STEP_BYTES)
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
-        pa.default_memory_pool().release_unused()
+    hand_back()
 
 
 def flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
