@@ -19,6 +19,10 @@ from larder.llm import langid, packing, quality, secrets, simhash_dedup
 from larder.llm.common import stored, table
 
 
+#: Encoded words that a worker keeps while packing: fewer than alone, since the stages share the executors' memory.
+KEPT_WORDS = 150_000
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
     return quality.keep(docs)
@@ -41,7 +45,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences, with their ids."""
-    return packing.pack(docs, packing.tokenizer_file())
+    return packing.pack(docs, packing.tokenizer_file(), kept_words=KEPT_WORDS)
 
 
 STAGES = [

@@ -49,17 +49,17 @@ END_SIGNS = ".,;:!?"
 
 @kept
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> Remembered:
+def _encoder(path: str, limit: int) -> Remembered:
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(path)
     made.no_truncation()
     made.no_padding()
     return Remembered(lambda words: ragged([e.ids for e in made.encode_batch_fast(words, add_special_tokens=False)]),
-                      KEPT_WORDS)
+                      limit)
 
 
-def tokens(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+def tokens(texts: pa.Array, path: str, kept_words: int = KEPT_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the texts with END_ID after each, and their numbers.
 
     This file's words never cross white space, nor the end of ASCII letters before end signs, and
@@ -75,7 +75,7 @@ def tokens(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     core = pc.if_else(parted, core, distinct)
     signs = pa.array([d[len(c):] for d, c in zip(strings(distinct), strings(core))], pa.large_string())
     part, parts = coded(pa.concat_arrays([core, signs]))
-    ids, offsets, which = _encoder(path)(strings(parts))
+    ids, offsets, which = _encoder(path, kept_words)(strings(parts))
     pairs = which[part].reshape(2, -1).T.reshape(-1)  # core, signs, core, signs, ...
     word_ids, lengths = take(ids, offsets, pairs)
     word_offsets = np.append(0, np.cumsum(lengths))[::2]
@@ -123,8 +123,9 @@ def assign(lengths: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.nd
 
 
 def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-         group: int = GROUP, with_ids: bool = True) -> DataFrame:
-    """One row per piece: the id column, COLUMNS and, ``with_ids``, its ids (array<int>)."""
+         group: int = GROUP, with_ids: bool = True, kept_words: int = KEPT_WORDS) -> DataFrame:
+    """One row per piece: the id column, COLUMNS and, ``with_ids``, its ids (array<int>). ``kept_words``: encoded words
+    that a worker keeps, which bounds its memory and changes no result."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def packed(keys: list, ids: list, counts: list, first: int) -> tuple[pa.RecordBatch, int]:
@@ -150,7 +151,7 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
         sequence = TaskContext.get().partitionId() << 40  # a task's sequences have numbers of their own
         keys, ids, counts, held = [], [], [], 0
         for step in steps(batches, "text"):
-            got, n = tokens(text_column(step, "text"), path)
+            got, n = tokens(text_column(step, "text"), path, kept_words)
             keys.append(step.column(0))
             ids.append(got)
             counts.append(n)
