@@ -29,6 +29,8 @@ from pyspark.sql import types as T
 from larder.llm.batches import coded, drop_kept, list_array, steps, strings, text_column, words_of
 from larder.llm.common import table
 
+#: Bytes of text that a task holds at once.
+STEP = 1 << 21
 #: Bound of the labelled sample, in rows.
 SAMPLE_ROWS = 8192
 SLOTS = 1 << 16
@@ -196,7 +198,8 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
                              F.col(lang_col).cast("string").alias("lang")).join(F.broadcast(ids), "key", "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for step in steps(batches, "text"):
+        drop_kept()
+        for step in steps(batches, "text", STEP):
             langs, names = coded(step.column(step.schema.get_field_index("lang")))
             values, row = words_of(text_column(step, "text"))
             for k, name in enumerate(names.to_pylist()):
@@ -238,7 +241,7 @@ def identify(df: DataFrame, model: Model, id_cols: list[str], text_col: str = "t
         drop_kept()
         m = shared.value
         langs = np.array([*m.languages, UNKNOWN], dtype=object)
-        for step in steps(batches, text):
+        for step in steps(batches, text, STEP):
             row, path, letters, held = m.label(text_column(step, text))
             total = held.sum(axis=1)
             best = np.where(total > 0, held.argmax(axis=1) if held.shape[1] else 0, len(langs) - 1)
