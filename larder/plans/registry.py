@@ -270,10 +270,10 @@ def _streams() -> dict[str, Builder]:
 
     def e07(spark, root):
         t = Fixtures(spark, root)
-        src, snap, ckpt = (scratch_path(spark, f"e07-{k}") for k in ("in", "snapshot", "ckpt"))
+        src, changes, ckpt = (scratch_path(spark, f"e07-{k}") for k in ("in", "changes", "ckpt"))
         files = _slices(t.inventory_details, src)
-        jobs.run_stock_status_stream(jobs.stream_files(spark, src, t.inventory_details, files), snap, ckpt)
-        return jobs.read_stock_status(spark, snap)
+        jobs.run_stock_status_stream(jobs.stream_files(spark, src, t.inventory_details, files), changes, ckpt)
+        return jobs.read_stock_status(spark, ckpt)
 
     def e08(spark, root):
         t = Fixtures(spark, root)

@@ -1,8 +1,8 @@
 """Structured Streaming forms of the row-event jobs.
 
 E06: coupon totals on a stream of order requests (stream-static join; stateless).
-E07: stock status on a stream of inventory rows; a ``foreachBatch`` sink writes change files,
-     and the reader takes the latest row per key (plain files have no MERGE).
+E07: stock status on a stream of inventory rows, the latest row per key as keyed state; a ``foreachBatch``
+     sink writes what changed, and the reader reads the state.
 E08: stock reservation on a stream of shipment lines (``foreachBatch``): the state is the stock left, a
      table a micro-batch, and the lines that took units, as written.
 
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from larder.operators.events import LINE_ORDER, apply_coupon_totals, reserve_stock, stock_status
 from larder.operators.ordinal import OrderSpec
+from larder.session import partitions
 
 
 def stream_files(spark: SparkSession, path: str, template: DataFrame, files_per_batch: int = 1) -> DataFrame:
@@ -47,41 +48,57 @@ def coupon_totals_stream(requests: DataFrame, coupons: DataFrame, as_of: dt.date
 INVENTORY_KEY = ("Material_Id", "inv_Id")
 
 
-def _keys(df: DataFrame) -> list[str]:
-    return [c for c in INVENTORY_KEY if c in df.columns]
+#: Rows that one step of the reader makes of a counted row.
+COPIES = 1 << 16
+
+
+def latest_stock_status(stream: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """The stream scored (E02) and reduced to keyed state: for each (material, inventory) the row of the latest
+    micro-batch that has it, in it the greatest by ``order`` (then by the other columns). Spark reduces within tasks
+    first, so a hot key costs one row a task. A row with a NULL in the key is no version of another: it has a state of its
+    own, equal ones with a count. The place of a micro-batch is its time, which a batch that runs again keeps;
+    the driver's clock must not run backwards between restarts. In update mode only changed keys come out."""
+    scored = stock_status(stream)
+    keys = [c for c in INVENTORY_KEY if c in scored.columns]
+    lacking = F.lit(False)
+    for k in keys:
+        lacking = lacking | F.col(k).isNull()
+    row = F.struct(*[F.col(f"_row.{c}") for c in order], F.col("_row"))
+    return (scored.select(*keys, F.struct(*scored.columns).alias("_row"), lacking.alias("_lacking"), F.current_timestamp().alias("_at"))
+            .groupBy(*keys, F.when(F.col("_lacking"), F.col("_row")).alias("_own"))
+            .agg(F.max(F.struct(F.col("_at"), row.alias("_by"), F.col("_row").alias("_last"))), F.count(F.when(F.col("_lacking"), 1)))
+            .toDF(*keys, "_own", "_state", "_n"))
 
 
 def stock_status_changes(root: str):
-    """``foreachBatch`` function: score the batch (E02) and write it as a change file of its own.
-    A batch that runs again after a crash replaces its file; no snapshot is rewritten."""
+    """``foreachBatch`` function: writes the rows that the micro-batch changed as files of its own, for readers downstream;
+    a batch that runs again after a crash replaces them. ``copies``: how many such rows there are by now."""
 
     def change(batch: DataFrame, epoch: int) -> None:
-        stock_status(batch).write.mode("overwrite").parquet(f"{root.rstrip('/')}/epoch={epoch}")
+        batch.select("_state._last.*", F.greatest(F.col("_n"), F.lit(1)).alias("copies")).write.mode("overwrite").parquet(
+            f"{root.rstrip('/')}/epoch={epoch}")
 
     return change
 
 
-def read_stock_status(spark: SparkSession, root: str, order: Sequence[str] = ()) -> DataFrame:
-    """The latest row of each (material, inventory): of the last batch that has it, in it the
-    greatest by ``order`` (then by the other columns). Rows with a NULL in the key are no versions
-    of one another: all stay. Reduced by a partial aggregate, so a hot key costs one row a task."""
-    changes = spark.read.parquet(root)
-    columns = [c for c in changes.columns if c != "epoch"]
-    keys = _keys(changes)
-    place = F.struct(F.col("epoch"), *[F.col(c) for c in order], F.struct(*columns).alias("_row"))
-    full = F.lit(True)
-    for k in keys:
-        full = full & F.col(k).isNotNull()
-    latest = changes.filter(full).groupBy(*keys).agg(F.max(place).alias("_last")).select("_last._row.*")
-    return latest.unionByName(changes.filter(~full).select(*columns))
-
-
-def run_stock_status_stream(stream: DataFrame, root: str, checkpoint: str) -> None:
-    q = (stream.writeStream.foreachBatch(stock_status_changes(root))
+def run_stock_status_stream(stream: DataFrame, root: str, checkpoint: str, order: Sequence[str] = ()) -> None:
+    """E07. The partitions of the state are the session's shuffle partitions at the first start; a state larger than the
+    executors' memory wants the session's RocksDB state store."""
+    q = (latest_stock_status(stream, order).writeStream.outputMode("update").foreachBatch(stock_status_changes(root))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
+def read_stock_status(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The rows as the last finished micro-batch left them, from the stream's state: no history is reduced. Rows without
+    a whole key are made again from their count, in steps that several tasks share."""
+    state = spark.read.format("statestore").load(checkpoint).select("value.max._last", F.col("value.count").alias("_n"))
+    many = state.filter("_n > 1").withColumn("_step", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {COPIES}"))))
+    many = many.repartition(partitions(spark), F.xxhash64("_last", "_step")).withColumn(
+        "_place", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(COPIES).cast("long"), F.col("_n") - F.col("_step") * COPIES))))
+    return state.filter("_n <= 1").select("_last.*").unionByName(many.select("_last.*"))
+
+
 # ------------------------------------------------------------------------- E08
 def reservation_changes(root: str, materials: DataFrame, order: OrderSpec, shipments: DataFrame | None, existing: DataFrame | None):
     """``foreachBatch`` function: E03 on the batch, with the stock that the batch before it left. Writes the judged

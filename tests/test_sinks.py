@@ -89,15 +89,31 @@ def test_report_counts_are_those_of_the_finders(spark):
 def test_stock_status_stream_keeps_inventories_and_null_keys(spark):
     root, ckpt, src = (scratch_path(spark, f"e07-{k}") for k in ("out", "ckpt", "in"))
     kind = "Material_Id string, inv_Id string, inv_qoh long, inv_reorder_level long"
-    first = spark.createDataFrame([("RM1", "A", 5, 10), ("RM1", "B", 50, 10), (None, "A", 1, 1), (None, "A", 9, 1)], kind)
-    first.coalesce(1).write.parquet(src)
-    jobs.run_stock_status_stream(jobs.stream_files(spark, src, first), root, ckpt)
-    second = spark.createDataFrame([("RM1", "A", 30, 10)], kind)
-    second.coalesce(1).write.mode("append").parquet(src)
-    jobs.run_stock_status_stream(jobs.stream_files(spark, src, first), root, ckpt)  # a restart goes on from its checkpoint
-    got = sorted(map(str, ((r.Material_Id, r.inv_Id, r.inv_qoh, r.inv_stock_status)
-                           for r in jobs.read_stock_status(spark, root).collect())))
-    assert got == sorted(map(str, [("RM1", "A", 30, "High"), ("RM1", "B", 50, "High"), (None, "A", 1, "Low"), (None, "A", 9, "High")]))
+    batches = [[("RM1", "A", 5, 10), ("RM1", "B", 50, 10), (None, "A", 1, 1), (None, "A", 9, 1), ("RM2", "A", 8, None)],
+               [("RM1", "A", 3, 10), ("RM1", "A", 30, 10), (None, "A", 9, 1)], [("RM1", "A", 4, 10), (None, "A", 9, 1)]]
+    for rows in batches:  # stopped and started again between them: each goes on from the checkpoint
+        df = spark.createDataFrame(rows, kind)
+        df.coalesce(1).write.mode("append").parquet(src)
+        jobs.run_stock_status_stream(jobs.stream_files(spark, src, df), root, ckpt)
+    of = lambda df, *more: sorted(map(str, ((r.Material_Id, r.inv_Id, r.inv_qoh, r.inv_stock_status, *(r[c] for c in more))
+                                            for r in df.collect())))
+    assert of(jobs.read_stock_status(spark, ckpt)) == sorted(map(str, [
+        ("RM1", "A", 4, "Low"), ("RM1", "B", 50, "High"), ("RM2", "A", 8, "High"), (None, "A", 1, "Low"), *[(None, "A", 9, "High")] * 3]))
+    # each micro-batch hands on what it changed, and no more
+    changes = spark.read.parquet(root)
+    assert of(changes.filter("epoch = 1"), "copies") == sorted(map(str, [("RM1", "A", 30, "High", 1), (None, "A", 9, "High", 2)]))
+    assert of(changes.filter("epoch = 2"), "copies") == sorted(map(str, [("RM1", "A", 4, "Low", 1), (None, "A", 9, "High", 3)]))
+
+
+def test_stock_status_stream_by_a_column_and_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(jobs, "COPIES", 4)
+    root, ckpt, src = (scratch_path(spark, f"e07-by-{k}") for k in ("out", "ckpt", "in"))
+    rows = spark.createDataFrame([("RM1", "A", 90, 10, 1), ("RM1", "A", 5, 10, 2), ("RM1", "A", 7, 10, 2)] + [("RM1", None, 1, 1, 0)] * 13, (
+        "Material_Id string, inv_Id string, inv_qoh long, inv_reorder_level long, seen long"))
+    rows.coalesce(1).write.parquet(src)
+    jobs.run_stock_status_stream(jobs.stream_files(spark, src, rows), root, ckpt, order=["seen"])
+    got = sorted((r.inv_Id or "", r.inv_qoh, r.seen) for r in jobs.read_stock_status(spark, ckpt).collect())
+    assert got == [("", 1, 0)] * 13 + [("A", 7, 2)]
 
 
 def test_reservation_stream_knows_duplicates_and_shipments(spark):
