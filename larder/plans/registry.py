@@ -19,7 +19,7 @@ from larder.session import scratch_path
 from larder.sources import io
 from larder.streaming import jobs
 from larder.sources.fixtures import COUPONS_AS_OF, PURCHASES_AS_OF, Fixtures
-from larder.sources.rest import feedback_batch, whole_table
+from larder.sources.rest import NULL_TEXT, as_lines, feedback_batch, whole_table
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -206,6 +206,31 @@ def _sources() -> dict[str, Builder]:
         t.raw_materials.write.option("header", "true").csv(path)
         return io.read_table(spark, "raw_materials", path, fmt="csv")
 
+    def s01_refused(spark, root):
+        refused = materials_file(spark, root)[1]
+        return refused.drop("line").withColumn("reasons", F.array_join(F.transform(
+            "reasons", lambda x: F.concat(x["column"], F.lit(": "), x["reason"])), "; "))
+
+    def s01_all(spark, root):
+        """Each table of the catalogue as a file with broken lines: rows taken with their filled cells, refused ones by reason."""
+        t = Fixtures(spark, root)
+        path = scratch_path(spark, "s01-all")
+        lines = found = None
+        for name in CATALOGUE:
+            rows = as_lines(t, name)
+            lines = rows if lines is None else lines.unionByName(rows)
+        lines.write.partitionBy("table_name").text(path)
+        for name, table in CATALOGUE.items():
+            typed, refused = io.read_table(spark, name, f"{path}/table_name={name}", "csv", strict=False,
+                                           columns=[c.name for c in table.columns], options={"nullValue": NULL_TEXT})
+            filled = " + ".join(f"CAST({c} IS NOT NULL AS BIGINT)" for c in typed.columns)
+            rows = typed.selectExpr(f"'{name}' AS table_name", "CAST(NULL AS STRING) AS column_name", "'accepted' AS outcome", f"{filled} AS filled")
+            rows = rows.unionByName(refused.selectExpr("explode(reasons) AS x").selectExpr(
+                f"'{name}' AS table_name", "x.column AS column_name", "x.reason AS outcome", "CAST(0 AS BIGINT) AS filled"))
+            found = rows if found is None else found.unionByName(rows)
+        return found.groupBy("table_name", "column_name", "outcome").agg(F.count(F.lit(1)).alias("n_rows"),
+                                                                        F.sum("filled").alias("n_filled"))
+
     def s02(spark, root):
         t = Fixtures(spark, root)
         path = scratch_path(spark, "s02-purchase-order")
@@ -232,7 +257,7 @@ def _sources() -> dict[str, Builder]:
         return io.audit_messages(_intake(spark, root).audit)
 
     return {"s01_typed_scan": s01, "s01_accepted": lambda s, r: materials_file(s, r)[0],
-            "s01_refused": lambda s, r: materials_file(s, r)[1], "s02_append": s02, "s03_apply_delta": s03, "s04_enrich": s04,
+            "s01_refused": s01_refused, "s01_all_tables": s01_all, "s02_append": s02, "s03_apply_delta": s03, "s04_enrich": s04,
             "s05_audit": s05}
 
 

@@ -60,7 +60,7 @@ SOURCES |= {name: f"rest_{name}" for name in REST}
 SOURCES |= {name: f"whole_{name}" for name in REFERENCE_SHAPED if missing_columns(name)}
 
 
-def _whole_tables() -> list[tuple[str, str]]:
+def whole_tables() -> list[tuple[str, str]]:
     """The tables that no job but the report reads, and the shaped ones with all their columns."""
     out = [(f"rest_{name}", "SELECT " + ", ".join(f"{sql} AS {c}" for c, sql in rest_columns(name)) + f" FROM {base}")
            for name, (base, _) in REST.items()]
@@ -68,6 +68,11 @@ def _whole_tables() -> list[tuple[str, str]]:
                   for name in REFERENCE_SHAPED if missing_columns(name)]
 
 
+def source_of(name: str) -> str:
+    """The table with all its columns, as jobs over files read it (without a batch)."""
+    return name if name == "purchase_order" else SOURCES.get(name, name)
+
+
 def _declared(name: str) -> tuple[str, ...]:
     """All columns of a whole table, as they are named there."""
     own = REFERENCE_SHAPED.get(name, ())
@@ -121,7 +126,7 @@ def constraint_report_sql() -> str:
     parts = [sql for name in CATALOGUE for sql in table_rules(name, _declared(name), set(CATALOGUE))]
     body = ("SELECT table_name, rule, CAST(COUNT(*) AS BIGINT) AS violations FROM (\n"
             + "\nUNION ALL\n".join(parts) + "\n) v GROUP BY table_name, rule")
-    return with_fixtures(body, *_whole_tables())
+    return with_fixtures(body, *whole_tables())
 
 
 def _simple() -> dict[str, str]:

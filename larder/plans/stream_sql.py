@@ -3,19 +3,42 @@ result each must reproduce."""
 
 from __future__ import annotations
 
+from larder.catalogue import CATALOGUE
+from larder.plans import rule_sql
 from larder.plans.oracle import E03_LINES, E03_NUMBERED, E03_RESULT, E04_CAND, E04_OK, E04_REQ, EVENT_SQL, with_fixtures
+from larder.sources.rest import broken_cells
 
 E04 = (E04_REQ, E04_CAND, E04_OK)
 
+
+
+def all_tables_sql() -> str:
+    """What the scan of each table's file must find: a cell without a value cannot be broken."""
+    parts = []
+    for name, table in CATALOGUE.items():
+        columns = [c.name for c in table.columns]
+        broken = [(mark, c, why) for mark, (c, _, why) in broken_cells(table).items()]
+        outcome = "".join(f" WHEN last = '{mark}' AND {c} IS NOT NULL THEN '{why}'" for mark, c, why in broken)
+        column = "".join(f" WHEN last = '{mark}' AND {c} IS NOT NULL THEN '{c}'" for mark, c, _ in broken)
+        filled = " + ".join(f"CAST({c} IS NOT NULL AS BIGINT)" for c in columns)
+        parts.append(f"SELECT '{name}' AS table_name, CASE WHEN last IN ('3', '7') THEN NULL{column} END AS column_name, "
+                     f"CASE WHEN last IN ('3', '7') THEN 'fields'{outcome} ELSE 'accepted' END AS outcome, {filled} AS filled "
+                     f"FROM (SELECT {', '.join(columns)}, right({columns[0]}, 1) AS last FROM {rule_sql.source_of(name)})")
+    return with_fixtures("SELECT table_name, column_name, outcome, COUNT(*) AS n_rows, "
+                         "CAST(SUM(CASE WHEN outcome = 'accepted' THEN filled ELSE 0 END) AS BIGINT) AS n_filled FROM (\n"
+                         + "\nUNION ALL\n".join(parts) + "\n) GROUP BY table_name, column_name, outcome", *rule_sql.whole_tables())
+
+
 SOURCE_AND_STREAM_SQL = {
+    "s01_all_tables": all_tables_sql(),
     "s01_typed_scan": with_fixtures(
         "SELECT material_Id, materialName, typeofMaterial, cold_storage, quantity FROM raw_materials"),
     "s01_accepted": with_fixtures(
         "SELECT material_Id, materialName, typeofMaterial, cold_storage, quantity FROM raw_materials "
         "WHERE CAST(material_Id[3:] AS BIGINT) % 7 <> 0"),
     "s01_refused": with_fixtures(
-        "SELECT material_Id, materialName, typeofMaterial, cold_storage, CAST(quantity AS VARCHAR) || '.5' AS quantity "
-        "FROM raw_materials WHERE CAST(material_Id[3:] AS BIGINT) % 7 = 0"),
+        "SELECT material_Id, materialName, typeofMaterial, cold_storage, CAST(quantity AS VARCHAR) || '.5' AS quantity, "
+        "'quantity: too_fine' AS reasons FROM raw_materials WHERE CAST(material_Id[3:] AS BIGINT) % 7 = 0"),
     "s02_append": with_fixtures("""
 SELECT PONo, PODate, PurcQty, Material_Id FROM purchase_order
 UNION ALL

@@ -26,43 +26,87 @@ EXACT = T.DecimalType(38, 10)
 
 
 # ---------------------------------------------------------------- S01
-def _typed(value: Column, kind: T.DataType) -> tuple[Column, Column]:
-    """The value in its declared type, and whether it does not fit: numbers must come through
-    the cast unchanged, so a fraction in a whole number or a third decimal place is refused."""
-    cast = value.try_cast(kind)
-    if isinstance(kind, (T.LongType, T.DecimalType)):
-        cast = F.when(cast.cast(EXACT) == value.try_cast(EXACT), cast)
-    return cast, value.isNotNull() & cast.isNull()
+#: Reasons of refused cells; a line with another number of fields than its file has columns is refused as a whole.
+FIELDS, NO_NUMBER, TOO_FINE, OUT_OF_RANGE = "fields", "not_a_number", "too_fine", "out_of_range"
+OTHER_REASONS = {T.DateType: "not_a_date", T.TimestampNTZType: "not_a_timestamp"}
+
+
+def _typed(value: str, kind: T.DataType) -> tuple[str, str | None]:
+    """SQL of the value in its declared type, and of the reason if it does not fit (text always does): numbers must come
+    through the cast unchanged, so a fraction in a whole number or a third decimal place is refused."""
+    if isinstance(kind, T.StringType):
+        return f"CAST({value} AS STRING)", None
+    if not isinstance(kind, (T.IntegerType, T.LongType, T.DecimalType)):
+        cast = f"try_cast({value} AS {kind.simpleString()})"
+        return cast, f"CASE WHEN {value} IS NOT NULL AND {cast} IS NULL THEN '{OTHER_REASONS[type(kind)]}' END"
+    exact = f"try_cast({value} AS {EXACT.simpleString()})"
+    fits = f"try_cast({exact} AS {kind.simpleString()})"
+    places = kind.scale if isinstance(kind, T.DecimalType) else 0
+    return (f"CASE WHEN {fits} = {exact} THEN {fits} END",
+            f"CASE WHEN {value} IS NULL OR {fits} = {exact} THEN NULL WHEN try_cast({value} AS DOUBLE) IS NULL THEN '{NO_NUMBER}' "
+            f"WHEN round({exact}, {places}) <> {exact} THEN '{TOO_FINE}' ELSE '{OUT_OF_RANGE}' END")
+
+
+def _as_written(spark: SparkSession, path: str, fmt: str, strict: bool, columns: Sequence[str] | None,
+                options: Mapping[str, str]) -> tuple[DataFrame, str | None]:
+    """The values of a file, of text formats as text, and the name of a column with the lines that are no record.
+    ``strict``: such a line fails the job instead."""
+    reader = spark.read.format(fmt).options(**options)
+    if fmt not in ("csv", "json"):
+        return reader.load(path), None
+    if fmt == "csv":  # a field too many shows only if no column is pruned, and each file's header must be the first one's
+        reader = reader.options(header=columns is None, inferSchema=False, columnPruning=False, enforceSchema=False)
+    line = "_line"
+    names = list(columns or reader.option("columnNameOfCorruptRecord", line).load(path).drop(line).columns)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    if strict:
+        return reader.option("mode", "FAILFAST").schema(schema).load(path), None
+    return reader.option("columnNameOfCorruptRecord", line).schema(schema.add(line, T.StringType())).load(path), line
 
 
-def read_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet",
-               strict: bool = True) -> DataFrame | tuple[DataFrame, DataFrame]:
+def read_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet", strict: bool = True,
+               columns: Sequence[str] | None = None, options: Mapping[str, str] | None = None
+               ) -> DataFrame | tuple[DataFrame, DataFrame]:
     """Typed scan of a catalogue table: every declared column cast to its declared type.
 
-    Columns are matched by name, whatever their order and case (CSV: by the header); a missing
-    column is an error. ``strict``: a value that does not fit its type fails the job; otherwise
-    returns ``(typed, refused)``, the refused rows as text.
+    Columns are matched by name, whatever their order and case (CSV: by the header, or by ``columns`` for files without
+    one); a missing column is an error. ``strict``: a value that does not fit its type, a CSV line with a field too few
+    or too many, or a broken JSON line fails the job; otherwise returns ``(typed, refused)``: the refused rows as text
+    with ``reasons``, an array of (column, reason), and ``line``, the text of a line that is no record. ``options``:
+    those of the reader (separator, null value).
     """
     table = CATALOGUE[name]
-    reader = spark.read.format(fmt)
-    if fmt == "csv":
-        reader = reader.option("header", "true").option("inferSchema", "false")
-    raw = reader.load(path)
+    raw, line = _as_written(spark, path, fmt, strict, columns, options or {})
     have = {c.lower(): c for c in raw.columns}
     missing = [c.name for c in table.columns if c.name.lower() not in have]
     if missing:
         raise ValueError(f"{name}: missing columns {missing}")
-    src = {c.name: F.col(f"`{have[c.name.lower()]}`") for c in table.columns}
+    src = {c.name: _quoted(have[c.name.lower()]) for c in table.columns}
     made = {c.name: _typed(src[c.name], c.spark_type) for c in table.columns}
+    whys = {c: why for c, (_, why) in made.items() if why}
     if strict:
-        return raw.select(*[F.when(bad, F.raise_error(F.concat(F.lit(f"{name}.{c}: value does not fit: "), src[c].cast("string"))))
-                            .otherwise(cast).alias(c) for c, (cast, bad) in made.items()])
-    wrong = F.lit(False)
-    for _, bad in made.values():
-        wrong = wrong | bad
-    flagged = raw.withColumn("_bad", wrong)
-    return (flagged.filter(~F.col("_bad")).select(*[cast.alias(c) for c, (cast, _) in made.items()]),
-            flagged.filter(F.col("_bad")).select(*[src[c].cast("string").alias(c) for c in made]))
+        return raw.selectExpr(*[
+            f"{cast} AS {c}" if c not in whys else f"CASE WHEN {whys[c]} IS NOT NULL THEN raise_error(concat('{name}.{c}: value does not fit: ', "
+            f"CAST({src[c]} AS STRING))) ELSE {cast} END AS {c}" for c, (cast, _) in made.items()])
+    line = line and _quoted(line)
+    # the reader gives lines without any column no answer: the length of a value (never negative) asks for one
+    tests = [f"{line} IS NOT NULL", f"coalesce(length({next(iter(src.values()))}), 0) < 0"] if line else []
+    wrong = " OR ".join([*tests, *(f"{why} IS NOT NULL" for why in whys.values())]) or "false"
+    found = [f"CASE WHEN {line} IS NOT NULL THEN {_reason('CAST(NULL AS STRING)', repr(FIELDS))} END"] if line else []
+    whole = f"{line} IS NULL AND " if line else ""
+    found += [f"CASE WHEN {whole}{why} IS NOT NULL THEN {_reason(repr(c), why)} END" for c, why in whys.items()]
+    reasons = f"filter(array({', '.join(found)}), x -> x IS NOT NULL)" if found else f"array({_reason('CAST(NULL AS STRING)', repr(FIELDS))})"
+    return (raw.filter(f"NOT ({wrong})").selectExpr(*[f"{cast} AS {c}" for c, (cast, _) in made.items()]),
+            raw.filter(wrong).selectExpr(*[f"CAST({src[c]} AS STRING) AS {c}" for c in made], f"{reasons} AS reasons",
+                                         f"{line or 'CAST(NULL AS STRING)'} AS line"))
+
+
+def _quoted(column: str) -> str:
+    return f"`{column.replace('`', '``')}`"
+
+
+def _reason(column: str, reason: str) -> str:
+    return f"named_struct('column', {column}, 'reason', {reason})"
 
 
 # ---------------------------------------------------------------- S02

@@ -96,8 +96,8 @@ def missing_columns(name: str) -> list[tuple[str, str]]:
 def whole_table(t: Fixtures, name: str) -> DataFrame:
     """A table of the catalogue with all its declared columns."""
     if name in SOURCES:
-        return t.base(SOURCES[name][0]).select(*[F.expr(sql).alias(c) for c, sql in rest_columns(name)])
-    return getattr(t, name).select("*", *[F.expr(sql).alias(c) for c, sql in missing_columns(name)])
+        return t.base(SOURCES[name][0]).selectExpr(*[f"{sql} AS {c}" for c, sql in rest_columns(name)])
+    return getattr(t, name).selectExpr("*", *[f"{sql} AS {c}" for c, sql in missing_columns(name)])
 
 
 #: A batch over four tables, every third order: some totals are negative or missing, some franchises unknown, some
@@ -130,3 +130,37 @@ def feedback_batch(t: Fixtures) -> tuple[dict[str, DataFrame], dict[str, DataFra
     for name, column in BATCH_STORED.items():
         had[name] = getattr(t, name).filter(F.substring(column, 3, 20).cast("bigint") % 3 != 0)
     return batch, had
+
+
+# ---------------------------------------------------------------- the tables as files with broken lines
+#: What a line without a value has in a column (one-column tables would have blank lines, which readers skip).
+NULL_TEXT = "NULL"
+
+
+def broken_cells(table: Table) -> dict[str, tuple[str, str, str]]:
+    """By the last character of the first column: (column, SQL of its broken text, reason that the scan must give).
+    ``3`` and ``7`` are the lines with a field too many and too few."""
+    out = {}
+    for c in table.columns:
+        if c.kind in "imn" and "1" not in out:
+            out["1"] = (c.name, f"concat(CAST({c.name} AS STRING), '{'5' if c.kind == 'm' else '.5'}')", "too_fine")
+        if c.kind in "imndt" and "9" not in out:
+            out["9"] = (c.name, f"concat('x', CAST({c.name} AS STRING))",
+                        {"d": "not_a_date", "t": "not_a_timestamp"}.get(c.kind, "not_a_number"))
+    return out
+
+
+def as_lines(t: Fixtures, name: str) -> DataFrame:
+    """A table as (table_name, line) in CSV without a header, with some broken lines."""
+    table = CATALOGUE[name]
+    last, broken = f"right({table.columns[0].name}, 1)", broken_cells(table)
+    cells = {c.name: f"CAST({c.name} AS STRING)" for c in table.columns}
+    for mark, (column, text, _) in broken.items():
+        cells[column] = f"CASE WHEN {last} = '{mark}' THEN {text} ELSE {cells[column]} END"
+    fields = [f"'{c}', {cell}" for c, cell in cells.items()]
+    write = f"map('nullValue', '{NULL_TEXT}', 'ignoreLeadingWhiteSpace', 'false', 'ignoreTrailingWhiteSpace', 'false')"
+    line = f"to_csv(named_struct({', '.join(fields)}), {write})"
+    more = f"concat({line}, ',more')"
+    cut = f"to_csv(named_struct({', '.join(fields[:-1])}), {write})" if len(fields) > 1 else more
+    return whole_table(t, name).selectExpr(
+        f"'{name}' AS table_name", f"CASE WHEN {last} = '3' THEN {more} WHEN {last} = '7' THEN {cut} ELSE {line} END AS line")

@@ -26,6 +26,42 @@ def test_csv_by_name_and_fractions_refused(spark, tmp_path):
         io.read_table(spark, "raw_materials", str(tmp_path / "n.csv"), fmt="csv")
 
 
+def test_ragged_and_broken_lines_have_reasons(spark, tmp_path):
+    src = tmp_path / "csv"
+    src.mkdir()
+    (src / "a.csv").write_text("PurcQty,PONo,PODate,Material_Id\n5,PO1,2001-02-03,RM1\n5,PO2,2001-02-03\n5,PO3,2001-02-03,RM1,9\n"
+                               '"6","PO,4",2001-02-03,""\nx,PO5,2001-13-01,\n99999999999999999999,PO6,,RM1\n,,,\n1e2,PO7,2001-02-03,RM1\nPO8\n')
+    good, refused = io.read_table(spark, "purchase_order", str(src), "csv", strict=False)
+    assert sorted(((r.PONo, r.PurcQty) for r in good.collect()), key=str) == [("PO,4", 6), ("PO1", 5), ("PO7", 100), (None, None)]
+    assert good.count() == 4 and refused.count() == 5  # also when no column is asked for
+    got = {r.PONo or r.line: ([tuple(x) for x in r.reasons], r.line) for r in refused.collect()}
+    assert got == {"PO2": ([(None, "fields")], "5,PO2,2001-02-03"), "PO3": ([(None, "fields")], "5,PO3,2001-02-03,RM1,9"),
+                   "PO5": ([("PODate", "not_a_date"), ("PurcQty", "not_a_number")], None),
+                   "PO6": ([("PurcQty", "out_of_range")], None), "PO8": ([(None, "fields")], "PO8")}
+    with pytest.raises(Exception, match="MALFORMED|FAILED_READ"):
+        io.read_table(spark, "purchase_order", str(src), "csv").collect()
+    (src / "b.csv").write_text("PONo,PurcQty,PODate,Material_Id\nPO9,1,2001-02-03,RM1\n")  # another order of columns
+    with pytest.raises(Exception, match="header"):
+        io.read_table(spark, "purchase_order", str(src), "csv", strict=False)[0].collect()
+
+
+def test_text_only_tables_json_and_files_without_header(spark, tmp_path):
+    (tmp_path / "m.txt").write_text("EMP1\nEMP2,9\nNULL\n")
+    good, refused = io.read_table(spark, "managers", str(tmp_path / "m.txt"), "csv", strict=False, columns=["employee_ID"],
+                                  options={"nullValue": "NULL"})
+    assert (good.count(), refused.count()) == (2, 1) and sorted(map(str, (r[0] for r in good.collect()))) == ["EMP1", "None"]
+    (tmp_path / "o.json").write_text('{"PONo": "PO1", "podate": "2001-02-03", "PurcQty": 5, "Material_Id": null}\n{"PONo": \n'
+                                     '{"PONo": "PO2", "podate": "2001-02-03", "PurcQty": 5.5, "Material_Id": "RM1"}\n')
+    good, refused = io.read_table(spark, "purchase_order", str(tmp_path / "o.json"), "json", strict=False)
+    assert [(r.PONo, r.PurcQty, r.Material_Id) for r in good.collect()] == [("PO1", 5, None)]
+    assert sorted((r.PONo or "", r.line or "", [tuple(x) for x in r.reasons]) for r in refused.collect()) == [
+        ("", '{"PONo": ', [(None, "fields")]), ("PO2", "", [("PurcQty", "too_fine")])]
+    spark.createDataFrame([(1.9,), (2.0,)], "warehouse_id double").selectExpr(
+        "'WA1' warehouse_id", "'n' warehouse_name", "warehouse_id zip", "'s' state", "'c' city", "1 capacity").write.parquet(str(tmp_path / "w"))
+    good, refused = io.read_table(spark, "warehouse", str(tmp_path / "w"), strict=False)
+    assert [r.zip for r in good.collect()] == [2] and [[tuple(x) for x in r.reasons] for r in refused.collect()] == [[("zip", "too_fine")]]
+
+
 def test_publish_survives_a_crash_before_its_pointer(spark):
     root = scratch_path(spark, "crash")
     one, two = (spark.createDataFrame([(i,)], "x int") for i in (1, 2))
