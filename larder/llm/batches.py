@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -69,8 +70,8 @@ def strings(values: pa.Array) -> list[str]:
 def ragged(lists: list) -> tuple[np.ndarray, np.ndarray]:
     """Lists of whole numbers as one array and the offsets."""
     offsets = np.zeros(len(lists) + 1, dtype=np.int64)
-    np.cumsum([len(x) for x in lists], out=offsets[1:])
-    out = np.fromiter((v for x in lists for v in x), dtype=np.int64, count=int(offsets[-1]))
+    np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)), out=offsets[1:])
+    out = np.fromiter(chain.from_iterable(lists), dtype=np.int64, count=int(offsets[-1]))
     return out, offsets
 
 
@@ -115,19 +116,18 @@ class Remembered:
         self.values, self.offsets = np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64)
 
     def __call__(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Values and offsets of all kept strings, and the place of each of these distinct ones."""
-        where = lambda: np.fromiter((self.places.get(s, -1) for s in strings), np.int64, len(strings))
-        which = where()
+        """Values and offsets of all kept strings, and the place of each of these."""
+        which = np.fromiter(map(self.places.get, strings, repeat(-1)), np.int64, len(strings))
         new = np.flatnonzero(which < 0)
-        if len(new) and len(self.places) + len(new) > self.limit:
+        if len(new) and len(self.offsets) - 1 + len(new) > self.limit:
             self._clear()
             new = np.arange(len(strings))
         if len(new):
             fresh = [strings[i] for i in new.tolist()]
             values, offsets = self.encode(fresh)
-            first = len(self.places)
+            first = len(self.offsets) - 1  # strings that come twice have two places
             self.places.update(zip(fresh, range(first, first + len(fresh))))
             self.offsets = np.concatenate([self.offsets, self.offsets[-1] + offsets[1:]])
             self.values = np.concatenate([self.values, values])
-            which = where()
+            which[new] = np.arange(first, first + len(fresh))
         return self.values, self.offsets, which

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -101,3 +102,11 @@ def test_query_columns(spark):
     r = df.agg(F.sum("length"), F.countDistinct("doc_id")).first()
     one = df.where("start = 0").agg(F.sum("doc_tokens")).first()
     assert r[0] == one[0] and r[1] == 200
+
+
+def test_pieces_that_come_twice_in_a_batch_shift_no_later_ones():
+    ours, theirs = bpe.Codec(BPE), Tokenizer.from_file(BPE)
+    for texts in ([" x", "a x", " x x"], ["b x y", " y", "new words here"], ["here are new words", " x", ""], [" x", "more of  them"]):
+        ids, n = ours.encode(pa.array(texts, pa.large_string()))
+        want = [e.ids for e in theirs.encode_batch(texts, add_special_tokens=False)]
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
