@@ -13,6 +13,7 @@ one by one; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -50,6 +51,7 @@ END_SIGNS = ".,;:!?"
 @kept
 @lru_cache(maxsize=2)
 def _encoder(path: str, limit: int) -> Remembered:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(path)
