@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.session import partitions, shared_dir
+from larder.session import partitions, scratch_path, shared_dir
 
 NO_MIN = np.iinfo(np.int64).max  # "no earlier row" in a running minimum
 
@@ -42,6 +42,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """A copy in the shared folder by columns, for readers that ask for no order of its rows: packed, and each reads only
+    the columns that it needs. Types that such files cannot hold are stored as rows."""
+    if any(isinstance(f.dataType, (T.NullType, T.CalendarIntervalType)) for f in df.schema.fields):
+        return stored(df)
+    path = scratch_path(df.sparkSession, "kept")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def sort_columns(order: OrderSpec) -> list[Column]:
     return [F.col(c).desc_nulls_first() if desc else F.col(c).asc_nulls_last() for c, desc in order]
 
@@ -120,48 +130,37 @@ def _ranked(df: DataFrame, order: OrderSpec, out: str, dense: bool, parts: int)
 
 
 # ---------------------------------------------------------------------------- scans
-def _null_safe_changed(s: pd.Series, prev: pd.Series) -> pd.Series:
-    same = (s == prev) | (s.isna() & prev.isna())
-    return ~same.fillna(False).astype(bool)
-
-
 def _local_scan(by: Sequence[str], value: str):
     """Per partition, rows sorted by (by, order): position, running sum and the running
     minimum of the running sum before each row, all within the group's run."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        carry_key: tuple | None = None
-        carry_n = 0
-        carry_sum = 0
-        carry_min = NO_MIN  # min of running sums before the next row
-        for pdf in batches:
-            if pdf.empty:
-                yield pdf.assign(_pos=pd.Series(dtype="int64"), _run=pd.Series(dtype="int64"),
-                                 _min_prev=pd.Series(dtype="int64"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # key of the row before
+        carry_n, carry_sum, carry_min = 0, 0, NO_MIN  # of its group: rows, sum, and minimum of running sums before the next row
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
                 continue
-            changed = pd.Series(False, index=pdf.index)
-            for b in by:
-                changed |= _null_safe_changed(pdf[b], pdf[b].shift())
-            changed.iloc[0] = True
-            runs = changed.cumsum()
-            vals = pdf[value].fillna(0).astype("int64")
-            grp = vals.groupby(runs)
-            pos = grp.cumcount().astype("int64") + 1
-            csum = grp.cumsum().astype("int64")
-            prev_min = csum.groupby(runs).cummin().groupby(runs).shift(1, fill_value=NO_MIN)
-            first_key = tuple(None if pd.isna(pdf[b].iloc[0]) else pdf[b].iloc[0] for b in by)
-            if carry_key is not None and first_key == carry_key:
-                head = runs == 1
-                pos = pos.where(~head, pos + carry_n)
-                csum = csum.where(~head, csum + carry_sum)
-                moved = prev_min.where(prev_min == NO_MIN, prev_min + carry_sum)
-                prev_min = prev_min.where(~head, moved.clip(upper=carry_min))
-            last = runs == runs.iloc[-1]
-            carry_key = tuple(None if pd.isna(pdf[b].iloc[-1]) else pdf[b].iloc[-1] for b in by)
-            carry_n = int(pos.iloc[-1])
-            carry_sum = int(csum.iloc[-1])
-            carry_min = int(min(csum[last].min(), prev_min[last].min()))
-            yield pdf.assign(_pos=pos, _run=csum, _min_prev=prev_min)
+            keys = {b: batch.column(batch.schema.get_field_index(b)) for b in by}
+            new = np.zeros(n, dtype=bool)
+            for b, column in keys.items():
+                new[1:] |= ~_same_as_before(column)
+                if last is not None:
+                    new[0] |= not _same_as_before(pa.concat_arrays([last[b], column.slice(0, 1)]))[0]
+            new[0] |= last is None
+            runs, starts = np.cumsum(new), np.flatnonzero(new)  # run 0 goes on from the batch before
+            vals = pc.fill_null(batch.column(batch.schema.get_field_index(value)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            sums = np.cumsum(vals)
+            pos = np.arange(1, n + 1) - np.concatenate([[-carry_n], starts])[runs]
+            csum = sums - np.concatenate([[-carry_sum], sums[starts] - vals[starts]])[runs]
+            prev_min = pd.Series(csum).groupby(runs).cummin().groupby(runs).shift(1, fill_value=NO_MIN).to_numpy(copy=True)
+            head = runs == 0
+            prev_min[head] = np.minimum(prev_min[head], carry_min)
+            last = {b: column.slice(n - 1, 1) for b, column in keys.items()}
+            carry_n, carry_sum, carry_min = int(pos[-1]), int(csum[-1]), int(min(csum[-1], prev_min[-1]))
+            for name, found in (("_pos", pos), ("_run", csum), ("_min_prev", prev_min)):
+                batch = batch.append_column(name, pa.array(found.astype(np.int64)))
+            yield batch
 
     return run
 
@@ -188,12 +187,11 @@ def scan_within(df: DataFrame, by: Sequence[str], order: OrderSpec, value: Colum
     schema = T.StructType(list(staged.schema.fields) + [
         T.StructField("_part", T.IntegerType(), False), T.StructField("_pos", T.LongType(), False),
         T.StructField("_run", T.LongType(), False), T.StructField("_min_prev", T.LongType(), True)])
-    staged = stored(staged)  # read by the range sampler and by the scan
+    staged = kept(staged)  # read by the range sampler and by the scan
     parts = num_partitions or partitions(spark, staged)
-    spread = (staged.repartitionByRange(parts, *sort_cols).sortWithinPartitions(*sort_cols)
-              .withColumn("_part", F.spark_partition_id())
-              .mapInPandas(_local_scan(by, "_val"), schema)
-              .checkpoint(eager=True))
+    spread = kept(staged.repartitionByRange(parts, *sort_cols).sortWithinPartitions(*sort_cols)
+                  .withColumn("_part", F.spark_partition_id())
+                  .mapInArrow(_local_scan(by, "_val"), schema))
     seg = (spread.groupBy("_part", *by)
            .agg(F.max("_pos").alias("_n"), F.max_by("_run", "_pos").alias("_total"),
                 F.min("_run").alias("_low")))
