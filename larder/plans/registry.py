@@ -268,7 +268,8 @@ BATCHES = 4
 
 def _slices(df: DataFrame, path: str, *order: str) -> int:
     """Write ``df`` as files for a file stream, as many as its size asks for, and return how many of
-    them make a micro-batch. With ``order`` each file is a range of it; a file stream takes files by
+    them make a micro-batch: the number of micro-batches stays, so what each of them reads of the stored tables does not
+    grow with the square of the input. With ``order`` each file is a range of it; a file stream takes files by
     their times, so these are set in that order."""
     spark = df.sparkSession
     parts = max(BATCHES, -(-df.count() // FILE_ROWS))
@@ -281,7 +282,7 @@ def _slices(df: DataFrame, path: str, *order: str) -> int:
     files = sorted((f for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda f: f.getPath().getName())
     for i, f in enumerate(files):
         fs.setTimes(f.getPath(), files[0].getModificationTime() - 1000 * (len(files) - i), -1)
-    return 1
+    return -(-parts // BATCHES)
 
 
 def _streams() -> dict[str, Builder]:
