@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.operators.ordinal import OrderSpec, sort_columns, stored
+from larder.operators.ordinal import OrderSpec, kept, sort_columns, stored
 from larder.session import partitions
 
 LEDGER_ORDER: OrderSpec = (("arrival_key", False), ("kind_rank", False), ("line", False), ("part", False), ("ref", False))
@@ -207,7 +207,7 @@ def _walked(events: DataFrame, order: OrderSpec, parts: int) -> DataFrame:
     joined = spread.join(F.broadcast(carry), ["Material_Id", "_part"], "left").select(*spread.columns, "_before")
     schema = T.StructType([*spread.schema.fields, T.StructField("accepted", T.BooleanType()),
                            T.StructField("balance", T.LongType()), T.StructField("_found", T.BooleanType())])
-    return stored(joined.mapInPandas(_walk, schema))
+    return kept(joined.mapInPandas(_walk, schema))
 
 
 def stock_ledger(events: DataFrame, materials: DataFrame, order: OrderSpec = LEDGER_ORDER) -> DataFrame:
@@ -216,7 +216,7 @@ def stock_ledger(events: DataFrame, materials: DataFrame, order: OrderSpec = LED
     stock = materials.select(F.col("material_Id").alias("_mid"), F.col("quantity").cast("long").alias("_start"))
     ev = events.join(stock, events["Material_Id"] == F.col("_mid")).drop("_mid").withColumn(
         "_receipt", F.col("kind") == "receipt").withColumn("_id", F.monotonically_increasing_id())
-    ev = stored(ev)  # read for the keys and for the walk
+    ev = kept(ev)  # read for the keys and for the walk
     key = ["Material_Id", "ref"]
     place = F.struct(*[x for i, (c, _) in enumerate(order) for x in (F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"c{i}"))], "_id")
     again = ev.where(~F.col("_receipt")).groupBy(*key).agg(F.count("*").alias("_lines"), F.min(place).alias("_first")).where(
@@ -234,7 +234,7 @@ def stock_ledger(events: DataFrame, materials: DataFrame, order: OrderSpec = LED
             "_should", F.col("_hit").isNull() | (F.col("_row") <= F.col("_hit")))
         # a line may count or not without effect while there is no stock: only those that found some matter
         wrong = judged.where((F.col("_should") != F.col("_counts")) & F.col("_found")).select("Material_Id").distinct()
-        wrong = stored(wrong)
+        wrong = kept(wrong)
         if wrong.isEmpty():
             done.append(walked)
             break
