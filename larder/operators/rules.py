@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.catalogue import CATALOGUE, Table
-from larder.operators.ordinal import stored
+from larder.operators.ordinal import kept
 
 VIOLATION_COLUMNS = ("table_name", "rule", "row_key", "column_name", "value")
 
@@ -269,8 +269,8 @@ def _tagged(df: DataFrame, table: Table, parents: Mapping[str, DataFrame], tags:
             users.append(table.name)
             text = _key_text([present[column.lower()]])
             entries.append(F.when(text.isNotNull(), entry(1, number, text, len(users))))
-    found = F.filter(F.array(*entries), lambda e: e.isNotNull())
-    return df.select(F.explode(found).alias("e")).select("e.*")
+    # the empty entries are dropped after the explode: a lambda over the array would run interpreted, row by row
+    return df.select(F.explode(F.array(*entries)).alias("e")).filter(F.col("e").isNotNull()).select("e.*")
 
 
 def constraint_report(tables: Mapping[str, DataFrame], catalogue: Mapping[str, Table] = CATALOGUE) -> DataFrame:
@@ -356,7 +356,7 @@ def quarantine(batch: DataFrame, table: Table, parents: Mapping[str, DataFrame],
             bare, allowMissingColumns=True)
         reasons.append(F.when(F.col(name).isNotNull() & F.col(f"_p{j}").isNull(), F.lit(f"foreign_key({name})")))
     found = F.filter(F.array(*reasons), lambda x: x.isNotNull()) if reasons else F.array().cast("array<string>")
-    staged = stored(staged.select(*batch.columns, found.alias("_why"), F.monotonically_increasing_id().alias("_id")))
+    staged = kept(staged.select(*batch.columns, found.alias("_why"), F.monotonically_increasing_id().alias("_id")))
     key = _key_of(batch, table)
     if key:
         places = [*order, *batch.columns]
@@ -371,7 +371,7 @@ def quarantine(batch: DataFrame, table: Table, parents: Mapping[str, DataFrame],
             judged = judged.join(old, [F.col(k) == F.col(f"_e{i}") for i, k in enumerate(key)], "left")
             why.append(F.when(F.col("_e0").isNotNull(), F.lit(f"key_exists({','.join(key)})")))
         judged = judged.select(*batch.columns, F.filter(F.array(*why), lambda x: x.isNotNull()).alias("_why"))
-        staged = stored(judged.unionByName(staged.filter(F.size("_why") > 0).select(*batch.columns, "_why")))
+        staged = kept(judged.unionByName(staged.filter(F.size("_why") > 0).select(*batch.columns, "_why")))
     accepted = staged.filter(F.size("_why") == 0).select(*batch.columns)
     rejected = staged.filter(F.size("_why") > 0).select(
         *batch.columns, F.concat_ws("; ", F.array_sort("_why")).alias("reasons"))
