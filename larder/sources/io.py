@@ -75,6 +75,30 @@ def read_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet",
     with ``reasons``, an array of (column, reason), and ``line``, the text of a line that is no record. ``options``:
     those of the reader (separator, null value).
     """
+    raw, made, whys, src, line = _cells(spark, name, path, fmt, strict, columns, options)
+    if strict:
+        return raw.selectExpr(*[
+            f"{cast} AS {c}" if c not in whys else f"CASE WHEN {whys[c]} IS NOT NULL THEN raise_error(concat('{name}.{c}: value does not fit: ', "
+            f"CAST({src[c]} AS STRING))) ELSE {cast} END AS {c}" for c, (cast, _) in made.items()])
+    wrong, reasons = _verdict(whys, src, line)
+    return (raw.filter(f"NOT ({wrong})").selectExpr(*[f"{cast} AS {c}" for c, (cast, _) in made.items()]),
+            raw.filter(wrong).selectExpr(*[f"CAST({src[c]} AS STRING) AS {c}" for c in made], f"{reasons} AS reasons",
+                                         f"{line or 'CAST(NULL AS STRING)'} AS line"))
+
+
+def judge_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet", columns: Sequence[str] | None = None,
+                options: Mapping[str, str] | None = None) -> DataFrame:
+    """The rows of ``read_table(strict=False)``, taken and refused ones in one pass over the files: every declared column in its
+    declared type, and ``reasons``, NULL for a row that is taken."""
+    raw, made, whys, src, line = _cells(spark, name, path, fmt, False, columns, options)
+    wrong, reasons = _verdict(whys, src, line)
+    return raw.selectExpr(*[f"{cast} AS {c}" for c, (cast, _) in made.items()], f"CASE WHEN {wrong} THEN {reasons} END AS reasons")
+
+
+def _cells(spark: SparkSession, name: str, path: str, fmt: str, strict: bool, columns: Sequence[str] | None,
+           options: Mapping[str, str] | None):
+    """Raw rows; by column (SQL of the typed value, SQL of the reason), the reasons, the SQL of the raw value; the SQL of a
+    line that is no record."""
     table = CATALOGUE[name]
     raw, line = _as_written(spark, path, fmt, strict, columns, options or {})
     have = {c.lower(): c for c in raw.columns}
@@ -83,12 +107,11 @@ def read_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet",
         raise ValueError(f"{name}: missing columns {missing}")
     src = {c.name: _quoted(have[c.name.lower()]) for c in table.columns}
     made = {c.name: _typed(src[c.name], c.spark_type) for c in table.columns}
-    whys = {c: why for c, (_, why) in made.items() if why}
-    if strict:
-        return raw.selectExpr(*[
-            f"{cast} AS {c}" if c not in whys else f"CASE WHEN {whys[c]} IS NOT NULL THEN raise_error(concat('{name}.{c}: value does not fit: ', "
-            f"CAST({src[c]} AS STRING))) ELSE {cast} END AS {c}" for c, (cast, _) in made.items()])
-    line = line and _quoted(line)
+    return raw, made, {c: why for c, (_, why) in made.items() if why}, src, line and _quoted(line)
+
+
+def _verdict(whys: Mapping[str, str], src: Mapping[str, str], line: str | None) -> tuple[str, str]:
+    """SQL that says whether a row is refused, and of its reasons."""
     # the reader gives lines without any column no answer: the length of a value (never negative) asks for one
     tests = [f"{line} IS NOT NULL", f"coalesce(length({next(iter(src.values()))}), 0) < 0"] if line else []
     wrong = " OR ".join([*tests, *(f"{why} IS NOT NULL" for why in whys.values())]) or "false"
@@ -96,9 +119,7 @@ def read_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet",
     whole = f"{line} IS NULL AND " if line else ""
     found += [f"CASE WHEN {whole}{why} IS NOT NULL THEN {_reason(repr(c), why)} END" for c, why in whys.items()]
     reasons = f"filter(array({', '.join(found)}), x -> x IS NOT NULL)" if found else f"array({_reason('CAST(NULL AS STRING)', repr(FIELDS))})"
-    return (raw.filter(f"NOT ({wrong})").selectExpr(*[f"{cast} AS {c}" for c, (cast, _) in made.items()]),
-            raw.filter(wrong).selectExpr(*[f"CAST({src[c]} AS STRING) AS {c}" for c in made], f"{reasons} AS reasons",
-                                         f"{line or 'CAST(NULL AS STRING)'} AS line"))
+    return wrong, reasons
 
 
 def _quoted(column: str) -> str:
