@@ -232,20 +232,26 @@ def process_purchase_orders(requests: DataFrame, materials: DataFrame, existing_
     material's stock; the audit carries the stock after each order, in arrival order.
     """
     cols = requests.columns
-    req = _with_stock(_numbered(requests), "p_material_id", materials)
+    numbered = _numbered(requests)
+    req = _with_stock(numbered, "p_material_id", materials)
     null_field = (F.col("p_po_no").isNull() | F.col("p_po_date").isNull() | F.col("p_purchase_qty").isNull())
     bad_number = ~F.col("p_po_no").startswith(PO_PREFIX) | (F.octet_length("p_po_no") > PO_NO_WIDTH)
     first_fail = (F.when(F.col("_mid").isNull(), F.lit("material"))
                   .when(null_field, F.lit("cannot insert NULL into PURCHASE_ORDER"))
                   .when(bad_number, F.lit("check constraint on PURCHASE_ORDER.PONo violated")))
     req = req.withColumn("_fail", first_fail)
-    candidates = req.filter(F.col("_fail").isNull())
     taken = existing_orders.filter(F.col("PONo").isNotNull()).select(F.col("PONo").alias("_taken")).distinct()
+    # the first request of each number comes out of the aggregate itself; its stock is looked up after that
+    fit = numbered.filter(~null_field & ~bad_number).join(
+        materials.select(F.col("material_Id").alias("_mid")), F.col("p_material_id") == F.col("_mid"), "left_semi")
+    first = fit.groupBy(F.col("p_po_no").alias("_no")).agg(F.min_by(F.struct(*cols), _place(order)).alias("_row")).join(
+        taken, F.col("_no") == F.col("_taken"), "left_anti").select("_row.*")
+    stock = materials.select(F.col("material_Id").alias("_mid"), F.col("quantity").alias("_stock"))
+    ok = first.join(stock, F.col("p_material_id") == F.col("_mid")).select(*cols, "_stock")
+    candidates = req.filter(F.col("_fail").isNull())
     candidates = (candidates.join(_first_of_key(candidates, ["p_po_no"], order), F.col("_id") == F.col("_first_id"), "left")
-                  .withColumn("_first", F.col("_first_id").isNotNull())
                   .join(taken, F.col("p_po_no") == F.col("_taken"), "left"))
-    dup = ~F.col("_first") | F.col("_taken").isNotNull()
-    ok = candidates.filter(~dup).select(*cols, "_stock")
+    dup = F.col("_first_id").isNull() | F.col("_taken").isNotNull()
     dup_rows = candidates.filter(dup).select(*cols, F.lit("unique constraint on PURCHASE_ORDER.PONo violated")
                                              .alias("_fail"))
     early = req.filter(F.col("_fail").isNotNull()).select(*cols, "_fail")
