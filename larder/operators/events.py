@@ -16,7 +16,7 @@ from collections.abc import Callable, Sequence
 from functools import cached_property
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.exprs import first_date_at_or_after
@@ -95,27 +95,32 @@ def stock_status(inventory_details: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------------- E03
 class Reservation:
-    """E03 outputs. ``lines`` / ``materials_after`` run the ordered scan on first use;
+    """E03 outputs, each built on first use. ``lines`` runs the ordered scan;
     ``eligible`` does not need it: the lines that may take a unit, repeated ones included (a line that failed
-    for want of stock may come again in a ledger)."""
+    for want of stock may come again in a ledger). ``materials_after`` needs no line but only the keys: the order says
+    which lines take the units of a material, not how many units are taken."""
 
-    def __init__(self, build_lines, materials: DataFrame, eligible: DataFrame):
+    def __init__(self, build_judged, build_lines, build_eligible, build_after):
+        self._build_judged = build_judged
         self._build_lines = build_lines
-        self._materials = materials
-        self.eligible = eligible
+        self._build_eligible = build_eligible
+        self._build_after = build_after
+
+    @cached_property
+    def _judged(self) -> DataFrame:  # every input line with its material's stock and what is wrong with its key
+        return self._build_judged()
 
     @cached_property
     def lines(self) -> DataFrame:  # every input line with status / error
-        return self._build_lines()
+        return self._build_lines(self._judged)
+
+    @cached_property
+    def eligible(self) -> DataFrame:
+        return self._build_eligible(self._judged)
 
     @cached_property
     def materials_after(self) -> DataFrame:  # material_Id, quantity after the accepted reservations
-        used = (self.lines.filter(F.col("status") == "accepted").groupBy("Material_Id")
-                .agg(F.count(F.lit(1)).alias("_used")))
-        m = self._materials
-        return (m.join(used, m["material_Id"] == used["Material_Id"], "left")
-                .select(m["material_Id"], (F.col("quantity") - F.coalesce(F.col("_used"), F.lit(0)))
-                        .cast("long").alias("quantity")))
+        return self._build_after()
 
 
 LINE_ORDER: OrderSpec = (("arrival_seq", False), ("trackingID", False))
@@ -149,6 +154,31 @@ def _with_stock(df: DataFrame, column: str, materials: DataFrame) -> DataFrame:
     return found.unionByName(df.filter(F.col(column).isNull()), allowMissingColumns=True)
 
 
+def _keys(lines: DataFrame, existing: DataFrame | None, place: Column) -> DataFrame:
+    """The whole keys of ``lines`` and of the stored rows: ``_lines`` that have it, ``_place`` of the first one, and ``_held``, whether
+    it is stored. Partly summed where they are read."""
+    whole = F.col("Material_Id").isNotNull() & F.col("trackingID").isNotNull()
+    seen = lines.filter(whole).select("Material_Id", "trackingID", place.alias("_place"), F.lit(False).alias("_held"))
+    if existing is not None:
+        none = F.lit(None).cast(seen.schema["_place"].dataType)
+        seen = seen.unionByName(existing.filter(whole).select("Material_Id", "trackingID", none.alias("_place"), F.lit(True).alias("_held")))
+    return seen.groupBy("Material_Id", "trackingID").agg(
+        F.count("_place").alias("_lines"), F.min("_place").alias("_place"), F.max("_held").alias("_held"))
+
+
+def _stock_left(materials: DataFrame, asked: DataFrame) -> DataFrame:
+    """``materials`` after ``_asked`` lines of each ``Material_Id`` have come, each of which takes a unit while there is one.
+    A line is held against each row of its material: the c-th of m rows (from 0) sees the lines at places c, c + m, ..."""
+    rows = Window.partitionBy("_mid")  # those of one material
+    stock = materials.filter(F.col("material_Id").isNotNull()).select(F.col("material_Id").alias("_mid"), F.col("quantity").alias("_stock"))
+    stock = stock.withColumn("_m", F.count(F.lit(1)).over(rows)).withColumn("_c", F.row_number().over(rows.orderBy("_stock")) - 1)
+    taken = (asked.join(stock, F.col("Material_Id") == F.col("_mid"))
+             .withColumn("_places", F.least(F.greatest(F.ceil("_stock").cast("long"), F.lit(0)), F.col("_asked") * F.col("_m")))
+             .groupBy("_mid").agg(F.sum(F.expr("(_places - _c + _m - 1) div _m")).alias("_used")))
+    return (materials.join(taken, F.col("material_Id") == F.col("_mid"), "left")
+            .select("material_Id", (F.col("quantity") - F.coalesce(F.col("_used"), F.lit(0))).cast("long").alias("quantity")))
+
+
 def reserve_stock(shipment_lines: DataFrame, materials: DataFrame, order: OrderSpec = LINE_ORDER,
                   shipments: DataFrame | None = None, existing: DataFrame | None = None) -> Reservation:
     """Each new shipment line takes one unit of its material while stock is above 0.
@@ -158,37 +188,32 @@ def reserve_stock(shipment_lines: DataFrame, materials: DataFrame, order: OrderS
     tracking id that ``shipments`` lacks, or a (material, tracking id) that an earlier line or
     ``existing`` has fails the line, and it takes nothing.
     """
-    cols = shipment_lines.columns
-    lines = _numbered(shipment_lines)
-    keyed = lines.filter(F.col("Material_Id").isNotNull() & F.col("trackingID").isNotNull())
-    # the keys that lines share or that are stored, partly summed where they are read: a line whose key is none of them is new
-    seen = keyed.select("Material_Id", "trackingID", _place(order).alias("_place"), F.lit(False).alias("_held"))
-    if existing is not None:
-        none = F.lit(None).cast(seen.schema["_place"].dataType)
-        seen = seen.unionByName(existing.select("Material_Id", "trackingID", none.alias("_place"), F.lit(True).alias("_held")))
-    shared = seen.groupBy("Material_Id", "trackingID").agg(
-        F.count("_place").alias("_lines"), F.min("_place").alias("_place"), F.max("_held").alias("_held")).filter(
-        "_lines > 1 OR (_lines = 1 AND _held)").select(
-        F.col("Material_Id").alias("_km"), F.col("trackingID").alias("_kt"), F.col("_place._id").alias("_first_id"), "_held")
-    checked = keyed.join(shared, (F.col("Material_Id") == F.col("_km")) & (F.col("trackingID") == F.col("_kt")), "left")
-    known, stored_before = F.lit(True), F.coalesce("_held", F.lit(False))
-    if shipments is not None:
-        ids = shipments.filter(F.col("trackingID").isNotNull()).select(F.col("trackingID").alias("_tid")).distinct()
-        checked = checked.join(ids, F.col("trackingID") == F.col("_tid"), "left")
-        known = F.col("_tid").isNotNull()
+    cols, place = shipment_lines.columns, _place(order)
     missing, duplicate, unknown = (F.lit(r) for r in LINE_REASONS)
-    repeats = stored_before | F.coalesce(F.col("_id") != F.col("_first_id"), F.lit(False))
-    checked = checked.select(*cols, F.when(~known, unknown).when(repeats, duplicate).alias("_reason"),
-                             (stored_before | ~known).alias("_old"))
-    bare = lines.filter(F.col("Material_Id").isNull() | F.col("trackingID").isNull()).select(
-        *cols, missing.alias("_reason"), F.lit(True).alias("_old"))
-    stock = materials.select(F.col("material_Id").alias("_mid"), F.col("quantity").alias("_stock"))
-    named = checked.unionByName(bare.filter(F.col("Material_Id").isNotNull()))
-    judged = named.join(stock, F.col("Material_Id") == F.col("_mid"), "left").unionByName(
-        bare.filter(F.col("Material_Id").isNull()), allowMissingColumns=True)
-    at_hand = judged.filter(F.col("_mid").isNotNull())
 
-    def build_lines() -> DataFrame:
+    def build_judged() -> DataFrame:
+        lines = _numbered(shipment_lines)
+        keyed = lines.filter(F.col("Material_Id").isNotNull() & F.col("trackingID").isNotNull())
+        # the keys that lines share or that are stored: a line whose key is none of them is new
+        shared = _keys(lines, existing, place).filter("_lines > 1 OR (_lines = 1 AND _held)").select(
+            F.col("Material_Id").alias("_km"), F.col("trackingID").alias("_kt"), F.col("_place._id").alias("_first_id"), "_held")
+        checked = keyed.join(shared, (F.col("Material_Id") == F.col("_km")) & (F.col("trackingID") == F.col("_kt")), "left")
+        known, stored_before = F.lit(True), F.coalesce("_held", F.lit(False))
+        if shipments is not None:
+            ids = shipments.filter(F.col("trackingID").isNotNull()).select(F.col("trackingID").alias("_tid")).distinct()
+            checked = checked.join(ids, F.col("trackingID") == F.col("_tid"), "left")
+            known = F.col("_tid").isNotNull()
+        repeats = stored_before | F.coalesce(F.col("_id") != F.col("_first_id"), F.lit(False))
+        checked = checked.select(*cols, F.when(~known, unknown).when(repeats, duplicate).alias("_reason"),
+                                 (stored_before | ~known).alias("_old"))
+        bare = lines.filter(F.col("Material_Id").isNull() | F.col("trackingID").isNull()).select(
+            *cols, missing.alias("_reason"), F.lit(True).alias("_old"))
+        stock = materials.select(F.col("material_Id").alias("_mid"), F.col("quantity").alias("_stock"))
+        named = checked.unionByName(bare.filter(F.col("Material_Id").isNotNull()))
+        return named.join(stock, F.col("Material_Id") == F.col("_mid"), "left").unionByName(
+            bare.filter(F.col("Material_Id").isNull()), allowMissingColumns=True)
+
+    def build_lines(judged: DataFrame) -> DataFrame:
         """All lines go through the scan, so they are judged once; those of no material are marked after it."""
         takes = F.col("_reason").isNull().cast("long")
         scanned = scan_within(judged, ["Material_Id"], order, takes)
@@ -200,8 +225,18 @@ def reserve_stock(shipment_lines: DataFrame, materials: DataFrame, order: OrderS
             F.when(there & ~left, F.lit(INSUFFICIENT_STOCK)).cast("int").alias("error_code"),
             F.when(~there, F.lit("unknown_material")).when(~left, F.lit("insufficient_stock")).otherwise(F.col("_reason")).alias("reason"))
 
-    may_take = F.col("_reason").isNull() | ((F.col("_reason") == duplicate) & ~F.col("_old"))
-    return Reservation(build_lines, materials, at_hand.filter(may_take).select(*cols))
+    def build_eligible(judged: DataFrame) -> DataFrame:
+        may_take = F.col("_reason").isNull() | ((F.col("_reason") == duplicate) & ~F.col("_old"))
+        return judged.filter(F.col("_mid").isNotNull() & may_take).select(*cols)
+
+    def build_after() -> DataFrame:
+        """The first line of each key that is known and not stored asks for a unit, whatever its place; the others break a rule."""
+        new = _keys(shipment_lines, existing, F.lit(True)).filter("_lines > 0 AND NOT _held")
+        if shipments is not None:
+            new = new.join(shipments.select(F.col("trackingID").alias("_tid")), F.col("trackingID") == F.col("_tid"), "left_semi")
+        return _stock_left(materials, new.groupBy("Material_Id").agg(F.count(F.lit(1)).alias("_asked")))
+
+    return Reservation(build_judged, build_lines, build_eligible, build_after)
 
 
 # ------------------------------------------------------------------------- E04
