@@ -4,9 +4,11 @@ A receipt adds its quantity (also a negative one) and never fails. A reservation
 stock is above 0 and its key, (material, tracking id), has not taken one; else it fails and changes
 nothing. A line that failed for want of stock may come again: the next line of its key tries anew.
 
-Order within a material is kept without giving one task a whole material:
+The events are range-partitioned on (material, order), each material's stock before its first event, and each task folds the
+materials that lie inside its partition, retries included, in that one pass. What may be cut, the first and the last material of
+a partition and those of more than ``LONG`` events, is told apart there and settled apart, so that no task gets a whole hot material:
 
-1. The events are range-partitioned on (material, order) and stored, so a hot material is cut into segments.
+1. These events are range-partitioned on (material, order) and stored, so a hot material is cut into segments.
 2. The stock after a segment is a function of the stock before it that rises by 1 or stays level from
    one unit to the next. ``StockMap`` holds it as the list of its level stretches; stretches below any
    stock that can come in are left out, so a segment without negative receipts has one at most.
@@ -27,18 +29,22 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.operators.ordinal import OrderSpec, kept, sort_columns, stored
-from larder.session import partitions
+from larder.operators.ordinal import OrderSpec, _same_as_before, kept, sort_columns, stored
+from larder.session import partitions, shuffles_removed
 
 LEDGER_ORDER: OrderSpec = (("arrival_key", False), ("kind_rank", False), ("line", False), ("part", False), ("ref", False))
 LEDGER_SCHEMA = ("Material_Id string, kind string, quantity long, arrival_key long, kind_rank int, line long, part long, "
                  "ref string")
 MAP_SCHEMA = "_part int, Material_Id string, _start long, _shift long, _at array<long>, _extra array<long>"
 CARRY_SCHEMA = "_part int, Material_Id string, _before long"
+LONG = 1 << 17  # events of one material that a task holds at most
+NO_STOCK = -(1 << 63)  # stands for a stock that is NULL: no line finds any
 
 
 def ledger_events(lines: DataFrame, receipts: DataFrame, line_arrival: str = "arrival_seq",
@@ -187,19 +193,90 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.drop(columns=["_before"]).assign(accepted=accepted, balance=balance, _found=found)
 
 
+def _fold(batch: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+    """Events of whole materials (``starts``: where each begins) with ``accepted`` and ``balance``. The rows that open a material give
+    its stock and are left out; without one it is unknown, and of several each stands for a copy of its events."""
+    opens = batch.column("_opens").to_numpy(zero_copy_only=False).tolist()
+    receipt = pc.fill_null(pc.equal(batch.column("kind"), "receipt"), False).to_numpy(zero_copy_only=False).tolist()
+    stocks = pc.fill_null(batch.column("quantity"), NO_STOCK).to_numpy().tolist()
+    quantity = pc.fill_null(batch.column("quantity"), 0).to_numpy().tolist()
+    refs = pc.fill_null(batch.column("ref").dictionary_encode().indices, -1).to_numpy().tolist()
+    rows, accepted, balance = [], [], []
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows]):
+        first = a
+        while first < b and opens[first]:
+            first += 1
+        copies, taken = first - a, set()
+        if not copies:
+            continue
+        stock = stocks[a]
+        events = range(first, b) if copies == 1 else [i for i in range(first, b) for _ in range(copies)]
+        for i in events:
+            ok = True
+            if receipt[i]:
+                stock += quantity[i]
+            elif stock <= 0 or refs[i] in taken:
+                ok = False
+            else:
+                stock -= 1
+                if refs[i] >= 0:  # lines without an id repeat none
+                    taken.add(refs[i])
+            accepted.append(ok)
+            balance.append(stock)
+        rows.extend(events)
+    return (batch.take(pa.array(rows, pa.int64())).append_column("accepted", pa.array(accepted, pa.bool_()))
+            .append_column("balance", pa.array(balance, pa.int64())))
+
+
+def _left(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Events that are settled apart."""
+    return batch.append_column("accepted", pa.nulls(batch.num_rows, pa.bool_())).append_column("balance", pa.nulls(batch.num_rows, pa.int64()))
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a partition in order: materials that lie inside it are folded, the others left."""
+    begun, left, rest = False, None, None  # the material that is left; rows of the last one so far
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if rest is not None:
+            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        names = batch.column("Material_Id")
+        if not begun:
+            begun, left = True, names[0].as_py()
+        starts = np.concatenate([[0], np.flatnonzero(~_same_as_before(names)) + 1])
+        last = int(starts[-1])
+        whole, rest = batch.slice(0, last), batch.slice(last)
+        if names[0].as_py() == left:
+            head = int(starts[1]) if last else batch.num_rows
+            yield _left(batch.slice(0, head))
+            whole, starts = whole.slice(head), starts[1:] - head
+            rest = rest if last else None
+        if whole.num_rows:
+            yield _fold(whole, starts[:-1])
+        if rest is not None and rest.num_rows > LONG:
+            left = names[last].as_py()
+            yield _left(rest)
+            rest = None
+    if rest is not None:
+        yield _left(rest)
+
+
 # ---------------------------------------------------------------- the job
 def _walked(events: DataFrame, order: OrderSpec, parts: int) -> DataFrame:
     """events with _start, _receipt and _counts: one ordered walk; adds accepted, balance, _found and _row (a number in
     order of material and ``order``); stored."""
     sort = [F.col("Material_Id").asc_nulls_last(), *sort_columns(order)]
-    spread = stored(events.repartitionByRange(parts, *sort).sortWithinPartitions(*sort)
-                    .withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()))
+    with shuffles_removed(events.sparkSession):
+        spread = stored(events.repartitionByRange(parts, *sort).sortWithinPartitions(*sort)
+                        .withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()))
     drop = F.sum(F.when(F.col("_receipt") & (F.col("quantity") < 0), F.col("quantity")).otherwise(0))
     parts = spread.groupBy("Material_Id", "_part").agg(drop.alias("_drop"), F.first("_start").alias("_start"))
     mine = Window.partitionBy("Material_Id")  # one row a segment
     earlier = mine.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     cut = parts.withColumn("_spans", F.count("*").over(mine)).withColumn("_dropped", F.coalesce(F.sum("_drop").over(earlier), F.lit(0)))
-    cut = cut.where("_spans > 1").select("Material_Id", "_part", (F.least("_start", F.lit(0)) + F.col("_dropped")).alias("_floor"))
+    floor = F.coalesce(F.try_add(F.least("_start", F.lit(0)), "_dropped"), F.lit(NO_STOCK))
+    cut = cut.where("_spans > 1").select("Material_Id", "_part", floor.alias("_floor"))
     # at most two of a partition's materials are cut: the table is bounded by the partition count
     inside = spread.join(F.broadcast(cut), ["Material_Id", "_part"]).select(
         "Material_Id", "_part", "_start", "_floor", "_receipt", "_counts", "quantity")
@@ -212,10 +289,27 @@ def _walked(events: DataFrame, order: OrderSpec, parts: int) -> DataFrame:
 
 def stock_ledger(events: DataFrame, materials: DataFrame, order: OrderSpec = LEDGER_ORDER) -> DataFrame:
     """Each event (``LEDGER_SCHEMA``) with ``accepted`` and the ``balance`` after it. Events of unknown materials
-    are left out; of lines that are equal in all of ``order`` and in their key one is the first."""
-    stock = materials.select(F.col("material_Id").alias("_mid"), F.col("quantity").cast("long").alias("_start"))
-    ev = events.join(stock, events["Material_Id"] == F.col("_mid")).drop("_mid").withColumn(
-        "_receipt", F.col("kind") == "receipt").withColumn("_id", F.monotonically_increasing_id())
+    are left out; of lines that are equal in all of ``order`` and in their key one is the first. The events are read for
+    their number, for the cuts and for the rows: hand in stored ones."""
+    opening = materials.filter(F.col("material_Id").isNotNull()).select(
+        F.col("material_Id").alias("Material_Id"), F.col("quantity").cast("long").alias("quantity"), F.lit(True).alias("_opens"))
+    rows = events.filter(F.col("Material_Id").isNotNull()).withColumn("_opens", F.lit(False)).unionByName(opening, allowMissingColumns=True)
+    sort = [F.col("Material_Id").asc_nulls_last(), F.col("_opens").desc(), *sort_columns(order)]
+    spread = rows.repartitionByRange(partitions(rows.sparkSession, rows), *sort).sortWithinPartitions(*sort)
+    schema = T.StructType([*rows.schema.fields, T.StructField("accepted", T.BooleanType()), T.StructField("balance", T.LongType())])
+    folded = kept(spread.mapInArrow(_folded, schema))
+    # at most two materials of a partition, and those of more than LONG events: their stocks are bounded by these
+    left = folded.where(F.col("accepted").isNull())
+    stock = left.where("_opens").select(F.col("Material_Id").alias("_mid"), F.coalesce("quantity", F.lit(NO_STOCK)).alias("_start"))
+    apart = left.where("NOT _opens").select(*events.columns).join(F.broadcast(stock), F.col("Material_Id") == F.col("_mid")).drop("_mid")
+    settled = _settled(apart, order)
+    return folded.where(F.col("accepted").isNotNull()).select(*settled.columns).unionByName(settled)
+
+
+def _settled(events: DataFrame, order: OrderSpec) -> DataFrame:
+    """The ledger of events with the stock of their material before them (``_start``), whatever a material's share of all rows."""
+    cols = [c for c in events.columns if c != "_start"]
+    ev = events.withColumn("_receipt", F.col("kind") == "receipt").withColumn("_id", F.monotonically_increasing_id())
     ev = kept(ev)  # read for the keys and for the walk
     key = ["Material_Id", "ref"]
     place = F.struct(*[x for i, (c, _) in enumerate(order) for x in (F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"c{i}"))], "_id")
@@ -245,4 +339,4 @@ def stock_ledger(events: DataFrame, materials: DataFrame, order: OrderSpec = LED
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select(*events.columns, "accepted", "balance")
+    return out.select(*cols, "accepted", "balance")

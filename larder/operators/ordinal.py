@@ -20,6 +20,7 @@ first.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.session import partitions, scratch_path, shared_dir
+from larder.session import partitions, removed, scratch_path, shared_dir, shuffles_removed
 
 NO_MIN = np.iinfo(np.int64).max  # "no earlier row" in a running minimum
 
@@ -47,11 +48,28 @@ def kept(df: DataFrame) -> DataFrame:
     the columns that it needs. Types that such files cannot hold are stored as rows."""
     if any(isinstance(f.dataType, (T.NullType, T.CalendarIntervalType)) for f in df.schema.fields):
         return stored(df)
-    path = scratch_path(df.sparkSession, "kept")
-    df.write.parquet(path)
+    return _kept_at(df, scratch_path(df.sparkSession, "kept"))
+
+
+def _kept_at(df: DataFrame, path: str) -> DataFrame:
+    with shuffles_removed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def kept_meanwhile(df: DataFrame) -> Iterator[DataFrame]:
+    """A copy as of ``kept`` that is removed after the block: what is built in it must be stored in it."""
+    if any(isinstance(f.dataType, (T.NullType, T.CalendarIntervalType)) for f in df.schema.fields):
+        yield stored(df)
+        return
+    path = scratch_path(df.sparkSession, "meanwhile")
+    try:
+        yield _kept_at(df, path)
+    finally:
+        removed(df.sparkSession, path)
+
+
 def sort_columns(order: OrderSpec) -> list[Column]:
     return [F.col(c).desc_nulls_first() if desc else F.col(c).asc_nulls_last() for c, desc in order]
 

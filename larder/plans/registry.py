@@ -106,7 +106,7 @@ def _events() -> dict[str, Builder]:
     def e05(spark, root):
         t = Fixtures(spark, root)
         lines = _reservation(spark, root).eligible
-        receipts = _intake(spark, root).accepted_requests
+        receipts = _intake(spark, root).accepted_requests  # stored, as the lines are
         return events.stock_ledger(events.ledger_events(lines, receipts), t.raw_materials)
 
     return {

@@ -1,13 +1,18 @@
 """Maps of segments, and the ledger against a plain fold with retries and negative receipts."""
 
+import os
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from larder.operators import ledger
 from larder.operators.events import reserve_stock
+from larder.plans import registry
+from larder.session import shared_dir
 
 EVENT = st.one_of(st.just(None), st.integers(-4, 4))  # None: a reservation
 
@@ -110,3 +115,88 @@ def test_eligible_lines_keep_repeats(spark):
     ships = spark.createDataFrame([("SPM1",), ("SPM2",)], "trackingID string")
     got = reserve_stock(lines, mats, shipments=ships, existing=old).eligible.collect()
     assert sorted((r.trackingID, r.arrival_seq) for r in got) == [("SPM1", 1), ("SPM1", 2)]
+
+
+def shaped(rng, materials, rows):
+    """Events of many materials: retries, receipts below 0, unknown materials, lines without an id."""
+    events = []
+    for i in range(rows):
+        m = f"RM{rng.randint(0, materials - 1)}"
+        if rng.random() < 0.3:
+            events.append((m, "receipt", rng.randint(-3, 4), i, 0, i, 7, f"PO{i}"))
+        else:
+            events.append((m, "reservation", 1, i, 1, 0, 0, f"SPM{rng.randint(0, 4)}"))
+    return events
+
+
+def test_materials_inside_a_partition(spark):
+    rng = random.Random(5)
+    events, start = shaped(rng, 300, 4000), {f"RM{i}": rng.randint(-2, 4) for i in range(290)}
+    assert ledger_rows(spark, events, start, 3) == plain(events, start)
+
+
+def test_folded_leaves_what_may_be_cut_and_long_materials(monkeypatch):
+    monkeypatch.setattr(ledger, "LONG", 50)
+    rng = random.Random(6)
+    events, start = shaped(rng, 40, 1500), {f"RM{i}": rng.randint(-2, 4) for i in range(38)}
+    events += [("RM20", "reservation", 1, 2000 + i, 1, 0, 0, f"SPM{i}") for i in range(120)]
+    events.sort(key=lambda e: (e[0], *e[3:]))
+    rows = sorted([(m, None, q, None, None, None, None, None, True) for m, q in start.items()] + [(*e, False) for e in events],
+                  key=lambda r: (r[0], not r[-1]))
+    names = [*(x.split()[0] for x in ledger.LEDGER_SCHEMA.split(", ")), "_opens"]
+    table = pa.table({n: pa.array([r[i] for r in rows], pa.string() if n in ("Material_Id", "kind", "ref") else None) for i, n in enumerate(names)})
+    for size in (1, 7, 64, 5000):
+        found = pa.Table.from_batches(list(ledger._folded(iter(table.to_batches(size))))).to_pylist()
+        left = {r["Material_Id"] for r in found if r["accepted"] is None}
+        assert left >= {rows[0][0], rows[-1][0]} and ("RM20" in left) == (size < 5000)  # a long one that one batch has is folded
+        assert len(left) < 12  # the others are folded
+        want = [r for r in plain(events, start) if r[0] not in left]
+        assert sorted(tuple(r[n] for n in names[:-1]) + (r["accepted"], r["balance"]) for r in found if r["Material_Id"] not in left) == want
+        apart = [(*(r[n] for n in names),) for r in found if r["Material_Id"] in left]
+        assert apart == [r for r in rows if r[0] in left]  # whole, with the row that opens each
+
+
+def test_materials_that_come_twice_and_without_stock(spark):
+    """Each row of a material stands for a copy of its events, inside a partition as across cuts; without a stock no line finds any."""
+    events = [(f"RM{m}", "reservation", 1, i, 1, 0, 0, f"S{i}") for m in range(30) for i in range(6)]
+    stocks = [(f"RM{m}", None if m % 3 == 1 else 2) for m in range(30)] * 2
+    for parts in (2, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        try:
+            found = ledger.stock_ledger(spark.createDataFrame(events, ledger.LEDGER_SCHEMA),
+                                        spark.createDataFrame(stocks, "material_Id string, quantity long")).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert len(found) == 2 * len(events)
+        for m in range(30):
+            taken = [(r.ref, r.balance) for r in found if r.Material_Id == f"RM{m}" and r.accepted]
+            assert sorted(taken) == ([] if m % 3 == 1 else [("S0", 1), ("S1", 0)])
+
+
+def held(spark):
+    """Bytes of the shuffle files, and of what is stored in the shared folder, by file."""
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    shuffles = {f.getName(): f.length() for f in (local.apply(i) for i in range(local.size())) if f.getName().startswith("shuffle_")}
+    root = shared_dir(spark).removeprefix("file:")
+    stored = {os.path.join(d, x): os.path.getsize(os.path.join(d, x)) for d, _, names in os.walk(root) for x in names}
+    return shuffles, stored
+
+
+def test_ledger_holds_no_more_on_disk_than_its_last_copies(spark, tmp_path):
+    """Shuffle files of a finished step are gone, and copies that no later step reads."""
+    rng = np.random.default_rng(7)
+    n = 20000
+    keys, parts = rng.integers(1, n // 4, n), rng.integers(1, 800, n)
+    spark.createDataFrame([(int(k), int(p), 1, i % 7 + 1, float(i % 50 + 1), f"1998-01-{i % 28 + 1:02d}") for i, (k, p) in enumerate(zip(keys, parts))],
+                          "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_shipdate string").selectExpr(
+        "* except (l_shipdate)", "to_date(l_shipdate) AS l_shipdate").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(1, n // 4).selectExpr("id AS o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(1, 800).selectExpr("id AS p_partkey", "concat('p', id) AS p_name", "'T' AS p_type", "CAST(id % 5 AS INT) AS p_size").write.parquet(
+        str(tmp_path / "part.parquet"))
+    before = held(spark)
+    found = registry.queries()["e05_stock_ledger"](spark, str(tmp_path))
+    shuffles, stored = ({k: v for k, v in now.items() if k not in was} for now, was in zip(held(spark), before))
+    rows = found.count()
+    assert rows > n
+    assert sum(shuffles.values()) < 2 * rows  # 150 bytes a row in one shuffle of the events, and there are many
+    assert sum(stored.values()) < 40 * rows
