@@ -174,7 +174,7 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = np.empty(len(pdf), dtype=bool)
         active, receipt = pdf["_counts"].to_numpy(dtype=bool), pdf["_receipt"].to_numpy(dtype=bool)
         quantity = pdf["quantity"].fillna(0).to_numpy(dtype=np.int64)
-        before = pdf["_before"].fillna(pdf["_start"]).to_numpy(dtype=np.int64)
+        before = pdf["_before"].to_numpy(dtype=np.int64)
         for name, a, b in _runs(pdf):
             if name != material:
                 material, stock = name, int(before[a])
@@ -281,7 +281,8 @@ def _walked(events: DataFrame, order: OrderSpec, parts: int) -> DataFrame:
     inside = spread.join(F.broadcast(cut), ["Material_Id", "_part"]).select(
         "Material_Id", "_part", "_start", "_floor", "_receipt", "_counts", "quantity")
     carry = inside.mapInPandas(_segment_maps, MAP_SCHEMA).groupBy("Material_Id").applyInPandas(_carried, CARRY_SCHEMA)
-    joined = spread.join(F.broadcast(carry), ["Material_Id", "_part"], "left").select(*spread.columns, "_before")
+    joined = spread.join(F.broadcast(carry), ["Material_Id", "_part"], "left").select(
+        *spread.columns, F.coalesce("_before", "_start").alias("_before"))
     schema = T.StructType([*spread.schema.fields, T.StructField("accepted", T.BooleanType()),
                            T.StructField("balance", T.LongType()), T.StructField("_found", T.BooleanType())])
     return kept(joined.mapInPandas(_walk, schema))

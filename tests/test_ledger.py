@@ -159,7 +159,10 @@ def test_folded_leaves_what_may_be_cut_and_long_materials(monkeypatch):
 def test_materials_that_come_twice_and_without_stock(spark):
     """Each row of a material stands for a copy of its events, inside a partition as across cuts; without a stock no line finds any."""
     events = [(f"RM{m}", "reservation", 1, i, 1, 0, 0, f"S{i}") for m in range(30) for i in range(6)]
-    stocks = [(f"RM{m}", None if m % 3 == 1 else 2) for m in range(30)] * 2
+    events += [(f"RM{m}", "receipt", 3, 9, 0, 0, 0, "PO") for m in range(30)]
+    much = 10 ** 17 + 1  # no double has it
+    stocks = [(f"RM{m}", (2, None, much)[m % 3]) for m in range(30)] * 2
+    all_found = []
     for parts in (2, 40):
         spark.conf.set("spark.sql.shuffle.partitions", str(parts))
         try:
@@ -168,9 +171,11 @@ def test_materials_that_come_twice_and_without_stock(spark):
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", "4")
         assert len(found) == 2 * len(events)
+        all_found.append(sorted(found))
         for m in range(30):
-            taken = [(r.ref, r.balance) for r in found if r.Material_Id == f"RM{m}" and r.accepted]
-            assert sorted(taken) == ([] if m % 3 == 1 else [("S0", 1), ("S1", 0)])
+            taken = [(r.ref, r.balance) for r in found if r.Material_Id == f"RM{m}" and r.accepted and r.ref != "PO"]
+            assert sorted(taken) == ([("S0", 1), ("S1", 0)], [], [(f"S{i}", much - 1 - i) for i in range(6)])[m % 3]
+    assert all_found[0] == all_found[1]  # to the last unit, also of the number that stands for no stock
 
 
 def held(spark):
